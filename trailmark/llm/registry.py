@@ -4,16 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import simhash, suffix_dedup
+from trailmark.llm import licenses, mixing, oracles, pii, quality_rules, sharding, simhash, suffix_dedup, warc
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("payload")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_documents(spark, sf_dir)).drop("row")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_documents(spark, sf_dir))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(_documents(spark, sf_dir)).drop("row")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=False).drop("kept")
+    return suffix_dedup.remove_repeats(_documents(spark, sf_dir), keep=False).drop("kept")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(quality_rules.ledger(_documents(spark, sf_dir)))
+    return judged.select("row.doc_id", *quality_rules.MEASURES, "fail_bits", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op7_suffix_dedup)}
-ORACLE_SQL = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_sharding, op4_pii, op5_licenses, op6_mixing, op7_suffix_dedup, op10_quality_rules)}
+ORACLE_SQL = oracles.ORACLE_SQL

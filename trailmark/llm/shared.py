@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,7 +37,8 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 def words_of(text):
     """Column: the words ``[^\\x20\\x09-\\x0D]+`` of a text; null gives an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, WORD_BREAK))
 
 
 def let(value, body):
