@@ -11,8 +11,8 @@ FROM q
 
 QUALITY_RULES = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-m AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+m AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(text, '[\x20\x09-\x0D]+') IF x <> ''] AS w,
+             [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l,
              regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS bare FROM d),
 win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
         FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM m)),
