@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import decontaminate, licenses, mixing, oracles, pii, quality_rules, sharding, simhash, suffix_dedup, warc
+from trailmark.llm import decontaminate, licenses, mixing, oracles, pii, quality_model, quality_rules, sharding, simhash, suffix_dedup, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,10 +43,15 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality_model.score(docs, quality_model.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(quality_rules.ledger(_documents(spark, sf_dir)))
     return judged.select("row.doc_id", *quality_rules.MEASURES, "fail_bits", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_sharding, op4_pii, op5_licenses, op6_mixing, op7_suffix_dedup, op8_decontaminate, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_sharding, op4_pii, op5_licenses, op6_mixing, op7_suffix_dedup, op8_decontaminate, op9_quality_model, op10_quality_rules)}
 ORACLE_SQL = oracles.ORACLE_SQL
