@@ -1,4 +1,9 @@
 """Registered queries of the journey operators and their oracle SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from trailmark.plans import journeys
+
+_PLANS = (journeys,)
+QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLE_SQL = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}
