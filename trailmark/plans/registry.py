@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from trailmark.plans import clusters, journeys
+from trailmark.plans import clusters, intake, journeys
 
-_PLANS = (journeys, clusters)
+_PLANS = (journeys, clusters, intake)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLE_SQL = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}
