@@ -56,7 +56,7 @@ def orphan_tags(rows: DataFrame, k: int = 10) -> DataFrame:
     return lost.groupBy("screen_tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "screen_tag").limit(k)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
@@ -68,14 +68,14 @@ def insert(batch: DataFrame, path: str, key: str = "event_id", date: str = "even
     """
     spark = batch.sparkSession
     fresh = batch.dropDuplicates([key]).withColumn(date, F.to_date("timestamp"))
-    if _exists(spark, path):
+    if exists(spark, path):
         fresh = fresh.cache()
         days = [r[0] for r in fresh.select(date).distinct().collect()]  # at most the days of a batch
         held = spark.read.parquet(path).where(F.col(date).isin(days)).select(key)
         new = fresh.join(held, key, "left_anti")
     else:
         new = fresh
-    before = spark.read.parquet(path).count() if _exists(spark, path) else 0
+    before = spark.read.parquet(path).count() if exists(spark, path) else 0
     new.repartition(date, "session_id").sortWithinPartitions("session_id", "timestamp").write.mode("append").partitionBy(date).parquet(path)
     fresh.unpersist()
     return spark.read.parquet(path).count() - before

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from trailmark.plans import clusters, contracts, intake, journeys
+from trailmark.plans import clusters, contracts, delivery, intake, journeys, testing
 
-_PLANS = (journeys, clusters, intake, contracts)
+_PLANS = (journeys, clusters, intake, contracts, testing, delivery)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLE_SQL = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}
