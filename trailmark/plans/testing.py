@@ -45,9 +45,9 @@ def edges(spark, sf_dir):
 
 
 def busy_edges(spark, sf_dir):
-    """Edges with at least half the weight of the heaviest."""
+    """Edges of at least average weight."""
     prod = edges(spark, sf_dir)
-    return prod.join(prod.groupBy("app_id").agg(F.max("weight").alias("top")), "app_id").where("weight * 2 >= top")
+    return prod.join(prod.groupBy("app_id").agg(F.avg("weight").alias("mean")), "app_id").where("weight >= mean")
 
 
 def golden(spark, sf_dir):
@@ -103,12 +103,12 @@ def j_uncovered(spark, sf_dir):
     return graph.uncovered(edges(spark, sf_dir), walked, 2).select("source", "target", "weight")
 
 
-@query(f"{BASE} SELECT source, target, n_tests FROM te WHERE (source, target) NOT IN (SELECT (source, target) FROM edges1 WHERE weight * 2 >= (SELECT max(weight) FROM edges1))")
+@query(f"{BASE} SELECT source, target, n_tests FROM te WHERE (source, target) NOT IN (SELECT (source, target) FROM edges1 WHERE weight >= (SELECT avg(weight) FROM edges1))")
 def j_unreachable(spark, sf_dir):
     return graph.unreachable(coverage.redundancy(tested(spark, sf_dir)), busy_edges(spark, sf_dir)).select("source", "target", "n_tests")
 
 
-REACH = "r AS (SELECT test_id, count(*) AS n_transitions, count(*) FILTER ((source, target) NOT IN (SELECT (source, target) FROM edges1 WHERE weight * 2 >= (SELECT max(weight) FROM edges1))) AS n_unreachable FROM tt GROUP BY test_id)"
+REACH = "r AS (SELECT test_id, count(*) AS n_transitions, count(*) FILTER ((source, target) NOT IN (SELECT (source, target) FROM edges1 WHERE weight >= (SELECT avg(weight) FROM edges1))) AS n_unreachable FROM tt GROUP BY test_id)"
 KIND = "CASE WHEN n_unreachable < n_transitions THEN 'stale' WHEN test_id LIKE '9%' OR test_id LIKE '%#3' THEN 'protected_retained' ELSE 'obsolete' END"
 FOUND = f"""{BASE}, {REACH}, d AS (SELECT *, {KIND} AS kind FROM r WHERE n_unreachable > 0),
 half AS (SELECT n_sessions AS median FROM (SELECT n_sessions, row_number() OVER (ORDER BY n_sessions DESC, path) - 1 AS nth, count(*) OVER () AS n FROM variants1) WHERE nth = n // 2),
