@@ -35,9 +35,11 @@ from pyspark.sql import functions as F
 from trailmark.llm.shared import cut, new_path
 
 REVISIT_BYTES = 100
-ARCHIVE_BYTES = 32 << 20
 BLOCK_LINES = 3000
 MOST_BLOCKS = 200_000
+#: Repeated payloads up to this number (about 100 bytes each) are broadcast, more are joined by shuffle.
+MOST_REPEATED = 100_000
+ARCHIVE_RECORDS = 2000
 CAPTURED = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
@@ -53,6 +55,9 @@ def records(pages: DataFrame, captured: str = CAPTURED) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace("url", r"[\r\n]", "%20").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("size"))
     same = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "first")
+    same = cut(same, "same")
+    if same.limit(MOST_REPEATED + 1).count() <= MOST_REPEATED:
+        same = F.broadcast(same)
     rows = rows.join(same, F.col("digest") == F.col("of"), "left")
     revisit = (F.col("page_id") > F.col("first")) | (F.col("page_id").isNull() & F.col("first").isNotNull())
     typed = rows.withColumn("revisit", F.coalesce(revisit, F.lit(False)))
@@ -75,11 +80,9 @@ def records(pages: DataFrame, captured: str = CAPTURED) -> DataFrame:
     return typed.withColumn("block", block).select(F.concat(head, length, F.col("block")).alias("value"))
 
 
-def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write the archives of ``pages`` into ``folder``, about ``archive_bytes`` each."""
-    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    dealt = records(pages).repartition(max(1, -(-size // archive_bytes)), F.xxhash64("value"))
-    dealt.write.option("lineSep", END).text(folder)
+def write_archives(pages: DataFrame, folder: str, archive_records: int = ARCHIVE_RECORDS) -> None:
+    """Write the archives of ``pages`` into ``folder``, ``archive_records`` each at most."""
+    records(pages).write.option("lineSep", END).option("maxRecordsPerFile", archive_records).text(folder)
 
 
 def url_key(url: str | None) -> str:
@@ -212,7 +215,7 @@ def lookup(keys: DataFrame, index: DataFrame) -> DataFrame:
     found = keys.select("key").distinct().mapInArrow(lambda it: _find(it, held), "key string, block long")
     wanted = found.groupBy("block").agg(F.collect_list("key").alias("wanted"))
     captures = index.join(wanted, "block").select("wanted", "data").mapInArrow(_open_blocks, "file string, offset long, length long")
-    ranges = captures.repartition("file", F.expr(f"offset div {ARCHIVE_BYTES >> 3}")).sortWithinPartitions("file", "offset")
+    ranges = captures.repartition("file").sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(_read_ranges, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
