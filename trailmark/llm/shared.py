@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD_BREAK = r"[\x20\x09-\x0D]+"
-WHITE = " \t\n\x0b\x0c\r"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+from trailmark.functions.cutting import cut, new_path
 
-    Only where the session has none (tests on one machine) a temporary folder is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="trailmark-")
-        shared_folder.own = folder
-    return folder.rstrip("/")
+__all__ = ["WHITE", "components", "cut", "let", "new_path", "words_of"]
 
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+WORD_BREAK = r"[\x20\x09-\x0D]+"
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def words_of(text):
@@ -50,8 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected ``edges`` (a, b), as rows (node, root).
 
     ``root`` is the smallest node of the component. Alternates the large-star and small-star
-    steps, each a grouped minimum and a join, until the edges stay the same; every round is a
-    table in the shared folder. Nodes without an edge are not returned.
+    steps, each a grouped minimum and a join, until the edges stay the same; minima and edges of a
+    round are tables in the shared folder, so a hub's rows meet in a plain join, which Spark
+    splits. Nodes without an edge are not returned.
     """
 
     def state(df):
@@ -65,10 +44,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "lowest")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = cut(oriented(large), "edges")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")), "lowest")
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         edges = cut(oriented(small), "edges")

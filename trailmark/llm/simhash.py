@@ -156,7 +156,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(nodes.select("fp"), distance, blocks, hot_bucket))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = cut(named, "rooted")
+    lowest = cut(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "lowest")
     of_print = cut(named.join(lowest, "root").select("fp", "component_id"), "components")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
