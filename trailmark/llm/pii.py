@@ -138,10 +138,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redact(text: str, spans: str) -> str:
-    """The text with each span replaced by its kind; overlapping spans become one, named by the first."""
+    """The text with each span replaced by its kind; overlapping spans become one, named by the first and longest."""
     parts, done = [], 0
-    for start, end, kind in sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in spans.split(",") if x)):
+    for start, back, kind in sorted((int(s), -int(e), k) for k, s, e in (x.split(":") for x in spans.split(",") if x)):
         if start >= done:
             parts += [text[done:start], f"[{kind}]"]
-        done = max(done, end)
+        done = max(done, -back)
     return "".join(parts) + text[done:]

@@ -283,7 +283,7 @@ def previous_factors(strings: np.ndarray, group: np.ndarray, doc: np.ndarray) ->
 
 
 def _suffix_order(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by route: the strings with a full previous factor, as covered places."""
+    """Rows sorted by route, then doc: the strings with a full previous factor, as covered places."""
 
     def settle(route, doc, place, n, data):
         if len(route) < 2:
@@ -312,12 +312,11 @@ def _suffix_order(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
         if done is not None:
             yield done
         held = [c[cut_at:] for c in rows]
-        if (held[3] == 1).all() and len(held[0]) > 1 and held[4][0] == held[4][-1]:  # a hot string: only its smallest document is needed on
+        if len(held[0]) > 1 and len(set(held[4])) == 1:  # a hot string: only its smallest document is needed on
             done = settle(*held)
             if done is not None:
                 yield done
-            low = np.argmin(held[1])
-            held = [c[low : low + 1] for c in held]
+            held = [c[:1] for c in held]
     if held is not None:
         done = settle(*held)
         if done is not None:
@@ -364,7 +363,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_anchor: int = HOT_
     marks = cut(dealt.mapInArrow(lambda it: _meet(it, hot_anchor), _ddl(_MARK)), "marks").withColumn("tag", F.shiftright("place", 32))
     wanted = marks.where("kind > 1").groupBy("doc", "tag").agg(F.collect_list(F.struct("kind", "anchor", "place", "n")).alias("marks"))
     strings = texts.join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "marks").mapInArrow(lambda it: _cut_strings(it, length), _ddl(_STRING))
-    found = strings.repartition("route").sortWithinPartitions("route").mapInArrow(lambda it: _suffix_order(it, length), _ddl(_COVERED))
+    found = strings.repartition("route").sortWithinPartitions("route", "doc").mapInArrow(lambda it: _suffix_order(it, length), _ddl(_COVERED))
     covered = marks.where("kind = 1").select("doc", "place", "n").union(found)
     places = covered.groupBy("doc", F.shiftright("place", 32).alias("tag")).agg(F.collect_list(F.struct("place", "n")).alias("places"))
     return texts.join(places, ["doc", "tag"], "left").select("doc", "text", "places").mapInArrow(
