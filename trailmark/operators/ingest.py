@@ -64,7 +64,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 def insert(batch: DataFrame, path: str, key: str = "event_id", date: str = "event_date") -> int:
     """Append the rows whose key the store lacks; returns how many (K1 to K3).
 
-    The store is partitioned by date and clustered by session; just the dates of the batch are read.
+    The store is partitioned by date and sorted by session within a file; just the dates of the batch
+    are read. The rebalance keeps a date in few files, and splits one that is too large for a task.
     """
     spark = batch.sparkSession
     fresh = batch.dropDuplicates([key]).withColumn(date, F.to_date("timestamp"))
@@ -76,7 +77,7 @@ def insert(batch: DataFrame, path: str, key: str = "event_id", date: str = "even
     else:
         new = fresh
     before = spark.read.parquet(path).count() if exists(spark, path) else 0
-    new.repartition(date, "session_id").sortWithinPartitions("session_id", "timestamp").write.mode("append").partitionBy(date).parquet(path)
+    new.hint("rebalance", F.col(date)).sortWithinPartitions(date, "session_id", "timestamp").write.mode("append").partitionBy(date).parquet(path)
     fresh.unpersist()
     return spark.read.parquet(path).count() - before
 
