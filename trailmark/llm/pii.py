@@ -27,8 +27,6 @@ BASE_KINDS = KINDS[:4]
 WINDOW = 48
 THRESHOLD = 0.6
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_LOCAL_BACK = re.compile(r"[A-Za-z0-9._%+-]++")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
