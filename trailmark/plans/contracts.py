@@ -149,3 +149,9 @@ def q_pii_report(spark, sf_dir):
     rows = driver.events(spark, sf_dir)
     bag = F.expr("to_json(named_struct('contact', named_struct('email', CASE WHEN event_id >= 0 AND CAST(user_id AS INT) % 2 = 0 THEN concat('u', user_id, '@example.com') ELSE '' END), 'hops', array('10.0.0.1', 'none'), 'n', event_id))")
     return privacy.report(privacy.scan_properties(rows.withColumn("properties", bag), depth=3)).select("kind", "event_name", "path", "n")
+
+
+@query("SELECT event_type AS event_name, count(*) AS n_events, event_type AS screens FROM events GROUP BY event_type")
+def q_scaffold_event_screens(spark, sf_dir):
+    rows = readiness.draft_events(driver.events(spark, sf_dir))
+    return rows.select("event_name", "n_events", F.array_join("screens", ",").alias("screens"))

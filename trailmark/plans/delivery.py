@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailmark.functions.cutting import new_path
+from trailmark.functions.parsing import locator_strategy
 from trailmark.operators import archetypes, coverage, gates, graph, outcomes, quality, readiness, risk, screens
 from trailmark.plans import clusters, contracts, journeys, testing
 from trailmark.sources import driver
@@ -350,3 +351,11 @@ def x_journey_gate(spark, sf_dir):
     seen = driver.events(spark, sf_dir).select("app_id", "screen_id").distinct().withColumns({"display_name": F.initcap("screen_id"), "domain": F.lit("shop"), "critical": F.col("screen_id").isin(clusters.CRITICAL)})
     unseen = graph.unseen_critical(seen, graph.nodes(journeys.traces(spark, sf_dir)))
     return gates.verdicts(gates.journey_gate(archetypes.compression(rows), archetypes.named(rows, seen), unseen))
+
+
+@query(f"{CANDIDATES} SELECT strategy, count(*) AS n FROM l GROUP BY strategy")
+def p_locator_strategy(spark, sf_dir):
+    """Strategies told from the locator strings alone."""
+    rows = screens.candidates(elements(spark, sf_dir))
+    value = F.when(F.col("strategy") == "positional_xpath", F.concat(F.lit("/"), "value")).otherwise(F.col("value"))
+    return rows.select(locator_strategy(value).alias("strategy")).groupBy("strategy").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.operators import drift, graph, parity, quality, risk, sessions, variants
+from trailmark.operators import archetypes, drift, graph, parity, quality, risk, sessions, variants
 from trailmark.sources import driver
 
 TIMEOUT_S = 6 * 3600
@@ -313,3 +313,43 @@ def q_checks(spark, sf_dir):
     screens = rows.select("app_id", "screen_id").distinct()
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     return quality.checks(rows, screens, now).select("check", F.round("value", 6).alias("value"), "limit", "passed", "blocking")
+
+
+@query("SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'android' ELSE 'ios' END AS platform FROM events")
+def p_platform(spark, sf_dir):
+    return driver.events(spark, sf_dir).select("event_id", parity.platform_of(F.col("platform")).alias("platform"))
+
+
+@query(f"{ONE} SELECT path, CASE WHEN terminal = 'error' THEN 'failed' ELSE 'exploratory' END AS outcome FROM (SELECT DISTINCT path, terminal FROM usable)")
+def p_outcome(spark, sf_dir):
+    found = variants.variants(traces(spark, sf_dir)).withColumn("outcome", archetypes.outcome(F.col("path")))
+    return found.select(path_text(), "outcome")
+
+
+def declared(spark, sf_dir) -> DataFrame:
+    """Event types and brands as declared screens; brands are never seen."""
+    seen = driver.events(spark, sf_dir).select("screen_id").distinct().select("screen_id", F.lit("shop").alias("domain"), (F.col("screen_id") == "purchase").alias("critical"))
+    brands = driver.table(spark, sf_dir, "part").select(F.col("p_brand").alias("screen_id")).distinct().select("screen_id", F.lit("brands").alias("domain"), F.col("screen_id").endswith("3").alias("critical"))
+    return seen.where("screen_id <> 'error'").union(brands).withColumn("app_id", F.lit("demo"))
+
+
+@query(f"{NODES}, b AS (SELECT DISTINCT p_brand FROM part) SELECT screen_id, visits, starts, ends, screen_id = 'purchase' AS critical, screen_id <> 'error' AS declared FROM nodes UNION ALL SELECT p_brand, 0, 0, 0, p_brand LIKE '%3', true FROM b")
+def j_graph_screens(spark, sf_dir):
+    rows = graph.with_screens(graph.nodes(traces(spark, sf_dir)), declared(spark, sf_dir))
+    return rows.select("screen_id", "visits", "starts", "ends", "critical", "declared")
+
+
+@query("SELECT DISTINCT p_brand AS screen_id FROM part WHERE p_brand LIKE '%3'")
+def j_unseen_critical(spark, sf_dir):
+    return graph.unseen_critical(declared(spark, sf_dir), graph.nodes(traces(spark, sf_dir))).select("screen_id")
+
+
+@query(f"{TWO}{SHARES}{TAIL}{ENDS} SELECT CASE WHEN greatest((SELECT {JS} FROM p) / 0.2, (SELECT sum((q - p) * ln(q / p)) FROM q) / 0.25, (SELECT sum(w1) FILTER (w0 = 0) / sum(w1) FROM p) / 0.15, (SELECT {JS} FROM e) / 0.2) >= 1 THEN 'alert' ELSE 'other' END AS overall")
+def d_overall(spark, sf_dir):
+    found = drift.overall(drift.report(*halves(spark, sf_dir), *ends(spark, sf_dir)))
+    return found.select(F.when(F.col("overall") == "alert", "alert").otherwise("other").alias("overall"))
+
+
+@query(f"{PLATFORMS}, sx AS (SELECT platform, unnest(string_split(path, ' > ')) AS screen_id FROM pc WHERE n_sessions >= 3) SELECT screen_id, min(platform) AS platform FROM sx GROUP BY screen_id HAVING count(DISTINCT platform) = 1")
+def d_parity_screens(spark, sf_dir):
+    return parity.exclusive_screens(parity.counts(traces(spark, sf_dir)).where("n_sessions >= 3")).drop("app_id")

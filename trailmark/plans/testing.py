@@ -174,3 +174,18 @@ def j_deletable(spark, sf_dir):
 @query(f"{BASE} SELECT test_id, CASE WHEN test_id LIKE '9%' THEN '9*' WHEN test_id LIKE '%#3' THEN 're:#3$' END AS pattern FROM (SELECT DISTINCT test_id FROM refs)")
 def j_registry(spark, sf_dir):
     return gaps.protected(tests(spark, sf_dir), PATTERNS).select("test_id", "pattern")
+
+
+@query(f"""{BASE}, u AS (SELECT DISTINCT test_id FROM refs) SELECT 'tests' AS measure, 'all' AS label, count(*) AS n FROM u UNION ALL SELECT 'tests', 'mapped', count(*) FROM tp
+UNION ALL SELECT 'confidence', CASE screen_id WHEN 'click' THEN 'low' WHEN 'view' THEN 'medium' ELSE 'high' END, count(*) FROM refs GROUP BY 2""")
+def g_suite_summary(spark, sf_dir):
+    reference = refs(spark, sf_dir)
+    return coverage.suite_summary(tests(spark, sf_dir), coverage.test_paths(reference), reference).where("measure <> 'language'").drop("app_id")
+
+
+@query(f"""{BASE} SELECT test_id, coalesce(string_agg(DISTINCT screen_id, ',' ORDER BY screen_id) FILTER (screen_id <> 'click'), '') AS covered, coalesce(string_agg(DISTINCT screen_id, ',') FILTER (screen_id = 'click'), '') AS uncertain,
+CASE WHEN bool_or(screen_id = 'click') THEN 'low' WHEN bool_or(screen_id = 'view') THEN 'medium' ELSE 'high' END AS weakest FROM refs GROUP BY test_id""")
+def g_test_facts(spark, sf_dir):
+    reference = refs(spark, sf_dir)
+    rows = coverage.test_facts(reference, reference.where("line = 0").select("app_id", "test_id", "screen_id"))
+    return rows.select("test_id", F.array_join("covered", ",").alias("covered"), F.array_join("uncertain", ",").alias("uncertain"), "weakest")
