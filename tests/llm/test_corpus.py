@@ -177,6 +177,34 @@ def test_candidates_against_all_cosines(spark):
     assert want and len(want & got) >= 0.9 * len(want)
 
 
+def test_items_leaked_widely_and_items_of_frequent_words(spark):
+    """One item is in a third of all documents, whole, thinned or paraphrased; one has frequent words only."""
+    rng, vocabulary, items, docs = benchmark_rows()
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(40, 120)))) for i in range(600)]
+    frequent = ["the", "of", "and", "to", "in", "is", "that", "it", "was", "for", "on", "as"]
+    items.append((50, "It was in the and of that, to the is for on as. That it is to and in of was."))
+    table, planted = [], {}
+    for i, text in docs:
+        host = [w for x in text.split() for w in (x, rng.choice(frequent))]
+        leaked = [3] * (i % 3 == 0) + [50] * (i % 20 == 1)
+        for item in leaked:
+            words = dict(items)[item].split()
+            if item == 3 and i % 9 == 3:
+                words = [w for w in words if rng.random() > 0.08]
+            if item == 3 and i % 9 == 6:
+                tail = len(decontaminate.answer_of(dict(items)[item]))
+                words = [w if k >= len(words) - tail or k % 5 else "zzz" for k, w in enumerate(words)]
+            host = host[:41] + words + host[41:]
+        planted[i] = leaked
+        table.append((i, " ".join(host)))
+    got = decontaminate.leaks(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {r.doc_id: r.item_ids for r in got}
+    for item in (3, 50):
+        has = [i for i in planted if item in planted[i]]
+        assert np.mean([item in found[i] for i in has]) >= 0.95, item
+    assert all(set(found[i]) <= set(planted[i]) for i in planted)
+
+
 def test_lcs_is_a_common_subsequence():
     lcs = decontaminate.Lcs([b"a", b"b", b"c", b"a"])
     assert [lcs.length(list(map(str.encode, x))) for x in ("", "abca", "cab", "aaaa", "xyz", "bacxa")] == [0, 4, 2, 2, 0, 3]
