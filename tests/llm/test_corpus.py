@@ -116,6 +116,17 @@ def test_target_weights_and_large_rates(spark):
     assert {r.doc_id for r in huge} == {0, 10} and all(1000 < r.copies < 1400 for r in huge)  # a rate of 1200, three draws
 
 
+def test_rates_of_large_sources_and_weights(spark):
+    docs = spark.createDataFrame([(i, "w" * 10_000, "en", "a" if i % 3 else "b", 0) for i in range(6)], DOCS)
+    got = {r.source: r.rate for r in mixing.rates(docs, {"a": 1e9, "b": 3e9}).collect()}
+    assert got == pytest.approx({"a": 60_000 / 4 / 40_000, "b": 60_000 * 3 / 4 / 20_000})
+    sizes = {f"s{i}": 10**10 + i for i in range(100)} | {"third": 5 * 10**11}
+    stats = spark.createDataFrame([(s, 1, n) for s, n in sizes.items()], "source string, n_docs long, n_bytes long")
+    weight = {s: round(math.sqrt(n) * 1000) for s, n in sizes.items()}
+    want = {s: weight[s] * sum(sizes.values()) / (sum(weight.values()) * n) for s, n in sizes.items()}
+    assert {r.source: r.rate for r in mixing.rates_of(stats).collect()} == pytest.approx(want)
+
+
 def benchmark_rows(n=30, seed=9):
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) for _ in range(2000)]

@@ -31,7 +31,11 @@ MOST_RATE = 500
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0) -> DataFrame:
     """(source, n_docs, n_bytes, weight, rate) of each source; the output has ``epochs`` x the input bytes."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    stats = docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(size).alias("n_bytes"))
+    return rates_of(docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(size).alias("n_bytes")), weights, epochs)
+
+
+def rates_of(stats: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0) -> DataFrame:
+    """The rates of sources (source, n_docs, n_bytes); products of weights and bytes don't fit a long."""
     if weights is None:
         weight = F.round(F.sqrt("n_bytes") * 1000)
     else:
@@ -39,7 +43,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
         weight = F.when(F.col("n_bytes") > 0, F.coalesce(known[F.coalesce("source", F.lit(""))], F.lit(0))).otherwise(0)
     stats = stats.withColumn("weight", weight.cast("long"))
     total = stats.agg(F.sum("n_bytes").alias("all_bytes"), F.sum("weight").alias("all_weight"))
-    rate = F.col("weight") * F.col("all_bytes") * F.lit(float(epochs)) / (F.col("all_weight") * F.col("n_bytes"))
+    weight, all_bytes, all_weight, n_bytes = (F.col(c).cast("decimal(20,0)") for c in ("weight", "all_bytes", "all_weight", "n_bytes"))
+    rate = (weight * all_bytes).cast("double") * F.lit(float(epochs)) / (all_weight * n_bytes).cast("double")
     live = (F.col("n_bytes") > 0) & (F.col("all_weight") > 0)
     return stats.join(F.broadcast(total)).select("source", "n_docs", "n_bytes", "weight", F.when(live, rate).otherwise(F.lit(0.0)).alias("rate"))
 
