@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -73,6 +74,39 @@ def test_each_known_sentence_passes_the_prefilter(spark):
     assert all(set(parts) <= known for _, parts in licenses.RULES)
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+(b) Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+WRAPPED = [
+    (MIT + " IN NO EVENT SHALL THE AUTHORS BE LIABLE.", "mit-title,mit-grant,mit-notice,mit-warranty", "MIT"),
+    (BSD, "bsd-grant,bsd-source,bsd-binary,bsd-names", "BSD-3-Clause"),
+    (APACHE, "apache-long,apache-comply,apache-copy", "Apache-2.0"),
+    (GPL, "gpl-free", "GPL-3.0-or-later"),
+]
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# "])
+def test_wrapped_licence_texts(spark, mark):
+    rows, want = [], {}
+    for width in (20, 70, 80, 1000):
+        for text, ids, licence in WRAPPED:
+            lines = [x for p in text.split("\n") for x in textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False) or [""]]
+            want[len(rows)] = (ids, licence)
+            rows.append((len(rows), "\r\n".join(mark + x for x in ["Some file", "", *lines, "", "int main"])))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.sentence_ids, r.licences) for r in got} == want
+
+
 def brute_measures(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

@@ -1,9 +1,11 @@
 """Licence scans by sentences: normalised sentences map to known identifiers, whose sequences
 are matched against ordered licence rules.
 
-A text is cut into sentences at line ends and at ``.!?;`` before a blank, so version numbers stay
-whole; a sentence is lower-cased, loses its punctuation and has single blanks. Known sentences
-have an identifier each; the sentences of a document that are known form, in order, its sequence.
+A text is cut at ``.!?;`` before a blank, so version numbers stay whole, and after list marks like
+``(a)`` at the start of a line; it is lower-cased, loses its punctuation and has single blanks. A
+known sentence is found where whole lines between two cuts, one or several, are equal to it, so
+texts wrapped at any width, with comment marks or blank lines, match. Known sentences have an
+identifier each; the sentences of a document that are known form, in order, its sequence.
 A rule is an ordered list of identifiers that must follow one another in that sequence, nothing
 known between them. Rules are tried in order and each claims its sentences, so a longer rule
 (the whole MIT text) goes before its parts. Only DataFrame functions run here; the tables of
@@ -15,6 +17,9 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,26 +68,32 @@ RULES = (
     ("MIT", ("mit-ref-2",)),
     ("Proprietary", ("reserved",)),
 )
-SENTENCE_END = r"\n|[.!?;]+(?=[\x20\x09\x0B-\x0D])"
+SENTENCE_END = r"(?dm)[.!?;]+(?=[\x20\x09\x0B-\x0D])|^[^a-z0-9\n]*[a-z0-9]{1,2}\)(?=[\x20\x09])"
+#: One of these is in every known sentence.
+WORDS = ("licen", "permission", "copyright", "redistribut", "software", "warrant", "endorse", "reserved")
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case, runs of other characters than ASCII letters and digits as one blank, trimmed."""
-    return F.trim(F.regexp_replace(F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
+def _lines(text: Column) -> Column:
+    """The text in lower case with single blanks for other characters than ASCII letters and
+    digits; ``|`` stands between lines and ``~`` at other cuts, both at the ends too."""
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cuts = F.regexp_replace(F.translate(lower, "~|", "  "), SENTENCE_END, "~")
+    bare = F.regexp_replace(cuts, r"[^a-z0-9~\n]+", " ")
+    bare = F.regexp_replace(bare, r" ?\n[ \n]*", "|")
+    return F.concat(F.lit("|"), F.regexp_replace(bare, r"^ | $| ?~[ |~]*", "~"), F.lit("|"))
 
 
 def sentence_ids(text: Column) -> Column:
-    """The identifiers of the known sentences of a text, in order, each followed by its number.
+    """The identifiers of the known sentences of a text, in order.
 
-    Only sentences with a fitting end are normalised: one whose letters can't be those of a known
-    sentence, as neither its length nor its first letter occur, is skipped at once.
+    Only texts with one of ``WORDS`` are cut.
     """
-    first = "".join(sorted({s[0] for s in SENTENCES.values()}))
-    shortest = min(map(len, SENTENCES.values()))
     known = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)])
-    cheap = rf"(?i)^[^A-Za-z0-9]*[{first}]"
-    sentences = F.filter(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), lambda s: (F.length(s) >= shortest) & s.rlike(cheap) & s.rlike(r"(?i)licen|permission|copyright|redistribut|free software|warrant|endorse|reserved"))
-    return F.filter(F.transform(sentences, lambda s: F.try_element_at(known, normalised(s))), lambda x: x.isNotNull())
+    longest_first = sorted(SENTENCES.values(), key=len, reverse=True)
+    pattern = "(?<=[|~])(" + "|".join(s.replace(" ", "[ |]") for s in longest_first) + ")(?=[|~])"
+    any_word = let(F.lower(text), lambda t: reduce(or_, (F.contains(t, F.lit(w)) for w in WORDS)))
+    found = F.transform(F.regexp_extract_all(_lines(text), F.lit(pattern)), lambda s: known[F.translate(s, "|", " ")])
+    return F.when(any_word, found).otherwise(F.array().cast("array<string>"))
 
 
 def _claim(ids: Column) -> Column:
