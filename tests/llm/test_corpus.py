@@ -35,6 +35,13 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_urls_with_control_characters_are_found(spark):
+    urls = ["http://a.b/x\ty", "http://a.b/?q=\t\t", "http://a.b/x", "http://a\tb/", "no host\t", "\t", "http://a.b/x\x0b\x1f\x00\x7fz"]
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls * 2)], "page_id long, url string, html string")
+    assert sorted((r.page_id, bytes(r.payload)) for r in warc.round_trip(pages).collect()) == [(i, f"page {i}".encode()) for i in range(2 * len(urls))]
+    assert warc.url_key("http://www.a.b:80/x y\tz") == "b,a,www:80)/x%20y%09z"
+
+
 def test_index_in_small_blocks(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h{i % 7}.example.com/p{i % 40}", f"<p>{i}</p>") for i in range(300)], "page_id long, url string, html string")
     warc.write_archives(pages, str(tmp_path / "w"), archive_records=11)

@@ -85,13 +85,18 @@ def write_archives(pages: DataFrame, folder: str, archive_records: int = ARCHIVE
     records(pages).write.option("lineSep", END).option("maxRecordsPerFile", archive_records).text(folder)
 
 
+def _encoded(url: str) -> str:
+    """Blanks and control characters percent-encoded, as lines of blocks are divided by them."""
+    return re.sub(r"[\x00-\x20\x7F]", lambda m: f"%{ord(m[0]):02X}", url)
+
+
 def url_key(url: str | None) -> str:
     """Reversed-host key: ``http://www.example.com:80/a?b`` gives ``com,example,www:80)/a?b``."""
     m = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(:[0-9]+)?([^#]*)", url or "")
     if not m:
-        return (url or "").partition("#")[0].replace(" ", "%20")
+        return _encoded((url or "").partition("#")[0])
     host = ",".join(reversed(m[1].lower().split(".")))
-    return f"{host}{m[2] or ''}){m[3] or '/'}".replace(" ", "%20")
+    return _encoded(f"{host}{m[2] or ''}){m[3] or '/'}")
 
 
 def _parse(data: bytes, at: int) -> tuple[dict[str, str], int, int]:
