@@ -17,7 +17,7 @@ first dealt out by content, such that equal strings always meet:
 4. Covered places are merged for each document and cut from its bytes.
 
 The suffix order is cut at the wanted length: only whether a factor reaches it matters.
-Whole copies are settled before all that by a grouped minimum over the text's digest.
+Whole copies go the same way, by their equal segments.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; strings never
 cross documents and are judged on the input; repeated rows with the same doc_id don't remove
