@@ -147,7 +147,37 @@ def test_other_lengths(spark):
         suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=20)
 
 
-def test_previous_factors():
-    strings = np.array([list(s.encode()) for s in ("aab", "aab", "abb", "aab", "abb")], np.uint8)
-    got = suffix_dedup.previous_factors(strings, np.array([1, 1, 1, 2, 1]), np.array([5, 3, 9, 1, 9]))
-    assert got.tolist() == [True, False, False, False, False]
+def brute_factors(suffixes, group, doc):
+    """For each suffix the longest common prefix with one of a smaller document of its group."""
+
+    def common(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+    return [max((common(s, u) for u, h, e in zip(suffixes, group, doc, strict=True) if h == g and e < d), default=0) for s, g, d in zip(suffixes, group, doc, strict=True)]
+
+
+def test_longest_previous_factors():
+    rng = random.Random(7)
+    for _ in range(40):
+        n = rng.randint(1, 40)
+        suffixes = ["".join(rng.choice("ab\0") for _ in range(rng.randint(20, 60))) for _ in range(n)]
+        suffixes = [rng.choice(suffixes)[: rng.randint(10, 60)] + "b" * rng.randint(10, 20) for _ in range(n)]
+        group, doc = [rng.randint(0, 2) for _ in range(n)], [rng.randint(0, 9) for _ in range(n)]
+        size = np.array([len(x) for x in suffixes])
+        got = suffix_dedup.suffix_factors(np.frombuffer("".join(suffixes).encode(), np.uint8), np.cumsum(size) - size, size, np.array(group), np.array(doc), 20)
+        want = brute_factors(suffixes, group, doc)
+        assert [x if x >= 20 else 0 for x in got] == [x if x >= 20 else 0 for x in want]
+    order = sorted(range(50), key=lambda i: i * 7 % 50)
+    lcp = np.array([0] + [rng.randint(0, 5) for _ in order[1:]])
+    want = [max([min(lcp[min(i, j) + 1 : max(i, j) + 1]) for j in range(50) if order[j] < order[i]], default=0) for i in range(50)]
+    assert suffix_dedup.longest_previous_factors(lcp, np.array(order)).tolist() == want
+
+
+def test_many_rows_without_doc_id(spark):
+    """Such rows are told apart by their texts, whatever their number, and one very long text is cut right."""
+    rng = random.Random(8)
+    shared = "".join(rng.choice("abcdefg ") for _ in range(70))
+    rows = [(1, shared), (2, "x" * 1_000_000 + shared)] + [(None, f"{i} {shared} {i * 7}") for i in range(3000)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep=True).collect()
+    assert sorted(bytes(r.kept).decode() for r in got if r.doc_id is None) == sorted(f"{i}  {i * 7}" for i in range(3000))
+    assert [(r.n_removed, r.n_spans) for r in got if r.doc_id == 2] == [(70, 1)]

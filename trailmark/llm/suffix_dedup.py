@@ -1,27 +1,32 @@
 """Removal of repeated byte strings through suffix order and longest-previous-factor arrays.
 
 A byte goes if a ``length``-byte string (50 by default) that covers it also starts in a document
-with a smaller doc_id. The strings of a whole corpus don't fit one suffix array, so they are
-first dealt out by content, such that equal strings always meet:
+with a smaller doc_id. The longest previous factor (LPF) of a suffix is the longest prefix that
+also starts in a smaller document. In suffix order it is the larger of the common prefixes with
+the previous smaller and the next smaller position (``longest_previous_factors``), and every
+removal is an LPF of at least ``length``. The suffixes of a whole corpus don't fit one array, so
+they are first dealt out by content, such that equal strings always meet:
 
 1. *Anchors.* The smallest hash among the short grams of a string is its anchor; equal strings
    have equal anchors. Neighbouring strings mostly share one, so a text becomes a list of
-   segments (anchor, digest of the segment's bytes, place), one for about 18 bytes. Segments
-   that an earlier document of the same batch has are decided on the spot, so a passage that a
-   third of all documents share leaves a task only once a batch.
-2. *Equal segments* meet under their anchor; all but those of the smallest doc_id are covered.
-3. *Different segments of one anchor* (the rims of passages and of edits) are cut into their
-   strings. These are dealt out by the string's digest and put in suffix order; in the runs whose
-   common prefix has the full length, the previous smaller document decides: the longest previous
-   factor of a string in a smaller document reaches the full length just if the run holds one.
+   segments (anchor, name, place), one for about 18 bytes. The name is a digest of the segment's
+   bytes: equal names are neighbours in the order of the group, with the whole segment as common
+   prefix. Each batch of texts has such an order of its own, and segments that it decides travel
+   on under a key of their own, so a passage that a third of all documents share leaves a task
+   under its anchor only once a batch.
+2. *Named segments* meet under their anchor, are ordered by name, and their LPFs decide.
+3. *Different segments of one anchor* (the rims of passages and of edits) are cut from their
+   texts, and the suffixes that start in them are put in suffix order byte by byte, but for those
+   whose first ``length`` bytes have a digest that no other document of the group has. The common
+   prefixes of neighbours give the LPFs. Segments of hot anchors are cut into single strings,
+   which are dealt out by their own digests.
 4. Covered places are merged for each document and cut from its bytes.
 
-The suffix order is cut at the wanted length: only whether a factor reaches it matters.
-Whole copies go the same way, by their equal segments.
-
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; strings never
 cross documents and are judged on the input; repeated rows with the same doc_id don't remove
-each other; a null doc_id counts as larger than every number; empty tables give empty results.
+each other (their texts are told apart by 31 bits of a hash), nor do rows without a doc_id, which
+counts as larger than every number (93 bits); a doc_id of 2**62 or more raises; empty tables give
+empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,8 +47,9 @@ GRAM = 16
 LONGEST_RUN = 63
 BATCH_BYTES = 4 << 20
 PIECE_BYTES = 1 << 18
-HOT_ANCHOR = 4096
-_NO_ID = (1 << 63) - 1
+HOT_ANCHOR = 512
+#: Document numbers from here on are rows without a doc_id; none is smaller than another.
+_NO_ID = 1 << 62
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 _COLD, _HOT = 2, 3
 
@@ -130,6 +136,45 @@ def _first_of(new: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[new][np.cumsum(new) - 1]
 
 
+def longest_previous_factors(lcp: np.ndarray, doc: np.ndarray, least: int = 1) -> np.ndarray:
+    """LPF of each suffix of an array in suffix order: the longest prefix that also starts in a
+    smaller document.
+
+    ``lcp`` holds the common prefix with the suffix before, 0 where a group starts; ``doc`` the
+    documents. From each side, the nearest position of a smaller document is found by jumping from
+    a position to that position's own candidate, while the smallest common prefix passed is kept;
+    a search ends where that falls below ``least``, so smaller factors may come out as less.
+    """
+
+    def one_side(lcp, doc):
+        at, reach = np.arange(len(doc)) - 1, lcp.astype(np.int64)
+        looking = np.flatnonzero(reach >= least)
+        looking = looking[doc[at[looking]] >= doc[looking]]
+        while len(looking):
+            via = at[looking]
+            low, back = np.minimum(reach[looking], reach[via]), at[via]
+            reach[looking], at[looking] = low, back
+            looking = looking[low >= least]
+            looking = looking[doc[at[looking]] >= doc[looking]]
+        return reach
+
+    left = one_side(lcp, doc)
+    right = one_side(np.concatenate((lcp[:1] * 0, lcp[:0:-1])), doc[::-1])[::-1]
+    return np.maximum(left, right)
+
+
+def _named_factors(anchor: np.ndarray, what: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
+    """LPFs of segments sorted by anchor, name, document; those of different names count as none."""
+    lcp = np.where(_starts(anchor, what), 0, (what & 63) + (length - 1))
+    return longest_previous_factors(lcp, rank, length)
+
+
+def _salt(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Keys that spread rows which need to meet no other."""
+    x = (doc.astype(np.int64).view(np.uint64) * _M1) ^ (place.astype(np.int64).view(np.uint64) * _M2)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """(doc, tag, text) lists of about ``most`` bytes."""
     docs, tags, texts, size = [], [], [], 0
@@ -147,10 +192,11 @@ def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[li
 
 
 def _anchor(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Segments of the texts. A segment that a smaller document of the batch has comes as decided.
+    """Segments of the texts. A segment that a smaller document of the batch has comes as decided,
+    under a key of its own.
 
-    ``what`` holds 57 bits of the digest and 6 bits of the number of strings; for decided rows the
-    6 bits are zero and the number stands above them.
+    ``what`` is the name: 57 bits of the digest and 6 bits of the number of strings. For decided
+    rows the 6 bits are zero and the number stands above them.
     """
     for docs, tags, texts in _gathered(batches, BATCH_BYTES):
         found, at = [], 0
@@ -170,25 +216,24 @@ def _anchor(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         what = ((digest >> np.uint64(7)) << np.uint64(6) | n.astype(np.uint64)).view(np.int64)
         anchor, place = anchor.view(np.int64), tag << 32 | start
         order = np.lexsort((doc, what, anchor))
-        new = _starts(anchor[order], what[order])
         decided = np.zeros(len(order), bool)
-        decided[order] = doc[order] > _first_of(new, doc[order])
+        decided[order] = _named_factors(anchor[order], what[order], np.minimum(doc, _NO_ID)[order], length) >= length
         yield _batch(_SEGMENT, anchor[~decided], what[~decided], doc[~decided], place[~decided])
         if decided.any():
             own, s, e = owner[decided], start[decided], (start + n)[decided]
             first = np.append(True, (own[1:] != own[:-1]) | (s[1:] != e[:-1]))
             last = np.append(first[1:], True)
-            yield _batch(_SEGMENT, anchor[decided][first], (e[last] - s[first]) << 6, doc[decided][first], place[decided][first])
+            doc, place = doc[decided][first], place[decided][first]
+            yield _batch(_SEGMENT, _salt(doc, place), (e[last] - s[first]) << 6, doc, place)
 
 
-def _meet(batches: Iterator[pa.RecordBatch], hot_anchor: int) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], hot_anchor: int, length: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor, what, doc. Marks: covered segments (kind 1), and of anchors with
     different segments those of the smallest documents (2, or 3 for hot anchors)."""
 
-    def split(anchor, what, doc, place, hot_at):
-        """Covered rows, then rows that represent a segment, with how many segments the anchor has."""
-        lead = _first_of(_starts(anchor, what), doc)
-        rep = doc == lead
+    def split(anchor, what, doc, place):
+        """Covered rows, then rows that represent a segment."""
+        rep = _named_factors(anchor, what, np.minimum(doc, _NO_ID), length) < length
         covered = _batch(_MARK, np.full((~rep).sum(), 1), anchor[~rep], doc[~rep], place[~rep], what[~rep] & 63)
         return covered, tuple(c[rep] for c in (anchor, what, doc, place))
 
@@ -197,7 +242,8 @@ def _meet(batches: Iterator[pa.RecordBatch], hot_anchor: int) -> Iterator[pa.Rec
         group = np.cumsum(new) - 1
         kinds = np.bincount(group, _starts(anchor, what))
         at = np.flatnonzero(new)
-        several = (kinds > 1) & (np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at))
+        rank = np.minimum(doc, _NO_ID)
+        several = (kinds > 1) & (np.minimum.reduceat(rank, at) < np.maximum.reduceat(rank, at))
         hot = kinds > hot_anchor
         if hot_at is not None:
             several |= anchor[at] == hot_at
@@ -218,7 +264,7 @@ def _meet(batches: Iterator[pa.RecordBatch], hot_anchor: int) -> Iterator[pa.Rec
         if held is not None:
             rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
         cut_at = np.searchsorted(rows[0], rows[0][-1])
-        covered, reps = split(*rows, hot_at)
+        covered, reps = split(*rows)
         yield covered
         skip, last = sent, reps[0] == rows[0][-1]
         whole = tuple(c[skip:][~last[skip:]] for c in reps)
@@ -254,47 +300,81 @@ def _cut_strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
                     hot += [(text[i : i + length], doc, tag << 32 | i) for i in range(start, start + n)]
         lead: dict[bytes, int] = {}
         for string, doc, _ in hot:
-            lead[string] = min(doc, lead.get(string, doc))
+            lead[string] = min(doc, _NO_ID, lead.get(string, doc))
+        done = []
         for string, doc, place in hot:
-            route = xxhash.xxh64_intdigest(string) - (1 << 63)
-            out.append((route, doc, place, 1, string if lead[string] == doc else None))
+            if lead[string] == min(doc, _NO_ID):
+                out.append((xxhash.xxh64_intdigest(string) - (1 << 63), doc, place, 1, string))
+            else:
+                done.append((doc, place))
         if out:
             yield _batch(_STRING, *zip(*out, strict=True))
+        if done:
+            doc, place = np.array(done, np.int64).T
+            yield _batch(_STRING, _salt(doc, place), doc, place, np.ones(len(doc), np.int32), [None] * len(doc))
 
 
-def previous_factors(strings: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which of the equally long ``strings`` (rows of bytes) have their full length as longest
-    previous factor: an equal string of the same group in a smaller document.
+def _windows_digest(data: np.ndarray, length: int) -> np.ndarray:
+    """A polynomial digest of the ``length`` bytes from each position on."""
+    power = np.cumprod(np.full(len(data), _M1), dtype=np.uint64)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(data * power, dtype=np.uint64)))
+    inverse = np.uint64(pow(int(_M1), -1, 1 << 64))
+    back = np.cumprod(np.full(len(data) - length + 1, inverse), dtype=np.uint64)
+    x = (total[length:] - total[:-length]) * back
+    return x ^ (x >> np.uint64(32))
 
-    Strings are put in suffix order, documents ascending among equal ones. Within a run of full
-    common prefixes the previous smaller value of a document is then that of the run's first row,
-    if smaller at all, and no next smaller value exists.
+
+def suffix_factors(data: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """LPFs, within groups, of the suffixes of ``data`` that begin at ``start`` and have ``size``
+    bytes (``length`` at least, ``length`` + ``LONGEST_RUN`` at most); below ``length`` they may be less.
+
+    Suffixes are put in suffix order, of equal ones the smaller documents first; the common
+    prefixes of neighbours give the factors.
     """
-    rows, width = strings.shape
-    padded = np.zeros((rows, -(-width // 8) * 8), np.uint8)
-    padded[:, :width] = strings
-    words = padded.view(">u8").astype(np.uint64)
-    order = np.lexsort((doc, *words.T[::-1], group))
-    run = _starts(group[order])
-    run[1:] |= (words[order][1:] != words[order][:-1]).any(axis=1)
-    out = np.zeros(rows, bool)
-    out[order] = _first_of(run, doc[order]) < doc[order]
+    width = -(-(length + LONGEST_RUN) // 8) * 8
+    padded = np.concatenate((data, np.zeros(width, np.uint8)))
+    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[start]
+    rows[np.arange(width) >= size[:, None]] = 0
+    order = np.lexsort((doc, size, *rows.view(">u8").astype(np.uint64).T[::-1], group))
+    rows, size = rows[order], size[order]
+    differ = np.ones((len(order), width + 1), bool)
+    differ[1:, :width] = rows[1:] != rows[:-1]
+    lcp = np.minimum(differ.argmax(axis=1), size)
+    lcp[1:] = np.minimum(lcp[1:], size[:-1])
+    lcp[_starts(group[order])] = 0
+    out = np.zeros(len(order), np.int64)
+    out[order] = longest_previous_factors(lcp, doc[order], length)
     return out
 
 
 def _suffix_order(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by route, then doc: the strings with a full previous factor, as covered places."""
+    """Rows sorted by route, then doc: the runs of places whose factors reach ``length``."""
 
     def settle(route, doc, place, n, data):
         if len(route) < 2:
             return None
         blob = np.frombuffer(b"".join(data), np.uint8)
+        rank, n = np.minimum(doc, _NO_ID), n.astype(np.int64)
         at = np.cumsum(n + (length - 1)) - (n + (length - 1))
         row = np.repeat(np.arange(len(n)), n)
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        strings = blob[(at[row] + offset)[:, None] + np.arange(length)]
-        hit = previous_factors(strings, route[row], doc[row])
-        return _batch(_COVERED, doc[row][hit], (place[row] + offset)[hit], np.ones(hit.sum()))
+        start = at[row] + offset
+        digest = _windows_digest(blob, length)[start] ^ (route[row].astype(np.int64).view(np.uint64) * _M3)
+        order = np.argsort(digest, kind="stable")
+        first = _starts(digest[order])
+        begin, of_run = np.flatnonzero(first), np.cumsum(first) - 1
+        ranks = rank[row][order]
+        several = np.minimum.reduceat(ranks, begin) < np.maximum.reduceat(ranks, begin)
+        use = np.sort(order[several[of_run]])
+        if not len(use):
+            return None
+        size = (n + (length - 1))[row[use]] - offset[use]
+        use = use[suffix_factors(blob, start[use], size, route[row[use]], rank[row[use]], length) >= length]
+        if not len(use):
+            return None
+        first = np.append(True, (row[use][1:] != row[use][:-1]) | (use[1:] != use[:-1] + 1))
+        runs = np.diff(np.append(np.flatnonzero(first), len(use)))
+        return _batch(_COVERED, doc[row[use]][first], (place[row[use]] + offset[use])[first], runs)
 
     held = None
     for batch in batches:
@@ -331,18 +411,55 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], reach[np.append(first[1:], True)]
 
 
-def _removed(batches: Iterator[pa.RecordBatch], length: int, keep: bool) -> Iterator[pa.RecordBatch]:
+_SPANS = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+
+
+def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Covered places sorted by doc and place: one row for each text with its merged spans."""
+    held = None
+
+    def spans(doc, place, n):
+        start, tag = place & 0xFFFFFFFF, place >> 32
+        low, high, own, tags = [], [], [], []
+        at = np.flatnonzero(_starts(doc, tag))
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(doc)], strict=True):
+            s, e = merged(start[a:b], start[a:b] + n[a:b] + (length - 1))
+            low.append(s)
+            high.append(e)
+            own.append(doc[a])
+            tags.append(tag[a])
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in low])))
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (low, high)], fields=list(_SPANS.value_type))
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(tags, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs, type=_SPANS)], ["doc", "tag", "spans"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(i).to_numpy().astype(np.int64) for i in range(3)]
+        if held is not None:
+            rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
+        last = (rows[0] == rows[0][-1]) & (rows[1] >> 32 == rows[1][-1] >> 32)
+        whole = [c[~last] for c in rows]
+        if len(whole[0]):
+            yield spans(*whole)
+        doc, place, n = (c[last] for c in rows)
+        low, high = merged(place, place + n)  # keeps what is held as short as the text's own spans
+        held = [np.full(len(low), doc[0]), low, high - low]
+    if held is not None:
+        yield spans(*held)
+
+
+def _removed(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        for doc, text, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             kept, gone, spans = text, 0, []
-            if places.is_valid:
-                start = places.values.field(0).to_numpy() & 0xFFFFFFFF
-                low, high = merged(start, start + places.values.field(1).to_numpy() + (length - 1))
+            if cuts.is_valid:
+                low, high = (cuts.values.field(i).to_numpy() for i in range(2))
                 gone, spans = int((high - low).sum()), list(zip(low.tolist(), high.tolist(), strict=True))
                 edges = [0, *(x for s in spans for x in s), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            out.append((None if doc == _NO_ID else doc, len(text), gone, len(spans), hashlib.sha256(kept).hexdigest(), kept if keep else None))
+            out.append((None if doc >= _NO_ID else doc, len(text), gone, len(spans), hashlib.sha256(kept).hexdigest(), kept if keep else None))
         if out:
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.string(), pa.binary()], strict=True)], names)
@@ -353,19 +470,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_anchor: int = HOT_
     bytes (null unless ``keep``)."""
     if length < GRAM + 16:
         raise ValueError(f"length must be at least {GRAM + 16}")
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text, doc_id = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
+    no_id = F.xxhash64(F.lit("no id"), text).bitwiseAND(_NO_ID - 1).bitwiseOR(F.lit(_NO_ID))
     texts = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"),
+        F.when(doc_id >= _NO_ID, F.raise_error(F.lit("a doc_id of 2**62 or more")).cast("long")).otherwise(F.coalesce(doc_id, no_id)).alias("doc"),
         F.xxhash64(text).bitwiseAND(0x7FFFFFFF).alias("tag"),
         text.cast("binary").alias("text"),
     )
     dealt = texts.mapInArrow(lambda it: _anchor(it, length), _ddl(_SEGMENT)).repartition("anchor").sortWithinPartitions("anchor", "what", "doc")
-    marks = cut(dealt.mapInArrow(lambda it: _meet(it, hot_anchor), _ddl(_MARK)), "marks").withColumn("tag", F.shiftright("place", 32))
+    marks = cut(dealt.mapInArrow(lambda it: _meet(it, hot_anchor, length), _ddl(_MARK)), "marks").withColumn("tag", F.shiftright("place", 32))
     wanted = marks.where("kind > 1").groupBy("doc", "tag").agg(F.collect_list(F.struct("kind", "anchor", "place", "n")).alias("marks"))
     strings = texts.join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "marks").mapInArrow(lambda it: _cut_strings(it, length), _ddl(_STRING))
     found = strings.repartition("route").sortWithinPartitions("route", "doc").mapInArrow(lambda it: _suffix_order(it, length), _ddl(_COVERED))
     covered = marks.where("kind = 1").select("doc", "place", "n").union(found)
-    places = covered.groupBy("doc", F.shiftright("place", 32).alias("tag")).agg(F.collect_list(F.struct("place", "n")).alias("places"))
-    return texts.join(places, ["doc", "tag"], "left").select("doc", "text", "places").mapInArrow(
-        lambda it: _removed(it, length, keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    by_text = covered.repartition("doc", F.shiftright("place", 32)).sortWithinPartitions("doc", "place")
+    spans = by_text.mapInArrow(lambda it: _merge(it, length), "doc long, tag long, spans array<struct<low: long, high: long>>")
+    return texts.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans").mapInArrow(
+        lambda it: _removed(it, keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
