@@ -95,6 +95,58 @@ def test_components_of_long_chains(spark):
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
 
 
+def shingles(text, n=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def test_wide_bits_are_those_of_plain_counting():
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64)
+    assert simhash._bit_counts(hashes).tolist() == [sum(int(h) >> b & 1 for h in hashes) for b in range(64)]
+    text = " ".join(f"w{i % 97}" for i in range(400)).encode()
+    assert simhash.fingerprint(text) == brute_fingerprint(text.decode())
+    once, twice = (simhash.wide_fingerprint(" ".join(["a b c d e"] * n).encode()) for n in (3, 9))
+    assert once == twice and simhash.wide_fingerprint(b" \t") == bytes(32)
+    assert all(len(set(x)) == 3 for x in simhash.table_bytes().tolist()) and np.bincount(simhash.table_bytes().ravel()).min() >= 4
+
+
+def test_similar_pairs_against_all_pairs(spark):
+    """Near copies at similarities from 0.7 to 1: those well above 0.8 are linked, those well below aren't."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    rows, pairs = [], []
+    for i in range(250):
+        parts = [rng.choice(words) for _ in range(rng.randint(150, 400))]
+        rows.append((2 * i, " ".join(parts)))
+        for at in rng.sample(range(len(parts)), rng.randint(0, len(parts) // 25)):
+            parts[at] = "changed"
+        rows.append((2 * i + 1, " ".join(parts)))
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        pairs.append((2 * i, len(a & b) / len(a | b)))
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], DOCS)
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    linked = {i: got[i + 1] == i for i, _ in pairs}
+    assert all(c in (i, i - 1) for i, c in got.items())  # no unrelated texts
+    high = [linked[i] for i, j in pairs if j >= 0.8]
+    assert len(high) > 50 and np.mean(high) >= 0.9
+    assert not any(linked[i] for i, j in pairs if j < 0.6)
+
+
+def test_large_group_of_near_copies(spark):
+    """A group of near copies is one component, also where keys are walked in short stretches."""
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(200)]
+    rows = []
+    for i in range(400):
+        parts = list(base)
+        parts[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(parts)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot_bucket in (20_000, 30):
+        assert {r.component_id for r in simhash.similar(docs, hot_bucket=hot_bucket).collect()} == {0}
+    assert [r.doc_id for r in simhash.keep_one(docs).collect()] == [0]
+
+
 def test_keep_one_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "A B C D E F", "y"), (2, "A B C D E F", "y"), (3, "other words here now", "z"), (None, "lonely text of its own kind", "n")], DOCS)
     kept = simhash.keep_one(docs)

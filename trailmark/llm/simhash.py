@@ -12,6 +12,14 @@ a breadth-first walk emits one link for each node it reaches, not all pairs. A k
 within half the distance of each (two fingerprints at most 4 bits apart share a value at most 2
 bits from both, and two that share one are at most 4 apart), which is a plain grouped minimum.
 
+``similar`` and ``keep_one`` are for word shingles of a given Jaccard similarity (five words, 0.8
+by default). At 0.8 a tenth to a sixth of the bits differ, too many for 64 bits, so these take
+fingerprints of 256 bits over the distinct shingles, whose blocks are bytes; a table is a fixed
+choice of ``BYTES`` of the 32 bytes, and ``TABLES`` such tables give pairs at the similarity
+itself nine chances in ten to meet, closer ones more. The Hamming distance is verified against
+that of the similarity. A key with more than ``hot_bucket`` fingerprints goes on with one
+fingerprint for each component found so far.
+
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; rows
 with a repeated doc_id are all returned; a null doc_id never becomes a component_id while the
 component holds another id; an empty table gives an empty result; other columns are ignored.
@@ -19,6 +27,7 @@ component holds another id; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,26 +44,62 @@ SHINGLE = 4
 DISTANCE = 4
 BLOCKS = 7
 HOT_BUCKET = 20_000
-_CHUNK = 1 << 15
-
-
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Fingerprint of one UTF-8 text as an unsigned number."""
+SIMILARITY = 0.8
+WIDE_SHINGLE = 5
+WIDE_BITS = 256
+TABLES = 64
+BYTES = 3
+_CHUNK = 255 * 128
+_LANES = np.uint64(0x0101010101010101)
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def _shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """Hashes of the word shingles of one UTF-8 text, repeats included."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
-    spans = zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in spans), np.uint64, n)
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n)
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits. Eight bits are counted at a time, one in
+    each byte of a word, in sums of at most 255 hashes."""
     counts = np.zeros(64, np.int64)
-    for i in range(0, n, _CHUNK):
-        bits = np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+    for i in range(0, len(hashes), _CHUNK):
+        part = hashes[i : i + _CHUNK]
+        edges = np.arange(0, len(part), 255)
+        for bit in range(8):
+            sums = np.add.reduceat((part >> np.uint64(bit)) & _LANES, edges)
+            counts[bit::8] += sums.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
+    return counts
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """Fingerprint of one UTF-8 text as an unsigned number."""
+    hashes = _shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
+    return int.from_bytes(np.packbits(_bit_counts(hashes) * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def wide_fingerprint(text: bytes | None, shingle: int = WIDE_SHINGLE, bits: int = WIDE_BITS) -> bytes:
+    """Fingerprint of ``bits`` bits over the distinct shingles of one UTF-8 text."""
+    hashes = np.unique(_shingle_hashes(text, shingle))
+    if not len(hashes):
+        return bytes(bits // 8)
+    out = []
+    for k in range(bits // 64):
+        x = hashes + np.uint64((k + 1) * int(_MIX[0]) % (1 << 64))
+        for shift, factor in ((30, _MIX[1]), (27, _MIX[2])):
+            x = (x ^ (x >> np.uint64(shift))) * factor
+        out.append(np.packbits(_bit_counts(x ^ (x >> np.uint64(31))) * 2 > len(hashes), bitorder="little").tobytes())
+    return b"".join(out)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,12 +207,115 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def distance_of(similarity: float, bits: int = WIDE_BITS) -> int:
+    """Bits that fingerprints of shingle sets with this Jaccard similarity differ in, on the average
+    and one standard deviation more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def _wide_fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [wide_fingerprint(t.as_py(), shingle, bits) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "h", "fp"])
+
+
+def table_bytes(tables: int = TABLES, of: int = BYTES, bits: int = WIDE_BITS) -> np.ndarray:
+    """The bytes of each table: a fixed choice that takes all bytes about equally often."""
+    rng, deck, out = np.random.default_rng(SEED), [], []
+    for _ in range(tables):
+        if len(deck) < of:
+            deck = rng.permutation(bits // 8).tolist()
+        out.append(sorted(deck[:of]))
+        deck = deck[of:]
+    return np.array(out)
+
+
+def _keys(batches: Iterator[pa.RecordBatch], tables: int, of: int, bits: int) -> Iterator[pa.RecordBatch]:
+    chosen = table_bytes(tables, of, bits)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            fps = batch.column(0).slice(at, 2000)
+            rows = np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(-1, bits // 8)
+            part = rows[:, chosen].astype(np.int64)
+            key = np.full(part.shape[:2], 0, np.int64) + np.arange(tables)
+            for i in range(of):
+                key = key << 8 | part[:, :, i]
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), fps.take(pa.array(np.repeat(np.arange(len(fps)), tables)))], ["key", "fp"])
+
+
+def _wide_walk(fps: np.ndarray, distance: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links as positions, one for each fingerprint (row of words) that a breadth-first walk
+    reaches, and the first position of each component."""
+    left, links, first = np.arange(len(fps)), [], []
+    while len(left):
+        first.append(int(left[0]))
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            near = np.bitwise_count(fps[left] ^ fps[at]).sum(axis=1, dtype=np.int64) <= distance
+            reached, left = left[near], left[~near]
+            queue.extend(reached)
+            links += [(int(x), int(at)) for x in reached]
+    return links, first
+
+
+def _link_wide(batches: Iterator[pa.RecordBatch], distance: int, hot_bucket: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key: links of each key between fingerprints."""
+    held_key, held = None, []
+
+    def walk(fps):
+        links, first = _wide_walk(np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1), distance)
+        return [(fps[a], fps[b]) for a, b in links], [fps[i] for i in first]
+
+    for batch in batches:
+        keys, out = batch.column(0).to_numpy(), []
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)]))
+        edge = np.isin(np.arange(len(starts)), (0, len(starts) - 1))
+        for i in np.flatnonzero((ends - starts > 1) | edge) if len(keys) else ():
+            if keys[starts[i]] != held_key:
+                out += walk(held)[0] if len(held) > 1 else []
+                held_key, held = keys[starts[i]], []
+            for at in range(starts[i], ends[i], hot_bucket):
+                held += batch.column(1).slice(at, min(hot_bucket, ends[i] - at)).to_pylist()
+                if len(held) > hot_bucket:
+                    links, held = walk(held)
+                    out += links
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
+    if len(held) > 1 and (out := walk(held)[0]):
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, tables: int = TABLES, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """One row for each document: doc_id, h (hash of its text), component_id (smallest doc_id
+    that links of estimated Jaccard ``similarity`` reach; null without one) and lead: whether it is
+    the row of its component that stays."""
+    distance = distance_of(similarity)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("h"))
+    prints = cut(texts.mapInArrow(lambda it: _wide_fingerprints(it, shingle, WIDE_BITS), "doc_id long, h long, fp binary"), "wide-fingerprints")
+    node = F.xxhash64("fp")
+    nodes = prints.select("fp").distinct()
+    keyed = nodes.mapInArrow(lambda it: _keys(it, tables, BYTES, WIDE_BITS), "key long, fp binary").repartition("key").sortWithinPartitions("key", "fp")
+    found = keyed.mapInArrow(lambda it: _link_wide(it, distance, hot_bucket), "a binary, b binary")
+    roots = components(cut(found.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).distinct(), "wide-links"))
+    rows = prints.select("doc_id", "h", node.alias("node")).join(roots, "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("root"))
+    # The smallest doc_id of a component; without any, the smallest hash of a text.
+    best = cut(rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")), "wide-lowest")
+    return rows.join(best, "root").select("doc_id", "h", "component_id", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))).alias("lead"))
+
+
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents without all but one of each component: that with the smallest doc_id stays.
+    """The documents without all but one of each component of ``similar``: that with the smallest
+    doc_id stays, of rows that repeat it one.
 
-    Rows without a doc_id stay unless a numbered document of their component does; repeated rows
-    with equal doc_id and text are one document.
+    Rows without a doc_id go if their component has a numbered document, else one of them stays.
     """
-    decided = near_duplicates(docs, **parameters).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    survivors = decided.select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(survivors, docs["doc_id"].eqNullSafe(survivors["__kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    decided = similar(docs, **parameters).where("lead").groupBy(F.col("doc_id").alias("of"), F.col("h").alias("of_h")).agg(F.count("*").alias("n"))
+    decided = cut(decided, "stays")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h"))
+    once = rows.join(decided.where("n = 1"), same, "left_semi")
+    repeated = rows.join(decided.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "h"])
+    return once.unionByName(repeated).select("row.*")
