@@ -172,27 +172,89 @@ def test_decontamination_recall_and_clean_documents(spark):
     assert not any(r.contaminated for r in decontaminate.leaks(table, benchmark.where("FALSE")).collect())
 
 
-def test_candidates_against_all_cosines(spark):
-    """Recall of the latent search against brute-force TF-IDF cosines of all windows."""
+def index_of(table, items, **parameters):
+    texts = table.select("doc_id", F.col("text").cast("binary").alias("text"))
+    vocabulary = {w: i for i, w in enumerate(sorted({w for _, t in items for w in decontaminate.words(t.encode())}))}
+    df, n_docs = decontaminate.word_counts(texts, vocabulary)
+    idf_of = dict(zip(vocabulary, np.log((1 + n_docs) / (1 + df)) + 0.1, strict=True))
+    return decontaminate.build_index(decontaminate.fit_sample(texts, n_docs), items, idf_of, **parameters)
+
+
+def test_latent_search_against_all_cosines(spark):
+    """The search finds all windows that the latent cosines of all windows and items find, and at
+    least 0.9 of those with a TF-IDF cosine of a leaked item, in fewer dimensions than items."""
     rng, vocabulary, items, docs = benchmark_rows()
     texts = [f"{d} {items[k % 30][1]}" if k % 5 == 0 else d for k, (_, d) in enumerate(docs)]
-    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("text"))
-    index = decontaminate.build_index(table, items)
+    index = index_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items, rank=24)
+    assert index.folding.shape[1] == 24 < len(items) == len(index.exact) + sum(len(c[1]) for c in index.classes)
     tokens = [decontaminate.words(t.encode()) for t in texts]
     sizes = np.array([len(t) for t in tokens])
     ids = np.array([index.vocabulary.get(w, len(index.vocabulary)) for t in tokens for w in t])
     got = {(s, e, i) for s, e, i, _ in decontaminate.candidates(index, ids, sizes, decontaminate.COSINE)}
-    want = set()
-    for width, of_width, _ in index.classes:
+    latent, lexical = set(), set()
+    for width, of_width in index.classes:
         starts, ends = decontaminate._windows(sizes, width)
         rows = decontaminate._dense(ids, starts, ends, index.idf)
         bounds = np.concatenate(([0], np.cumsum(ids == len(index.vocabulary))))
         norm = np.sqrt((rows**2).sum(axis=1) + (bounds[ends] - bounds[starts]) * index.idf[-1] ** 2)
+        space = index.folding[:-1] / index.idf[:-1, None]
         for i in of_width:
             item = decontaminate._dense(np.array([index.vocabulary[w] for w in index.item_words[i]]), np.array([0]), np.array([len(index.item_words[i])]), index.idf)[0]
-            cosine = rows @ item / np.maximum(norm * np.linalg.norm(item), 1e-9)
-            want |= {(int(starts[k]), int(ends[k]), int(i)) for k in np.flatnonzero(cosine >= decontaminate.COSINE + 1e-4)}
-    assert want and len(want & got) >= 0.9 * len(want)
+            own = item @ space
+            for found, cosine in ((latent, rows @ space @ own / np.maximum(norm * np.linalg.norm(own), 1e-9)), (lexical, rows @ item / np.maximum(norm * np.linalg.norm(item), 1e-9))):
+                found |= {(int(starts[k]), int(ends[k]), int(i)) for k in np.flatnonzero(cosine >= decontaminate.COSINE + 1e-4)}
+    assert latent and latent <= got
+    assert lexical and len(lexical & got) >= 0.9 * len(lexical)
+
+
+def test_blocks_of_items_change_nothing(spark):
+    """Repeated documents and ids, and rows without an id, with one block or many."""
+    rng, vocabulary, items, docs = benchmark_rows(n=5)
+    rows = [(i, t if i % 4 else f"{t} {items[i // 4 % 5][1]}", "x", None) for i, t in docs[:20]]
+    rows += [rows[0], (0, "a clean text with a repeated number", "x", None), (None, items[1][1], "x", None), (None, "clean and without a number", "x", None), (30, None, "x", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, __id string, __text int")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = None
+    for size in (2, 1000):
+        got = decontaminate.leaks(table, benchmark, block_items=size).collect()
+        assert len(got) == len(rows)
+        found = sorted((str(r.doc_id), r.item_ids, r.contaminated) for r in got)
+        assert want is None or found == want
+        want = found
+        kept = decontaminate.remove_leaks(table, benchmark, block_items=size)
+        assert kept.columns == table.columns and kept.count() == sum(not r.contaminated for r in got)
+    assert sum(c for _, _, c in want) == 7
+
+
+def brute_leaks(text, item):
+    """Best cover of an item by a longest common subsequence with any stretch a quarter longer."""
+    found, item_words = decontaminate.words(text.encode()), decontaminate.words(item.encode())
+    size = -(-5 * len(item_words) // 4)
+    best = 0
+    for i in range(max(1, len(found) - size + 1)):
+        row = [0] * (len(item_words) + 1)
+        for w in found[i : i + size]:
+            last = 0
+            for k, v in enumerate(item_words, 1):
+                row[k], last = (last + 1 if w == v else max(row[k], row[k - 1])), row[k]
+        best = max(best, row[-1])
+    return best / len(item_words)
+
+
+def test_leaks_against_brute_force(spark):
+    """Copies with more and more words replaced: the whole result against all stretches."""
+    rng, vocabulary, items, docs = benchmark_rows(n=6)
+    rows = []
+    for k in range(40):
+        item = items[k % 6][1].split()
+        item = [w if rng.random() > k / 80 else "qq" for w in item]
+        rows.append((k, " ".join(docs[k][1].split()[:30] + item + docs[k][1].split()[30:50])))
+    rows.append((100, "long " * 100_000 + items[2][1]))
+    got = {r.doc_id: r for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got[100].item_ids == [2]
+    for k, text in rows[:-1]:
+        covers = {i: brute_leaks(text, t) for i, t in items}
+        assert {i for i, c in covers.items() if c >= 0.85} <= set(got[k].item_ids) <= {i for i, c in covers.items() if c >= decontaminate.PARAPHRASE}
 
 
 def test_items_leaked_widely_and_items_of_frequent_words(spark):
