@@ -176,8 +176,7 @@ def index_of(table, items, **parameters):
     texts = table.select("doc_id", F.col("text").cast("binary").alias("text"))
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, t in items for w in decontaminate.words(t.encode())}))}
     df, n_docs = decontaminate.word_counts(texts, vocabulary)
-    idf_of = dict(zip(vocabulary, np.log((1 + n_docs) / (1 + df)) + 0.1, strict=True))
-    return decontaminate.build_index(decontaminate.fit_sample(texts, n_docs), items, idf_of, **parameters)
+    return decontaminate.build_index(decontaminate.fit_sample(texts, n_docs), items, *decontaminate.word_weights(vocabulary, df, n_docs), **parameters)
 
 
 def test_latent_search_against_all_cosines(spark):
