@@ -473,7 +473,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_anchor: int = HOT_
     text, doc_id = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
     no_id = F.xxhash64(F.lit("no id"), text).bitwiseAND(_NO_ID - 1).bitwiseOR(F.lit(_NO_ID))
     texts = docs.select(
-        F.when(doc_id >= _NO_ID, F.raise_error(F.lit("a doc_id of 2**62 or more")).cast("long")).otherwise(F.coalesce(doc_id, no_id)).alias("doc"),
+        F.coalesce(F.when(doc_id >= _NO_ID, F.raise_error(F.lit("a doc_id of 2**62 or more")).cast("long")), doc_id, no_id).alias("doc"),  # never null, so both joins share an exchange
         F.xxhash64(text).bitwiseAND(0x7FFFFFFF).alias("tag"),
         text.cast("binary").alias("text"),
     )
