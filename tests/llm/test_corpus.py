@@ -184,19 +184,19 @@ def test_latent_search_against_all_cosines(spark):
     least 0.9 of those with a TF-IDF cosine of a leaked item, in fewer dimensions than items."""
     rng, vocabulary, items, docs = benchmark_rows()
     texts = [f"{d} {items[k % 30][1]}" if k % 5 == 0 else d for k, (_, d) in enumerate(docs)]
-    index = index_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items, rank=24)
-    assert index.folding.shape[1] == 24 < len(items) == len(index.exact) + sum(len(c[1]) for c in index.classes)
+    index = index_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items, rank=24, keep_space=True)
+    assert index.space.shape[1] == 24 < len(items) == len(index.exact) + sum(len(c[1]) for c in index.classes)
     tokens = [decontaminate.words(t.encode()) for t in texts]
     sizes = np.array([len(t) for t in tokens])
     ids = np.array([index.vocabulary.get(w, len(index.vocabulary)) for t in tokens for w in t])
     got = {(s, e, i) for s, e, i, _ in decontaminate.candidates(index, ids, sizes, decontaminate.COSINE)}
     latent, lexical = set(), set()
-    for width, of_width in index.classes:
+    for width, of_width, _ in index.classes:
         starts, ends = decontaminate._windows(sizes, width)
         rows = decontaminate._dense(ids, starts, ends, index.idf)
         bounds = np.concatenate(([0], np.cumsum(ids == len(index.vocabulary))))
         norm = np.sqrt((rows**2).sum(axis=1) + (bounds[ends] - bounds[starts]) * index.idf[-1] ** 2)
-        space = index.folding[:-1] / index.idf[:-1, None]
+        space = index.space / index.idf[:-1, None]
         for i in of_width:
             item = decontaminate._dense(np.array([index.vocabulary[w] for w in index.item_words[i]]), np.array([0]), np.array([len(index.item_words[i])]), index.idf)[0]
             own = item @ space
@@ -286,7 +286,7 @@ def test_items_leaked_widely_and_items_of_frequent_words(spark):
 
 def test_lcs_is_a_common_subsequence():
     lcs = decontaminate.Lcs([b"a", b"b", b"c", b"a"])
-    assert [lcs.length(list(map(str.encode, x))) for x in ("", "abca", "cab", "aaaa", "xyz", "bacxa")] == [0, 4, 2, 2, 0, 3]
+    assert [lcs.length(lcs.masks(list(map(str.encode, x)))) for x in ("", "abca", "cab", "aaaa", "xyz", "bacxa")] == [0, 4, 2, 2, 0, 3]
 
 
 @pytest.fixture(scope="module")
