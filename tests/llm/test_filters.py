@@ -1,6 +1,7 @@
 """Personal data, licences, quality rules and the quality model."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -164,9 +165,51 @@ def labelled(spark, n=600):
     return spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels + [(0, None), (None, 1)], "doc_id long, quality int"), truth
 
 
+def test_regression_is_the_optimum_of_a_plain_loop():
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(80, 4)).astype(np.float32)
+    label = (rows @ [1, -2, 0.5, 0] + rng.normal(size=80) > 0).astype(float)
+    got = quality_model._fit(rows, label, scaled=False, ridge=1e-2, steps=2000)
+    w = np.zeros(5)
+    for _ in range(20_000):
+        slope = [0.0] * 5
+        for row, y in zip(rows.tolist(), label, strict=True):
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip([*row, 1.0], w, strict=True))))
+            for j, a in enumerate([*row, 1.0]):
+                slope[j] += 0.5 / (label == y).sum() * (p - y) * a
+        step = [g + 1e-2 * a for g, a in zip(slope, w, strict=True)]
+        w -= np.array(step)
+        if max(map(abs, step)) < 1e-6:
+            break
+    assert np.allclose(got.weights, w, atol=2e-3)
+
+
+def test_exchange_takes_the_surest_of_all(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([-3.0, -0.5, 0.2, 2.5, rng.uniform(-4, 4)]), rng.uniform(-4, 4)) for i in range(300)]
+    scored = spark.createDataFrame(rows, "doc_id long, text double, metadata double").repartition(5)
+    for k, view in ((1, "text"), (2, "metadata")):
+        low = sorted((r[k], r[0]) for r in rows if r[k] < -1)[:20]
+        high = sorted((-r[k], r[0]) for r in rows if r[k] > 1)[:30]
+        assert quality_model.confident(scored, view, 20, 30) == {i: 0.0 for _, i in low} | {i: 1.0 for _, i in high}
+    assert quality_model.confident(scored.where("FALSE"), "text", 2, 2) == {}
+
+
+def test_quality_model_with_clashing_columns_and_repeated_rows(spark):
+    docs, labels, truth = labelled(spark, 300)
+    odd = docs.selectExpr("*", "0 AS label", "doc_id AS id", "1 AS columns", "2 AS vals", "3 AS marked", "4 AS score")
+    odd = odd.union(odd.where("doc_id < 3")).union(odd.where("doc_id = 5").selectExpr("doc_id", "'another text' AS text", "lang", "source", "n_chars", "label", "id", "columns", "vals", "marked", "score"))
+    got = quality_model.classify(odd, labels.selectExpr("*", "1 AS text", "'x' AS label"), exchanged=20, rounds=2).collect()
+    assert len(got) == odd.count() == docs.count() + 4
+    of = {}
+    for r in got:
+        of.setdefault(r.doc_id, set()).add(r.score)
+    assert len(of[0]) == len(of[1]) == 1 and len(of[5]) == 2
+
+
 def test_quality_model_on_held_out_rows(spark):
     docs, labels, truth = labelled(spark)
-    model = quality_model.fit(docs, labels, most_labelled=200, most_pool=200)
+    model = quality_model.fit(docs, labels, most_labelled=200, exchanged=40)
     got = quality_model.score(docs, model).collect()
     assert len(got) == docs.count()
     held_out = [r for r in got if r.doc_id in truth and r.doc_id % 2 == 0]

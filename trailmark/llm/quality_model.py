@@ -2,16 +2,20 @@
 
 The *text view* sees hashed words and word endings, immediate repetitions and the share of
 distinct words. The *metadata view* sees language, source, declared length and the layout (lines,
-symbols, capitals, digits, repeated lines). Each is a logistic regression fitted on a bounded,
-hash-chosen sample of labelled documents. For some rounds each view labels the unlabelled pool;
-its most confident labels go to the other view's training set. Both are then calibrated and
-combined by a small regression on held-out labels, and Spark scores all documents.
+symbols, capitals, digits, repeated lines). ``views`` computes both for all documents. Each view
+is a logistic regression fitted on a bounded, hash-chosen sample of labelled documents. Then, for
+some rounds, Spark scores every unlabelled document with both; the most confident labels of each
+view, out of all unlabelled documents, go to the other view's training set. On held-out labels
+each view is calibrated, a regression combines the calibrated views, and Spark scores all
+documents.
 
-Bounds, parameters of ``fit``: ``most_labelled`` labelled and ``most_pool`` unlabelled documents
-(rows beyond are left out by the order of a hash of doc_id). Everything else covers all rows.
+Bounds, parameters of ``fit``: ``most_labelled`` labelled documents (others are left out by the
+order of a hash of doc_id) and ``exchanged`` pseudo-labels a view and round. Everything else
+covers all rows.
 
 Defined results: a null text is empty; null or new languages and sources share hashed columns;
-several labels of one document count as their mean, rounded; null labels are ignored; without
+several labels of one document count as their mean, rounded; null labels are ignored; of rows
+that repeat a doc_id one trains; equal scores count as one document in the exchange; without
 labels of both classes ``fit`` raises ValueError; repeated documents are each scored; an empty
 table of documents gives an empty result; other columns are ignored.
 """
@@ -30,9 +34,9 @@ from pyspark.sql import functions as F
 from trailmark.llm.shared import cut
 
 MOST_LABELLED = 3000
-MOST_POOL = 2000
+EXCHANGED = 100
 ROUNDS = 4
-MOVED = 0.05
+CONFIDENT = 1.0
 THRESHOLD = 0.5
 DIMS = 1024
 _EXTRA = 3
@@ -131,106 +135,152 @@ def _fit(rows: np.ndarray, labels: np.ndarray, scaled: bool, ridge: float = 1e-3
 
 @dataclass
 class Model:
-    """Both views and the regression that calibrates and combines their logits."""
+    """Both views, the calibration of each (slope and bias of its logit) and the regression that
+    combines the calibrated logits."""
 
     text: Regression
     metadata: Regression
+    calibration: np.ndarray
     combined: np.ndarray
 
     def score(self, text_logit: np.ndarray, metadata_logit: np.ndarray) -> np.ndarray:
-        both = np.column_stack((np.clip(text_logit, -20, 20), np.clip(metadata_logit, -20, 20), np.ones(len(text_logit))))
-        return 1 / (1 + np.exp(-both @ self.combined))
+        both = np.column_stack((_line(text_logit, self.calibration[0]), _line(metadata_logit, self.calibration[1]), np.ones(len(text_logit))))
+        return 1 / (1 + np.exp(-np.clip(both @ self.combined, -30, 30)))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _line(logit: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return np.clip(logit, -20, 20) * line[0] + line[1]
+
+
+def _flat(model: Regression) -> np.ndarray:
+    """The weights of a scaled regression as those of its plain columns, the bias last."""
+    slope = model.weights[:-1] / model.scale
+    return np.append(slope, model.weights[-1] - slope @ model.center)
+
+
+_VIEWS = "doc_id long, columns binary, vals binary, metadata binary"
+
+
+def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashed = Words()
     for batch in batches:
-        label = batch.column(4)
         columns, values, metadata = [], [], []
         for text, lang, source, n_chars in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             c, v = text_view(text, hashed)
-            columns.append(c)
-            values.append(v)
-            metadata.append(metadata_view(text, lang, source, n_chars))
-        yield pa.RecordBatch.from_arrays(
-            [label, pa.array(columns, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(metadata, pa.list_(pa.float32()))], ["label", "columns", "vals", "metadata"]
-        )
+            columns.append(c.astype(np.int16).tobytes())
+            values.append(v.astype(np.float16).tobytes())
+            metadata.append(metadata_view(text, lang, source, n_chars).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(4), *(pa.array(x, pa.binary()) for x in (columns, values, metadata))], ["doc_id", "columns", "vals", "metadata"])
 
 
-def _inputs(docs: DataFrame, *more) -> DataFrame:
+def views(docs: DataFrame) -> DataFrame:
+    """Both views of each document: doc_id, columns and vals of the text view, metadata."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
-    return docs.select(text.alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"), *more)
+    rows = docs.select(text.alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"), F.col("doc_id").cast("long").alias("doc_id"))
+    return rows.mapInArrow(_views, _VIEWS)
+
+
+def _logits(batch: pa.RecordBatch, text: Regression, metadata: Regression) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of both views for a batch of ``views``."""
+    if not batch.num_rows:
+        return np.zeros(0), np.zeros(0)
+    columns = batch.column(1).to_pylist()
+    at = np.cumsum([0, *(len(c) // 2 for c in columns)])[:-1]
+    products = text.weights[np.frombuffer(b"".join(columns), np.int16)] * np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float16)
+    layout = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float32).reshape(batch.num_rows, -1)
+    return np.add.reduceat(products.astype(np.float64), at) + text.weights[-1], metadata.logits(layout).astype(np.float64)
+
+
+def _both_logits(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, _logits(batch, *held.value))], ["doc_id", "text", "metadata"])
 
 
-def _sample(docs: DataFrame, labels: DataFrame, most_labelled: int, most_pool: int) -> DataFrame:
-    """The bounded sample, with label (null in the pool)."""
+def _rows_of(table: DataFrame, ids: list[int]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Ids, text rows and metadata rows of some documents of ``views``, one row for each id."""
+    chosen = table.sparkSession.createDataFrame([(i,) for i in ids], "wanted long")
+    rows = table.join(F.broadcast(chosen), F.col("doc_id") == F.col("wanted"))  # as many ids as a bound of ``fit``
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("columns", "vals", "metadata")).alias("row")).orderBy("doc_id").collect()
+    content = np.zeros((len(rows), DIMS + _EXTRA), np.float32)
+    for i, r in enumerate(rows):
+        content[i, np.frombuffer(r["row"]["columns"], np.int16)] = np.frombuffer(r["row"]["vals"], np.float16)
+    metadata = [np.frombuffer(r["row"]["metadata"], np.float32) for r in rows]
+    return [r["doc_id"] for r in rows], content, np.array(metadata, np.float32).reshape(len(rows), -1)
+
+
+def confident(scored: DataFrame, view: str, n_low: int, n_high: int) -> dict[int, float]:
+    """The surest labels of a view out of all rows of ``scored`` (doc_id, text, metadata): at most
+    the lowest ``n_low`` logits as 0 and the highest ``n_high`` as 1, none nearer than ``CONFIDENT``."""
+    low = scored.where(F.col(view) < -CONFIDENT).orderBy(view, "doc_id").limit(n_low).select("doc_id").collect()
+    high = scored.where(F.col(view) > CONFIDENT).orderBy(F.desc(view), "doc_id").limit(n_high).select("doc_id").collect()
+    return {r["doc_id"]: 0.0 for r in low} | {r["doc_id"]: 1.0 for r in high}
+
+
+def fit_views(table: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, exchanged: int = EXCHANGED, rounds: int = ROUNDS) -> Model:
+    """Co-train on a table of ``views``."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("marked")).agg(F.round(F.avg("quality")).cast("int").alias("label"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("id")).where("id IS NOT NULL").distinct().join(marks, F.col("id") == F.col("marked"), "left")
-    order = F.xxhash64("id", F.lit("sample"))
-    chosen = ids.where("label IS NOT NULL").orderBy(order).limit(most_labelled).union(ids.where("label IS NULL").orderBy(order).limit(most_pool))
-    chosen = cut(chosen.select("id", "label"), "sample")
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("id"))  # at most most_labelled + most_pool rows
-    return _inputs(rows, "label")
-
-
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL, rounds: int = ROUNDS) -> Model:
-    """Co-train both views on a bounded sample."""
-    rows = _sample(docs, labels, most_labelled, most_pool).mapInArrow(_features, "label int, columns array<int>, vals array<float>, metadata array<float>").toArrow()
-    label = rows["label"].to_pandas().to_numpy(np.float64, na_value=np.nan)
-    content = np.zeros((len(label), DIMS + _EXTRA), np.float32)
-    for i, (c, v) in enumerate(zip(rows["columns"], rows["vals"], strict=True)):
-        content[i, c.values.to_numpy()] = v.values.to_numpy()
-    metadata = np.array([m.values.to_numpy() for m in rows["metadata"]], np.float32).reshape(len(label), -1)
-    order = np.lexsort((*np.round(content[:, :64].T, 5), *metadata.T, label))  # the rows come in any order
-    label, views = label[order], [content[order], metadata[order]]
-    marked = np.flatnonzero(~np.isnan(label))
-    if len(set(label[marked])) < 2:
+    marks = cut(marks, "marks")
+    there = table.select("doc_id").where("doc_id IS NOT NULL").distinct().join(marks, F.col("doc_id") == F.col("marked"))
+    label_of = {r["marked"]: float(r["label"]) for r in there.orderBy(F.xxhash64("marked", F.lit("sample"))).limit(most_labelled).collect()}
+    ids, *rows = _rows_of(table, list(label_of))
+    label = np.array([label_of[i] for i in ids])
+    if len(set(label)) < 2:
         raise ValueError("labels of both classes are needed")
-    shuffled = np.random.default_rng(len(label)).permutation(marked)
+    shuffled = np.random.default_rng(len(label)).permutation(len(label))
     held, train = np.array_split(shuffled, [max(2, len(shuffled) // 4)])
     if len(set(label[train])) < 2 or len(set(label[held])) < 2:
         held = train = shuffled
-    pool = np.flatnonzero(np.isnan(label))
-    taught = [{int(i): label[i] for i in train} for _ in views]
-    models = [None, None]
+    share = float((label[train] == 1).mean())
+    counts = max(1, int(exchanged * (1 - share))), max(1, int(exchanged * share))
+    taught = [[(rows[k][train], label[train])] for k in range(2)]
+    used: list[set[int]] = [set(), set()]
     for turn in range(rounds + 1):
-        for k, view in enumerate(views):
-            own = np.array(sorted(taught[k]))
-            models[k] = _fit(view[own], np.array([taught[k][i] for i in own]), scaled=k == 1)
+        models = [_fit(np.concatenate([x for x, _ in taught[k]]), np.concatenate([y for _, y in taught[k]]), scaled=k == 1) for k in range(2)]
         if turn == rounds:
             break
-        for k, view in enumerate(views):
-            free = np.array([i for i in pool if i not in taught[1 - k]], int)
-            n = int(MOVED * len(pool))
-            if n and len(free) >= 2 * n:
-                logit = models[k].logits(view[free])
-                rank = np.argsort(logit, kind="stable")
-                share = (label[train] == 1).mean()
-                low, high = rank[: max(1, int(n * (1 - share)))], rank[-max(1, int(n * share)) :]
-                taught[1 - k] |= {int(i): 0.0 for i in free[low[logit[low] < -1]]} | {int(i): 1.0 for i in free[high[logit[high] > 1]]}
-    logits = np.column_stack([np.clip(m.logits(v[held]), -20, 20) for m, v in zip(models, views, strict=True)])
-    joint = _fit(logits.astype(np.float32), label[held], scaled=True, ridge=1e-2)
-    slope = joint.weights[:-1] / joint.scale
-    return Model(models[0], models[1], np.append(slope, joint.weights[-1] - slope @ joint.center))
+        shared = table.sparkSession.sparkContext.broadcast(models)
+        scored = table.mapInArrow(lambda it, shared=shared: _both_logits(it, shared), "doc_id long, text double, metadata double")
+        # One row for equal scores, as copies of one text would fill the list.
+        free = scored.where("doc_id IS NOT NULL").join(marks, F.col("doc_id") == F.col("marked"), "left_anti").groupBy("text", "metadata").agg(F.min("doc_id").alias("doc_id"))
+        free = cut(free, "unlabelled")
+        for k, view in enumerate(("text", "metadata")):
+            fresh = free.where(~F.col("doc_id").isin(sorted(used[1 - k]))) if used[1 - k] else free  # at most rounds x exchanged ids
+            found = confident(fresh, view, *counts)
+            used[1 - k] |= set(found)
+            if found:
+                own, *features = _rows_of(table, list(found))
+                taught[1 - k].append((features[1 - k], np.array([found[i] for i in own])))
+    first, second = (held[::2], held[1::2]) if len(held) >= 100 and len(set(label[held[::2]])) == len(set(label[held[1::2]])) == 2 else (held, held)
+    logits = [np.clip(m.logits(r), -20, 20) for m, r in zip(models, rows, strict=True)]
+    calibration = np.array([_flat(_fit(x[first, None].astype(np.float32), label[first], scaled=True, ridge=1e-2)) for x in logits])
+    both = np.column_stack([_line(x[second], c) for x, c in zip(logits, calibration, strict=True)])
+    return Model(*models, calibration, _flat(_fit(both.astype(np.float32), label[second], scaled=True, ridge=1e-2)))
 
 
 def _score(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
-    model, hashed = held.value, Words()
-    weights, bias = model.text.weights[:-1], model.text.weights[-1]
+    model = held.value
     for batch in batches:
-        content, metadata = np.zeros(batch.num_rows), []
-        rows = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
-        for i, (text, lang, source, n_chars) in enumerate(rows):
-            c, v = text_view(text, hashed)
-            content[i] = weights[c] @ v + bias
-            metadata.append(metadata_view(text, lang, source, n_chars))
-        layout = model.metadata.logits(np.array(metadata).reshape(batch.num_rows, -1)) if batch.num_rows else content
+        content, layout = _logits(batch, model.text, model.metadata)
         score = model.score(content, layout)
-        yield pa.RecordBatch.from_arrays([batch.column(4), *(pa.array(x.astype(np.float64)) for x in (content, layout, score)), pa.array(score >= THRESHOLD)], ["doc_id", "text_logit", "metadata_logit", "score", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.astype(np.float64)) for x in (content, layout, score)), pa.array(score >= THRESHOLD)], ["doc_id", "text_logit", "metadata_logit", "score", "kept"])
+
+
+def score_views(table: DataFrame, model: Model) -> DataFrame:
+    held = table.sparkSession.sparkContext.broadcast(model)
+    return table.mapInArrow(lambda it: _score(it, held), "doc_id long, text_logit double, metadata_logit double, score double, kept boolean")
+
+
+def fit(docs: DataFrame, labels: DataFrame, **parameters) -> Model:
+    """Co-train both views."""
+    return fit_views(cut(views(docs), "views"), labels, **parameters)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each document: doc_id, both logits, score (probability of good quality), kept."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = _inputs(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.mapInArrow(lambda it: _score(it, held), "doc_id long, text_logit double, metadata_logit double, score double, kept boolean")
+    return score_views(views(docs), model)
+
+
+def classify(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
+    """``score`` of all documents by a model fitted on them; the views are computed once."""
+    table = cut(views(docs), "views")
+    return score_views(table, fit_views(table, labels, **parameters))

@@ -44,8 +44,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    return quality_model.score(docs, quality_model.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality_model.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
