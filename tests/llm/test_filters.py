@@ -7,12 +7,14 @@ import re
 import textwrap
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from trailmark.llm import licenses, pii, quality_model, quality_rules
+from trailmark.llm import licenses, oracles, pii, quality_model, quality_rules
 
 
 def brute_spans(text):
@@ -131,7 +133,23 @@ APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you
     http://www.apache.org/licenses/LICENSE-2.0
 """
 GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+APACHE_FULL = APACHE.strip() + """
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.
+"""
+LGPL = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+AGPL = GPL.replace("GNU General", "GNU Affero General")
 WRAPPED = [
+    (APACHE_FULL, "apache-long,apache-comply,apache-copy,apache-unless,apache-see", "Apache-2.0"),
+    (LGPL, "lgpl-free-cut,lgpl21-later-cut,lgpl21-version-cut", "LGPL-2.1-or-later"),
+    (LGPL.replace("library", "program").replace("Lesser ", "").replace("2.1", "2"), "gpl-free-cut,gpl2-later-cut,gpl2-version-cut", "GPL-2.0-or-later"),
+    (ISC, "isc-grant,isc-warranty", "ISC"),
+    (MPL, "mpl2-terms,mpl2-copy", "MPL-2.0"),
+    (AGPL, "agpl-later", "AGPL-3.0-or-later"),
     (MIT + " IN NO EVENT SHALL THE AUTHORS BE LIABLE.", "mit-title,mit-grant,mit-notice,mit-warranty", "MIT"),
     (BSD, "bsd-grant,bsd-source,bsd-binary,bsd-names", "BSD-3-Clause"),
     (APACHE, "apache-long,apache-comply,apache-copy", "Apache-2.0"),
@@ -149,6 +167,9 @@ def test_wrapped_licence_texts(spark, mark):
             rows.append((len(rows), "\r\n".join(mark + x for x in ["Some file", "", *lines, "", "int main"])))
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.sentence_ids, r.licences) for r in got} == want
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}))
+    assert sorted(con.execute(oracles.ORACLE_SQL["op5_licenses"]).fetchall()) == sorted((r.doc_id, r.n_sentences, r.sentence_ids, r.licences) for r in got)
 
 
 def brute_measures(text):

@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from trailmark.llm import licenses
+
 WARC = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
 q AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest, first,
@@ -42,18 +44,32 @@ SELECT doc_id, source, copies, copy, CAST('0x' || substr(md5('mix-1-order|' || d
 FROM (SELECT doc_id, source, copies, unnest(generate_series(1, copies)) AS copy FROM n)
 """
 
-LICENSES = r"""
-WITH RECURSIVE known(id, sentence) AS (VALUES
-  ('mit-ref', 'released under the mit license'), ('apache-ref', 'licensed under the apache license version 2 0'),
-  ('gpl3-ref', 'this work is licensed under the gnu general public license version 3'),
-  ('cc-by-nc-ref', 'licensed under cc by nc 4 0'), ('reserved', 'all rights reserved')),
-s AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[.!?;]+([\x20\x09\x0B-\x0D])', chr(10) || '\1', 'g'), chr(10))) AS x,
-             unnest(generate_series(1, len(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[.!?;]+([\x20\x09\x0B-\x0D])', chr(10) || '\1', 'g'), chr(10))))) AS i FROM documents),
-f AS (SELECT doc_id, i, id FROM s JOIN known ON trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) = sentence)
-SELECT d.doc_id, CAST(count(id) AS BIGINT) AS n_sentences, coalesce(string_agg(id, ',' ORDER BY i), '') AS sentence_ids,
-       coalesce(list_aggregate(list_sort(list_distinct(list(CASE id WHEN 'mit-ref' THEN 'MIT' WHEN 'apache-ref' THEN 'Apache-2.0' WHEN 'gpl3-ref' THEN 'GPL-3.0-only'
-           WHEN 'cc-by-nc-ref' THEN 'CC-BY-NC-4.0' WHEN 'reserved' THEN 'Proprietary' END) FILTER (id IS NOT NULL))), 'string_agg', ','), '') AS licences
-FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id
+def _licenses() -> str:
+    """All sentences and rules. DuckDB's expressions have no look-around, so each mark between
+    lines is doubled and a match takes one mark on each side."""
+    longest_first = sorted(licenses.SENTENCES.values(), key=len, reverse=True)
+    blank = r"(?: |\|\|)"
+    pattern = "[|~](" + "|".join(x.replace(" ", blank) for x in longest_first) + ")[|~]"
+    words = " OR ".join(f"contains(lower(text), '{w}')" for w in licenses.WORDS)
+    known = ", ".join(f"('{v}', '{k}')" for k, v in licenses.SENTENCES.items())
+    steps = ", ".join(f"replace(r{i}, ' {'  '.join(p)} ', ' # ') AS r{i + 1}" for i, (_, p) in enumerate(licenses.RULES))
+    found = ", ".join(f"CASE WHEN contains(r{i}, ' {'  '.join(p)} ') THEN '{x}' END" for i, (x, p) in enumerate(licenses.RULES))
+    return rf"""
+WITH known(sentence, id) AS (VALUES {known}),
+d AS (SELECT doc_id, row_number() OVER () AS n, coalesce(text, '') AS text FROM documents),
+a AS (SELECT doc_id, n, regexp_replace(translate(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '~|', '  '),
+      '(?m)[.!?;]+([\x20\x09\x0B-\x0D])|^[^a-z0-9\n]*[a-z0-9]{{1,2}}\)([\x20\x09])', '~\1\2', 'g') AS x FROM d WHERE {words}),
+b AS (SELECT doc_id, n, regexp_replace(regexp_replace(x, '[^a-z0-9~\n]+', ' ', 'g'), ' ?\n[ \n]*', '|', 'g') AS x FROM a),
+c AS (SELECT doc_id, n, '|' || regexp_replace(x, '^ | $| ?~[ |~]*', '~', 'g') || '|' AS x FROM b),
+e AS (SELECT doc_id, n, [replace(y, '||', ' ') FOR y IN regexp_extract_all(replace(replace(x, '|', '||'), '~', '~~'), '{pattern}', 1)] AS s FROM c),
+f AS (SELECT n, unnest(s) AS sentence, generate_subscripts(s, 1) AS i FROM e),
+g AS (SELECT n, list(id ORDER BY i) AS ids FROM f JOIN known USING (sentence) GROUP BY n),
+r AS (SELECT n, ids, ' ' || list_aggregate(ids, 'string_agg', '  ') || ' ' AS r0, {steps} FROM g),
+l AS (SELECT n, ids, list_sort(list_distinct([{found}])) AS licences FROM r)
+SELECT doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_sentences, coalesce(list_aggregate(ids, 'string_agg', ','), '') AS sentence_ids,
+       coalesce(list_aggregate(licences, 'string_agg', ','), '') AS licences
+FROM d LEFT JOIN l USING (n)
 """
 
-ORACLE_SQL = {"op2_warc": WARC, "op5_licenses": LICENSES, "op6_mixing": MIXING, "op10_quality_rules": QUALITY_RULES}
+
+ORACLE_SQL = {"op2_warc": WARC, "op5_licenses": _licenses(), "op6_mixing": MIXING, "op10_quality_rules": QUALITY_RULES}
