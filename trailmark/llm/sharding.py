@@ -1,12 +1,13 @@
 """Sharding by vector bin packing: bytes, tokens and rows of the shards are balanced jointly.
 
-Documents with equal texts form a group. Groups are gathered into cells by the hash of their
-text; a group that would fill more than ``1 / FINE`` of a shard in bytes, tokens or rows is split
-into pieces by the hash of doc_id, each a cell of its own. Their number is bounded (three
-measures, ``FINE`` pieces for each shard, twice that at most), so the packing itself is a loop
-over a bounded list of cell sums on the driver, whatever the size of the corpus: cells in falling
-size go each to the shard whose residual capacity has the highest dot product with the cell.
-The law that holds is ``bytes``: sizes are near equal.
+Documents with equal texts form a group. A group that fills more than ``1 / OWN`` of a shard in
+bytes, tokens or rows is placed on its own; one above ``1 / FINE`` is split into pieces by the hash
+of its rows' other columns, each placed on its own. The tail of smaller groups, too many for any
+list, is gathered into cells by the hash of the text, and each cell is placed like a group. The
+number of these units is bounded (three measures, ``OWN`` groups for each shard, and the cells),
+so the packing itself is a loop over a bounded list of sums on the driver, whatever the size of
+the corpus: in falling size each goes to the shard whose residual capacity has the highest dot
+product with it. The law that holds is ``bytes``: sizes are near equal.
 
 Slots count the rows of a shard from 0 without a gap: each cell has a range of its shard's slots.
 
@@ -20,12 +21,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from trailmark.llm.shared import cut, words_of
 
 SHARDS = 24
 CELLS = 16_384
 FINE = 64
+OWN = 512
 OVERHEAD = 8
 #: What a measure counts in the dot product: bytes, tokens, rows.
 WEIGHTS = (1.0, 0.25, 0.05)
@@ -43,23 +46,25 @@ def pack(cells: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """``docs`` as ``row``, with the size and the hash of each text."""
+    """``docs`` as ``row``, with the size and the hash of each text, and a hash of the other columns."""
     text = F.coalesce(F.col("row.text"), F.lit(""))
-    return docs.select(F.struct("*").alias("row")).select("row", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.xxhash64(text).alias("h"))
+    others = [F.col("row")[f.name] for f in docs.schema if f.name != "text" and isinstance(f.dataType, AtomicType)]
+    piece = F.xxhash64(F.lit("piece"), *others)
+    return docs.select(F.struct("*").alias("row")).select("row", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.xxhash64(text).alias("h"), piece.alias("piece"))
 
 
 def _cells(spark: SparkSession, slim: DataFrame, shards: int, cells: int):
-    """Column of the cell of a row (size, h, doc_id), and the bounded table of cells."""
+    """Column of the cell of a row (size, h, piece), and the bounded table of cells."""
     groups = slim.groupBy("h").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     total = groups.agg(F.sum("bytes"), F.sum("tokens"), F.sum("n")).first()
     parts = [x or 0 for x in total]
     share = F.greatest(*[F.col(c) / F.lit(float(max(t, 1))) for c, t in zip(("bytes", "tokens", "n"), parts, strict=True)])
-    heavy = groups.select("h", (share * (shards * FINE)).alias("x")).where("x > 1").select("h", F.ceil("x").cast("int").alias("pieces")).orderBy("h").collect()
+    heavy = groups.select("h", (share * (shards * FINE)).alias("x")).where(f"x > {FINE / OWN}").select("h", F.ceil("x").cast("int").alias("pieces")).orderBy("h").collect()
     first = np.concatenate(([0], np.cumsum([r["pieces"] for r in heavy]))) + cells
     table = spark.createDataFrame([(r["h"], r["pieces"], int(a)) for r, a in zip(heavy, first, strict=False)], "heavy long, pieces int, first int")
 
     def with_cell(df):
-        own = F.col("first") + F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("piece")), F.col("pieces"))
+        own = F.col("first") + F.pmod("piece", F.col("pieces"))
         return df.join(F.broadcast(table), F.col("h") == F.col("heavy"), "left").withColumn("cell", F.coalesce(own, F.pmod(F.xxhash64("h"), F.lit(cells))).cast("int")).drop("heavy", "pieces", "first")
 
     sums = with_cell(slim).groupBy("cell").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")).orderBy("cell").collect()
@@ -74,10 +79,10 @@ def _cells(spark: SparkSession, slim: DataFrame, shards: int, cells: int):
 def shard(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS) -> DataFrame:
     """``docs`` as a struct column ``row`` with doc_id, size, text_crc32, shard and slot."""
     measured = _measured(docs)
-    slim = cut(measured.select(F.col("row.doc_id").alias("doc_id"), "size", "h", F.size(words_of(F.col("row.text"))).cast("long").alias("tokens")), "sizes")
+    slim = cut(measured.select("size", "h", "piece", F.size(words_of(F.col("row.text"))).cast("long").alias("tokens")), "sizes")
     with_cell, placed = _cells(docs.sparkSession, slim, shards, cells)
     crc = F.crc32(F.coalesce(F.col("row.text"), F.lit("")).cast("binary"))
-    rows = with_cell(measured.select("row", F.col("row.doc_id").alias("doc_id"), "size", "h", crc.alias("text_crc32")))
+    rows = with_cell(measured.select("row", F.col("row.doc_id").alias("doc_id"), "size", "h", "piece", crc.alias("text_crc32")))
     slot = F.row_number().over(W.partitionBy("cell").orderBy("h", "doc_id")) - 1
     numbered = rows.withColumn("at", slot).join(F.broadcast(placed), F.col("cell") == F.col("of_cell"))
     return numbered.select("row", "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("from_slot") + F.col("at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
