@@ -42,6 +42,14 @@ def test_urls_with_control_characters_are_found(spark):
     assert warc.url_key("http://www.a.b:80/x y\tz") == "b,a,www:80)/x%20y%09z"
 
 
+def test_a_lost_page_is_an_error(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://a.b/{i}", "x") for i in range(5)], "page_id long, url string, html string")
+    keys = warc.page_keys
+    monkeypatch.setattr(warc, "page_keys", lambda p: keys(p.where("page_id > 0")))
+    with pytest.raises(ValueError, match="4 captures were found of 5"):
+        warc.round_trip(pages)
+
+
 def test_index_in_small_blocks(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h{i % 7}.example.com/p{i % 40}", f"<p>{i}</p>") for i in range(300)], "page_id long, url string, html string")
     warc.write_archives(pages, str(tmp_path / "w"), archive_records=11)
@@ -50,6 +58,8 @@ def test_index_in_small_blocks(spark, tmp_path):
     keys = spark.createDataFrame([(warc.capture_key("http://h3.example.com/p3", 3),), (warc.capture_key("http://nowhere/", 1),)], "key string")
     got = warc.lookup(keys, index).collect()
     assert [bytes(r.payload) for r in got] == [b"<p>3</p>"]
+    lost = warc.locate(keys, index.where("FALSE"))
+    assert lost.collect() == [] and warc.read(lost).collect() == []
     assert warc.url_key("https://WWW.Example.com:80/a?b#c") == "com,example,www:80)/a?b"
 
 
@@ -78,6 +88,31 @@ def test_sharding_laws(spark):
     assert sharding.shard(docs.where("FALSE")).collect() == []
 
 
+def test_each_unit_goes_where_the_dot_product_is_highest():
+    rng = np.random.default_rng(5)
+    cells = rng.random((300, 3)) ** 4
+    cells /= cells.sum(axis=0)
+    got = sharding.pack(cells, 7)
+    residual = [list(sharding.WEIGHTS) for _ in range(7)]
+    for i in sorted(range(300), key=lambda i: (-cells[i][0], i)):
+        dots = [sum(r * 7 * c for r, c in zip(row, cells[i].tolist(), strict=True)) for row in residual]
+        assert dots[got[i]] >= max(dots) - 1e-12
+        residual[got[i]] = [r - 7 * c * w for r, c, w in zip(residual[got[i]], cells[i].tolist(), sharding.WEIGHTS, strict=True)]
+
+
+def test_large_groups_are_units_of_their_own(spark):
+    """Groups above 1 / OWN of a shard are whole; larger ones are split by all columns but the text."""
+    rows = [(i % 40 if i < 400 else None, f"group {i % 40 if i < 400 else 'hot'} " + "w " * 30, i) for i in range(800)]
+    rows += [(10_000 + i, f"tail {i} " + "w " * 30, i) for i in range(3000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, n int"), shards=4).collect()
+    where = {}
+    for r in got:
+        where.setdefault(r.row.text, []).append(r.shard)
+    assert all(len(set(s)) == 1 for t, s in where.items() if t.startswith("group") and "hot" not in t)
+    hot = next(s for t, s in where.items() if "hot" in t)
+    assert len(hot) == 400 and set(hot) == set(range(4))
+
+
 def test_small_groups_stay_together(spark):
     docs = spark.createDataFrame([(i, f"text {i // 2} " + "w " * 20) for i in range(2000)], "doc_id long, text string")
     where = {}

@@ -40,6 +40,7 @@ MOST_BLOCKS = 200_000
 #: Repeated payloads up to this number (about 100 bytes each) are broadcast, more are joined by shuffle.
 MOST_REPEATED = 100_000
 ARCHIVE_RECORDS = 2000
+CHUNK = 1 << 18
 CAPTURED = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
@@ -119,16 +120,31 @@ def capture_key(url: str | None, page_id: int | None) -> str:
 
 
 def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Capture lines of archives: only headers are read, ``CHUNK`` bytes at a time."""
     for batch in batches:
-        for path, content in zip(batch.column(0), batch.column(1), strict=True):
-            file, data, at, out = path.as_py(), content.as_py(), 0, []
-            while at < len(data):
-                headers, _, end = _parse(data, at)
-                key = capture_key(headers.get("WARC-Target-URI"), _page(headers.get("WARC-Record-ID")))
-                out.append((key, json.dumps({"file": file, "offset": at, "length": end - at - 4})))
-                at = end
-            for i in range(0, len(out), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out[i : i + 10_000], strict=True)], ["key", "capture"])
+        for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            store, name = fs.FileSystem.from_uri(path)
+            with store.open_input_file(name) as stream:
+                at, held, first, out = 0, b"", 0, []
+                while at < size:
+                    if at >= first + len(held):
+                        held, first = stream.read_at(CHUNK, at), at
+                    while held.find(b"\r\n\r\n", at - first) < 0:
+                        more = stream.read_at(CHUNK, first + len(held))
+                        if not more:
+                            raise ValueError(f"no end of the header at byte {at} of {path}")
+                        held = held[at - first :] + more
+                        first = at
+                    headers, _, end = _parse(held, at - first)
+                    end += first
+                    key = capture_key(headers.get("WARC-Target-URI"), _page(headers.get("WARC-Record-ID")))
+                    out.append((key, json.dumps({"file": path, "offset": at, "length": end - at - 4})))
+                    at = end
+                    if len(out) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["key", "capture"])
+                        out = []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["key", "capture"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], lines: int) -> Iterator[pa.RecordBatch]:
@@ -152,7 +168,7 @@ def build_index(spark: SparkSession, archives: str, block_lines: int = BLOCK_LIN
 
     ``block`` numbers them; equal keys may go on in the next block. Without data it's the directory.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archives).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archives).select("path", "length")
     captures = cut(files.mapInArrow(_captures, "key string, capture string"), "captures")
     lines = max(block_lines, -(-captures.count() // MOST_BLOCKS))
     ordered = captures.repartitionByRange("key", F.xxhash64("capture")).sortWithinPartitions("key", "capture")
@@ -211,19 +227,28 @@ def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
-def lookup(keys: DataFrame, index: DataFrame) -> DataFrame:
-    """The captures of distinct keys (column ``key``, see ``capture_key``): page_id,
-    payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits)."""
+def locate(keys: DataFrame, index: DataFrame) -> DataFrame:
+    """Where the captures of distinct keys (column ``key``, see ``capture_key``) lie: file, offset, length."""
     spark = keys.sparkSession
     directory = index.select("first_key", "block").orderBy("first_key").collect()  # at most MOST_BLOCKS rows and one for each task
     held = spark.sparkContext.broadcast(([r["first_key"] for r in directory], [r["block"] for r in directory]))
     found = keys.select("key").distinct().mapInArrow(lambda it: _find(it, held), "key string, block long")
     wanted = found.groupBy("block").agg(F.collect_list("key").alias("wanted"))
-    captures = index.join(wanted, "block").select("wanted", "data").mapInArrow(_open_blocks, "file string, offset long, length long")
+    return index.join(wanted, "block").select("wanted", "data").mapInArrow(_open_blocks, "file string, offset long, length long")
+
+
+def read(captures: DataFrame) -> DataFrame:
+    """The records at these places: page_id, payload_bytes, payload_digest, record_type, refers_to,
+    payload (null for revisits)."""
     ranges = captures.repartition("file").sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(_read_ranges, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
+def lookup(keys: DataFrame, index: DataFrame) -> DataFrame:
+    """The records of distinct keys, as ``read`` gives them."""
+    return read(locate(keys, index))
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = [capture_key(u, p) for u, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
@@ -236,8 +261,12 @@ def page_keys(pages: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the archives of ``pages`` into the shared folder, index them, and look every page up."""
+    """Write the archives of ``pages`` into the shared folder, index them, and look every page up;
+    fails if one isn't found."""
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     write_archives(pages, folder)
-    return lookup(page_keys(pages), build_index(spark, folder))
+    captures = cut(locate(page_keys(pages), build_index(spark, folder)), "located")
+    if (found := captures.count()) != (wanted := pages.count()):
+        raise ValueError(f"{found} captures were found of {wanted} pages")
+    return read(captures)
