@@ -29,7 +29,7 @@ f AS (SELECT m.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(bare) AS B
 b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
                    + 8 * (word_chars < 2 * n_words)::INT + 16 * (word_chars > 15 * n_words)::INT + 32 * (100 * n_dup_lines > 60 * n_lines)::INT
                    + 64 * (2 * n_capitals > word_chars)::INT + 128 * (n_words > 1000000)::INT AS INTEGER) AS fail_bits FROM f)
-SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
+SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits & 127 = 0 AS kept FROM b
 """
 
 MIXING = """
