@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmark.functions import parsing
-from trailmark.operators import contract, ingest, privacy, readiness
+from trailmark.operators import contract, ingest, privacy, readiness, risk, screens
 from trailmark.sources import vendors
 from trailmark.streaming import streams
 
@@ -149,3 +149,38 @@ def test_streams_agree_with_tables(spark, tmp_path):
     assert got < batch and len(batch) - len(got) <= 11
     streams.ingest(source.union(source), str(tmp_path / "store"), str(tmp_path / "state2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "store")).count() == 500
+
+
+def test_names_of_screens(spark):
+    """Snake case, title and sensitivity of names with capitals, blanks and signs."""
+    want = {"userID": "userid", "Sign In": "sign_in", "Sign-In": "sign_in", "UserProfileScreen": "user_profile_screen", "": "unknown", "--": "unknown", "HTMLPage": "html_page", "A": "a", "__x__y": "x_y"}
+    names = spark.createDataFrame([(n,) for n in want], "n string")
+    rows = names.select("n", parsing.snake_case(F.col("n")).alias("s"), parsing.sensitivity(F.col("n")).alias("l"), parsing.critical_screen(F.col("n")).alias("c")).collect()
+    assert {r.n: r.s for r in rows} == want
+    assert {r.n for r in rows if r.l["level"] == "critical"} == {"Sign In", "Sign-In"} == {r.n for r in rows if r.c}
+    assert {r.n for r in rows if r.l["level"] == "high"} == {"UserProfileScreen"}
+
+
+def test_nested_properties_are_never_cut(spark):
+    deep = '{"a":' * 9 + '"x@y.zz"' + "}" * 9
+    rows = spark.createDataFrame([("app", "1", "e", '{"a": [{"b": "x@y.zz"}]}'), ("app", "2", "e", deep)], "app_id string, event_id string, event_name string, properties string")
+    assert [r.path for r in privacy.scan_properties(rows.where("event_id = '1'")).collect()] == ["a[0].b"]
+    with pytest.raises(Exception, match="nested deeper than 8"):
+        privacy.scan_properties(rows).collect()
+    assert privacy.scan_properties(rows, depth=10).count() == 2
+
+
+def test_screens_without_ids_are_matched_by_type_and_text(spark):
+    """Two id-less screens with like types are the same screen under another name."""
+    columns = "app_id string, app_version string, screen_id string, accessibility_id string, text string, element_type string"
+    rows = [("a", v, s, None, t, "x.Button") for v, s in (("1", "old"), ("2", "new")) for t in (f"hello {s}", None)]
+    rows += [("a", v, "named", f"id {i}", None, "x.Text") for v in "12" for i in range(3)]
+    got = screens.matched_screens(screens.fingerprints(spark.createDataFrame(rows, columns)), "1", "2").collect()
+    assert {(r.screen_a, r.screen_b, r.status) for r in got} == {("old", "new", "renamed"), ("named", "named", "matched")}
+
+
+def test_signals_without_a_session_stay_unlocated(spark):
+    events = spark.createDataFrame([("a", "s", 1, "e1", "home"), ("a", None, 1, "e2", "lost")], "app_id string, session_id string, t int, event_id string, screen_id string").withColumn("timestamp", F.timestamp_seconds("t")).drop("t")
+    signals = spark.createDataFrame([("a", "x1", "s", 2), ("a", "x2", None, 2), ("a", "x3", "s", 0)], "app_id string, signal_id string, session_id string, t int").withColumn("timestamp", F.timestamp_seconds("t")).drop("t")
+    got = {r.signal_id: (r.screen_id, r.position_in_session) for r in risk.located(signals, events).collect()}
+    assert got == {"x1": ("home", 0), "x2": (None, None), "x3": (None, None)}

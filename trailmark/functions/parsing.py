@@ -13,6 +13,7 @@ SENSITIVITY = {
     "high": ("address", "profile", "account", "order", "personal", "email", "phone", "kyc", "identity", "document", "refund", "delete", "export", "contact", "history", "saved", "billing", "invoice"),
     "low": ("search", "notification", "help", "faq", "settings"),
 }
+# Further markers of critical screens.
 CRITICAL_EXTRA = ("checkout", "confirm", "cart", "refund", "delete", "export")
 _ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,9})?)?([+-][0-9]{2}:?[0-9]{2}|Z)?)?$"
 
@@ -73,8 +74,10 @@ def number_of(properties: Column, name: str) -> Column:
 
 
 def snake_case(text: Column) -> Column:
-    spaced = F.regexp_replace(F.regexp_replace(text, r"([A-Z]+)([A-Z][a-z])", "$1_$2"), r"([a-z0-9])([A-Z])", "$1_$2")
-    return F.lower(F.regexp_replace(F.regexp_replace(spaced, r"[^A-Za-z0-9]+", "_"), r"^_+|_+$", ""))
+    """A capital before a small letter opens a word, other characters divide words; ``unknown`` if nothing is left."""
+    spaced = F.regexp_replace(text, r"(?s)(?<=.)(?=[A-Z][a-z])", "_")
+    clean = F.lower(F.regexp_replace(F.regexp_replace(spaced, r"[^a-zA-Z0-9]+", "_"), r"^_+|_+$", ""))
+    return F.coalesce(F.nullif(clean, F.lit("")), F.when(text.isNotNull(), F.lit("unknown")))
 
 
 def title_case(text: Column) -> Column:
@@ -82,8 +85,9 @@ def title_case(text: Column) -> Column:
 
 
 def sensitivity(name: Column) -> Column:
-    """Struct (level, reason): the first marker in list order, critical before high before low."""
-    low = F.lower(name)
+    """Struct (level, reason): the first marker of the snake-case name in list order, critical
+    before high before low."""
+    low = snake_case(name)
     found = F.struct(F.lit("low").alias("level"), F.lit("no marker").alias("reason"))
     for level, markers in reversed(SENSITIVITY.items()):
         hit = F.get(F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(low, m)), F.lit(0))
@@ -92,16 +96,30 @@ def sensitivity(name: Column) -> Column:
 
 
 def critical_screen(name: Column) -> Column:
-    return F.lower(name).rlike("|".join((*SENSITIVITY["critical"], *CRITICAL_EXTRA)))
+    return snake_case(name).rlike("|".join((*SENSITIVITY["critical"], *CRITICAL_EXTRA)))
 
 
 def locator_strategy(value: Column) -> Column:
-    """Strategy that a locator string shows."""
+    """Strategy that a claimed locator shows; an XPath with a predicate [1] to [19] is positional."""
+    text = F.trim(value)
+    positional = text.rlike(r"\[(?:[1-9]|1[0-9])\]")
     return (
-        F.when(value.rlike(r"^\(?//?.*\[[0-9]+\]"), "positional_xpath")
-        .when(value.rlike(r"^\(?//"), "semantic_xpath")
-        .when(value.startswith("**/"), "class_chain")
-        .when(value.rlike(r":id/"), "resource_id")
-        .when(value.rlike(r"^[0-9]+\s*,\s*[0-9]+$"), "coordinates")
+        F.when(text.startswith("~"), "accessibility_id")
+        .when(F.contains(text, F.lit(":id/")) | text.startswith("id="), "resource_id")
+        .when(text.startswith("//") | text.startswith("("), F.when(positional, "positional_xpath").otherwise("semantic_xpath"))
+        .when(text.startswith("**/"), "class_chain")
         .otherwise("accessibility_id")
     )
+
+
+def suite_strategy(value: Column) -> Column:
+    """Strategy of a locator in a test suite, as the suite's summary counts them."""
+    text = F.trim(value)
+    return (
+        F.when(text.startswith("//") | text.startswith("(//"), "xpath")
+        .when(text.startswith("~"), "accessibility_id")
+        .when(F.contains(text, F.lit(":id/")) | text.startswith("id="), "resource_id")
+        .when(text.startswith("-android uiautomator") | text.startswith("-ios"), "platform_query")
+        .when(text.startswith("#") | text.startswith("."), "css")
+        .otherwise("other")
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.functions.parsing import event_id, event_type, ingest_time
@@ -15,7 +15,8 @@ def normalise(records: DataFrame, source: str, tags: DataFrame | None = None, ap
     ``tags``: declared (ord, screen_id, screen_tag); the first declaring screen wins. A tag that no
     screen declares keeps its event, without a screen.
     """
-    rows = CONNECTORS.get(source).adapter(records).withColumn("timestamp", ingest_time(F.col("time_text")))
+    rows = _once(CONNECTORS.get(source).adapter(records).drop("record"))
+    rows = _once(rows.withColumn("timestamp", ingest_time(F.col("time_text"))).drop("time_text"))
     reason = F.when(F.col("event_name").isNull(), "no event name").when(F.col("timestamp").isNull(), "no timestamp")
     rows = rows.withColumns(
         {
@@ -26,12 +27,17 @@ def normalise(records: DataFrame, source: str, tags: DataFrame | None = None, ap
             "event_date": F.to_date("timestamp"),
             "reject_reason": reason,
         }
-    ).drop("record", "time_text")
+    )
     if tags is None:
         return rows.withColumn("screen_id", F.lit(None).cast("string"))
     return resolved(rows, tags)
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """The same rows; what they hold is computed once for each, not again for each later use."""
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
 def resolved(rows: DataFrame, tags: DataFrame, column: str = "screen_tag") -> DataFrame:
     """Rows with ``screen_id`` by tag or page object."""
     first = tags.groupBy(F.col(column).alias("__tag")).agg(F.min_by("screen_id", "ord").alias("screen_id"))
@@ -64,22 +70,25 @@ def exists(spark: SparkSession, path: str) -> bool:
 def insert(batch: DataFrame, path: str, key: str = "event_id", date: str = "event_date") -> int:
     """Append the rows whose key the store lacks; returns how many (K1 to K3).
 
-    The store is partitioned by date and sorted by session within a file; just the dates of the batch
-    are read. The rebalance keeps a date in few files, and splits one that is too large for a task.
+    The store is partitioned by date and sorted by session within a file; just the keys of the
+    batch's dates are read, and the rows are counted as they are written. The rebalance keeps a
+    date in few files, and splits one that is too large for a task.
     """
     spark = batch.sparkSession
-    fresh = batch.dropDuplicates([key]).withColumn(date, F.to_date("timestamp"))
-    if exists(spark, path):
-        fresh = fresh.cache()
-        days = [r[0] for r in fresh.select(date).distinct().collect()]  # at most the days of a batch
-        held = spark.read.parquet(path).where(F.col(date).isin(days)).select(key)
-        new = fresh.join(held, key, "left_anti")
-    else:
-        new = fresh
-    before = spark.read.parquet(path).count() if exists(spark, path) else 0
-    new.hint("rebalance", F.col(date)).sortWithinPartitions(date, "session_id", "timestamp").write.mode("append").partitionBy(date).parquet(path)
-    fresh.unpersist()
-    return spark.read.parquet(path).count() - before
+    dated = batch.withColumn(date, F.to_date("timestamp"))
+    there = exists(spark, path)
+    if there:
+        dated = dated.cache()  # for its dates and its rows
+    new = dated.dropDuplicates([key])
+    if there:
+        days = [r[0] for r in dated.select(date).distinct().collect()]  # at most the days of a batch
+        held = spark.read.schema(dated.select(key, date).schema).parquet(path).where(F.col(date).isin(days)).select(key)
+        new = new.join(held, key, "left_anti")
+    written = Observation()
+    rows = new.observe(written, F.count(F.lit(1)).alias("n"))
+    rows.hint("rebalance", F.col(date)).sortWithinPartitions(date, "session_id", "timestamp").write.mode("append").partitionBy(date).parquet(path)
+    dated.unpersist()
+    return written.get["n"]
 
 
 def counters(events: DataFrame) -> DataFrame:

@@ -58,7 +58,8 @@ def _tagged(hits: Column, kind: str) -> Column:
 def flattened(rows: DataFrame, column: str = "properties", depth: int = DEPTH) -> DataFrame:
     """Each property of a JSON bag, nested ones as ``a.b[0].c``, with key, value text and type.
 
-    A level is one lateral explode; objects and arrays go on to the next, up to ``depth``.
+    A level is one lateral explode; objects and arrays go on to the next. A bag that is nested
+    deeper than ``depth`` fails the query, as nothing may be left unscanned.
     """
     level = rows.select("*", F.try_parse_json(column).alias("__v"), F.lit("").alias("__at")).where("__v IS NOT NULL")
     out = None
@@ -74,7 +75,8 @@ def flattened(rows: DataFrame, column: str = "properties", depth: int = DEPTH) -
         here = exploded.select(*rows.columns, F.col("__at").alias("path"), "key", "type", F.when(~nested, F.try_variant_get("__v", "$", "string")).alias("value"))
         out = here if out is None else out.unionByName(here)
         level = exploded.where(nested).select(*rows.columns, "__v", "__at")
-    return out
+    too_deep = F.raise_error(F.concat(F.lit(f"properties nested deeper than {depth}: "), "__at"))
+    return out.unionByName(level.select(*rows.columns, *[too_deep.cast("string").alias(c) for c in ("path", "key", "type", "value")]))
 
 
 def scan_properties(events: DataFrame, allowed: tuple[str, ...] = (), depth: int = DEPTH) -> DataFrame:

@@ -42,7 +42,8 @@ def freshness(events: DataFrame, now: Column) -> DataFrame:
 
 def checks(events: DataFrame, screens: DataFrame, now: Column, conformance: DataFrame | None = None) -> DataFrame:
     """(app_id, check, value, limit, passed, blocking). ``screens``: declared (app_id, screen_id);
-    ``conformance``: (app_id, conformance_pct) of the tracking plan."""
+    ``conformance``: (app_id, conformance_pct) of the tracking plan. An app with declared screens
+    but no event has volume 0 and no freshness, both breached."""
     one_pass = events.groupBy("app_id").agg(
         F.count("*").cast("double").alias("volume"),
         ((F.unix_micros(now) - F.unix_micros(F.max("timestamp"))) / 3.6e9).alias("freshness_h"),
@@ -53,14 +54,16 @@ def checks(events: DataFrame, screens: DataFrame, now: Column, conformance: Data
     covered = seen.groupBy("app_id").agg((F.count("seen") * 100 / F.count("*")).alias("screen_coverage_pct"))
     order = out_of_order(events).select("app_id", F.coalesce(F.try_divide(F.col("n_out_of_order") * 100, F.col("n_sessions")), F.lit(0.0)).alias("out_of_order_pct"))
     twice = duplicates(events).select("app_id", (F.col("n_duplicates") * 100 / F.col("n_events")).alias("duplicate_pct"))
-    wide = one_pass.join(covered, "app_id", "left").join(order, "app_id", "left").join(twice, "app_id", "left")
+    apps = screens.select("app_id").union(events.select("app_id")).distinct()
+    wide = apps.join(one_pass, "app_id", "left").na.fill(0.0, ["volume"]).join(covered, "app_id", "left").join(order, "app_id", "left").join(twice, "app_id", "left")
     if conformance is not None:
         wide = wide.join(conformance, "app_id", "left")
     names = [c for c in CHECKS if c in wide.columns]
-    long = wide.unpivot("app_id", names, "check", "value").where("value IS NOT NULL")
+    long = wide.unpivot("app_id", names, "check", "value").where("value IS NOT NULL OR check = 'freshness_h'")
     limit, more, blocks = (F.create_map(*[F.lit(x) for k, v in CHECKS.items() for x in (k, v[i])]) for i in range(3))
     rows = long.withColumns({"limit": limit[F.col("check")], "blocking": blocks[F.col("check")]})
-    return rows.withColumn("passed", F.when(more[F.col("check")], F.col("value") >= F.col("limit")).otherwise(F.col("value") <= F.col("limit")))
+    held = F.when(more[F.col("check")], F.col("value") >= F.col("limit")).otherwise(F.col("value") <= F.col("limit"))
+    return rows.withColumn("passed", F.coalesce(held, F.lit(False)))
 
 
 def verdict(check_rows: DataFrame) -> DataFrame:

@@ -13,14 +13,17 @@ def located(signals: DataFrame, events: DataFrame) -> DataFrame:
     Events and signals are one timeline for each session, read with one sort; at equal times
     events come first, so a tie counts as before. Positions count all events of the session, those
     without a screen too. A signal before the first event, or of an unknown session, stays
-    without both. ``signals``: app_id, signal_id, session_id, timestamp and more.
+    without both; signals and events without a session go around the window, as they would all
+    be one group of it. ``signals``: app_id, signal_id, session_id, timestamp and more.
     """
-    line = events.select("app_id", "session_id", "timestamp", F.lit(0).alias("o"), F.col("event_id").cast("string").alias("tie"), F.struct(F.lit(1).alias("is_event"), "screen_id").alias("event"), F.lit(None).cast(signals.select(F.struct("*").alias("s")).schema["s"].dataType).alias("signal"))
-    marks = signals.select("app_id", "session_id", "timestamp", F.lit(1).alias("o"), F.col("signal_id").cast("string").alias("tie"), F.lit(None).cast(line.schema["event"].dataType).alias("event"), F.struct("*").alias("signal"))
+    line = events.where("session_id IS NOT NULL").select("app_id", "session_id", "timestamp", F.lit(0).alias("o"), F.col("event_id").cast("string").alias("tie"), F.struct(F.lit(1).alias("is_event"), "screen_id").alias("event"), F.lit(None).cast(signals.select(F.struct("*").alias("s")).schema["s"].dataType).alias("signal"))
+    marks = signals.where("session_id IS NOT NULL").select("app_id", "session_id", "timestamp", F.lit(1).alias("o"), F.col("signal_id").cast("string").alias("tie"), F.lit(None).cast(line.schema["event"].dataType).alias("event"), F.struct("*").alias("signal"))
     ordered = W.partitionBy("app_id", "session_id").orderBy("timestamp", "o", F.length("tie"), "tie").rowsBetween(W.unboundedPreceding, 0)
     seen = line.unionByName(marks).withColumns({"last_event": F.last("event", ignorenulls=True).over(ordered), "n": F.count("event").over(ordered)})
-    known = F.col("session_id").isNotNull() & (F.col("n") > 0)
-    return seen.where("o = 1").select("signal.*", F.when(known, F.col("last_event.screen_id")).alias("screen_id"), F.when(known, F.col("n") - 1).alias("position_in_session"))
+    known = F.col("n") > 0
+    found = seen.where("o = 1").select("signal.*", F.when(known, F.col("last_event.screen_id")).alias("screen_id"), F.when(known, F.col("n") - 1).alias("position_in_session"))
+    lost = signals.where("session_id IS NULL")
+    return found.unionByName(lost.select("*", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("screen_id", "position_in_session")]))
 
 
 def by_screen(located_rows: DataFrame) -> DataFrame:

@@ -152,14 +152,16 @@ def _bag(a: Column, b: Column) -> Column:
 
 
 def screen_pairs(fingerprint_rows: DataFrame, before: str, after: str) -> DataFrame:
-    """(app_id, screen, other, similarity) of two builds' screens that share an id, a text or a type (L2)."""
+    """(app_id, screen, other, similarity) of two builds' screens that share an id, a text or the
+    name, or both have no ids (L2). Others stay below what counts as the same screen, as their
+    disjoint ids weigh more than half."""
     sides = []
     for version, name in ((before, "a"), (after, "b")):
         side = fingerprint_rows.where(F.col("app_version") == version)
         sides.append(side.select("app_id", F.col("screen_id").alias(f"screen_{name}"), F.col("ids").alias(f"ids_{name}"), F.col("texts").alias(f"texts_{name}"), F.col("types").alias(f"types_{name}")))
     keyed = []
     for side, name in zip(sides, "ab", strict=True):
-        marks = F.concat(F.transform(f"ids_{name}", lambda x: F.concat(F.lit("i:"), x)), F.transform(f"texts_{name}", lambda x: F.concat(F.lit("t:"), x)), F.array(F.concat(F.lit("s:"), f"screen_{name}")))
+        marks = F.concat(F.transform(f"ids_{name}", lambda x: F.concat(F.lit("i:"), x)), F.transform(f"texts_{name}", lambda x: F.concat(F.lit("t:"), x)), F.array(F.concat(F.lit("s:"), f"screen_{name}")), F.when(F.size(f"ids_{name}") == 0, F.array(F.lit("no ids"))).otherwise(F.array().cast("array<string>")))
         keyed.append(side.select("app_id", f"screen_{name}", F.explode(marks).alias("mark")))
     met = keyed[0].join(keyed[1], ["app_id", "mark"]).select("app_id", "screen_a", "screen_b").distinct()
     rows = met.join(sides[0], ["app_id", "screen_a"]).join(sides[1], ["app_id", "screen_b"])

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailmark.functions.cutting import new_path
-from trailmark.functions.parsing import locator_strategy
+from trailmark.functions.parsing import locator_strategy, suite_strategy
 from trailmark.operators import archetypes, coverage, gates, graph, outcomes, quality, readiness, risk, screens
 from trailmark.plans import clusters, contracts, journeys, testing
 from trailmark.sources import driver
@@ -353,9 +353,18 @@ def x_journey_gate(spark, sf_dir):
     return gates.verdicts(gates.journey_gate(archetypes.compression(rows), archetypes.named(rows, seen), unseen))
 
 
-@query(f"{CANDIDATES} SELECT strategy, count(*) AS n FROM l GROUP BY strategy")
+#: Parts as claimed locators of all forms.
+CLAIMED = """v AS (SELECT p_partkey, CASE p_partkey % 14 WHEN 0 THEN '~' || p_name WHEN 1 THEN 'id=x' || p_partkey WHEN 2 THEN 'com.app:id/x' WHEN 3 THEN '//a[' || p_partkey || ']' WHEN 4 THEN '(//a)[3]' WHEN 5 THEN '//a[@text=''b'']'
+WHEN 6 THEN '(/a/b' WHEN 7 THEN '**/XCUIElementTypeCell' WHEN 8 THEN '10, 20' WHEN 9 THEN '-android uiautomator x' WHEN 10 THEN '-ios predicate y' WHEN 11 THEN '#css' WHEN 12 THEN '.css' ELSE '  ' || p_name END AS value FROM part)"""
+
+
+@query(f"""WITH {CLAIMED}, t AS (SELECT p_partkey, trim(value) AS value FROM v)
+SELECT p_partkey, CASE WHEN value LIKE '~%' THEN 'accessibility_id' WHEN contains(value, ':id/') OR value LIKE 'id=%' THEN 'resource_id'
+  WHEN value LIKE '//%' OR value LIKE '(%' THEN CASE WHEN len([1 FOR k IN range(1, 20) IF contains(value, '[' || k || ']')]) > 0 THEN 'positional_xpath' ELSE 'semantic_xpath' END
+  WHEN value LIKE '**/%' THEN 'class_chain' ELSE 'accessibility_id' END AS strategy,
+  CASE WHEN value LIKE '//%' OR value LIKE '(//%' THEN 'xpath' WHEN value LIKE '~%' THEN 'accessibility_id' WHEN contains(value, ':id/') OR value LIKE 'id=%' THEN 'resource_id'
+  WHEN value LIKE '-android uiautomator%' OR value LIKE '-ios%' THEN 'platform_query' WHEN value LIKE '#%' OR value LIKE '.%' THEN 'css' ELSE 'other' END AS in_suite FROM t""")
 def p_locator_strategy(spark, sf_dir):
-    """Strategies told from the locator strings alone."""
-    rows = screens.candidates(elements(spark, sf_dir))
-    value = F.when(F.col("strategy") == "positional_xpath", F.concat(F.lit("/"), "value")).otherwise(F.col("value"))
-    return rows.select(locator_strategy(value).alias("strategy")).groupBy("strategy").agg(F.count("*").alias("n"))
+    """Strategies told from the locator strings alone, by the resolver's and by the suite's rules."""
+    rows = spark.sql(f"WITH part AS (SELECT * FROM {{part}}), {CLAIMED} SELECT * FROM v", part=driver.table(spark, sf_dir, "part"))
+    return rows.select("p_partkey", locator_strategy(F.col("value")).alias("strategy"), suite_strategy(F.col("value")).alias("in_suite"))

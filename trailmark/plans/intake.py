@@ -84,10 +84,16 @@ def p_timestamps(spark, sf_dir):
     return rows.select("event_id", *[F.unix_micros(parsing.ingest_time(form)).alias(name) for name, form in forms.items()])
 
 
-@query("SELECT p_partkey, replace(lower(p_type), ' ', '_') AS snake, CASE WHEN lower(p_name) LIKE '%pin%' THEN 'critical' ELSE 'low' END AS level FROM part")
+NAMES = """n AS (SELECT p_partkey, CASE p_partkey % 16 WHEN 0 THEN 'Sign In' WHEN 1 THEN 'Sign-In' WHEN 2 THEN 'userID' WHEN 3 THEN 'UserProfileScreen' WHEN 4 THEN '' WHEN 5 THEN '--' WHEN 6 THEN 'OrderHistory' WHEN 7 THEN 'HTMLPage' WHEN 8 THEN 'FAQ page' WHEN 9 THEN 'Payment' ELSE p_name || ' ' || p_type END AS name FROM part)"""
+
+
+@query(f"""WITH {NAMES}, s AS (SELECT p_partkey, coalesce(nullif(lower(trim(regexp_replace(regexp_replace(name, '(.)([A-Z][a-z])', '\\1_\\2', 'g'), '[^a-zA-Z0-9]+', '_', 'g'), '_')), ''), 'unknown') AS snake FROM n)
+SELECT p_partkey, snake, CASE WHEN regexp_matches(snake, '{"|".join(parsing.SENSITIVITY["critical"])}') THEN 'critical' WHEN regexp_matches(snake, '{"|".join(parsing.SENSITIVITY["high"])}') THEN 'high' ELSE 'low' END AS level FROM s""")
 def p_names(spark, sf_dir):
-    rows = driver.table(spark, sf_dir, "part")
-    return rows.select("p_partkey", parsing.snake_case(F.col("p_type")).alias("snake"), parsing.sensitivity(F.col("p_name"))["level"].alias("level"))
+    """Names with capitals, blanks and signs in snake case, and their sensitivity."""
+    name = spark.sql(f"WITH part AS (SELECT * FROM {{part}}), {NAMES} SELECT * FROM n", part=driver.table(spark, sf_dir, "part"))
+    return name.select("p_partkey", parsing.snake_case(F.col("name")).alias("snake"), parsing.sensitivity(F.col("name"))["level"].alias("level"))
+
 
 
 TAGS = "(SELECT DISTINCT event_type AS tag FROM events WHERE event_type <> 'error')"

@@ -315,6 +315,16 @@ def q_checks(spark, sf_dir):
     return quality.checks(rows, screens, now).select("check", F.round("value", 6).alias("value"), "limit", "passed", "blocking")
 
 
+@query("""SELECT "check", CAST(value AS DOUBLE) AS value, CAST("limit" AS DOUBLE) AS "limit", passed, blocking FROM (VALUES ('volume', 0.0, 1000.0, false, true), ('freshness_h', NULL, 4.0, false, true), ('screen_coverage_pct', 0.0, 90.0, false, true)) AS t("check", value, "limit", passed, blocking) WHERE EXISTS (FROM events)""")
+def q_checks_of_silent_app(spark, sf_dir):
+    """An app with declared screens and no event yet breaches its checks."""
+    rows = driver.events(spark, sf_dir)
+    screens = rows.select("app_id", "screen_id").distinct()
+    silent = screens.select(F.lit("silent").alias("app_id"), "screen_id")
+    found = quality.checks(rows, screens.union(silent), F.lit("2024-02-01 00:00:00").cast("timestamp")).where("app_id = 'silent'")
+    return found.select("check", "value", "limit", "passed", "blocking")
+
+
 @query("SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'android' ELSE 'ios' END AS platform FROM events")
 def p_platform(spark, sf_dir):
     return driver.events(spark, sf_dir).select("event_id", parity.platform_of(F.col("platform")).alias("platform"))

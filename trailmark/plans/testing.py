@@ -25,8 +25,8 @@ def query(sql: str | None = None):
 
 
 def refs(spark, sf_dir):
-    """Steps of every seventh user's traces as screen references of tests; clicks are unsure."""
-    steps = journeys.steps(spark, sf_dir, "1.0").where("CAST(session_id AS INT) % 7 = 0")
+    """Steps of all traces as screen references of tests; clicks are unsure."""
+    steps = journeys.steps(spark, sf_dir, "1.0")
     confidence = F.when(F.col("screen_id") == "click", "low").when(F.col("screen_id") == "view", "medium").otherwise("high")
     return steps.select("app_id", F.col("trace_id").alias("test_id"), "screen_id", confidence.alias("confidence"), F.col("step_no").alias("line"), F.lit(0).alias("ord"))
 
@@ -57,7 +57,7 @@ def golden(spark, sf_dir):
 
 
 BASE = f"""{EV}, {ctes('0', 'early')}, {ctes('1', 'NOT early')},
-refs AS (SELECT trace_id AS test_id, screen_id, step_no FROM steps0 WHERE CAST(session_id AS INT) % 7 = 0),
+refs AS (SELECT trace_id AS test_id, screen_id, step_no FROM steps0),
 sure AS (SELECT *, lag(screen_id) OVER (PARTITION BY test_id ORDER BY step_no) AS before FROM refs WHERE screen_id <> 'click'),
 tp AS (SELECT test_id, list(screen_id ORDER BY step_no) AS walk FROM sure WHERE before IS NULL OR before <> screen_id GROUP BY test_id),
 tt AS (SELECT DISTINCT test_id, walk[i] AS source, walk[i + 1] AS target FROM (SELECT test_id, walk, unnest(generate_series(1, len(walk) - 1)) AS i FROM tp)),
