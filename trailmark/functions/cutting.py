@@ -11,10 +11,12 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``. Only where the session has none (tests on one machine) a
-    temporary folder is made."""
+    """``spark.checkpoint.dir``. Only where the session has none and runs on one machine (tests) a
+    temporary folder is made; on a cluster its machines would not share that."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own[:] = _own or [tempfile.mkdtemp(prefix="trailmark-")]
         folder = _own[0]
     return folder.rstrip("/")

@@ -27,7 +27,29 @@ def found(spark, sf_dir):
     return variants.variants(journeys.traces(spark, sf_dir))
 
 
-@query()
+#: DuckDB, brute force: variants ranked, the longest common subsequence of all pairs row by row, and
+#: the sequential clustering, one variant after another.
+RANKED = f"""{journeys.ONE.replace("WITH ev AS", "WITH RECURSIVE ev AS", 1)},
+rk AS (SELECT row_number() OVER (ORDER BY n_sessions DESC, string_split(path, ' > ')) AS rank, path, n_sessions, total_us, string_split(path, ' > ') AS p FROM variants),
+en AS (SELECT *, CASE WHEN p[-1] = 'purchase' THEN p[-1] ELSE '(open)' END AS ends, len(p) AS n FROM rk),
+pr AS (SELECT a.rank AS i, b.rank AS j, a.p AS pa, b.p AS pb FROM en a JOIN en b ON a.rank < b.rank AND a.ends = b.ends AND least(a.n, b.n) >= 0.65 * greatest(a.n, b.n)),
+dp AS (SELECT i, j, pa, pb, 0 AS step, [0 FOR x IN range(0, len(pa) + 1)] AS above FROM pr
+  UNION ALL SELECT i, j, pa, pb, step + 1, [CASE WHEN k = 0 THEN 0 ELSE list_max([greatest(above[m + 1], CASE WHEN pa[m] = pb[step + 1] THEN above[m] + 1 ELSE 0 END) FOR m IN range(1, k + 1)]) END FOR k IN range(0, len(pa) + 1)]
+  FROM dp WHERE step < len(pb)),
+sim AS (SELECT i, j, above[-1] / greatest(len(pa), len(pb)) AS sim FROM dp WHERE step = len(pb) AND above[-1] / greatest(len(pa), len(pb)) >= 0.65)"""
+MEMBERS = f"""{RANKED},
+near AS (SELECT en.rank, list(sim.i ORDER BY sim.sim DESC, sim.i) FILTER (sim.i IS NOT NULL) AS earlier FROM en LEFT JOIN sim ON sim.j = en.rank GROUP BY en.rank),
+walk AS (SELECT CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS seed, CAST([] AS BIGINT[]) AS seeds
+  UNION ALL SELECT rank, coalesce(found, rank), CASE WHEN found IS NULL THEN list_append(seeds, rank) ELSE seeds END
+  FROM (SELECT near.rank, walk.seeds, ([x FOR x IN near.earlier IF list_contains(walk.seeds, x)])[1] AS found FROM walk JOIN near ON near.rank = walk.rank + 1)),
+mb AS (SELECT en.*, walk.seed FROM walk JOIN en USING (rank))"""
+ARCHETYPES = f"""{MEMBERS},
+gr AS (SELECT seed, CAST(sum(n_sessions) AS BIGINT) AS n_sessions, count(*) AS n_variants FROM mb GROUP BY seed),
+cu AS (SELECT *, round(n_sessions * 100 / sum(n_sessions) OVER (), 2) AS share, row_number() OVER (ORDER BY n_sessions DESC, seed) AS nth FROM gr),
+re AS (SELECT *, sum(share) OVER (ORDER BY nth ROWS UNBOUNDED PRECEDING) AS reached FROM cu)"""
+
+
+@query(f"{RANKED} SELECT i, j, sim FROM sim")
 def c_pair_similarity(spark, sf_dir):
     """Pairs of variants that reach the threshold."""
     rows = archetypes.ranked(found(spark, sf_dir), CRITICAL)
@@ -44,7 +66,7 @@ def c_backbone(spark, sf_dir):
     return joined.select(journeys.path_text(), F.array_join("common", " > ").alias("backbone"), F.col("lcs").cast("long").alias("lcs"))
 
 
-@query()
+@query(f"{MEMBERS} SELECT path, rank, seed, n_sessions FROM mb")
 def c_archetype_members(spark, sf_dir):
     return archetypes.members(found(spark, sf_dir), CRITICAL).select(journeys.path_text(), "rank", "seed", "n_sessions")
 
@@ -61,7 +83,7 @@ def c_archetypes_capped(spark, sf_dir):
     return rows.select(journeys.path_text(), "rank", "seed", "n_sessions")
 
 
-@query()
+@query(f"{ARCHETYPES} SELECT sum(n_variants) / count(*) AS compression, count(*) AS n_archetypes, min(nth) FILTER (reached >= 95) AS n_needed, sum(share) FILTER (nth <= 10) AS top_pct FROM re")
 def c_compression(spark, sf_dir):
     return archetypes.compression(archetypes.archetypes(archetypes.members(found(spark, sf_dir), CRITICAL))).drop("app_id")
 
