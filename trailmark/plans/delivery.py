@@ -65,22 +65,45 @@ def l_dump_summary(spark, sf_dir):
     return screens.summary(elements(spark, sf_dir)).drop("app_id")
 
 
-@query()
+@query(f"""{E}, u AS (SELECT *, string_split(resource_id, '/')[-1] AS short FROM e),
+n AS (SELECT *, count(accessibility_id) OVER (PARTITION BY app_version, screen_id, accessibility_id) AS na, count(short) OVER (PARTITION BY app_version, screen_id, short) AS nr, count(text) OVER (PARTITION BY app_version, screen_id, text) AS nt FROM u),
+b AS (SELECT *, lower(regexp_replace(coalesce(CASE WHEN na = 1 THEN accessibility_id END, CASE WHEN nr = 1 THEN short END, CASE WHEN nt = 1 THEN text END, string_split(element_type, '.')[-1]), '[^A-Za-z0-9]+', '_', 'g')) AS base FROM n)
+SELECT app_version, screen_id, doc_pos, base || CASE WHEN nth > 1 THEN '_' || nth ELSE '' END AS role FROM (SELECT *, row_number() OVER (PARTITION BY app_version, screen_id, base ORDER BY doc_pos) AS nth FROM b)""")
 def l_roles(spark, sf_dir):
     return screens.roles(elements(spark, sf_dir)).select("app_version", "screen_id", "doc_pos", "role")
 
 
-@query()
+FINGERPRINTS = f"""WITH RECURSIVE {E.removeprefix('WITH ')},
+ty AS (SELECT app_version, screen_id, string_split(element_type, '.')[-1] AS t, count(*) AS n FROM e GROUP BY ALL),
+fp AS (SELECT app_version, screen_id, coalesce(list(DISTINCT accessibility_id ORDER BY accessibility_id) FILTER (accessibility_id IS NOT NULL), []) AS ids, list(DISTINCT nullif(left(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 60), '')) AS words,
+  (SELECT list({{'t': t, 'n': n}} ORDER BY t) FROM ty WHERE ty.app_version = e.app_version AND ty.screen_id = e.screen_id) AS types FROM e GROUP BY app_version, screen_id),
+fq AS (SELECT app_version, screen_id, ids, types, list_sort([x FOR x IN words IF x IS NOT NULL]) AS texts FROM fp)"""
+#: All pairs of screens of the two releases, and the greedy claims one screen after another.
+MATCHES = f"""{FINGERPRINTS},
+ab AS (SELECT a.screen_id AS screen_a, b.screen_id AS screen_b, a.ids AS ia, b.ids AS ib, a.texts AS xa, b.texts AS xb, a.types AS ta, b.types AS tb FROM fq a, fq b WHERE a.app_version = '1' AND b.app_version = '2'),
+sc AS (SELECT screen_a, screen_b, CASE WHEN len(ia) + len(ib) = 0 THEN 1.0 ELSE len(list_intersect(ia, ib)) / len(list_distinct(ia || ib)) END AS ji, CASE WHEN len(xa) + len(xb) = 0 THEN 1.0 ELSE len(list_intersect(xa, xb)) / len(list_distinct(xa || xb)) END AS jx,
+  list_distinct([x.t FOR x IN ta] || [x.t FOR x IN tb]) AS names, map_from_entries(ta) AS ma, map_from_entries(tb) AS mb FROM ab),
+pr AS (SELECT screen_a, screen_b, round(ji * 0.55::DOUBLE + list_sum([least(coalesce(ma[k], 0), coalesce(mb[k], 0)) FOR k IN names]) / list_sum([greatest(coalesce(ma[k], 0), coalesce(mb[k], 0)) FOR k IN names]) * 0.25::DOUBLE + jx * 0.2::DOUBLE, 4) AS similarity FROM sc),
+ok AS (FROM pr WHERE similarity >= 0.55), same AS (FROM ok WHERE screen_a = screen_b),
+todo AS (SELECT row_number() OVER (ORDER BY screen_a) AS nth, screen_a, list({{'b': screen_b, 's': similarity}} ORDER BY similarity DESC, screen_b) AS options FROM ok WHERE screen_a NOT IN (SELECT screen_a FROM same) GROUP BY screen_a),
+claim AS (SELECT CAST(0 AS BIGINT) AS nth, CAST(NULL AS VARCHAR) AS screen_a, CAST(NULL AS STRUCT(b VARCHAR, s DOUBLE)) AS got, coalesce((SELECT list(screen_b) FROM same), []) AS taken
+  UNION ALL SELECT nth, screen_a, got, CASE WHEN got IS NULL THEN taken ELSE list_append(taken, got.b) END FROM (SELECT todo.nth, todo.screen_a, ([x FOR x IN todo.options IF NOT list_contains(claim.taken, x.b)])[1] AS got, claim.taken FROM claim JOIN todo ON todo.nth = claim.nth + 1)),
+held AS (SELECT screen_a, screen_b, 'matched' AS status, similarity FROM same UNION ALL SELECT screen_a, got.b, 'renamed', got.s FROM claim WHERE got IS NOT NULL),
+lost AS (SELECT a.screen_id AS screen_a, b.screen_id AS screen_b, CASE WHEN b.screen_id IS NULL THEN 'not_captured' ELSE 'changed' END AS status, CAST(NULL AS DOUBLE) AS similarity FROM fq a LEFT JOIN fq b ON b.app_version = '2' AND b.screen_id = a.screen_id WHERE a.app_version = '1' AND a.screen_id NOT IN (SELECT screen_a FROM held)),
+both_ AS (FROM held UNION ALL FROM lost), mt AS (FROM both_ UNION ALL SELECT NULL, screen_id, 'new', NULL FROM fq WHERE app_version = '2' AND screen_id NOT IN (SELECT screen_b FROM both_ WHERE screen_b IS NOT NULL))"""
+
+
+@query(f"""{FINGERPRINTS} SELECT app_version, screen_id, left(sha256(CAST(to_json({{'ids': ids, 'types': types, 'texts': texts}}) AS VARCHAR)), 16) AS digest, CAST(len(ids) AS INTEGER) AS n_ids, CAST(len(texts) AS INTEGER) AS n_texts FROM fq""")
 def l_fingerprints(spark, sf_dir):
     return screens.fingerprints(elements(spark, sf_dir)).select("app_version", "screen_id", "digest", F.size("ids").alias("n_ids"), F.size("texts").alias("n_texts"))
 
 
-@query()
+@query(f"{MATCHES} FROM mt")
 def l_screen_matches(spark, sf_dir):
     return screens.matched_screens(screens.fingerprints(elements(spark, sf_dir)), "1", "2").drop("app_id")
 
 
-@query()
+@query(f"{MATCHES} SELECT count(*) AS n_comparable, count(*) FILTER (status = 'matched') * 100 / count(*) AS stability_pct FROM mt WHERE status NOT IN ('not_captured', 'new')")
 def l_identity_stability(spark, sf_dir):
     return screens.identity_stability(screens.matched_screens(screens.fingerprints(elements(spark, sf_dir)), "1", "2")).drop("app_id")
 
@@ -91,12 +114,23 @@ def l_resolution(spark, sf_dir):
     return screens.screen_resolution(screens.best(screens.candidates(elements(spark, sf_dir)))).drop("app_id", "n_ambiguous", "n_fragile")
 
 
-@query()
+HEALED = f"""{CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY app_version, screen_id, doc_pos ORDER BY stability DESC, matches, value) AS place FROM l),
+b AS (SELECT app_version, screen_id, doc_pos, arg_min(strategy, place) AS strategy, arg_min(value, place) AS value FROM r WHERE usable GROUP BY ALL),
+o AS (SELECT b.screen_id, b.doc_pos, b.strategy, b.value, count(x.value) AS found FROM b LEFT JOIN l x ON x.app_version = '2' AND x.screen_id = b.screen_id AND x.strategy = b.strategy AND x.value = b.value WHERE b.app_version = '1' GROUP BY ALL),
+c2 AS (SELECT o.screen_id, o.doc_pos, q.doc_pos AS other, 0.0::DOUBLE + CASE WHEN p.accessibility_id = q.accessibility_id THEN 0.45::DOUBLE ELSE 0 END + CASE WHEN p.text = q.text THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN p.element_type = q.element_type THEN 0.15::DOUBLE ELSE 0 END
+  + CASE WHEN p.resource_id = q.resource_id THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN p.clickable = q.clickable THEN 0.05::DOUBLE ELSE 0 END AS likeness FROM o JOIN e p ON p.app_version = '1' AND p.screen_id = o.screen_id AND p.doc_pos = o.doc_pos JOIN e q ON q.app_version = '2' AND q.screen_id = o.screen_id WHERE o.found = 0),
+t AS (SELECT screen_id, doc_pos, arg_max(other, likeness * 1e9 - other) AS other FROM c2 WHERE likeness >= 0.45 GROUP BY ALL),
+w AS (SELECT strategy, CAST(base AS DOUBLE) AS level FROM (VALUES ('accessibility_id', 1.0), ('resource_id', 0.8), ('semantic_xpath', 0.55)) AS v(strategy, base)),
+h AS (SELECT o.screen_id, o.doc_pos, o.strategy, o.value, CASE WHEN found = 1 THEN 'fine' WHEN found > 1 THEN 'ambiguous' WHEN b.value IS NULL THEN 'unrepairable' WHEN (SELECT level FROM w WHERE w.strategy = b.strategy) < (SELECT level FROM w WHERE w.strategy = o.strategy) THEN 'review' ELSE 'repaired' END AS status,
+  b.strategy AS new_strategy, b.value AS new_value FROM o LEFT JOIN t USING (screen_id, doc_pos) LEFT JOIN b ON b.app_version = '2' AND b.screen_id = o.screen_id AND b.doc_pos = t.other)"""
+
+
+@query(f"{HEALED} FROM h")
 def l_healing(spark, sf_dir):
     return screens.healed(elements(spark, sf_dir), "1", "2").select("screen_id", "doc_pos", "strategy", "value", "status", "new_strategy", "new_value")
 
 
-@query()
+@query(f"{HEALED} SELECT strategy, count(*) AS n, count(*) FILTER (status = 'fine') * 100 / count(*) AS survived_pct, count(*) FILTER (status = 'repaired') AS n_repaired, count(*) FILTER (status = 'review') AS n_review, count(*) FILTER (status = 'unrepairable') AS n_unrepairable FROM h GROUP BY strategy")
 def l_survival(spark, sf_dir):
     return screens.survival(screens.healed(elements(spark, sf_dir), "1", "2")).drop("app_id")
 
@@ -109,7 +143,7 @@ def l_claims(spark, sf_dir):
     return screens.verified_claims(claims, screens.candidates(rows.where("app_version = '2'"))).select("screen_id", F.col("role").alias("kind"), "value", "status")
 
 
-@query()
+@query(f"{E} SELECT screen_id, arg_min('role' || app_version || '_' || doc_pos, (app_version, 'role' || app_version || '_' || doc_pos)) AS role, accessibility_id AS value FROM e WHERE accessibility_id IS NOT NULL GROUP BY screen_id, accessibility_id")
 def l_merged_locators(spark, sf_dir):
     ranked = screens.candidates(elements(spark, sf_dir))
     sources = ranked.select("app_id", "screen_id", F.col("app_version").cast("int").alias("source_ord"), F.concat(F.lit("role"), "app_version", F.lit("_"), "doc_pos").alias("role"), "strategy", "value", F.lit(1).alias("matches")).where("strategy = 'accessibility_id'")

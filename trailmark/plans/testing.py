@@ -156,7 +156,12 @@ def k_tickets(spark, sf_dir):
     return gaps.tickets(findings(spark, sf_dir)).select("summary", "priority")
 
 
-@query()
+@query(f"""{FOUND}, l(measure, label) AS (SELECT 'severity', unnest(['info', 'low', 'medium', 'high', 'critical']) UNION ALL SELECT 'kind', unnest(['coverage_gap', 'obsolete', 'stale', 'over_tested', 'assertion_gap', 'unmapped_test', 'protected_retained'])),
+g AS (SELECT CAST(count(*) AS DOUBLE) AS n_transitions, CAST(count(*) FILTER (n_tests > 0) AS DOUBLE) AS n_covered, CAST(count(*) FILTER (n_tests > 0) * 100 / count(*) AS DOUBLE) AS covered_pct, CAST(coalesce(sum(weight) FILTER (n_tests > 0), 0) * 100 / sum(weight) AS DOUBLE) AS weighted_pct,
+  (SELECT CAST(count(*) AS DOUBLE) FROM jc WHERE coverage = 1) AS journeys_full, (SELECT CAST(count(*) AS DOUBLE) FROM jc WHERE coverage = 0) AS journeys_none, (SELECT CAST(count(DISTINCT test_id) AS DOUBLE) FROM refs WHERE test_id NOT IN (SELECT test_id FROM tp)) AS unmapped_tests FROM tc)
+SELECT metric, '{{}}' AS labels, value FROM (UNPIVOT g ON COLUMNS(*) INTO NAME metric VALUE value)
+UNION ALL SELECT 'findings', '{{"' || measure || '":"' || label || '"}}', (SELECT CAST(count(*) AS DOUBLE) FROM f WHERE CASE measure WHEN 'kind' THEN kind ELSE severity END = label) FROM l
+UNION ALL SELECT 'journey_coverage', '{{"journey":"' || journey_id || '"}}', CAST(coverage AS DOUBLE) FROM (SELECT journey_id, coverage, row_number() OVER (ORDER BY n_sessions DESC, journey_id) AS nth FROM jc JOIN variants1 ON path = journey_id) WHERE nth <= 20""")
 def k_metrics(spark, sf_dir):
     walked, goals = tested(spark, sf_dir), golden(spark, sf_dir)
     covered = coverage.journey_coverage(goals, walked)
