@@ -195,3 +195,27 @@ def named(rows: DataFrame, screens: DataFrame) -> DataFrame:
     )
     joined = rows.join(facts, ["app_id", "archetype_id"]).withColumn("outcome", outcome(F.col("representative")))
     return joined.withColumn("name", F.concat("first_name", F.lit(" to "), "last_name", F.lit(" ("), "outcome", F.lit(")")))
+
+
+def catalogue(scored: DataFrame) -> DataFrame:
+    """The journey catalogue (K11), a row for each scored and named archetype."""
+    total = F.sum("n_sessions").over(W.partitionBy("app_id"))
+    money = F.coalesce(F.col("monetary").cast("double"), F.lit(0.0))
+    return scored.select(
+        "app_id", F.col("archetype_id").alias("journey_id"), "rank", "name", F.round("score", 2).alias("score"), F.col("representative").alias("sequence"), "backbone", F.col("n_sessions").alias("sessions"),
+        F.round(F.col("n_sessions") * 100 / total, 2).alias("session_share_pct"), F.col("n_users").alias("users"), F.col("n_variants").alias("variants"), "mean_duration_s", F.round(money, 2).alias("monetary_total"),
+        F.col("signals").alias("risk_events"), F.struct(*[F.round(c, 4).alias(c) for c in WEIGHTS]).alias("components"), "terminal_screens",
+    )
+
+
+def terminal_screens(member_rows: DataFrame) -> DataFrame:
+    """(app_id, seed, terminal_screens): last screens of an archetype's variants with their sessions,
+    most first."""
+    ends = member_rows.groupBy("app_id", "seed", F.element_at("path", -1).alias("screen_id")).agg(F.sum("n_sessions").alias("n"))
+    falling = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "screen_id", "n")))
+    return ends.groupBy("app_id", "seed").agg(F.transform(falling, lambda x: F.struct(x["screen_id"].alias("screen_id"), x["n"].alias("n_sessions"))).alias("terminal_screens"))
+
+
+def save_catalogue(rows: DataFrame, path: str) -> None:
+    """Write a catalogue as JSON lines by app, in place of what these apps had."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False).partitionBy("app_id").json(path)

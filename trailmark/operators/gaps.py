@@ -158,3 +158,14 @@ def guarded(rows: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
     checked = protected(rows, patterns)
     message = F.concat(F.lit("protected test in a deletion: "), F.col("test_id"))
     return checked.withColumn("test_id", F.when(F.col("pattern").isNull(), F.col("test_id")).otherwise(F.raise_error(message).cast("string"))).drop("pattern", "reason")
+
+
+def stale_entries(registry: DataFrame, today: Column) -> DataFrame:
+    """Registry entries past their review date (Q16). ``registry``: app_id, pattern, category,
+    reason, owner, review_by; an entry without a date is never reviewed, so it is stale too."""
+    return registry.where(F.col("review_by").isNull() | (F.col("review_by") < today))
+
+
+def entries_by_category(registry: DataFrame, today: Column) -> DataFrame:
+    """(app_id, category, n_entries, n_stale) of a registry (Q16)."""
+    return registry.groupBy("app_id", "category").agg(F.count("*").alias("n_entries"), F.count_if(F.col("review_by").isNull() | (F.col("review_by") < today)).alias("n_stale"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailmark.functions import sequences
+from trailmark.functions.cutting import new_path
 from trailmark.operators import archetypes, risk, variants
 from trailmark.plans import journeys
 
@@ -88,10 +89,8 @@ def c_compression(spark, sf_dir):
     return archetypes.compression(archetypes.archetypes(archetypes.members(found(spark, sf_dir), CRITICAL))).drop("app_id")
 
 
-@query()
-def c_scores(spark, sf_dir):
+def scored(spark, sf_dir, member_rows):
     """Archetypes with score, rank, outcome and name."""
-    member_rows = archetypes.members(found(spark, sf_dir), CRITICAL)
     rows = archetypes.archetypes(member_rows)
     signals = risk.by_screen(journeys.located(spark, sf_dir))
     money = variants.monetary(journeys.traces(spark, sf_dir)).join(member_rows.select("app_id", "path", "seed"), ["app_id", "path"]).groupBy("app_id", "seed").agg(F.sum("monetary").alias("monetary"))
@@ -99,5 +98,37 @@ def c_scores(spark, sf_dir):
     seen = journeys.driver.events(spark, sf_dir).select("app_id", "screen_id").distinct()
     critical = F.col("screen_id").isin(CRITICAL)
     screens = seen.select("*", F.when(critical, 0.4).otherwise(0.0).alias("value"), critical.alias("critical"), F.initcap("screen_id").alias("display_name"), F.lit("shop").alias("domain"))
-    scored = archetypes.named(archetypes.scores(rows, signals, money, screens.select("app_id", "screen_id", "value", "critical")), screens)
-    return scored.select("archetype_id", "rank", *[F.round(c, 6).alias(c) for c in (*archetypes.WEIGHTS, "score")], "outcome", "name")
+    return archetypes.named(archetypes.scores(rows, signals, money, screens.select("app_id", "screen_id", "value", "critical")), screens)
+
+
+SCORES = f"""{ARCHETYPES},
+rp AS (SELECT mb.seed, mb.p AS walk, mb.path FROM mb WHERE mb.rank = mb.seed), an AS (SELECT 'aj_' || lpad(CAST(nth AS VARCHAR), 3, '0') AS archetype_id, seed, n_sessions, n_variants, rp.walk, rp.path FROM cu JOIN rp USING (seed)),
+ws AS (SELECT DISTINCT seed, unnest(p) AS screen_id FROM mb),
+rk2 AS (FROM ({journeys.ORACLE_SQL["q_risk_by_screen"]})), mo AS (SELECT string_split(path, ' > ') AS p, monetary FROM ({journeys.ORACLE_SQL["m_monetary"]})),
+fa AS (SELECT an.*, coalesce((SELECT sum(n_signals) FROM ws JOIN rk2 USING (screen_id) WHERE ws.seed = an.seed), 0) AS signals, EXISTS (FROM ws WHERE ws.seed = an.seed AND screen_id = 'purchase') AS critical,
+  coalesce((SELECT CAST(sum(monetary) AS DOUBLE) FROM mb JOIN mo USING (p) WHERE mb.seed = an.seed), 0) AS monetary FROM an),
+co AS (SELECT *, ln(1 + n_sessions) / max(ln(1 + n_sessions)) OVER () AS frequency, coalesce(signals / nullif(max(signals) OVER (), 0), 0) AS risk, greatest(coalesce(monetary / nullif(max(monetary) OVER (), 0), 0), CASE WHEN critical THEN 0.9 ELSE 0 END) AS business_value, 1.0::DOUBLE AS exposure FROM fa),
+so AS (SELECT *, (frequency * 0.3 + business_value * 0.3 + risk * 0.25 + exposure * 0.15) * 100 AS score, CASE WHEN regexp_matches(walk[-1], 'failure|error|declined|rejected') THEN 'failed' WHEN regexp_matches(walk[-1], 'confirmation|success|complete|thank') THEN 'completed'
+  WHEN regexp_matches(walk[-1], 'cart|payment_method|delivery_address|order_review|checkout') THEN 'abandoned' ELSE 'exploratory' END AS outcome FROM co),
+sr AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, archetype_id) AS place, upper(walk[1][1]) || walk[1][2:] || ' to ' || upper(walk[-1][1]) || walk[-1][2:] || ' (' || outcome || ')' AS name FROM so)"""
+
+
+@query(f"{SCORES} SELECT archetype_id, CAST(place AS INTEGER) AS rank, round(frequency, 6) AS frequency, round(business_value, 6) AS business_value, round(risk, 6) AS risk, exposure, round(score, 6) AS score, outcome, name FROM sr")
+def c_scores(spark, sf_dir):
+    """Archetypes with score, rank, outcome and name."""
+    rows = scored(spark, sf_dir, archetypes.members(found(spark, sf_dir), CRITICAL))
+    return rows.select("archetype_id", "rank", *[F.round(c, 6).alias(c) for c in (*archetypes.WEIGHTS, "score")], "outcome", "name")
+
+
+@query(f"""{SCORES}, te AS (SELECT seed, p[-1] AS screen_id, sum(n_sessions) AS n FROM mb GROUP BY ALL), tl AS (SELECT seed, string_agg(screen_id || ':' || n, ',' ORDER BY n DESC, screen_id) AS ends FROM te GROUP BY seed)
+SELECT archetype_id AS journey_id, CAST(place AS BIGINT) AS rank, name, round(score, 2) AS score, path AS sequence, CAST(n_sessions AS BIGINT) AS sessions, round(n_sessions * 100 / sum(n_sessions) OVER (), 2) AS session_share_pct, n_variants AS variants, CAST(signals AS BIGINT) AS risk_events, ends FROM sr JOIN tl USING (seed)""")
+def k_catalogue(spark, sf_dir):
+    """The journey catalogue, written and read back."""
+    member_rows = archetypes.members(found(spark, sf_dir), CRITICAL)
+    rows = scored(spark, sf_dir, member_rows).join(archetypes.terminal_screens(member_rows), ["app_id", "seed"])
+    path = new_path(spark, "catalogue")
+    listed = archetypes.catalogue(rows)
+    archetypes.save_catalogue(listed, path)
+    back = spark.read.schema(listed.drop("app_id").schema).json(path)
+    ends = F.array_join(F.transform("terminal_screens", lambda x: F.concat(x["screen_id"], F.lit(":"), x["n_sessions"].cast("string"))), ",")
+    return back.select("journey_id", F.col("rank").cast("long").alias("rank"), "name", "score", F.array_join("sequence", " > ").alias("sequence"), "sessions", "session_share_pct", "variants", "risk_events", ends.alias("ends"))

@@ -143,12 +143,17 @@ def q_pii_scan(spark, sf_dir):
     return texts.select("origin", F.explode(privacy.findings(F.col("text"))).alias("f")).groupBy("origin", "f.kind").agg(F.count("*").alias("n"), F.count_distinct("f.sample").alias("n_values"))
 
 
+def personal(spark, sf_dir):
+    """Findings in the events, given a bag with contact data."""
+    rows = driver.events(spark, sf_dir)
+    bag = F.expr("to_json(named_struct('contact', named_struct('email', CASE WHEN event_id >= 0 AND CAST(user_id AS INT) % 2 = 0 THEN concat('u', user_id, '@example.com') ELSE '' END), 'hops', array('10.0.0.1', 'none'), 'n', event_id))")
+    return privacy.report(privacy.scan_properties(rows.withColumn("properties", bag), depth=3))
+
+
 @query("""SELECT 'suspicious_key' AS kind, event_type AS event_name, 'contact.email' AS path, count(*) AS n FROM events GROUP BY event_type
 UNION ALL SELECT 'email', event_type, 'contact.email', count(*) FROM events WHERE user_id % 2 = 0 GROUP BY event_type UNION ALL SELECT 'ip_address', event_type, 'hops[0]', count(*) FROM events GROUP BY event_type""")
 def q_pii_report(spark, sf_dir):
-    rows = driver.events(spark, sf_dir)
-    bag = F.expr("to_json(named_struct('contact', named_struct('email', CASE WHEN event_id >= 0 AND CAST(user_id AS INT) % 2 = 0 THEN concat('u', user_id, '@example.com') ELSE '' END), 'hops', array('10.0.0.1', 'none'), 'n', event_id))")
-    return privacy.report(privacy.scan_properties(rows.withColumn("properties", bag), depth=3)).select("kind", "event_name", "path", "n")
+    return personal(spark, sf_dir).select("kind", "event_name", "path", "n")
 
 
 @query("SELECT event_type AS event_name, count(*) AS n_events, event_type AS screens FROM events GROUP BY event_type")

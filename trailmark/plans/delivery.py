@@ -10,6 +10,8 @@ from trailmark.functions.parsing import locator_strategy, suite_strategy
 from trailmark.operators import archetypes, coverage, gates, graph, outcomes, quality, readiness, risk, screens
 from trailmark.plans import clusters, contracts, journeys, testing
 from trailmark.sources import driver
+from trailmark.sources.defects import defects as read_defects
+from trailmark.sources.defects import read_exports, reported_gaps
 from trailmark.streaming import streams
 
 QUERIES = {}
@@ -135,12 +137,16 @@ def l_survival(spark, sf_dir):
     return screens.survival(screens.healed(elements(spark, sf_dir), "1", "2")).drop("app_id")
 
 
+def claimed(spark, sf_dir):
+    rows = elements(spark, sf_dir)
+    claims = rows.where("app_version = '1' AND accessibility_id IS NOT NULL").select("app_id", "screen_id", F.lit("r").alias("role"), F.lit("accessibility_id").alias("strategy"), F.col("accessibility_id").alias("value"))
+    return screens.verified_claims(claims, screens.candidates(rows.where("app_version = '2'")))
+
+
 @query(f"{E} SELECT screen_id, 'r' AS kind, accessibility_id AS value, CASE WHEN accessibility_id IN (SELECT accessibility_id FROM e x WHERE x.app_version = '2' AND x.screen_id = e.screen_id) THEN 'fine' ELSE 'missing' END AS status FROM e WHERE app_version = '1' AND accessibility_id IS NOT NULL")
 def l_claims(spark, sf_dir):
     """Locators of release 1 claimed for release 2."""
-    rows = elements(spark, sf_dir)
-    claims = rows.where("app_version = '1' AND accessibility_id IS NOT NULL").select("app_id", "screen_id", F.lit("r").alias("role"), F.lit("accessibility_id").alias("strategy"), F.col("accessibility_id").alias("value"))
-    return screens.verified_claims(claims, screens.candidates(rows.where("app_version = '2'"))).select("screen_id", F.col("role").alias("kind"), "value", "status")
+    return claimed(spark, sf_dir).select("screen_id", F.col("role").alias("kind"), "value", "status")
 
 
 @query(f"{E} SELECT screen_id, arg_min('role' || app_version || '_' || doc_pos, (app_version, 'role' || app_version || '_' || doc_pos)) AS role, accessibility_id AS value FROM e WHERE accessibility_id IS NOT NULL GROUP BY screen_id, accessibility_id")
@@ -213,6 +219,32 @@ def j_defect_origin(spark, sf_dir):
     return outcomes.attributed(defects(spark, sf_dir), golden(spark, sf_dir)).select("defect_id", "journey_id", "origin")
 
 
+def exports(spark, sf_dir):
+    """Orders as tracker exports that Spark writes: one document for each customer, a bare array for
+    every third; urgent orders are defects and the others reported gaps."""
+    rows = driver.table(spark, sf_dir, "orders")
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    defect = F.struct(F.col("o_orderkey").cast("string").alias("defect_id"), F.when(F.col("o_custkey") % 4 > 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("detected_at"), F.when(F.col("o_orderstatus") != "P", F.lower("o_orderstatus")).alias("severity"), F.array(F.concat(F.lit("s"), F.col("o_custkey").cast("string"))).alias("screens"))
+    gap = F.struct(F.col("o_orderkey").cast("string").alias("journey_id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("reported_at"), F.when(F.col("o_orderstatus") == "F", "t").alias("closed_by_test"), F.when(F.col("o_orderpriority") == "2-HIGH", "d").alias("caused_defect"))
+    lists = rows.groupBy("o_custkey").agg(F.collect_list(F.when(urgent, defect)).alias("defects"), F.collect_list(F.when(~urgent, gap)).alias("gaps_reported"))
+    path = new_path(spark, "exports")
+    lists.select(F.when(F.col("o_custkey") % 3 == 0, F.to_json("defects")).otherwise(F.to_json(F.struct("defects", "gaps_reported"))).alias("value")).write.text(path)
+    return read_exports(spark, path, lines=True)
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS defect_id, CASE WHEN o_custkey % 4 > 0 THEN epoch_us(o_orderdate::TIMESTAMP) ELSE 0 END AS detected_us, CASE WHEN o_orderstatus <> 'P' THEN lower(o_orderstatus) ELSE 'medium' END AS severity, 's' || o_custkey AS screens, 0::INTEGER AS n_tests FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def s_defects(spark, sf_dir):
+    """Defects of exports, written and read back."""
+    rows = read_defects(exports(spark, sf_dir), "demo", F.timestamp_micros(F.lit(0)))
+    return rows.select("defect_id", F.unix_micros("detected_at").alias("detected_us"), "severity", F.array_join("screens", ",").alias("screens"), F.size("covering_tests").alias("n_tests"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS journey_id, epoch_us(o_orderdate::TIMESTAMP) AS reported_us, 'medium' AS severity, CASE WHEN o_orderstatus = 'F' THEN 't' END AS closed_by_test, o_orderpriority = '2-HIGH' AS caused_defect FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_custkey % 3 > 0""")
+def s_reported_gaps(spark, sf_dir):
+    """Reported gaps of exports, which bare arrays don't have."""
+    return reported_gaps(exports(spark, sf_dir), "demo").select("journey_id", F.unix_micros("reported_at").alias("reported_us"), "severity", "closed_by_test", "caused_defect")
+
+
 def report(spark, sf_dir):
     rows = driver.table(spark, sf_dir, "orders").where("o_orderpriority <> '1-URGENT'")
     gaps = rows.select(F.lit("demo").alias("app_id"), F.when(F.col("o_orderstatus") == "F", "t").alias("closed_by_test"), (F.col("o_orderpriority") == "2-HIGH").alias("caused_defect"))
@@ -352,24 +384,70 @@ def t_session_window(spark, sf_dir):
     return rows.select("session_id", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "n_events", journeys.path_text())
 
 
-@query()
+def gate(name: str, check: str, passed: str, detail: str, rows: str, app: str = "demo") -> str:
+    return f"""SELECT '{app}' AS app_id, '{name}' AS gate, '{check}' AS "check", {passed} AS passed, CAST({detail} AS VARCHAR) AS detail FROM ({rows})"""
+
+
+#: Each check over the rows of the query that it judges.
+GATES = " UNION ALL ".join(
+    [
+        gate("foundation", "taxonomy", "count(*) = 0", "count(*)", contracts.ORACLE_SQL["q_taxonomy_issues"] + ") WHERE severity IN ('error'"),
+        gate("foundation", "readiness", "passed", "round(score, 1)", contracts.ORACLE_SQL["q_readiness_verdict"]),
+        gate("foundation", "registry", "sum(n_entries) > 0 AND sum(n_stale) = 0", "sum(n_entries) || ' entries, ' || sum(n_stale) || ' stale'", testing.ORACLE_SQL["q_registry_categories"]),
+        gate("foundation", "baseline", "count(*) > 0", "count(*)", "SELECT 1 WHERE EXISTS (FROM customer)"),
+        gate("store", "plan", "count(*) = 0", "count(*)", contracts.ORACLE_SQL["q_plan_issues"] + ") WHERE severity IN ('error'"),
+        gate("store", "quality", "bool_and(passed OR NOT blocking)", "count(*) FILTER (NOT passed) || ' failed'", f"SELECT passed, blocking FROM ({journeys.ORACLE_SQL['q_checks']}) UNION ALL SELECT conformance_pct >= {quality.CHECKS['conformance_pct'][0]}, {quality.CHECKS['conformance_pct'][2]} FROM ({contracts.ORACLE_SQL['q_conformance']})"),
+        gate("store", "conformance", "conformance_pct >= 95", "round(conformance_pct, 2)", contracts.ORACLE_SQL["q_conformance"]),
+        gate("store", "no_personal_data", "coalesce(sum(n), 0) = 0", "coalesce(sum(n), 0)", contracts.ORACLE_SQL["q_pii_report"]),
+        gate("store", "risk_located", "n_located > 0", "n_located", journeys.ORACLE_SQL["q_localisation_rate"]),
+        gate("suite", "parsed", "count(*) FILTER (parsed) * 100 / count(*) >= 85", "round(count(*) FILTER (parsed) * 100 / count(*), 2)", f"{testing.BASE} SELECT string_split(test_id, '#')[1] AS file, bool_or(screen_id <> 'click') AS parsed FROM refs GROUP BY 1"),
+        gate("suite", "mapped", "max(n) FILTER (label = 'mapped') * 100 / max(n) FILTER (label = 'all') >= 70", "round(max(n) FILTER (label = 'mapped') * 100 / max(n) FILTER (label = 'all'), 2)", testing.ORACLE_SQL["g_suite_summary"]),
+        gate("suite", "covered", "n_transitions > 0", "round(covered_pct, 2)", testing.ORACLE_SQL["g_coverage"]),
+        gate("suite", "findings", "sum(n) > 0", "sum(n)", testing.ORACLE_SQL["g_tallies"] + ") WHERE measure IN ('kind'"),
+        gate("suite", "registry_used", "true", "n", testing.ORACLE_SQL["g_tallies"] + ") WHERE label IN ('protected_retained'"),
+        gate("locators", "resolved", "sum(n_resolved) / sum(n_steps) >= 0.8", "round(sum(n_resolved) / sum(n_steps), 4)", ORACLE_SQL["l_journey_resolution"]),
+        gate("locators", "executable", "count(*) FILTER (executable) > 0", "count(*) FILTER (executable) || ' of ' || count(*)", ORACLE_SQL["l_journey_resolution"]),
+        gate("locators", "diagnosed", "true", "count(*) FILTER (n_resolved = 0)", ORACLE_SQL["l_resolution"]),
+        gate("locators", "identity", "stability_pct >= 80", "round(stability_pct, 2)", ORACLE_SQL["l_identity_stability"]),
+        gate("locators", "none_fragile", "count(*) FILTER (strategy = 'positional_xpath') = 0", "count(*) FILTER (strategy = 'positional_xpath')", ORACLE_SQL["l_best"]),
+        gate("locators", "claims_hold", "count(*) FILTER (status <> 'fine') = 0", "count(*) FILTER (status <> 'fine')", ORACLE_SQL["l_claims"]),
+        gate("runs", "validated", "count(*) FILTER (verdict = 'validated') > 0", "count(*) FILTER (verdict = 'validated')", ORACLE_SQL["l_verdicts"]),
+        gate("outcomes", "attributed", "n_defects > 0", "n_defects", ORACLE_SQL["o_outcomes"]),
+        gate("outcomes", "defined", "precision IS NOT NULL AND recall IS NOT NULL", "round(precision, 3)", ORACLE_SQL["o_outcomes"]),
+        gate("outcomes", "blind_spot", "blind_spot <= 0.5", "round(blind_spot, 3)", ORACLE_SQL["o_outcomes"]),
+        gate("outcomes", "proposal", "count(*) > 0", "count(*)", ORACLE_SQL["o_weight_proposal"]),
+        gate("portfolio", "apps_with_data", "count(*) FILTER (health <> 'no-data') >= 3", "count(*) FILTER (health <> 'no-data')", ORACLE_SQL["o_portfolio"], "(all)"),
+        gate("portfolio", "scaffold", "count(*) > 0", "count(*)", contracts.ORACLE_SQL["q_scaffold_screens"], "(all)"),
+    ]
+)
+
+
+@query(GATES)
 def x_gates(spark, sf_dir):
-    """All gates of the demo app."""
+    """All gates of the demo app but that of the journeys."""
     events = driver.events(spark, sf_dir)
+    apps = events.select("app_id").distinct()
     declared = contracts.declared(spark, sf_dir)
     conformance = contracts.contract.conformance(events, contracts.contract.violations(events, *contracts.plan(spark, sf_dir)))
-    checks = quality.verdict(quality.checks(events, declared.select("app_id", "screen_id"), F.lit("2024-01-30 12:00:00").cast("timestamp"), conformance.select("app_id", "conformance_pct")))
-    walked = testing.tested(spark, sf_dir)
+    checks = quality.verdict(quality.checks(events, declared.select("app_id", "screen_id"), F.lit("2024-02-01 00:00:00").cast("timestamp"), conformance.select("app_id", "conformance_pct")))
+    part_screens = contracts.part_screens(spark, sf_dir)
+    taxonomy = contracts.contract.taxonomy_issues(part_screens, part_screens.where("domain LIKE '%1'").select("app_id", "domain").distinct())
+    registry = testing.gaps.entries_by_category(testing.registry(spark, sf_dir), F.to_date(F.lit(testing.TODAY)))
+    baselines = snapshots(spark, sf_dir, "1").select(F.lit("demo").alias("app_id")).distinct()
+    reference, walked = testing.refs(spark, sf_dir), testing.tested(spark, sf_dir)
     covered = coverage.journey_coverage(testing.golden(spark, sf_dir), walked)
-    suite = coverage.summary(coverage.transition_coverage(testing.edges(spark, sf_dir), walked), covered, testing.tests(spark, sf_dir), coverage.test_paths(testing.refs(spark, sf_dir)))
+    suite = coverage.summary(coverage.transition_coverage(testing.edges(spark, sf_dir), walked), covered, testing.tests(spark, sf_dir), coverage.test_paths(reference))
+    files = reference.groupBy("app_id", F.split_part("test_id", F.lit("#"), F.lit(1)).alias("file")).agg(F.bool_or(F.col("confidence") != "low").alias("parsed"))
     goals = golden(spark, sf_dir)
     proposal = outcomes.weight_proposal(outcomes.hit_rates(outcomes.attributed(defects(spark, sf_dir), goals), goals), archetypes.WEIGHTS)
     element_rows = elements(spark, sf_dir)
+    found = screens.best(screens.candidates(element_rows))
+    reached = walked.select("app_id", F.col("target").alias("screen_id")).distinct()
     rows = gates.all_of(
-        gates.foundation_gate(contracts.contract.taxonomy_issues(contracts.part_screens(spark, sf_dir), contracts.part_screens(spark, sf_dir).select("app_id", "domain").distinct()), readiness.verdict(readiness.dimensions(events, declared)), events.select("app_id").distinct()),
-        gates.store_gate(checks, conformance, risk.localisation_rate(journeys.located(spark, sf_dir))),
-        gates.suite_gate(suite, testing.tests(spark, sf_dir)),
-        gates.locator_gate(screens.screen_resolution(screens.best(screens.candidates(element_rows))), screens.identity_stability(screens.matched_screens(screens.fingerprints(element_rows), "1", "2"))),
+        gates.foundation_gate(taxonomy, readiness.verdict(readiness.dimensions(events, declared)), apps, registry, baselines),
+        gates.store_gate(contracts.contract.plan_issues(*contracts.order_plan(spark, sf_dir)), checks, conformance, contracts.personal(spark, sf_dir), risk.localisation_rate(journeys.located(spark, sf_dir))),
+        gates.suite_gate(files, suite, testing.tests(spark, sf_dir), testing.findings(spark, sf_dir), registry),
+        gates.locator_gate(screens.journey_resolution(testing.golden(spark, sf_dir), reached), found, screens.screen_resolution(found), screens.identity_stability(screens.matched_screens(screens.fingerprints(element_rows), "1", "2")), claimed(spark, sf_dir)),
         gates.run_gate(outcomes.run_verdicts(runs(spark, sf_dir))),
         gates.outcome_gate(report(spark, sf_dir), proposal),
         gates.portfolio_gate(portfolio(spark, sf_dir), readiness.draft_screens(events)),
@@ -377,15 +455,17 @@ def x_gates(spark, sf_dir):
     return rows.select("app_id", "gate", "check", "passed", "detail")
 
 
-@query(f"""{clusters.ARCHETYPES}, ok AS (SELECT (SELECT min(nth) FILTER (reached >= 95) FROM re) <= 100 AS tractable, NOT EXISTS (FROM ev WHERE screen_id = 'purchase') OR EXISTS (FROM usable WHERE list_contains(walk, 'purchase')) AS seen)
-SELECT 'demo' AS app_id, 'journeys' AS gate, tractable AND seen AS passed, CAST(3 AS BIGINT) AS n_checks, CAST(1 + tractable::INT + seen::INT AS BIGINT) AS n_passed FROM ok""")
+@query(f"""{clusters.ARCHETYPES}, ok AS (SELECT (SELECT min(nth) FILTER (reached >= 95) FROM re) <= 100 AS tractable, NOT EXISTS (FROM ev WHERE screen_id = 'purchase') OR EXISTS (FROM usable WHERE list_contains(walk, 'purchase')) AS seen,
+EXISTS (FROM gr) AS built, (SELECT sum(n_sessions) FROM gr) >= 0.95 * (SELECT count(*) FROM usable) AS mapped, (SELECT count(*) > 0 FROM ({journeys.ORACLE_SQL["q_risk_by_screen"]})) AS located)
+SELECT 'demo' AS app_id, 'journeys' AS gate, tractable AND seen AND built AND mapped AND located AS passed, CAST(6 AS BIGINT) AS n_checks, CAST(1 + tractable::INT + seen::INT + built::INT + mapped::INT + located::INT AS BIGINT) AS n_passed FROM ok""")
 def x_journey_gate(spark, sf_dir):
     """The gate of the mined catalogue."""
     member_rows = archetypes.members(clusters.found(spark, sf_dir), clusters.CRITICAL)
     rows = archetypes.archetypes(member_rows)
     seen = driver.events(spark, sf_dir).select("app_id", "screen_id").distinct().withColumns({"display_name": F.initcap("screen_id"), "domain": F.lit("shop"), "critical": F.col("screen_id").isin(clusters.CRITICAL)})
-    unseen = graph.unseen_critical(seen, graph.nodes(journeys.traces(spark, sf_dir)))
-    return gates.verdicts(gates.journey_gate(archetypes.compression(rows), archetypes.named(rows, seen), unseen))
+    walked = journeys.traces(spark, sf_dir)
+    unseen = graph.unseen_critical(seen, graph.nodes(walked))
+    return gates.verdicts(gates.journey_gate(archetypes.compression(rows), archetypes.named(rows, seen), unseen, walked, risk.by_screen(journeys.located(spark, sf_dir))))
 
 
 #: Parts as claimed locators of all forms.

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from trailmark.operators import coverage, gaps, graph, variants
 from trailmark.plans import journeys
 from trailmark.plans.journeys import EV, ctes
+from trailmark.sources import driver
 
 CRITICAL = ["purchase"]
+# Why a test is protected.
+CATEGORIES = ["regulatory", "financial", "data_rights", "accessibility", "security", "safety", "disaster_recovery"]
 PATTERNS = [("9*", "kept by contract with the payment team"), ("re:#3$", "kept for the quarterly audit of refunds")]
 QUERIES = {}
 ORACLE_SQL = {}
@@ -194,3 +197,29 @@ def g_test_facts(spark, sf_dir):
     reference = refs(spark, sf_dir)
     rows = coverage.test_facts(reference, reference.where("line = 0").select("app_id", "test_id", "screen_id"))
     return rows.select("test_id", F.array_join("covered", ",").alias("covered"), F.array_join("uncertain", ",").alias("uncertain"), "weakest")
+
+
+TODAY = "2024-06-01"
+
+
+def registry(spark, sf_dir):
+    """Suppliers as registry entries, a fifth of them to be reviewed before today, some never."""
+    rows = driver.table(spark, sf_dir, "supplier")
+    category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.col("s_nationkey") % len(CATEGORIES) + 1).cast("int"))
+    days = (F.col("s_suppkey") % 500).cast("int") - 100
+    review = F.when(F.col("s_suppkey") % 31 > 0, F.date_add(F.to_date(F.lit(TODAY)), days))
+    return rows.select(F.lit("demo").alias("app_id"), F.col("s_name").alias("pattern"), category.alias("category"), F.concat(F.lit("kept for the auditors of "), "s_name").alias("reason"), F.lit("qa").alias("owner"), review.alias("review_by"))
+
+
+ENTRIES = f"""s AS (SELECT s_name AS pattern, {CATEGORIES!r}[CAST(s_nationkey % {len(CATEGORIES)} AS INTEGER) + 1] AS category, CASE WHEN s_suppkey % 31 > 0 THEN DATE '{TODAY}' + CAST(s_suppkey % 500 - 100 AS INTEGER) END AS review_by FROM supplier)"""
+
+
+@query(f"WITH {ENTRIES} SELECT pattern, category, CAST(review_by AS VARCHAR) AS review_by FROM s WHERE review_by IS NULL OR review_by < DATE '{TODAY}'")
+def q_registry_stale(spark, sf_dir):
+    rows = gaps.stale_entries(registry(spark, sf_dir), F.to_date(F.lit(TODAY)))
+    return rows.select("pattern", "category", F.col("review_by").cast("string").alias("review_by"))
+
+
+@query(f"WITH {ENTRIES} SELECT category, count(*) AS n_entries, count(*) FILTER (review_by IS NULL OR review_by < DATE '{TODAY}') AS n_stale FROM s GROUP BY category")
+def q_registry_categories(spark, sf_dir):
+    return gaps.entries_by_category(registry(spark, sf_dir), F.to_date(F.lit(TODAY))).drop("app_id")
