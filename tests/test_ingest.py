@@ -184,3 +184,49 @@ def test_signals_without_a_session_stay_unlocated(spark):
     signals = spark.createDataFrame([("a", "x1", "s", 2), ("a", "x2", None, 2), ("a", "x3", "s", 0)], "app_id string, signal_id string, session_id string, t int").withColumn("timestamp", F.timestamp_seconds("t")).drop("t")
     got = {r.signal_id: (r.screen_id, r.position_in_session) for r in risk.located(signals, events).collect()}
     assert got == {"x1": ("home", 0), "x2": (None, None), "x3": (None, None)}
+
+
+def test_defect_exports(spark, tmp_path):
+    from trailmark.sources import defects
+
+    (tmp_path / "a.json").write_text('{"defects": [{"defect_id": "D1", "detected_at": "2024-05-01T10:00:00Z", "screens": ["cart", "pay"], "journey_id": "j1"}],\n "gaps_reported": [{"journey_id": "j2", "reported_at": "2024-04-01T00:00:00Z", "caused_defect": "D1"}, {"journey_id": "j3", "reported_at": null, "closed_by_test": "t"}]}')
+    (tmp_path / "b.json").write_text('[{"defect_id": "D2", "severity": "high"}]')
+    (tmp_path / "c.json").write_text(" ")
+    exports = defects.read_exports(spark, str(tmp_path))
+    rows = {r.defect_id: r for r in defects.defects(exports, "app", F.timestamp_micros(F.lit(0))).collect()}
+    assert set(rows) == {"D1", "D2"}
+    assert rows["D1"].screens == ["cart", "pay"] and rows["D1"].severity == "medium" and rows["D1"].journey_id == "j1"
+    assert rows["D2"].severity == "high" and rows["D2"].covering_tests == [] and rows["D2"].journey_id is None
+    gaps = {r.journey_id: (r.caused_defect, r.closed_by_test, r.reported_at is None) for r in defects.reported_gaps(exports, "app").collect()}
+    assert gaps == {"j2": (True, None, False), "j3": (False, "t", True)}
+    (tmp_path / "d.json").write_text('[{"title": "no id"}]')
+    with pytest.raises(Exception, match="without defect_id"):
+        defects.defects(defects.read_exports(spark, str(tmp_path)), "app").collect()
+
+
+def test_registry_entries_past_their_review_are_stale(spark):
+    from trailmark.operators import gaps
+
+    rows = spark.sql("SELECT 'app' AS app_id, * FROM VALUES ('a*', 'security', DATE '2024-01-01'), ('b*', 'security', DATE '2024-06-01'), ('c*', 'safety', NULL) AS t(pattern, category, review_by)")
+    today = F.to_date(F.lit("2024-06-01"))
+    assert {r.pattern for r in gaps.stale_entries(rows, today).collect()} == {"a*", "c*"}
+    assert {(r.category, r.n_entries, r.n_stale) for r in gaps.entries_by_category(rows, today).collect()} == {("security", 2, 1), ("safety", 1, 1)}
+    assert gaps.entries_by_category(rows.where("false"), today).count() == 0
+
+
+def test_gates_fail_without_what_they_need(spark):
+    from trailmark.operators import gates
+
+    one = lambda sql: spark.sql(sql)
+    apps = one("SELECT 'app' AS app_id")
+    issues = one("SELECT 'app' AS app_id, 'warning' AS severity")
+    ready = one("SELECT 'app' AS app_id, 91.5 AS score, true AS passed")
+    registry = one("SELECT 'app' AS app_id, 'security' AS category, 2L AS n_entries, 1L AS n_stale")
+    rows = {r.check: r.passed for r in gates.foundation_gate(issues, ready, apps, registry, apps.where("false")).collect()}
+    assert rows == {"taxonomy": True, "readiness": True, "registry": False, "baseline": False}
+    steps = one("SELECT 'app' AS app_id, 'j' AS journey_id, 10L AS n_steps, 9L AS n_resolved, false AS executable")
+    best = one("SELECT 'app' AS app_id, 'positional_xpath' AS strategy UNION ALL SELECT 'app', NULL")
+    resolution = one("SELECT 'app' AS app_id, 's' AS screen_id, 0L AS n_resolved, 2L AS n_ambiguous, 0L AS n_fragile")
+    claims = one("SELECT 'app' AS app_id, 'fine' AS status").where("false")
+    rows = {r.check: (r.passed, r.detail) for r in gates.locator_gate(steps, best, resolution, one("SELECT 'app' AS app_id, 80.0D AS stability_pct"), claims).collect()}
+    assert rows == {"resolved": (True, "0.9"), "executable": (False, "0 of 1"), "diagnosed": (True, "1"), "identity": (True, "80.0"), "none_fragile": (False, "1"), "claims_hold": (True, "unverified")}
