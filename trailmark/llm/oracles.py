@@ -44,6 +44,24 @@ SELECT doc_id, source, copies, copy, CAST('0x' || substr(md5('mix-1-order|' || d
 FROM (SELECT doc_id, source, copies, unnest(generate_series(1, copies)) AS copy FROM n)
 """
 
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+w AS (SELECT n, lang, source, unnest(regexp_extract_all(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+l AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS c FROM w GROUP BY ALL HAVING count(DISTINCT n) >= 3),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(c) AS HUGEINT) + count(*) AS den FROM l GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS c FROM w JOIN l USING (lang, term) GROUP BY ALL),
+t AS (SELECT g.lang, g.source, coalesce(CAST(sum(c.c) AS HUGEINT), 0) AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS (SELECT g.lang, g.source, l.term, coalesce(c.c, 0) AS c, 1 + 1000000000 * (coalesce(c.c, 0) + 1) // (t.total + v.v) AS p, 1 + 1000000000 * (l.c + 1) // v.den AS q
+      FROM g JOIN t ON t.lang = g.lang AND t.source = g.source JOIN v ON v.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE c > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r) WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def _licenses() -> str:
     """All sentences and rules. DuckDB's expressions have no look-around, so each mark between
     lines is doubled and a match takes one mark on each side."""
@@ -72,4 +90,4 @@ FROM d LEFT JOIN l USING (n)
 """
 
 
-ORACLE_SQL = {"op2_warc": WARC, "op5_licenses": _licenses(), "op6_mixing": MIXING, "op10_quality_rules": QUALITY_RULES}
+ORACLE_SQL = {"op2_warc": WARC, "op5_licenses": _licenses(), "op6_mixing": MIXING, "op10_quality_rules": QUALITY_RULES, "op13_divergence": DIVERGENCE}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import decontaminate, licenses, mixing, oracles, pii, quality_model, quality_rules, sharding, simhash, suffix_dedup, warc
+from trailmark.llm import decontaminate, divergence, licenses, mixing, oracles, pii, quality_model, quality_rules, sharding, simhash, suffix_dedup, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,5 +52,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *quality_rules.MEASURES, "fail_bits", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_sharding, op4_pii, op5_licenses, op6_mixing, op7_suffix_dedup, op8_decontaminate, op9_quality_model, op10_quality_rules)}
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_sharding, op4_pii, op5_licenses, op6_mixing, op7_suffix_dedup, op8_decontaminate, op9_quality_model, op10_quality_rules, op13_divergence)}
 ORACLE_SQL = oracles.ORACLE_SQL
