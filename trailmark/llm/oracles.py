@@ -61,6 +61,21 @@ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r) WHERE part = 'pair' OR rank <= 200
 """
 
+FILTER_AUDIT = r"""
+WITH RECURSIVE o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, [y FOR y IN regexp_split_to_array(x, '[\x20\x09-\x0D]+') IF y <> ''] AS w, doc_id > min(doc_id) OVER (PARTITION BY x) AS dup FROM t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+      [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * length(x), regexp_matches(x, '[#$%&*|]'), coalesce(dup, false)] AS f FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, f),
+s AS (SELECT part, filter_order, step, f[ascii(filter_order[step]) - 64] AS own, len([i FOR i IN range(1, step) IF f[ascii(filter_order[i]) - 64]]) > 0 AS before, len([y FOR y IN f IF y]) AS failed, n, good, toxic
+      FROM c, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step) WHERE length(filter_order) = 5),
+r AS (SELECT part, filter_order, step, CAST(coalesce(sum(n) FILTER (NOT own AND NOT before), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (own AND NOT before), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (own AND before), 0) AS BIGINT) AS redundant,
+      CAST(coalesce(sum(n) FILTER (own AND failed = 1), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (own AND NOT before), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (own AND NOT before), 0) AS BIGINT) AS toxic_lost FROM s GROUP BY ALL)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM r
+"""
+
 
 def _licenses() -> str:
     """All sentences and rules. DuckDB's expressions have no look-around, so each mark between
@@ -90,4 +105,4 @@ FROM d LEFT JOIN l USING (n)
 """
 
 
-ORACLE_SQL = {"op2_warc": WARC, "op5_licenses": _licenses(), "op6_mixing": MIXING, "op10_quality_rules": QUALITY_RULES, "op13_divergence": DIVERGENCE}
+ORACLE_SQL = {"op2_warc": WARC, "op5_licenses": _licenses(), "op6_mixing": MIXING, "op10_quality_rules": QUALITY_RULES, "op12_filter_audit": FILTER_AUDIT, "op13_divergence": DIVERGENCE}
