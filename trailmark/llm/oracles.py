@@ -76,6 +76,15 @@ r AS (SELECT part, filter_order, step, CAST(coalesce(sum(n) FILTER (NOT own AND
 SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM r
 """
 
+JACCARD = r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, [y FOR y IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF y <> ''] AS w FROM documents),
+s AS (SELECT r, doc_id, list_distinct([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, greatest(len(w) - 1, least(len(w), 1) + 1))]) AS s FROM d),
+u AS (SELECT r, len(s) AS n, unnest(s) AS x FROM s),
+l AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b USING (x) WHERE a.r <> b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+c AS (SELECT r AS a, r AS b FROM s UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id FROM s JOIN c ON c.a = s.r JOIN s o ON c.b = o.r GROUP BY s.r, s.doc_id, s.s
+"""
+
 
 def _licenses() -> str:
     """All sentences and rules. DuckDB's expressions have no look-around, so each mark between
@@ -105,4 +114,4 @@ FROM d LEFT JOIN l USING (n)
 """
 
 
-ORACLE_SQL = {"op2_warc": WARC, "op5_licenses": _licenses(), "op6_mixing": MIXING, "op10_quality_rules": QUALITY_RULES, "op12_filter_audit": FILTER_AUDIT, "op13_divergence": DIVERGENCE}
+ORACLE_SQL = {"op2_warc": WARC, "op5_licenses": _licenses(), "op6_mixing": MIXING, "op10_quality_rules": QUALITY_RULES, "op11_jaccard": JACCARD, "op12_filter_audit": FILTER_AUDIT, "op13_divergence": DIVERGENCE}

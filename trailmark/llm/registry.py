@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import decontaminate, divergence, filter_audit, licenses, mixing, oracles, pii, quality_model, quality_rules, sharding, simhash, suffix_dedup, warc
+from trailmark.llm import decontaminate, divergence, filter_audit, jaccard, licenses, mixing, oracles, pii, quality_model, quality_rules, sharding, simhash, suffix_dedup, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *quality_rules.MEASURES, "fail_bits", "base_failed", "kept")
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_copies(_documents(spark, sf_dir))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -60,5 +64,5 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_sharding, op4_pii, op5_licenses, op6_mixing, op7_suffix_dedup, op8_decontaminate, op9_quality_model, op10_quality_rules, op12_filter_audit, op13_divergence)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_sharding, op4_pii, op5_licenses, op6_mixing, op7_suffix_dedup, op8_decontaminate, op9_quality_model, op10_quality_rules, op11_jaccard, op12_filter_audit, op13_divergence)}
 ORACLE_SQL = oracles.ORACLE_SQL

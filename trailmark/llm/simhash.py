@@ -54,7 +54,7 @@ _LANES = np.uint64(0x0101010101010101)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-def _shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
     """Hashes of the word shingles of one UTF-8 text, repeats included."""
     words = (text or b"").lower().split()
     if not words:
@@ -82,7 +82,7 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """Fingerprint of one UTF-8 text as an unsigned number."""
-    hashes = _shingle_hashes(text, shingle)
+    hashes = shingle_hashes(text, shingle)
     if not len(hashes):
         return 0
     return int.from_bytes(np.packbits(_bit_counts(hashes) * 2 > len(hashes), bitorder="little").tobytes(), "little")
@@ -90,7 +90,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 def wide_fingerprint(text: bytes | None, shingle: int = WIDE_SHINGLE, bits: int = WIDE_BITS) -> bytes:
     """Fingerprint of ``bits`` bits over the distinct shingles of one UTF-8 text."""
-    hashes = np.unique(_shingle_hashes(text, shingle))
+    hashes = np.unique(shingle_hashes(text, shingle))
     if not len(hashes):
         return bytes(bits // 8)
     out = []
