@@ -8,9 +8,10 @@ added with the duplicate's. The stream's output are signed counts by part and ma
 most 32 masks for each part, are all that the 120 orders are computed from.
 
 Rows of one text are combined within a task before they reach its state: the state sees one row for
-each text, task and ``COMBINE`` rows, however hot the text. State lives in RocksDB, so it isn't bound by
-memory, and is checkpointed to the shared folder. The counts of a micro-batch are a folder of their
-own, which a repeated attempt overwrites.
+each text, task and ``COMBINE`` texts, however hot the text. State is kept by the session's state store,
+one small row for each distinct text, and checkpointed to the shared folder; on a cluster set
+``spark.sql.streaming.stateStore.providerClass`` to RocksDB's, which isn't bound by memory. The
+counts of a micro-batch are a folder of their own, which a repeated attempt overwrites.
 
 Defined results: a null text is empty; a row without doc_id is never a duplicate nor makes one; rows
 with the same doc_id and text are not duplicates of each other; a null source is the part '';
@@ -41,12 +42,6 @@ COMBINE = 50_000
 NOT_CAPITAL = bytes(set(range(256)) - set(range(65, 91)))
 MARKS = re.compile(rb"[#$%&*|]")
 COUNT_DDL = "part string, mask int, good boolean, toxic boolean, n long"
-STORE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
-}
 
 
 def failures(text: bytes) -> int:
@@ -138,14 +133,7 @@ def mask_counts(spark: SparkSession, documents: str, labels: DataFrame, files_pe
         batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     spark.createDataFrame([], COUNT_DDL).write.parquet(f"{out}/batch=-1")
-    before = {k: spark.conf.get(k, None) for k in STORE}
-    try:
-        for k, v in STORE.items():
-            spark.conf.set(k, v)
-        query = changes.writeStream.foreachBatch(write).option("checkpointLocation", new_path(spark, "filter-stream")).trigger(availableNow=True).start()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    query = changes.writeStream.foreachBatch(write).option("checkpointLocation", new_path(spark, "filter-stream")).trigger(availableNow=True).start()
     query.awaitTermination()
     found = spark.read.schema(COUNT_DDL).parquet(f"{out}/batch=*")
     return found.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).where("n <> 0")

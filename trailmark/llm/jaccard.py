@@ -94,7 +94,7 @@ def _subsets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             tokens = head.values.to_numpy().view(np.uint64) * _ODD
             for k in range(listed(len(tokens), percent)):
                 found = tokens.sum() - tokens[_chosen(len(tokens), k)].sum(axis=1)
-                keys.append(found ^ np.uint64(len(tokens) - k) * _ODD)
+                keys.append(found ^ np.uint64((len(tokens) - k) * int(_ODD) % 2**64))
                 sizes += [len(tokens) - k] * len(found)
                 ns += [len(tokens)] * len(found)
                 nodes += [node] * len(found)
