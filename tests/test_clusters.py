@@ -140,8 +140,8 @@ def test_dumps_locators_and_healing(spark, tmp_path):
     assert (dup.matches, dup.usable) == (2, False) and dup.stability == pytest.approx(0.8 / 3)
     best = {(r.screen_id, r.doc_pos): r.value for r in screens.best(ranked).where("app_version = '1'").collect()}
     assert best["cart", 1] == "buy" and best["cart", 0] is None
-    healed = {(r.screen_id, r.value): r.status for r in screens.healed(elements, "1", "2").collect()}
-    assert healed["cart", "buy"] == "repaired" and healed["old", "x"] == "unrepairable"
+    healed = {(r.screen_id, r.value): r.status for r in screens.healed(screens.own_claims(elements, "1"), elements, "1", "2").collect()}
+    assert healed["cart", "buy"] == "repaired" and ("old", "x") not in healed
     matches = {(r.screen_a, r.screen_b): r.status for r in screens.matched_screens(screens.fingerprints(elements), "1", "2").collect()}
     assert matches["old", None] == "not_captured" and matches[None, "fresh"] == "new"
     assert screens.fingerprints(elements).where("screen_id = 'cart'").select("digest").distinct().count() == 2

@@ -28,24 +28,25 @@ def query(sql: str | None = None):
     return add
 
 
-#: Parts as elements: a block of ten part keys is a screen, and release 2 changes some of them.
-ELEMENTS = """SELECT 'demo' AS app_id, v AS app_version, 'screen_' || CAST(FLOOR(p_partkey / 10) AS {int}) AS screen_id, CAST(p_partkey AS INT) AS doc_pos,
-CASE WHEN p_partkey % 4 = 0 THEN 'android.widget.Button' ELSE 'android.widget.TextView' END AS element_type,
-CASE WHEN p_partkey % 5 <> 0 THEN 'com.app:id/r' || CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE p_partkey END END AS resource_id,
-CASE WHEN p_partkey % 3 <> 0 THEN 'acc ' || CASE WHEN v = '2' AND p_partkey % 7 = 0 THEN p_partkey + 100000 ELSE p_partkey END END AS accessibility_id,
-p_name || ' ' || p_partkey AS text, p_partkey % 4 = 0 AS clickable, '/hierarchy/node[' || p_partkey || ']' AS xpath_positional FROM part, (SELECT '1' AS v UNION ALL SELECT '2') AS versions"""
+#: Parts as elements: a block of ten part keys is a screen. Release 2 changes ids, texts and packages
+#: of some, takes a neighbour's id, renames screens, gives a screen's name to its neighbour, loses some.
+ELEMENTS = """SELECT 'demo' AS app_id, v AS app_version, CASE WHEN v = '2' AND k % 23 = 5 THEN 'moved_' || k WHEN v = '2' AND k % 29 = 7 THEN 'screen_' || (k + 1) WHEN v = '2' AND k % 37 = 12 THEN 'screen_' || (k - 1) ELSE 'screen_' || k END AS screen_id,
+CAST(p AS INT) AS doc_pos, CASE WHEN p % 4 = 0 THEN 'android.widget.Button' WHEN p % 4 = 1 THEN 'XCUIElementTypeCell' ELSE 'android.widget.TextView' END AS element_type,
+CASE WHEN p % 5 <> 0 THEN CASE WHEN v = '2' AND p % 9 = 1 THEN 'com.app.beta' ELSE 'com.app' END || ':id/r' || CASE WHEN p % 11 = 0 THEN 0 WHEN k % 13 = 4 AND p % 10 < 4 THEN k ELSE p END END AS resource_id,
+CASE WHEN p % 3 <> 0 THEN 'acc ' || CASE WHEN v = '2' AND (p % 7 = 0 OR k % 31 = 9) THEN p + 100000 WHEN v = '2' AND k % 19 = 4 AND p % 10 = 2 THEN p - 1 ELSE p END END AS accessibility_id,
+CASE WHEN p % 13 <> 0 THEN CASE WHEN v = '2' AND k % 31 = 9 THEN 'other ' || p WHEN v = '2' AND p % 6 = 0 THEN upper(p_name) || '  ' || p ELSE p_name || ' ' || p END END AS text, CASE WHEN p % 26 = 13 THEN 'label ' || p END AS label,
+p % 4 = 0 AS clickable, CASE WHEN p % 78 <> 0 THEN '/hierarchy/node[' || p || ']' END AS xpath_positional
+FROM (SELECT p_partkey AS p, CAST(FLOOR(p_partkey / 10) AS BIGINT) AS k, p_name FROM part) AS parts, (SELECT '1' AS v UNION ALL SELECT '2') AS versions WHERE NOT (v = '2' AND (k % 17 = 3 OR k % 29 = 8 OR k % 37 = 11))"""
 
 
 def elements(spark, sf_dir):
-    versions = F.explode(F.array(F.lit("1"), F.lit("2"))).alias("v")
-    rows = driver.table(spark, sf_dir, "part").select("*", versions)
-    body = ELEMENTS.format(int="BIGINT").replace("FROM part, (SELECT '1' AS v UNION ALL SELECT '2') AS versions", "FROM {rows}")
-    return spark.sql(body, rows=rows)
+    return spark.sql(ELEMENTS.replace("FROM part)", "FROM {part})"), part=driver.table(spark, sf_dir, "part"))
 
 
-E = f"WITH e AS ({ELEMENTS.format(int='BIGINT')})"
+E = f"""WITH e AS (SELECT *, '//' || element_type || CASE WHEN text <> '' THEN '[@text="' || text || '"]' WHEN label <> '' THEN '[@label="' || label || '"]' ELSE '' END AS semantic,
+CASE WHEN contains(resource_id, '/') THEN substr(resource_id, instr(resource_id, '/') + 1) ELSE '' END AS short, regexp_replace(string_split(element_type, '.')[-1], '^XCUIElementType', '') AS kind, left(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), 60) AS plain FROM ({ELEMENTS}))"""
 CANDIDATES = f"""{E}, c AS (SELECT app_version, screen_id, doc_pos, 'accessibility_id' AS strategy, accessibility_id AS value FROM e WHERE accessibility_id IS NOT NULL UNION ALL SELECT app_version, screen_id, doc_pos, 'resource_id', resource_id FROM e WHERE resource_id IS NOT NULL
-UNION ALL SELECT app_version, screen_id, doc_pos, 'semantic_xpath', '//' || string_split(element_type, '.')[-1] || '[@text=''' || text || ''']' FROM e UNION ALL SELECT app_version, screen_id, doc_pos, 'positional_xpath', xpath_positional FROM e),
+UNION ALL SELECT app_version, screen_id, doc_pos, 'semantic_xpath', semantic FROM e WHERE semantic LIKE '%]' UNION ALL SELECT app_version, screen_id, doc_pos, 'positional_xpath', xpath_positional FROM e WHERE xpath_positional IS NOT NULL),
 k AS (SELECT *, count(*) OVER (PARTITION BY app_version, screen_id, strategy, value) AS matches FROM c),
 s AS (SELECT *, CASE strategy WHEN 'accessibility_id' THEN 1.0 WHEN 'resource_id' THEN 0.8 WHEN 'semantic_xpath' THEN 0.55 ELSE 0.15 END AS base FROM k),
 l AS (SELECT app_version, screen_id, doc_pos, strategy, value, matches, CAST(CASE WHEN matches = 1 THEN base ELSE base / (1 + matches) END AS DOUBLE) AS stability, matches = 1 AND base >= 0.5 AS usable FROM s)"""
@@ -56,10 +57,20 @@ def l_candidates(spark, sf_dir):
     return screens.candidates(elements(spark, sf_dir)).drop("app_id").withColumn("stability", F.round("stability", 6))
 
 
-@query(f"""{CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY app_version, screen_id, doc_pos ORDER BY stability DESC, matches, value) AS place FROM l)
-SELECT app_version, screen_id, doc_pos, arg_min(strategy, place) FILTER (usable) AS strategy, arg_min(value, place) FILTER (usable) AS value, count(*) FILTER (usable) AS n_usable FROM r GROUP BY ALL""")
+BEST = f"""{CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY app_version, screen_id, doc_pos ORDER BY stability DESC, matches, value) AS place FROM l),
+rb AS (SELECT app_version, screen_id, doc_pos, arg_min(strategy, place) FILTER (usable) AS strategy, arg_min(value, place) FILTER (usable) AS value, count(*) FILTER (usable) AS n_usable, count(*) FILTER (matches = 1) AS n_unique FROM r GROUP BY ALL),
+bs AS (SELECT e.app_version, e.screen_id, e.doc_pos, strategy, value, coalesce(n_usable, 0) AS n_usable, CASE WHEN n_usable > 0 THEN NULL WHEN n_unique IS NULL THEN 'no candidate' WHEN n_unique = 0 THEN 'all ambiguous' ELSE 'only fragile' END AS diagnosis FROM e LEFT JOIN rb USING (app_version, screen_id, doc_pos))"""
+
+
+def best_locators(spark, sf_dir):
+    rows = elements(spark, sf_dir)
+    return screens.best(screens.candidates(rows), rows)
+
+
+@query(f"{BEST} FROM bs")
 def l_best(spark, sf_dir):
-    return screens.best(screens.candidates(elements(spark, sf_dir))).drop("app_id", "diagnosis")
+    """The best locator of each element, and why some have none."""
+    return best_locators(spark, sf_dir).drop("app_id")
 
 
 @query(f"{E} SELECT app_version, screen_id, count(*) AS n_elements, count(*) FILTER (clickable) AS n_interactive, count(accessibility_id) AS n_accessibility, count(resource_id) AS n_resource FROM e GROUP BY ALL")
@@ -67,17 +78,16 @@ def l_dump_summary(spark, sf_dir):
     return screens.summary(elements(spark, sf_dir)).drop("app_id")
 
 
-@query(f"""{E}, u AS (SELECT *, string_split(resource_id, '/')[-1] AS short FROM e),
-n AS (SELECT *, count(accessibility_id) OVER (PARTITION BY app_version, screen_id, accessibility_id) AS na, count(short) OVER (PARTITION BY app_version, screen_id, short) AS nr, count(text) OVER (PARTITION BY app_version, screen_id, text) AS nt FROM u),
-b AS (SELECT *, lower(regexp_replace(coalesce(CASE WHEN na = 1 THEN accessibility_id END, CASE WHEN nr = 1 THEN short END, CASE WHEN nt = 1 THEN text END, string_split(element_type, '.')[-1]), '[^A-Za-z0-9]+', '_', 'g')) AS base FROM n)
+@query(f"""{E}, n AS (SELECT *, count(accessibility_id) OVER (PARTITION BY app_version, screen_id, accessibility_id) AS na, count(nullif(short, '')) OVER (PARTITION BY app_version, screen_id, nullif(short, '')) AS nr, count(text) OVER (PARTITION BY app_version, screen_id, text) AS nt FROM e),
+b AS (SELECT *, lower(regexp_replace(coalesce(CASE WHEN na = 1 THEN accessibility_id END, CASE WHEN nr = 1 THEN short END, CASE WHEN nt = 1 THEN text END, kind), '[^A-Za-z0-9]+', '_', 'g')) AS base FROM n)
 SELECT app_version, screen_id, doc_pos, base || CASE WHEN nth > 1 THEN '_' || nth ELSE '' END AS role FROM (SELECT *, row_number() OVER (PARTITION BY app_version, screen_id, base ORDER BY doc_pos) AS nth FROM b)""")
 def l_roles(spark, sf_dir):
     return screens.roles(elements(spark, sf_dir)).select("app_version", "screen_id", "doc_pos", "role")
 
 
 FINGERPRINTS = f"""WITH RECURSIVE {E.removeprefix('WITH ')},
-ty AS (SELECT app_version, screen_id, string_split(element_type, '.')[-1] AS t, count(*) AS n FROM e GROUP BY ALL),
-fp AS (SELECT app_version, screen_id, coalesce(list(DISTINCT accessibility_id ORDER BY accessibility_id) FILTER (accessibility_id IS NOT NULL), []) AS ids, list(DISTINCT nullif(left(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 60), '')) AS words,
+ty AS (SELECT app_version, screen_id, kind AS t, count(*) AS n FROM e GROUP BY ALL),
+fp AS (SELECT app_version, screen_id, coalesce(list(DISTINCT accessibility_id ORDER BY accessibility_id) FILTER (accessibility_id IS NOT NULL), []) AS ids, list(DISTINCT nullif(plain, '')) AS words,
   (SELECT list({{'t': t, 'n': n}} ORDER BY t) FROM ty WHERE ty.app_version = e.app_version AND ty.screen_id = e.screen_id) AS types FROM e GROUP BY app_version, screen_id),
 fq AS (SELECT app_version, screen_id, ids, types, list_sort([x FOR x IN words IF x IS NOT NULL]) AS texts FROM fp)"""
 #: All pairs of screens of the two releases, and the greedy claims one screen after another.
@@ -85,17 +95,20 @@ MATCHES = f"""{FINGERPRINTS},
 ab AS (SELECT a.screen_id AS screen_a, b.screen_id AS screen_b, a.ids AS ia, b.ids AS ib, a.texts AS xa, b.texts AS xb, a.types AS ta, b.types AS tb FROM fq a, fq b WHERE a.app_version = '1' AND b.app_version = '2'),
 sc AS (SELECT screen_a, screen_b, CASE WHEN len(ia) + len(ib) = 0 THEN 1.0 ELSE len(list_intersect(ia, ib)) / len(list_distinct(ia || ib)) END AS ji, CASE WHEN len(xa) + len(xb) = 0 THEN 1.0 ELSE len(list_intersect(xa, xb)) / len(list_distinct(xa || xb)) END AS jx,
   list_distinct([x.t FOR x IN ta] || [x.t FOR x IN tb]) AS names, map_from_entries(ta) AS ma, map_from_entries(tb) AS mb FROM ab),
-pr AS (SELECT screen_a, screen_b, round(ji * 0.55::DOUBLE + list_sum([least(coalesce(ma[k], 0), coalesce(mb[k], 0)) FOR k IN names]) / list_sum([greatest(coalesce(ma[k], 0), coalesce(mb[k], 0)) FOR k IN names]) * 0.25::DOUBLE + jx * 0.2::DOUBLE, 4) AS similarity FROM sc),
+pr AS MATERIALIZED (SELECT screen_a, screen_b, round(ji * 0.55::DOUBLE + list_sum([least(coalesce(ma[k], 0), coalesce(mb[k], 0)) FOR k IN names]) / list_sum([greatest(coalesce(ma[k], 0), coalesce(mb[k], 0)) FOR k IN names]) * 0.25::DOUBLE + jx * 0.2::DOUBLE, 4) AS similarity FROM sc),
 ok AS (FROM pr WHERE similarity >= 0.55), same AS (FROM ok WHERE screen_a = screen_b),
-todo AS (SELECT row_number() OVER (ORDER BY screen_a) AS nth, screen_a, list({{'b': screen_b, 's': similarity}} ORDER BY similarity DESC, screen_b) AS options FROM ok WHERE screen_a NOT IN (SELECT screen_a FROM same) GROUP BY screen_a),
-claim AS (SELECT CAST(0 AS BIGINT) AS nth, CAST(NULL AS VARCHAR) AS screen_a, CAST(NULL AS STRUCT(b VARCHAR, s DOUBLE)) AS got, coalesce((SELECT list(screen_b) FROM same), []) AS taken
-  UNION ALL SELECT nth, screen_a, got, CASE WHEN got IS NULL THEN taken ELSE list_append(taken, got.b) END FROM (SELECT todo.nth, todo.screen_a, ([x FOR x IN todo.options IF NOT list_contains(claim.taken, x.b)])[1] AS got, claim.taken FROM claim JOIN todo ON todo.nth = claim.nth + 1)),
-held AS (SELECT screen_a, screen_b, 'matched' AS status, similarity FROM same UNION ALL SELECT screen_a, got.b, 'renamed', got.s FROM claim WHERE got IS NOT NULL),
-lost AS (SELECT a.screen_id AS screen_a, b.screen_id AS screen_b, CASE WHEN b.screen_id IS NULL THEN 'not_captured' ELSE 'changed' END AS status, CAST(NULL AS DOUBLE) AS similarity FROM fq a LEFT JOIN fq b ON b.app_version = '2' AND b.screen_id = a.screen_id WHERE a.app_version = '1' AND a.screen_id NOT IN (SELECT screen_a FROM held)),
-both_ AS (FROM held UNION ALL FROM lost), mt AS (FROM both_ UNION ALL SELECT NULL, screen_id, 'new', NULL FROM fq WHERE app_version = '2' AND screen_id NOT IN (SELECT screen_b FROM both_ WHERE screen_b IS NOT NULL))"""
-
-
-@query(f"""{FINGERPRINTS} SELECT app_version, screen_id, left(sha256(CAST(to_json({{'ids': ids, 'types': types, 'texts': texts}}) AS VARCHAR)), 16) AS digest, CAST(len(ids) AS INTEGER) AS n_ids, CAST(len(texts) AS INTEGER) AS n_texts FROM fq""")
+op AS (SELECT screen_a, list({{'b': screen_b, 's': similarity}} ORDER BY similarity DESC, screen_b) AS options FROM ok WHERE screen_a <> screen_b AND NOT (screen_b < screen_a AND screen_b IN (SELECT screen_b FROM same)) GROUP BY screen_a),
+todo AS (SELECT row_number() OVER (ORDER BY f.screen_id) AS nth, f.screen_id AS screen_a, pr.similarity AS own, coalesce(options, []) AS options
+  FROM fq f LEFT JOIN op ON op.screen_a = f.screen_id LEFT JOIN pr ON pr.screen_a = f.screen_id AND pr.screen_b = f.screen_id WHERE f.app_version = '1' AND f.screen_id NOT IN (SELECT screen_a FROM same)),
+claim AS (SELECT CAST(0 AS BIGINT) AS nth, CAST(NULL AS VARCHAR) AS screen_a, CAST(NULL AS VARCHAR) AS screen_b, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS DOUBLE) AS similarity, CAST([] AS VARCHAR[]) AS taken
+  UNION ALL SELECT nth, screen_a, CASE WHEN got IS NOT NULL THEN got.b WHEN own IS NOT NULL THEN screen_a END, CASE WHEN got IS NOT NULL THEN 'renamed' WHEN own IS NOT NULL THEN 'changed' ELSE 'not_captured' END, coalesce(got.s, own),
+    CASE WHEN got IS NOT NULL THEN list_append(taken, got.b) WHEN own IS NOT NULL THEN list_append(taken, screen_a) ELSE taken END
+  FROM (SELECT todo.nth, todo.screen_a, todo.own, ([x FOR x IN todo.options IF NOT list_contains(claim.taken, x.b)])[1] AS got, claim.taken FROM claim JOIN todo ON todo.nth = claim.nth + 1)),
+both_ AS (SELECT screen_a, screen_b, 'matched' AS status, similarity FROM same UNION ALL SELECT screen_a, screen_b, status, similarity FROM claim WHERE nth > 0),
+mt AS (FROM both_ UNION ALL SELECT NULL, screen_id, 'new', NULL FROM fq WHERE app_version = '2' AND screen_id NOT IN (SELECT screen_b FROM both_ WHERE screen_b IS NOT NULL))"""
+
+
+@query(f"""{FINGERPRINTS} SELECT app_version, screen_id, left(sha256(array_to_string(ids, ',') || '|' || array_to_string([x.t || ':' || x.n FOR x IN types], ',')), 16) AS digest, CAST(len(ids) AS INTEGER) AS n_ids, CAST(len(texts) AS INTEGER) AS n_texts FROM fq""")
 def l_fingerprints(spark, sf_dir):
     return screens.fingerprints(elements(spark, sf_dir)).select("app_version", "screen_id", "digest", F.size("ids").alias("n_ids"), F.size("texts").alias("n_texts"))
 
@@ -105,55 +118,104 @@ def l_screen_matches(spark, sf_dir):
     return screens.matched_screens(screens.fingerprints(elements(spark, sf_dir)), "1", "2").drop("app_id")
 
 
-@query(f"{MATCHES} SELECT count(*) AS n_comparable, count(*) FILTER (status = 'matched') * 100 / count(*) AS stability_pct FROM mt WHERE status NOT IN ('not_captured', 'new')")
+@query(f"{MATCHES} SELECT count(*) AS n_comparable, round(count(*) FILTER (status IN ('matched', 'renamed')) * 100 / count(*), 1) AS stability_pct FROM mt WHERE status <> 'not_captured'")
 def l_identity_stability(spark, sf_dir):
     return screens.identity_stability(screens.matched_screens(screens.fingerprints(elements(spark, sf_dir)), "1", "2")).drop("app_id")
 
 
-@query(f"""{CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY app_version, screen_id, doc_pos ORDER BY stability DESC, matches, value) AS place FROM l),
-b AS (SELECT app_version, screen_id, doc_pos, count(*) FILTER (usable) AS n FROM r GROUP BY ALL) SELECT app_version, screen_id, count(*) AS n_elements, count(*) FILTER (n > 0) AS n_resolved, count(*) FILTER (n > 0) / count(*) AS rate FROM b GROUP BY ALL""")
+MIX = ", ".join(f"count(*) FILTER (strategy = '{x}') AS {x}" for x in screens.STABILITY)
+
+
+@query(f"""{BEST} SELECT app_version, screen_id, count(*) AS n_elements, count(*) FILTER (n_usable > 0) AS n_resolved, round(count(*) FILTER (n_usable > 0) / count(*), 3) AS rate, {MIX},
+count(*) FILTER (diagnosis = 'no candidate') AS n_no_candidate, count(*) FILTER (diagnosis = 'all ambiguous') AS n_ambiguous, count(*) FILTER (diagnosis = 'only fragile') AS n_fragile FROM bs GROUP BY ALL""")
 def l_resolution(spark, sf_dir):
-    return screens.screen_resolution(screens.best(screens.candidates(elements(spark, sf_dir)))).drop("app_id", "n_ambiguous", "n_fragile")
+    return screens.screen_resolution(best_locators(spark, sf_dir)).select("*", "strategy_mix.*").drop("app_id", "strategy_mix")
 
 
-HEALED = f"""{CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY app_version, screen_id, doc_pos ORDER BY stability DESC, matches, value) AS place FROM l),
-b AS (SELECT app_version, screen_id, doc_pos, arg_min(strategy, place) AS strategy, arg_min(value, place) AS value FROM r WHERE usable GROUP BY ALL),
-o AS (SELECT b.screen_id, b.doc_pos, b.strategy, b.value, count(x.value) AS found FROM b LEFT JOIN l x ON x.app_version = '2' AND x.screen_id = b.screen_id AND x.strategy = b.strategy AND x.value = b.value WHERE b.app_version = '1' GROUP BY ALL),
-c2 AS (SELECT o.screen_id, o.doc_pos, q.doc_pos AS other, 0.0::DOUBLE + CASE WHEN p.accessibility_id = q.accessibility_id THEN 0.45::DOUBLE ELSE 0 END + CASE WHEN p.text = q.text THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN p.element_type = q.element_type THEN 0.15::DOUBLE ELSE 0 END
-  + CASE WHEN p.resource_id = q.resource_id THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN p.clickable = q.clickable THEN 0.05::DOUBLE ELSE 0 END AS likeness FROM o JOIN e p ON p.app_version = '1' AND p.screen_id = o.screen_id AND p.doc_pos = o.doc_pos JOIN e q ON q.app_version = '2' AND q.screen_id = o.screen_id WHERE o.found = 0),
-t AS (SELECT screen_id, doc_pos, arg_max(other, likeness * 1e9 - other) AS other FROM c2 WHERE likeness >= 0.45 GROUP BY ALL),
-w AS (SELECT strategy, CAST(base AS DOUBLE) AS level FROM (VALUES ('accessibility_id', 1.0), ('resource_id', 0.8), ('semantic_xpath', 0.55)) AS v(strategy, base)),
-h AS (SELECT o.screen_id, o.doc_pos, o.strategy, o.value, CASE WHEN found = 1 THEN 'fine' WHEN found > 1 THEN 'ambiguous' WHEN b.value IS NULL THEN 'unrepairable' WHEN (SELECT level FROM w WHERE w.strategy = b.strategy) < (SELECT level FROM w WHERE w.strategy = o.strategy) THEN 'review' ELSE 'repaired' END AS status,
-  b.strategy AS new_strategy, b.value AS new_value FROM o LEFT JOIN t USING (screen_id, doc_pos) LEFT JOIN b ON b.app_version = '2' AND b.screen_id = o.screen_id AND b.doc_pos = t.other)"""
+def claims(spark, sf_dir):
+    """The best locators of release 1, ids of parts by their resource, and ids that nobody has."""
+    rows = elements(spark, sf_dir).where("app_version = '1'")
+    own = screens.own_claims(elements(spark, sf_dir), "1")
+    one = lambda where, role, strategy, value: rows.where(where).select("app_id", "screen_id", role.alias("role"), F.lit(strategy).alias("strategy"), value.alias("value"))
+    by_id = one("resource_id IS NOT NULL AND doc_pos % 2 = 0", F.when(F.col("doc_pos") % 8 == 0, "LINE_ITEM").otherwise(F.concat(F.lit("po_"), "doc_pos")), "resource_id", F.col("resource_id"))
+    lost = one("doc_pos % 50 = 7", F.lit("nobody"), "accessibility_id", F.concat(F.lit("none "), "doc_pos"))
+    return own.union(by_id.distinct()).union(lost)
+
+
+CLAIMS = f"""{BEST}, cl AS (SELECT screen_id, CAST(doc_pos AS VARCHAR) AS role, strategy, value FROM bs WHERE app_version = '1' AND strategy IS NOT NULL
+UNION SELECT screen_id, CASE WHEN doc_pos % 8 = 0 THEN 'LINE_ITEM' ELSE 'po_' || doc_pos END, 'resource_id', resource_id FROM e WHERE app_version = '1' AND resource_id IS NOT NULL AND doc_pos % 2 = 0
+UNION SELECT screen_id, 'nobody', 'accessibility_id', 'none ' || doc_pos FROM e WHERE app_version = '1' AND doc_pos % 50 = 7),
+hit AS (SELECT cl.*, e.app_version, e.doc_pos FROM cl JOIN e ON e.screen_id = cl.screen_id AND CASE strategy WHEN 'accessibility_id' THEN e.accessibility_id = value WHEN 'resource_id' THEN e.resource_id = value OR (e.resource_id <> '' AND e.short = string_split(value, '/')[-1])
+  WHEN 'semantic_xpath' THEN e.semantic = value ELSE e.xpath_positional = value END),
+cf AS (SELECT cl.*, cl.screen_id IN (SELECT screen_id FROM e WHERE app_version = '2') AS dumped, (SELECT count(*) FROM hit WHERE hit.app_version = '2' AND (hit.screen_id, hit.role, hit.strategy, hit.value) = (cl.screen_id, cl.role, cl.strategy, cl.value)) AS n,
+  (SELECT min(doc_pos) FROM hit WHERE hit.app_version = '1' AND (hit.screen_id, hit.role, hit.strategy, hit.value) = (cl.screen_id, cl.role, cl.strategy, cl.value)) AS pos FROM cl)"""
+HEALED = f"""{CLAIMS},
+lo AS (SELECT cf.*, p.accessibility_id, p.text, p.plain, p.kind, p.short, p.clickable FROM cf LEFT JOIN e p ON p.app_version = '1' AND p.screen_id = cf.screen_id AND p.doc_pos = cf.pos WHERE dumped),
+li AS (SELECT lo.screen_id, lo.role, lo.strategy, lo.value, q.doc_pos AS other, round(CASE WHEN lo.accessibility_id <> '' AND lo.accessibility_id = q.accessibility_id THEN 0.45::DOUBLE ELSE 0 END + CASE WHEN lo.text <> '' AND lo.plain = q.plain THEN 0.25::DOUBLE ELSE 0 END
+  + CASE WHEN lo.kind = q.kind THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN lo.short <> '' AND lo.short = q.short THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN lo.clickable = q.clickable THEN 0.05::DOUBLE ELSE 0 END, 4) AS likeness
+  FROM lo JOIN e q ON q.app_version = '2' AND q.screen_id = lo.screen_id WHERE n = 0 AND pos IS NOT NULL),
+tp AS (SELECT screen_id, role, strategy, value, arg_max(other, likeness * 1e9 - other) AS other, max(likeness) AS confidence FROM li WHERE likeness >= 0.45 GROUP BY ALL),
+w(strategy, level) AS (VALUES ('accessibility_id', 1.0), ('resource_id', 0.8), ('semantic_xpath', 0.55)),
+h AS (SELECT lo.screen_id, lo.role, lo.strategy, lo.value, n AS found, CASE WHEN n = 1 THEN 'fine' WHEN n > 1 THEN 'ambiguous' WHEN pos IS NULL THEN 'not_in_baseline' WHEN b.value IS NULL THEN 'unrepairable' WHEN (SELECT level FROM w WHERE w.strategy = b.strategy) < (SELECT level FROM w WHERE w.strategy = lo.strategy) THEN 'review' ELSE 'repaired' END AS status,
+  b.strategy AS new_strategy, b.value AS new_value, confidence FROM lo LEFT JOIN tp USING (screen_id, role, strategy, value) LEFT JOIN bs b ON b.app_version = '2' AND b.screen_id = lo.screen_id AND b.doc_pos = tp.other)"""
 
 
 @query(f"{HEALED} FROM h")
 def l_healing(spark, sf_dir):
-    return screens.healed(elements(spark, sf_dir), "1", "2").select("screen_id", "doc_pos", "strategy", "value", "status", "new_strategy", "new_value")
+    """Claimed locators of release 1 in release 2: what still matches, and repairs of what doesn't."""
+    return screens.healed(claims(spark, sf_dir), elements(spark, sf_dir), "1", "2").drop("app_id")
+
 
+FIGURES = "count(*) AS n, round(count(*) FILTER (status = 'fine') * 100 / count(*), 1) AS survived_pct, count(*) FILTER (status = 'repaired') AS n_repaired, count(*) FILTER (status = 'review') AS n_review, count(*) FILTER (status IN ('unrepairable', 'ambiguous', 'not_in_baseline')) AS n_unrepairable"
 
-@query(f"{HEALED} SELECT strategy, count(*) AS n, count(*) FILTER (status = 'fine') * 100 / count(*) AS survived_pct, count(*) FILTER (status = 'repaired') AS n_repaired, count(*) FILTER (status = 'review') AS n_review, count(*) FILTER (status = 'unrepairable') AS n_unrepairable FROM h GROUP BY strategy")
+
+@query(f"{HEALED} SELECT strategy, {FIGURES} FROM h GROUP BY strategy UNION ALL SELECT '(all)', {FIGURES} FROM h")
 def l_survival(spark, sf_dir):
-    return screens.survival(screens.healed(elements(spark, sf_dir), "1", "2")).drop("app_id")
+    return screens.survival(screens.healed(claims(spark, sf_dir), elements(spark, sf_dir), "1", "2")).drop("app_id")
 
 
 def claimed(spark, sf_dir):
-    rows = elements(spark, sf_dir)
-    claims = rows.where("app_version = '1' AND accessibility_id IS NOT NULL").select("app_id", "screen_id", F.lit("r").alias("role"), F.lit("accessibility_id").alias("strategy"), F.col("accessibility_id").alias("value"))
-    return screens.verified_claims(claims, screens.candidates(rows.where("app_version = '2'")))
+    return screens.verified_claims(claims(spark, sf_dir), elements(spark, sf_dir).where("app_version = '2'"))
+
 
+VERIFIED = f"""{CLAIMS}, vc AS (SELECT screen_id, role, strategy, value, CASE WHEN dumped THEN n END AS found, CASE WHEN NOT dumped THEN 'unverified' WHEN n = 0 THEN 'missing' WHEN n > 1 AND NOT regexp_matches(lower(role), 's$|item|row|cell|card|entry|option|tile|chip') THEN 'ambiguous' ELSE 'fine' END AS status FROM cf)"""
 
-@query(f"{E} SELECT screen_id, 'r' AS kind, accessibility_id AS value, CASE WHEN accessibility_id IN (SELECT accessibility_id FROM e x WHERE x.app_version = '2' AND x.screen_id = e.screen_id) THEN 'fine' ELSE 'missing' END AS status FROM e WHERE app_version = '1' AND accessibility_id IS NOT NULL")
+
+@query(f"{VERIFIED} FROM vc")
 def l_claims(spark, sf_dir):
     """Locators of release 1 claimed for release 2."""
-    return claimed(spark, sf_dir).select("screen_id", F.col("role").alias("kind"), "value", "status")
+    return claimed(spark, sf_dir).drop("app_id")
+
 
+def sources(spark, sf_dir):
+    """Release 1 as page objects and release 2 as a crawl, whose roles are their places."""
+    ranked = screens.candidates(elements(spark, sf_dir)).where("strategy IN ('accessibility_id', 'resource_id')")
+    source = F.when(F.col("app_version") == "1", "page_object").otherwise("crawl")
+    return ranked.select("app_id", "screen_id", source.alias("source"), F.col("app_version").cast("int").alias("source_ord"), F.concat(F.lit("role"), "app_version", F.lit("_"), "doc_pos").alias("role"), "strategy", "value", "matches")
 
-@query(f"{E} SELECT screen_id, arg_min('role' || app_version || '_' || doc_pos, (app_version, 'role' || app_version || '_' || doc_pos)) AS role, accessibility_id AS value FROM e WHERE accessibility_id IS NOT NULL GROUP BY screen_id, accessibility_id")
+
+MERGED = f"""{CANDIDATES}, so AS (SELECT screen_id, app_version AS v, CASE app_version WHEN '1' THEN 'page_object' ELSE 'crawl' END AS source, 'role' || app_version || '_' || doc_pos AS role, strategy, value, matches FROM l WHERE strategy IN ('accessibility_id', 'resource_id')),
+ow AS (SELECT *, first_value(role) OVER (PARTITION BY screen_id, strategy, value ORDER BY v, role) AS owner FROM so WHERE matches = 1),
+fo AS (SELECT screen_id, role, arg_min(owner, (v, owner)) AS owner FROM ow WHERE owner <> role GROUP BY ALL),
+me AS (SELECT screen_id, coalesce(owner, role) AS role, strategy, value, arg_min(matches, v) AS matches, list(DISTINCT source ORDER BY source) AS sources FROM so LEFT JOIN fo USING (screen_id, role) GROUP BY ALL)"""
+
+
+@query(f"{MERGED} SELECT screen_id, role, strategy, value, matches, array_to_string(sources, ',') AS sources FROM me")
 def l_merged_locators(spark, sf_dir):
-    ranked = screens.candidates(elements(spark, sf_dir))
-    sources = ranked.select("app_id", "screen_id", F.col("app_version").cast("int").alias("source_ord"), F.concat(F.lit("role"), "app_version", F.lit("_"), "doc_pos").alias("role"), "strategy", "value", F.lit(1).alias("matches")).where("strategy = 'accessibility_id'")
-    return screens.merged_locators(sources).select("screen_id", "role", "value")
+    return screens.merged_locators(sources(spark, sf_dir)).drop("app_id").withColumn("sources", F.array_join("sources", ","))
+
+
+@query(f"""{MERGED}, ro AS (SELECT screen_id, role, arg_min(strategy, (CASE strategy WHEN 'accessibility_id' THEN 0 ELSE 1 END, value)) FILTER (matches = 1) AS strategy, flatten(list(sources)) AS sources FROM me GROUP BY screen_id, role),
+de AS (SELECT DISTINCT screen_id FROM e UNION SELECT 'screen_' || (p_partkey + 1000000) FROM part WHERE p_partkey % 100 = 0)
+SELECT screen_id, coalesce(array_to_string(list_sort(list_distinct(flatten(list(sources) FILTER (sources IS NOT NULL)))), ','), '') AS sources, count(role) AS n_roles, count(strategy) AS n_resolved, coalesce(round(count(strategy) / nullif(count(role), 0), 3), 0) AS rate,
+count(*) FILTER (strategy = 'accessibility_id') AS accessibility_id, count(*) FILTER (strategy = 'resource_id') AS resource_id, count(*) FILTER (role IS NOT NULL AND strategy IS NULL) AS n_ambiguous,
+CASE WHEN count(role) = 0 THEN 'no source reached the screen' WHEN count(strategy) < count(role) THEN 'unresolved roles' END AS diagnosis FROM de LEFT JOIN ro USING (screen_id) GROUP BY screen_id""")
+def l_source_resolution(spark, sf_dir):
+    """Screens of both releases and some that no source reached, by what their merged locators resolve."""
+    unseen = driver.table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.lit("demo").alias("app_id"), F.concat(F.lit("screen_"), (F.col("p_partkey") + 1000000).cast("string")).alias("screen_id"))
+    declared = elements(spark, sf_dir).select("app_id", "screen_id").union(unseen)
+    rows = screens.source_resolution(screens.merged_locators(sources(spark, sf_dir)), declared)
+    return rows.select("screen_id", F.array_join("sources", ",").alias("sources"), "n_roles", "n_resolved", "rate", "strategy_mix.accessibility_id", "strategy_mix.resource_id", "n_ambiguous", "diagnosis")
 
 
 @query("""SELECT screen_id || '.xml' AS file, count(*) AS n_elements, count(accessibility_id) AS n_accessibility, max(depth) AS max_depth FROM (SELECT 'screen_' || CAST(FLOOR(p_partkey / 10) AS BIGINT) AS screen_id, CASE WHEN p_partkey % 3 <> 0 THEN 'a' END AS accessibility_id, 1 AS depth FROM part
@@ -407,10 +469,10 @@ GATES = " UNION ALL ".join(
         gate("suite", "registry_used", "true", "n", testing.ORACLE_SQL["g_tallies"] + ") WHERE label IN ('protected_retained'"),
         gate("locators", "resolved", "sum(n_resolved) / sum(n_steps) >= 0.8", "round(sum(n_resolved) / sum(n_steps), 4)", ORACLE_SQL["l_journey_resolution"]),
         gate("locators", "executable", "count(*) FILTER (executable) > 0", "count(*) FILTER (executable) || ' of ' || count(*)", ORACLE_SQL["l_journey_resolution"]),
-        gate("locators", "diagnosed", "true", "count(*) FILTER (n_resolved = 0)", ORACLE_SQL["l_resolution"]),
+        gate("locators", "diagnosed", "count(*) FILTER (n_resolved = 0) = 0 OR count(*) FILTER (n_resolved = 0 AND n_no_candidate + n_ambiguous + n_fragile > 0) > 0", "count(*) FILTER (n_resolved = 0 AND n_no_candidate + n_ambiguous + n_fragile > 0)", ORACLE_SQL["l_resolution"]),
         gate("locators", "identity", "stability_pct >= 80", "round(stability_pct, 2)", ORACLE_SQL["l_identity_stability"]),
         gate("locators", "none_fragile", "count(*) FILTER (strategy = 'positional_xpath') = 0", "count(*) FILTER (strategy = 'positional_xpath')", ORACLE_SQL["l_best"]),
-        gate("locators", "claims_hold", "count(*) FILTER (status <> 'fine') = 0", "count(*) FILTER (status <> 'fine')", ORACLE_SQL["l_claims"]),
+        gate("locators", "claims_hold", "count(*) FILTER (status IN ('missing', 'ambiguous')) = 0", "count(*) FILTER (status IN ('missing', 'ambiguous'))", ORACLE_SQL["l_claims"]),
         gate("runs", "validated", "count(*) FILTER (verdict = 'validated') > 0", "count(*) FILTER (verdict = 'validated')", ORACLE_SQL["l_verdicts"]),
         gate("outcomes", "attributed", "n_defects > 0", "n_defects", ORACLE_SQL["o_outcomes"]),
         gate("outcomes", "defined", "precision IS NOT NULL AND recall IS NOT NULL", "round(precision, 3)", ORACLE_SQL["o_outcomes"]),
@@ -441,7 +503,7 @@ def x_gates(spark, sf_dir):
     goals = golden(spark, sf_dir)
     proposal = outcomes.weight_proposal(outcomes.hit_rates(outcomes.attributed(defects(spark, sf_dir), goals), goals), archetypes.WEIGHTS)
     element_rows = elements(spark, sf_dir)
-    found = screens.best(screens.candidates(element_rows))
+    found = best_locators(spark, sf_dir)
     reached = walked.select("app_id", F.col("target").alias("screen_id")).distinct()
     rows = gates.all_of(
         gates.foundation_gate(taxonomy, readiness.verdict(readiness.dimensions(events, declared)), apps, registry, baselines),
