@@ -14,9 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmark.functions.cutting import cut
+from trailmark.functions.ranking import numbered, with_totals
 from trailmark.functions.sequences import common_backbone, position_masks, similarity
 
 THRESHOLD = 0.65
+#: Listed variants of one token and length that meet in one task.
+MET_AT_ONCE = 1000
+#: Members of an archetype that one round of the fold takes.
+FOLDED_AT_ONCE = 64
 OPEN = "(open)"
 # Markers of a path's outcome by its last screen, tried in this order.
 OUTCOMES = {
@@ -30,10 +35,10 @@ WEIGHTS = {"frequency": 0.30, "business_value": 0.30, "risk": 0.25, "exposure":
 def ranked(variant_rows: DataFrame, critical: list[str]) -> DataFrame:
     """Variants with rank, and ``ends``: a critical last screen, or a mark that all others share.
     Variants may merge just if their ends are equal (C4)."""
-    by_count = W.partitionBy("app_id").orderBy(F.desc("n_sessions"), "path")
     last = F.element_at("path", -1)
     ends = F.when(last.isin(critical), last).otherwise(F.lit(OPEN)) if critical else F.lit(OPEN)
-    return variant_rows.withColumns({"rank": F.row_number().over(by_count), "ends": ends, "masks": position_masks(F.col("path"))})
+    rows = numbered(variant_rows, ["app_id"], [F.desc("n_sessions"), "path"], "rank")
+    return rows.withColumns({"ends": ends, "masks": position_masks(F.col("path"))})
 
 
 def _tokens(path: Column) -> Column:
@@ -47,16 +52,27 @@ def pairs(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Similar paths share screens: with the tokens of a path in a fixed order, rare ones first, two
     paths that reach the threshold share one among the first n - ceil(t n) + 1 of each (prefix
-    filter), so candidates meet in an equi-join and none is lost.
+    filter), so candidates meet in an equi-join and none is lost. They meet by length class too,
+    where a pair's classes are equal or neighbours, and what follows a shared token must leave room for
+    the overlap they need. The variants of a frequent token are dealt out by salt on one side and
+    copied to the salts on the other, so no task gets all of its pairs.
     """
+    t = F.lit(threshold)
     tokens = rows.select("app_id", "ends", "rank", F.size("path").alias("n"), F.explode(_tokens(F.col("path"))).alias("token"))
     often = tokens.groupBy("app_id", "token").agg(F.count("*").alias("c"))
     order = W.partitionBy("app_id", "rank").orderBy("c", "token")
-    short = tokens.join(often, ["app_id", "token"]).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1)
-    a = short.select("app_id", "ends", "token", F.col("rank").alias("i"), F.col("n").alias("n_i"))
-    b = short.select("app_id", "ends", "token", F.col("rank").alias("j"), F.col("n").alias("n_j"))
-    near = F.least("n_i", "n_j") >= F.lit(threshold) * F.greatest("n_i", "n_j")
-    found = a.join(b, ["app_id", "ends", "token"]).where((F.col("i") < F.col("j")) & near).select("app_id", "i", "j").distinct()
+    short = tokens.join(often, ["app_id", "token"]).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * t) + 1)
+    # Rounded down after a small step, so that lengths in the ratio of the threshold never lie two classes apart.
+    short = cut(short.withColumn("class", F.floor(F.ln("n") / -F.ln(t) + F.lit(1e-9))), "listed")
+    key = ["app_id", "ends", "token", "class"]
+    crowds = short.groupBy(*key).agg(F.ceil(F.count("*") / MET_AT_ONCE).alias("salts"))
+    a = short.join(crowds, key).select(*key, F.pmod(F.xxhash64("rank"), "salts").alias("salt"), F.col("rank").alias("i"), F.col("n").alias("n_i"), F.col("nth").alias("at_i"))
+    near_classes = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("class") + d)).alias("class")
+    b = short.select("app_id", "ends", "token", near_classes, F.col("rank").alias("j"), F.col("n").alias("n_j"), F.col("nth").alias("at_j")).join(crowds, key)
+    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    room = F.least("at_i", "at_j") + F.least(F.col("n_i") - F.col("at_i"), F.col("n_j") - F.col("at_j"))
+    near = (F.least("n_i", "n_j") >= t * F.greatest("n_i", "n_j")) & (room >= t * F.greatest("n_i", "n_j"))
+    found = a.join(b, [*key, "salt"]).where((F.col("i") < F.col("j")) & near).select("app_id", "i", "j").distinct()
     left = rows.select("app_id", F.col("rank").alias("i"), F.col("path").alias("path_i"), F.col("masks").alias("masks_i"))
     right = rows.select("app_id", F.col("rank").alias("j"), F.col("path").alias("path_j"))
     scored = found.join(left, ["app_id", "i"]).join(right, ["app_id", "j"])
@@ -104,27 +120,47 @@ def archetypes(member_rows: DataFrame) -> DataFrame:
     """One row for each archetype: sessions, users (summed over variants, so a user can count
     twice, as the reports define it), variants, mean duration, the seed's path, screens,
     backbone, id (by falling sessions, then creation)."""
-    grouped = member_rows.groupBy("app_id", "seed").agg(
+    key = ["app_id", "seed"]
+    grouped = member_rows.groupBy(*key).agg(
         F.sum("n_sessions").alias("n_sessions"),
         F.sum("n_users").alias("n_users"),
         F.count("*").alias("n_variants"),
         (F.sum("total_us") / F.sum("n_sessions") / 1e6).alias("mean_duration_s"),
         F.min_by("path", "rank").alias("representative"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("path")))).alias("screens"),
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("__paths"),
     )
-    by_sessions = W.partitionBy("app_id").orderBy(F.desc("n_sessions"), "seed")
-    rows = grouped.withColumn("archetype_id", F.format_string("aj_%03d", F.row_number().over(by_sessions)))
-    return rows.withColumn("backbone", common_backbone(F.col("__paths"))).drop("__paths")
+    seen = member_rows.select(*key, F.explode("path").alias("screen")).groupBy(*key).agg(F.array_sort(F.collect_set("screen")).alias("screens"))
+    rows = numbered(grouped.join(seen, key), ["app_id"], [F.desc("n_sessions"), "seed"], "nth")
+    named_ = rows.withColumn("archetype_id", F.format_string("aj_%03d", "nth")).drop("nth")
+    return named_.join(backbones(member_rows), key)
+
+
+def backbones(member_rows: DataFrame, at_once: int = FOLDED_AT_ONCE) -> DataFrame:
+    """(app_id, seed, backbone): the members' common backbone, folded in the order of their ranks.
+
+    Each round takes the next ``at_once`` members of every archetype whose backbone isn't empty yet,
+    so no row holds all paths of an archetype, and most archetypes end early.
+    """
+    key = ["app_id", "seed"]
+    rows = cut(numbered(member_rows.select(*key, "rank", "path"), key, ["rank"], "nth"), "members")
+    state, done = cut(rows.where("nth = 1").select(*key, F.col("path").alias("backbone")), "backbones"), None
+    first = 2
+    while True:
+        part = rows.where(F.col("nth").between(first, first + at_once - 1)).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "path"))), lambda x: x["path"]).alias("paths"))
+        joined = state.join(part, key, "left")
+        ended = F.col("paths").isNull() | (F.size("backbone") == 0)
+        ready = joined.where(ended).select(*key, "backbone")
+        done = ready if done is None else done.union(ready)
+        going = joined.where(~ended).select(*key, common_backbone(F.concat(F.array("backbone"), "paths")).alias("backbone"))
+        state, first = cut(going, "backbones"), first + at_once
+        if state.isEmpty():
+            return done
 
 
 def compression(archetype_rows: DataFrame, target_pct: float = 95.0, top: int = 10) -> DataFrame:
     """Variants for each archetype, archetypes that reach a share, share of the top ones."""
-    ordered = W.partitionBy("app_id").orderBy(F.desc("n_sessions"), "archetype_id")
-    total = F.sum("n_sessions").over(W.partitionBy("app_id"))
-    share = F.round(F.col("n_sessions") * 100 / total, 2)
-    curve = archetype_rows.withColumns({"share": share, "nth": F.row_number().over(ordered)})
-    curve = curve.withColumn("reached", F.sum("share").over(ordered.rowsBetween(W.unboundedPreceding, 0)))
+    shared = with_totals(archetype_rows, ["app_id"], total=F.sum("n_sessions")).withColumn("share", F.round(F.col("n_sessions") * 100 / F.col("total"), 2))
+    # Shares have two places, so their sums are exact as decimals.
+    curve = numbered(shared, ["app_id"], [F.desc("n_sessions"), "archetype_id"], "nth", {"reached": F.col("share").cast("decimal(10,2)")})
     return curve.groupBy("app_id").agg(
         (F.sum("n_variants") / F.count("*")).alias("compression"),
         F.count("*").alias("n_archetypes"),
@@ -140,7 +176,6 @@ def scores(archetype_rows: DataFrame, risk_by_screen: DataFrame, monetary: DataF
     critical); ``coverage``: (app_id, archetype_id, coverage), missing ones count as untested;
     ``weights``: one column for each component by app_id, the default elsewhere.
     """
-    app = W.partitionBy("app_id")
     walked = archetype_rows.select("app_id", "archetype_id", F.explode("screens").alias("screen_id"))
     by_screen = walked.join(risk_by_screen, ["app_id", "screen_id"], "left").join(screens, ["app_id", "screen_id"], "left")
     facts = by_screen.groupBy("app_id", "archetype_id").agg(
@@ -152,26 +187,21 @@ def scores(archetype_rows: DataFrame, risk_by_screen: DataFrame, monetary: DataF
     else:
         rows = rows.withColumn("coverage", F.lit(None).cast("double"))
 
-    def relative(x: Column) -> Column:
-        return F.coalesce(F.try_divide(x, F.max(x).over(app)), F.lit(0.0))
-
+    money = F.coalesce(F.col("monetary").cast("double"), F.lit(0.0))
+    measured = {"frequency": F.ln(F.lit(1) + F.col("n_sessions")), "risk": F.col("signals").cast("double"), "business_value": money}
+    rows = with_totals(rows, ["app_id"], **{f"most_{c}": F.max(x) for c, x in measured.items()})
+    relative = {c: F.coalesce(F.try_divide(x, F.col(f"most_{c}")), F.lit(0.0)) for c, x in measured.items()}
     screen_value = F.least(F.lit(1.0), F.col("value") + F.when(F.col("critical"), 0.5).otherwise(0.0))
-    rows = rows.withColumns(
-        {
-            "frequency": relative(F.ln(F.lit(1) + F.col("n_sessions"))),
-            "risk": relative(F.col("signals").cast("double")),
-            "business_value": F.greatest(relative(F.coalesce(F.col("monetary").cast("double"), F.lit(0.0))), screen_value),
-            "exposure": 1 - F.coalesce("coverage", F.lit(0.0)),
-        }
-    )
+    relative["business_value"] = F.greatest(relative["business_value"], screen_value)
+    rows = rows.withColumns(relative | {"exposure": 1 - F.coalesce("coverage", F.lit(0.0))}).drop(*[f"most_{c}" for c in measured])
     own = {c: F.lit(w) for c, w in WEIGHTS.items()}
     if weights is not None:
-        rows = rows.join(F.broadcast(weights.select("app_id", *[F.col(c).alias(f"w_{c}") for c in WEIGHTS])), "app_id", "left")
+        rows = rows.join(weights.select("app_id", *[F.col(c).alias(f"w_{c}") for c in WEIGHTS]), "app_id", "left")
         own = {c: F.coalesce(f"w_{c}", F.lit(w)) for c, w in WEIGHTS.items()}
     total = sum(own.values(), F.lit(0.0))
     score = sum((F.col(c) * w / total for c, w in own.items()), F.lit(0.0)) * 100
-    rows = rows.withColumn("score", score)
-    return rows.withColumn("rank", F.row_number().over(app.orderBy(F.desc("score"), "archetype_id"))).drop(*[f"w_{c}" for c in WEIGHTS])
+    rows = rows.withColumn("score", score).drop(*[f"w_{c}" for c in WEIGHTS])
+    return numbered(rows, ["app_id"], [F.desc("score"), "archetype_id"], "rank")
 
 
 def outcome(path: Column) -> Column:
@@ -199,11 +229,10 @@ def named(rows: DataFrame, screens: DataFrame) -> DataFrame:
 
 def catalogue(scored: DataFrame) -> DataFrame:
     """The journey catalogue (K11), a row for each scored and named archetype."""
-    total = F.sum("n_sessions").over(W.partitionBy("app_id"))
     money = F.coalesce(F.col("monetary").cast("double"), F.lit(0.0))
-    return scored.select(
+    return with_totals(scored, ["app_id"], total=F.sum("n_sessions")).select(
         "app_id", F.col("archetype_id").alias("journey_id"), "rank", "name", F.round("score", 2).alias("score"), F.col("representative").alias("sequence"), "backbone", F.col("n_sessions").alias("sessions"),
-        F.round(F.col("n_sessions") * 100 / total, 2).alias("session_share_pct"), F.col("n_users").alias("users"), F.col("n_variants").alias("variants"), "mean_duration_s", F.round(money, 2).alias("monetary_total"),
+        F.round(F.col("n_sessions") * 100 / F.col("total"), 2).alias("session_share_pct"), F.col("n_users").alias("users"), F.col("n_variants").alias("variants"), "mean_duration_s", F.round(money, 2).alias("monetary_total"),
         F.col("signals").alias("risk_events"), F.struct(*[F.round(c, 4).alias(c) for c in WEIGHTS]).alias("components"), "terminal_screens",
     )
 

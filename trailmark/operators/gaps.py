@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trailmark.functions.ranking import numbered, with_totals
+
 SEVERITIES = ("info", "low", "medium", "high", "critical")
 KINDS = ("coverage_gap", "obsolete", "stale", "over_tested", "assertion_gap", "unmapped_test", "protected_retained")
 # Which kinds become tickets, and the priority of a severity.
@@ -84,11 +86,9 @@ def dead_tests(reach: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
 
 def over_tested(journeys: DataFrame, coverage: DataFrame, least: int = OVER_TESTED) -> DataFrame:
     """Low-scored journeys with many tests (G8): below the score at place n // 2 of the falling list."""
-    by_score = W.partitionBy("app_id").orderBy(F.desc("score"), "journey_id")
-    app = W.partitionBy("app_id")
-    ordered = journeys.withColumns({"nth": F.row_number().over(by_score) - 1, "half": F.floor(F.count("*").over(app) / 2)})
-    median = ordered.withColumn("median", F.max(F.when(F.col("nth") == F.col("half"), F.col("score"))).over(app))
-    rows = median.join(coverage, ["app_id", "journey_id"]).where((F.size("tests") >= least) & (F.col("score") < F.col("median")))
+    ordered_ = numbered(with_totals(journeys, ["app_id"], half=F.floor(F.count("*") / 2)), ["app_id"], [F.desc("score"), "journey_id"], "nth")
+    median = ordered_.where(F.col("nth") - 1 == F.col("half")).select("app_id", F.col("score").alias("median"))
+    rows = journeys.join(median, "app_id").join(coverage, ["app_id", "journey_id"]).where((F.size("tests") >= least) & (F.col("score") < F.col("median")))
     return _finding(rows, "over_tested", "low", F.col("journey_id"), F.col("n_sessions"), F.lit(False), F.concat(F.size("tests").cast("string"), F.lit(" tests")))
 
 
@@ -102,8 +102,10 @@ def assertion_gaps(facts: DataFrame, critical: list[str]) -> DataFrame:
 def unmapped(tests: DataFrame, paths: DataFrame, most: int = 20) -> DataFrame:
     """One finding for each app with tests that map to no screen; the first ones are listed."""
     lost = tests.join(paths.select("app_id", "test_id"), ["app_id", "test_id"], "left_anti")
+    # The limit on the rank acts before the shuffle, so the window sees few rows of each task.
     nth = F.row_number().over(W.partitionBy("app_id").orderBy("test_id"))
-    rows = lost.withColumn("nth", nth).groupBy("app_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("nth") <= most, F.col("test_id")))), ", ").alias("listed"))
+    listed = lost.withColumn("nth", nth).where(F.col("nth") <= most).groupBy("app_id").agg(F.array_join(F.array_sort(F.collect_list("test_id")), ", ").alias("listed"))
+    rows = lost.groupBy("app_id").agg(F.count("*").alias("n")).join(listed, "app_id")
     return _finding(rows, "unmapped_test", "medium", F.concat(F.col("n").cast("string"), F.lit(" tests")), _none(), F.lit(False), F.col("listed"))
 
 
@@ -113,8 +115,7 @@ def rank_of(severity: Column) -> Column:
 
 def ordered(findings: DataFrame) -> DataFrame:
     """Findings with their place: worst first, then by sessions."""
-    by = W.partitionBy("app_id").orderBy(F.desc(rank_of(F.col("severity"))), F.desc("sessions"), "kind", "subject")
-    return findings.withColumn("place", F.row_number().over(by))
+    return numbered(findings, ["app_id"], [F.desc(rank_of(F.col("severity"))), F.desc("sessions"), "kind", "subject"], "place")
 
 
 def tallies(findings: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trailmark.functions.ranking import numbered, with_totals
+
 
 def variants(trace_rows: DataFrame) -> DataFrame:
     """One row for each path of usable traces: sessions, users, durations, share of sessions."""
@@ -14,8 +16,8 @@ def variants(trace_rows: DataFrame) -> DataFrame:
         F.count_distinct("user_id").alias("n_users"),
         F.sum(F.unix_micros("ended") - F.unix_micros("started")).alias("total_us"),
     )
-    total = F.sum("n_sessions").over(W.partitionBy("app_id"))
-    return grouped.withColumns({"share": F.col("n_sessions") / total, "mean_duration_s": F.col("total_us") / F.col("n_sessions") / 1e6})
+    grouped = with_totals(grouped, ["app_id"], total=F.sum("n_sessions"))
+    return grouped.withColumns({"share": F.col("n_sessions") / F.col("total"), "mean_duration_s": F.col("total_us") / F.col("n_sessions") / 1e6}).drop("total")
 
 
 def examples(trace_rows: DataFrame, k: int = 3) -> DataFrame:
@@ -31,14 +33,10 @@ def label(path: Column) -> Column:
 
 
 def coverage_curve(variant_rows: DataFrame) -> DataFrame:
-    """Variants by falling count with the share of sessions that they and those before make up.
-
-    The window over all variants of an app is one partition each: variants are few beside traces.
-    """
-    ranked = W.partitionBy("app_id").orderBy(F.desc("n_sessions"), "path")
-    total = F.sum("n_sessions").over(W.partitionBy("app_id"))
-    running = F.sum("n_sessions").over(ranked.rowsBetween(W.unboundedPreceding, 0))
-    return variant_rows.select("app_id", "path", "n_sessions", F.row_number().over(ranked).alias("rank"), (running * 100 / total).alias("cumulative_pct"))
+    """Variants by falling count with the share of sessions that they and those before make up."""
+    rows = with_totals(variant_rows.select("app_id", "path", "n_sessions"), ["app_id"], total=F.sum("n_sessions"))
+    ranked = numbered(rows, ["app_id"], [F.desc("n_sessions"), "path"], "rank", {"running": F.col("n_sessions")})
+    return ranked.select("app_id", "path", "n_sessions", "rank", (F.col("running") * 100 / F.col("total")).alias("cumulative_pct"))
 
 
 def needed_for(curve: DataFrame, target_pct: float = 95.0) -> DataFrame:
@@ -48,8 +46,8 @@ def needed_for(curve: DataFrame, target_pct: float = 95.0) -> DataFrame:
 
 def entropy(variant_rows: DataFrame) -> DataFrame:
     """Shannon entropy of the variants in bits."""
-    p = F.col("n_sessions") / F.sum("n_sessions").over(W.partitionBy("app_id"))
-    return variant_rows.withColumn("p", p).groupBy("app_id").agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy_bits"), F.count("*").alias("n_variants"))
+    rows = with_totals(variant_rows.select("app_id", "n_sessions"), ["app_id"], total=F.sum("n_sessions"))
+    return rows.withColumn("p", F.col("n_sessions") / F.col("total")).groupBy("app_id").agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy_bits"), F.count("*").alias("n_variants"))
 
 
 def drop_off(trace_rows: DataFrame) -> DataFrame:
