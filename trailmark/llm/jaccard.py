@@ -49,6 +49,9 @@ PERCENT = 90
 BOUNDARIES = (0, 9, 19, 29, 39)
 SLICE = 0.25
 MORE_HUBS = 8
+#: Parity bits of a set, in words of 64.
+WORDS = 8
+_BITS = [f"b{i}" for i in range(WORDS)]
 #: Hashes are compared as signed numbers; the slice is their lowest part.
 _LOW = int(-(2**63) + SLICE * 2**64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -61,13 +64,15 @@ def listed(n, percent: int):
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
     """doc_id, h, and of each text's set: node (its hash), n, the first shingles in the order of their hashes
-    (all of a set that may be light), and how many of these are in the slice."""
+    (all of a set that may be light), how many of these are in the slice, and its parity bits."""
     for batch in batches:
         sets = [np.sort(np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64)) for t in batch.column(2)]
         nodes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets]
         lows = [int(np.searchsorted(s, _LOW)) for s in sets]
         heads = [s if len(s) <= BOUNDARIES[-1] else s[: max(low, listed(len(s), percent))] for s, low in zip(sets, lows, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(lows, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "h", "node", "n", "n_low", "head"])
+        parity = np.array([np.packbits(np.bincount(s & (64 * WORDS - 1), minlength=64 * WORDS) & 1, bitorder="little") for s in sets], np.uint8).reshape(len(sets), -1).view(np.int64)
+        own = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(lows, pa.int32()), pa.array(heads, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*own, *map(pa.array, parity.T)], ["doc_id", "h", "node", "n", "n_low", "head", *_BITS])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -122,7 +127,7 @@ def light_links(nodes: DataFrame, most: int, percent: int = PERCENT) -> DataFram
 
 
 def inverted_lists(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(token, node, n): the listed shingles that more than one of the sets has."""
+    """(token, node, n, place): the listed shingles that more than one of the sets has."""
     rows = nodes.select("node", "n", "n_low", F.posexplode("head").alias("at", "token"))
     k = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     low = rows.where(F.col("token") < _LOW)
@@ -131,12 +136,12 @@ def inverted_lists(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     place = F.row_number().over(by_node.orderBy("df", "token")) + F.col("n_low") - F.count("*").over(by_node)  # after those of this set alone
     rare = low.join(often, "token").withColumn("place", place).where(F.col("place") <= k)
     # Beyond the slice the order is that of the hashes, and so is the place.
-    rest = rows.where((F.col("token") >= _LOW) & (F.col("at") < k))
-    return rare.select("token", "node", "n").unionByName(rest.select("token", "node", "n"))
+    rest = rows.where((F.col("token") >= _LOW) & (F.col("at") < k)).withColumn("place", F.col("at") + 1)
+    return rare.select("token", "node", "n", "place").unionByName(rest.select("token", "node", "n", "place"))
 
 
 def _shared_lists(lists: DataFrame) -> DataFrame:
-    """The lists (token, node, n, root) with sets of more than one component."""
+    """The lists with sets of more than one component."""
     open_ = lists.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     return lists.join(open_.select("token"), "token")
 
@@ -144,7 +149,7 @@ def _shared_lists(lists: DataFrame) -> DataFrame:
 def heavy_links(docs: DataFrame, nodes: DataFrame, known: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b), with those in ``known``, that connect all similar sets of ``nodes``."""
     lists = inverted_lists(nodes, percent).withColumn("root", F.col("node"))
-    lists = cut(_shared_lists(lists), "lists")
+    lists = cut(_shared_lists(lists).join(nodes.select("node", *_BITS), "node"), "lists")
     spread = 100 - percent, 100 + percent
     # Whole sets are made again for the listed nodes, from the text of one document of each.
     needed = nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("of"), F.col("first.h").alias("of_h"))
@@ -169,9 +174,13 @@ def heavy_links(docs: DataFrame, nodes: DataFrame, known: DataFrame, shingle: in
     links, compared, hubs = known, None, 1
     while not lists.isEmpty():
         slot = F.pmod(F.xxhash64("node"), F.lit(hubs))
-        chosen = cut(lists.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("n", "node", "root")).alias("hub")).select("token", "hub.*"), "hubs")
-        hub = chosen.select("token", *[F.col(c).alias(f"hub_{c}") for c in ("n", "node", "root")])
-        fits = (F.col("root") != F.col("hub_root")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+        chosen = cut(lists.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("n", "node", "root", "place", *_BITS)).alias("hub")).select("token", "hub.*"), "hubs")
+        hub = chosen.select("token", *[F.col(c).alias(f"hub_{c}") for c in ("n", "node", "root", "place", *_BITS)])
+        both = F.col("n") + F.col("hub_n")
+        needed = F.ceil(percent * both / spread[1])  # shingles that both must have
+        early = (F.col("place") <= F.col("n") - needed + 1) & (F.col("hub_place") <= F.col("hub_n") - needed + 1)
+        differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"hub_{b}"))) for b in _BITS[1:]), F.bit_count(F.col(_BITS[0]).bitwiseXOR(F.col(f"hub_{_BITS[0]}"))))
+        fits = (F.col("root") != F.col("hub_root")) & (needed <= F.least("n", "hub_n")) & early & (differ * spread[1] <= both * spread[0])
         pairs = lists.join(hub, "token").where(fits).select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
@@ -180,7 +189,7 @@ def heavy_links(docs: DataFrame, nodes: DataFrame, known: DataFrame, shingle: in
         links = links.union(cut(verified(pairs), "links"))
         roots = components(links)
         left = lists.drop("root").join(chosen, ["token", "node"], "left_anti").join(roots, "node", "left")
-        lists = cut(_shared_lists(left.select("token", "node", "n", F.coalesce("root", "node").alias("root"))), "lists")
+        lists = cut(_shared_lists(left.withColumn("root", F.coalesce("root", "node"))), "lists")
         hubs *= MORE_HUBS
     return links
 
@@ -189,10 +198,10 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     """One row for each document: doc_id, n_shingles, component_id, the smallest doc_id that links
     of a Jaccard similarity of ``percent`` or more reach, itself included."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
-    sets = cut(rows.mapInArrow(lambda it: _sets(it, shingle, percent), "doc_id long, h long, node long, n long, n_low int, head array<long>"), "shingles")
+    sets = cut(rows.mapInArrow(lambda it: _sets(it, shingle, percent), "doc_id long, h long, node long, n long, n_low int, head array<long>, " + ", ".join(f"{b} long" for b in _BITS)), "shingles")
     # Of the rows of a set the one with the smallest doc_id, of those with none the smallest hash.
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")
-    nodes = cut(sets.where("n > 0").groupBy("node", "n").agg(first, F.first("n_low").alias("n_low"), F.first("head").alias("head")), "nodes")
+    nodes = cut(sets.where("n > 0").groupBy("node", "n").agg(first, F.first("n_low").alias("n_low"), F.first("head").alias("head"), *[F.first(b).alias(b) for b in _BITS]), "nodes")
     most = boundary(nodes, percent)
     light = cut(light_links(nodes, most, percent), "light-links")
     heavy = nodes.where(F.col("n") >= -(-percent * (most + 1) // 100))
