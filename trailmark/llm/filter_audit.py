@@ -1,15 +1,15 @@
 """Filter interaction audit: what each filter removes in each order, kept up to date by a stream.
 
 The documents' files are a stream, read as available-now micro-batches. A row becomes the mask of
-the filters it fails. Whether its text was seen with a smaller id can change with each file, so a
-keyed state holds, for each text, the smallest id and the counts of its rows by part. A smaller id
+the filters it fails. Whether its text was seen with a smaller id can change with each file, so
+state, keyed by small buckets of texts, holds for each text the smallest id and the counts of its rows by part. A smaller id
 that arrives later retracts: the rows that held the minimum are subtracted with their old mask and
 added with the duplicate's. The stream's output are signed counts by part and mask; their sums, at
 most 32 masks for each part, are all that the 120 orders are computed from.
 
 Rows of one text are combined within a task before they reach its state: the state sees one row for
 each text, task and ``COMBINE`` texts, however hot the text. State is kept by the session's state store,
-one small row for each distinct text, and checkpointed to the shared folder; on a cluster set
+one small entry for each distinct text, and checkpointed to the shared folder; on a cluster set
 ``spark.sql.streaming.stateStore.providerClass`` to RocksDB's, which isn't bound by memory. The
 counts of a micro-batch are a folder of their own, which a repeated attempt overwrites.
 
@@ -39,6 +39,8 @@ FILTERS = "ABCDE"
 DUPLICATE = 1 << FILTERS.index("E")
 LEAST_WORDS = 200
 COMBINE = 50_000
+#: Texts that share a state, on the average.
+TEXTS = 16
 NOT_CAPITAL = bytes(set(range(256)) - set(range(65, 91)))
 MARKS = re.compile(rb"[#$%&*|]")
 COUNT_DDL = "part string, mask int, good boolean, toxic boolean, n long"
@@ -84,16 +86,16 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle(_, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Signed counts of one text's new rows, against the smallest id seen so far."""
-    least, holders = state.get if state.exists else (None, "[]")
-    holders, out = json.loads(holders), []
+    """Signed counts of one bucket's new rows, against each text's smallest id seen so far."""
+    texts, out = json.loads(state.get[0]) if state.exists else {}, []
 
     def add(counts, mask, sign=1):
         out.extend((part, mask, good, toxic, sign * n) for part, good, toxic, n in counts)
 
     for frame in frames:
-        for mask, doc_id, at, over in zip(frame["mask"], frame["least"], frame["at"], frame["over"], strict=True):
-            mask, at = int(mask), json.loads(at)
+        for key, mask, doc_id, at, over in zip(frame["key"], frame["mask"], frame["least"], frame["at"], frame["over"], strict=True):
+            key, mask, at = bytes(key).hex(), int(mask), json.loads(at)
+            least, holders = texts.get(key, (None, []))
             add(json.loads(over), mask | DUPLICATE)
             if pd.isna(doc_id):
                 add(at, mask)
@@ -104,10 +106,10 @@ def _settle(_, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
                     add(holders, mask, -1)
                     add(holders, mask | DUPLICATE)
                     holders = []
-                least, holders = int(doc_id), holders + at
+                texts[key] = int(doc_id), holders + at
                 add(at, mask)
-    if least is not None:
-        state.update((least, json.dumps(holders)))
+    if texts:
+        state.update((json.dumps(texts),))
     yield pd.DataFrame(out, columns=["part", "mask", "good", "toxic", "n"])
 
 
@@ -126,7 +128,10 @@ def mask_counts(spark: SparkSession, documents: str, labels: DataFrame, files_pe
     known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic")).withColumn("salt", F.lit(0).cast("long"))
     labelled = measured.join(known, ["doc_id", "salt"], "left").select("doc_id", "part", "key", "mask", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
     combined = labelled.mapInArrow(_combine, "key binary, mask int, least long, at string, over string")
-    changes = combined.groupBy("key").applyInPandasWithState(_settle, COUNT_DDL, "least long, holders string", "append", "NoTimeout")
+    # Metadata only; some texts share a state, as Spark hands each state to Python in a frame of its own.
+    buckets = -(-spark.read.parquet(documents).count() // TEXTS) or 1
+    keyed = combined.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    changes = keyed.groupBy("bucket").applyInPandasWithState(_settle, COUNT_DDL, "texts string", "append", "NoTimeout")
     out = new_path(spark, "filter-counts")
 
     def write(batch: DataFrame, number: int) -> None:
