@@ -41,14 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from trailmark.llm.shared import components, cut
-from trailmark.llm.simhash import shingle_hashes
+from trailmark.llm.shared import components, cut, linked, open_lists
+from trailmark.llm.simhash import overlap_links, shingle_hashes, whole_sets
 
 SHINGLE = 3
 PERCENT = 90
 BOUNDARIES = (0, 9, 19, 29, 39)
 SLICE = 0.25
-MORE_HUBS = 8
 #: Parity bits of a set, in words of 64.
 WORDS = 8
 _BITS = [f"b{i}" for i in range(WORDS)]
@@ -75,12 +74,6 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iter
         yield pa.RecordBatch.from_arrays([*own, *map(pa.array, parity.T)], ["doc_id", "h", "node", "n", "n_low", "head", *_BITS])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "tokens"])
-
-
 @cache
 def _chosen(n: int, k: int) -> np.ndarray:
     return np.array(list(combinations(range(n), k)), np.int64).reshape(math.comb(n, k), k)
@@ -140,58 +133,29 @@ def inverted_lists(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rare.select("token", "node", "n", "place").unionByName(rest.select("token", "node", "n", "place"))
 
 
-def _shared_lists(lists: DataFrame) -> DataFrame:
-    """The lists with sets of more than one component."""
-    open_ = lists.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return lists.join(open_.select("token"), "token")
-
-
 def heavy_links(docs: DataFrame, nodes: DataFrame, known: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b), with those in ``known``, that connect all similar sets of ``nodes``."""
-    lists = inverted_lists(nodes, percent).withColumn("root", F.col("node"))
-    lists = cut(_shared_lists(lists).join(nodes.select("node", *_BITS), "node"), "lists")
+    lists = open_lists(inverted_lists(nodes, percent).withColumn("root", F.col("node")))
+    lists = cut(lists.join(nodes.select("node", *_BITS), "node"), "lists")
     spread = 100 - percent, 100 + percent
-    # Whole sets are made again for the listed nodes, from the text of one document of each.
-    needed = nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("of"), F.col("first.h").alias("of_h"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
-    texts = texts.join(needed, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h"))).select("node", "text")
-    tokens = texts.mapInArrow(lambda it: _tokens(it, shingle), "node long, tokens array<long>").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    slices = nodes.select("node", "n", F.slice("head", F.lit(1), F.col("n_low")).alias("slice"))
-    sets = cut(slices.join(tokens, "node"), "sets")
-
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+    needed = nodes.join(lists.select("node").distinct(), "node", "left_semi")
+    slices = needed.select("node", "n", F.slice("head", F.lit(1), F.col("n_low")).alias("slice"))
+    sets = cut(slices.join(whole_sets(docs, needed, shingle), "node"), "sets")
 
-    def overlap(c: str):
-        return F.size(F.array_intersect(f"{c}_a", f"{c}_b"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        differ = F.size("slice_a") + F.size("slice_b") - 2 * overlap("slice")
-        likely = pairs.join(side("a", "n", "slice"), "a").join(side("b", "n", "slice"), "b").where(differ * spread[1] <= (F.col("n_a") + F.col("n_b")) * spread[0])
-        whole = cut(likely.select("a", "b"), "likely").join(side("a", "n", "tokens"), "a").join(side("b", "n", "tokens"), "b")
-        return whole.where(100 * overlap("tokens") >= percent * (F.col("n_a") + F.col("n_b") - overlap("tokens"))).select("a", "b")
-
-    links, compared, hubs = known, None, 1
-    while not lists.isEmpty():
-        slot = F.pmod(F.xxhash64("node"), F.lit(hubs))
-        chosen = cut(lists.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("n", "node", "root", "place", *_BITS)).alias("hub")).select("token", "hub.*"), "hubs")
-        hub = chosen.select("token", *[F.col(c).alias(f"hub_{c}") for c in ("n", "node", "root", "place", *_BITS)])
+    def fits():
         both = F.col("n") + F.col("hub_n")
         needed = F.ceil(percent * both / spread[1])  # shingles that both must have
         early = (F.col("place") <= F.col("n") - needed + 1) & (F.col("hub_place") <= F.col("hub_n") - needed + 1)
-        differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"hub_{b}"))) for b in _BITS[1:]), F.bit_count(F.col(_BITS[0]).bitwiseXOR(F.col(f"hub_{_BITS[0]}"))))
-        fits = (F.col("root") != F.col("hub_root")) & (needed <= F.least("n", "hub_n")) & early & (differ * spread[1] <= both * spread[0])
-        pairs = lists.join(hub, "token").where(fits).select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        compared = pairs if compared is None else compared.union(pairs)
-        links = links.union(cut(verified(pairs), "links"))
-        roots = components(links)
-        left = lists.drop("root").join(chosen, ["token", "node"], "left_anti").join(roots, "node", "left")
-        lists = cut(_shared_lists(left.withColumn("root", F.coalesce("root", "node"))), "lists")
-        hubs *= MORE_HUBS
-    return links
+        differ = [F.bit_count(F.col(b).bitwiseXOR(F.col(f"hub_{b}"))) for b in _BITS]
+        return (needed <= F.least("n", "hub_n")) & early & (sum(differ[1:], differ[0]) * spread[1] <= both * spread[0])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("slice").alias(f"slice_{x}")) for x in "ab")
+        differ = F.size("slice_a") + F.size("slice_b") - 2 * F.size(F.array_intersect("slice_a", "slice_b"))
+        likely = pairs.join(a, "a").join(b, "b").where(differ * spread[1] <= (F.col("n_a") + F.col("n_b")) * spread[0])
+        return overlap_links(likely.select("a", "b"), sets, percent)
+
+    return linked(lists, ["n", "place", *_BITS], fits, verified, known)
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.cutting import cut, new_path
 
-__all__ = ["WHITE", "components", "cut", "let", "new_path", "words_of"]
+__all__ = ["WHITE", "components", "cut", "let", "linked", "new_path", "open_lists", "words_of"]
+
+#: How many times as many hubs each round of ``linked`` takes as the one before.
+MORE_HUBS = 8
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
@@ -57,3 +62,36 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
     roots = edges.groupBy("a").agg(F.min("b").alias("root"))
     return roots.select(F.col("a").alias("node"), "root").union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def open_lists(lists: DataFrame) -> DataFrame:
+    """The lists (token, node, root, ...) with nodes of more than one component."""
+    several = lists.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return lists.join(several.select("token"), "token")
+
+
+def linked(lists: DataFrame, carried: list[str], fits: Callable[[], Column], verified: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b), with those ``known``, that connect all similar nodes that share a list.
+
+    ``lists``: (token, node, root, and the ``carried`` columns), as of ``open_lists``. In each round
+    a hub of each list is compared with the list's other nodes and leaves it: ``fits`` is a condition
+    of the join on the carried columns and those of the hub (``hub_...``), ``verified`` gives the pairs
+    (a, b) that are links. A list whose nodes lie in one component is done, so a group of near copies
+    takes one round and no pairs among its members. Each round takes more hubs of a list.
+    """
+    links, compared, hubs = known, None, 1
+    while not lists.isEmpty():
+        slot = F.pmod(F.xxhash64("node"), F.lit(hubs))
+        of_hub = ["node", "root", *carried]
+        chosen = cut(lists.groupBy("token", slot.alias("slot")).agg(F.min(F.struct(*of_hub)).alias("hub")).select("token", "hub.*"), "hubs")
+        hub = chosen.select("token", *[F.col(c).alias(f"hub_{c}") for c in of_hub])
+        pairs = lists.join(hub, "token").where((F.col("root") != F.col("hub_root")) & fits())
+        pairs = pairs.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
+        pairs = cut(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+        compared = pairs if compared is None else compared.union(pairs)
+        found = cut(verified(pairs), "links")
+        links = found if links is None else links.union(found)
+        left = lists.drop("root").join(chosen.select("token", "node"), ["token", "node"], "left_anti").join(components(links), "node", "left")
+        lists = cut(open_lists(left.withColumn("root", F.coalesce("root", "node"))), "lists")
+        hubs *= MORE_HUBS
+    return links if links is not None else lists.select(F.col("node").alias("a"), F.col("node").alias("b"))
