@@ -49,7 +49,7 @@ PERCENT = 90
 BOUNDARIES = (0, 9, 19, 29, 39)
 SLICE = 0.25
 #: Parity bits of a set, in words of 64.
-WORDS = 8
+WORDS = 4
 _BITS = [f"b{i}" for i in range(WORDS)]
 #: Hashes are compared as signed numbers; the slice is their lowest part.
 _LOW = int(-(2**63) + SLICE * 2**64)
@@ -121,15 +121,16 @@ def light_links(nodes: DataFrame, most: int, percent: int = PERCENT) -> DataFram
 
 def inverted_lists(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(token, node, n, place): the listed shingles that more than one of the sets has."""
-    rows = nodes.select("node", "n", "n_low", F.posexplode("head").alias("at", "token"))
     k = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    low = rows.where(F.col("token") < _LOW)
+    # Two numbers a row go through the shuffle by shingle, by far the largest; sizes join later.
+    low = nodes.select("node", F.explode(F.slice("head", F.lit(1), F.col("n_low"))).alias("token"))
     often = low.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    sizes = nodes.select("node", "n", "n_low")
     by_node = W.partitionBy("node")
     place = F.row_number().over(by_node.orderBy("df", "token")) + F.col("n_low") - F.count("*").over(by_node)  # after those of this set alone
-    rare = low.join(often, "token").withColumn("place", place).where(F.col("place") <= k)
+    rare = low.join(often, "token").join(sizes, "node").withColumn("place", place).where(F.col("place") <= k)
     # Beyond the slice the order is that of the hashes, and so is the place.
-    rest = rows.where((F.col("token") >= _LOW) & (F.col("at") < k)).withColumn("place", F.col("at") + 1)
+    rest = nodes.select("node", "n", "n_low", F.posexplode("head").alias("at", "token")).where((F.col("at") >= F.col("n_low")) & (F.col("at") < k)).withColumn("place", F.col("at") + 1)
     return rare.select("token", "node", "n", "place").unionByName(rest.select("token", "node", "n", "place"))
 
 
