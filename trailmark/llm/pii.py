@@ -53,9 +53,10 @@ TOKENS = (
     r"SG\.[A-Za-z0-9_-]{16,64}\.[A-Za-z0-9_-]{16,64}",
     r"npm_[A-Za-z0-9]{36}",
     r"pypi-[A-Za-z0-9_-]{50,250}",
-    r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 )
 _TOKEN = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(TOKENS) + r")(?![A-Za-z0-9])")
+# The last one is tried only where a run of its characters begins, so each run is read once.
 # Each format holds one of the first, each assignment one of the second.
 _TOKEN_PARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "AIza", "k_live_", "k_test_", "SG.", "npm_", "pypi-", "eyJ")
 _ASSIGNED_PARTS = ("pass", "pwd", "secret", "token", "credential", "key")
