@@ -216,16 +216,25 @@ def confident(scored: DataFrame, view: str, n_low: int, n_high: int) -> dict[int
     return {r["doc_id"]: 0.0 for r in low} | {r["doc_id"]: 1.0 for r in high}
 
 
-def fit_views(table: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, exchanged: int = EXCHANGED, rounds: int = ROUNDS) -> Model:
-    """Co-train on a table of ``views``."""
+class NoModel(ValueError):
+    """The labels don't have both classes."""
+
+
+def _labelled(table: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame, dict[int, float]]:
+    """All labels (marked, label), and those of at most ``most`` documents of ``views``."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("marked")).agg(F.round(F.avg("quality")).cast("int").alias("label"))
     marks = cut(marks, "marks")
     there = table.select("doc_id").where("doc_id IS NOT NULL").distinct().join(marks, F.col("doc_id") == F.col("marked"))
-    label_of = {r["marked"]: float(r["label"]) for r in there.orderBy(F.xxhash64("marked", F.lit("sample"))).limit(most_labelled).collect()}
+    return marks, {r["marked"]: float(r["label"]) for r in there.orderBy(F.xxhash64("marked", F.lit("sample"))).limit(most).collect()}
+
+
+def fit_views(table: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, exchanged: int = EXCHANGED, rounds: int = ROUNDS) -> Model:
+    """Co-train on a table of ``views``."""
+    marks, label_of = _labelled(table, labels, most_labelled)
+    if len(set(label_of.values())) < 2:
+        raise NoModel("labels of both classes are needed")
     ids, *rows = _rows_of(table, list(label_of))
     label = np.array([label_of[i] for i in ids])
-    if len(set(label)) < 2:
-        raise ValueError("labels of both classes are needed")
     shuffled = np.random.default_rng(len(label)).permutation(len(label))
     held, train = np.array_split(shuffled, [max(2, len(shuffled) // 4)])
     if len(set(label[train])) < 2 or len(set(label[held])) < 2:
@@ -281,6 +290,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """``score`` of all documents by a model fitted on them; the views are computed once."""
+    """``score`` of all documents by a model fitted on them; the views are computed once. Without
+    labels of both classes there is no model: scores and decisions are null."""
     table = cut(views(docs), "views")
-    return score_views(table, fit_views(table, labels, **parameters))
+    try:
+        model = fit_views(table, labels, **parameters)
+    except NoModel:
+        nothing = F.lit(None)
+        return table.select("doc_id", *[nothing.cast("double").alias(c) for c in ("text_logit", "metadata_logit", "score")], nothing.cast("boolean").alias("kept"))
+    return score_views(table, model)
