@@ -107,7 +107,7 @@ def test_licence_rules(spark):
     found = {r.doc_id: (r.sentence_ids, r.licences) for r in got}
     assert len(got) == 8
     assert found[1] == ("mit-title,mit-grant,mit-notice,mit-warranty", "MIT")
-    assert found[2] == ("cc-by-nc-ref,reserved,apache-ref", "Apache-2.0,CC-BY-NC-4.0,Proprietary")
+    assert found[2] == ("cc-by-nc-ref,reserved,apache-ref", "Apache-2.0,CC-BY-NC-4.0")
     assert found[3] == found[4] == found[5] == ("", "")
     assert found[6] == ("mit-ref,mit-ref", "MIT") and found[None] == ("reserved", "Proprietary")
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from trailmark.llm.shared import let
 
+RESERVED = "Proprietary"
 # Sentences, by identifier, as normalisation leaves them.
 SENTENCES = {
     "mit-ref": "released under the mit license",
@@ -175,7 +176,7 @@ RULES = (
     ("BSL-1.0", ("boost-title",)),
     ("BSL-1.0", ("boost-ref",)),
     ("EPL-2.0", ("epl2-ref",)),
-    ("Proprietary", ("reserved",)),
+    (RESERVED, ("reserved",)),
 )
 SENTENCE_END = r"(?dm)[.!?;]+(?=[\x20\x09\x0B-\x0D])|^[^a-z0-9\n]*[a-z0-9]{1,2}\)(?=[\x20\x09])"
 #: One of these is in every known sentence.
@@ -215,7 +216,12 @@ def _claim(ids: Column) -> Column:
         found = F.when(F.contains(state["rest"], rule["parts"]), F.array_append(state["found"], rule["licence"])).otherwise(state["found"])
         return F.struct(F.replace(state["rest"], rule["parts"], F.lit(" # ")).alias("rest"), found.alias("found"))
 
-    return F.aggregate(rules, start, step, lambda state: F.array_sort(F.array_distinct(state["found"])))
+    def claimed(state: Column) -> Column:
+        found = F.array_sort(F.array_distinct(state["found"]))
+        # That rights are reserved claims nothing beside a licence.
+        return F.when(F.size(found) > 1, F.array_remove(found, RESERVED)).otherwise(found)
+
+    return F.aggregate(rules, start, step, claimed)
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -107,7 +107,8 @@ e AS (SELECT doc_id, n, [replace(y, '||', ' ') FOR y IN regexp_extract_all(repla
 f AS (SELECT n, unnest(s) AS sentence, generate_subscripts(s, 1) AS i FROM e),
 g AS (SELECT n, list(id ORDER BY i) AS ids FROM f JOIN known USING (sentence) GROUP BY n),
 r AS (SELECT n, ids, ' ' || list_aggregate(ids, 'string_agg', '  ') || ' ' AS r0, {steps} FROM g),
-l AS (SELECT n, ids, list_sort(list_distinct([{found}])) AS licences FROM r)
+k AS (SELECT n, ids, list_sort(list_distinct([{found}])) AS all_found FROM r),
+l AS (SELECT n, ids, CASE WHEN len(all_found) > 1 THEN [x FOR x IN all_found IF x <> '{licenses.RESERVED}'] ELSE all_found END AS licences FROM k)
 SELECT doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_sentences, coalesce(list_aggregate(ids, 'string_agg', ','), '') AS sentence_ids,
        coalesce(list_aggregate(licences, 'string_agg', ','), '') AS licences
 FROM d LEFT JOIN l USING (n)
