@@ -19,37 +19,47 @@ TYPES = {
 }
 
 
-def violations(events: DataFrame, plan_events: DataFrame, plan_properties: DataFrame, strict: bool = False) -> DataFrame:
-    """(app_id, event_id, event_name, violation, detail) of each event; ``properties`` is JSON."""
+def judged(events: DataFrame, plan_events: DataFrame, plan_properties: DataFrame, strict: bool = False) -> DataFrame:
+    """``events`` with ``violations``, an array of (violation, detail) that is empty if the event
+    keeps to the plan; ``properties`` is JSON.
+
+    The plan is joined as two tables by event, so this holds for a stream of events as well.
+    """
     plan = plan_events.select("app_id", F.col("name").alias("event_name"), F.lit(1).alias("__known"), F.col("screens").alias("__screens"))
-    rows = events.select("app_id", "event_id", "event_name", "screen_id", F.try_parse_json("properties").alias("__bag")).join(F.broadcast(plan), ["app_id", "event_name"], "left")
-    unknown = rows.where("__known IS NULL").select("app_id", "event_id", "event_name", F.lit("unknown_event").alias("violation"), F.lit("").alias("detail"))
-    known = rows.where("__known IS NOT NULL")
-    wrong = F.col("screen_id").isNotNull() & ~F.array_contains("__screens", F.lit("*")) & ~F.array_contains("__screens", F.col("screen_id"))
-    screens = known.where(wrong).select("app_id", "event_id", "event_name", F.lit("wrong_screen").alias("violation"), F.col("screen_id").alias("detail"))
     # A common property is one of each event, so that a single equi-join serves both.
     common = plan_properties.where("event IS NULL").drop("event").join(plan_events.select("app_id", F.col("name").alias("event")), "app_id")
-    expected = plan_properties.where("event IS NOT NULL").unionByName(common).select("app_id", F.col("event").alias("event_name"), F.col("name").alias("__name"), F.col("type").alias("__type"), F.col("required").alias("__required"))
-    listed = expected.groupBy("app_id", "event_name").agg(F.collect_list(F.struct("__name", "__type", "__required")).alias("__expected"))
-    pairs = known.join(F.broadcast(listed), ["app_id", "event_name"], "left")
-    bag = F.coalesce(F.try_variant_get("__bag", "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    expected = plan_properties.where("event IS NOT NULL").unionByName(common).select("app_id", F.col("event").alias("event_name"), F.struct(F.col("name").alias("__name"), F.col("type").alias("__type"), F.col("required").alias("__required")).alias("p"))
+    listed = expected.groupBy("app_id", "event_name").agg(F.collect_list("p").alias("__expected"))
+    rows = events.join(plan, ["app_id", "event_name"], "left").join(listed, ["app_id", "event_name"], "left")
+    bag = F.coalesce(F.try_variant_get(F.try_parse_json("properties"), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
     kinds = F.create_map(*[F.lit(x) for item in TYPES.items() for x in item])
+    known = F.col("__known").isNotNull()
 
-    def judged(p: Column) -> Column:
+    def one(violation: str, detail: Column) -> Column:
+        return F.struct(F.lit(violation).alias("violation"), detail.alias("detail"))
+
+    def of_property(p: Column) -> Column:
         value = F.try_element_at(F.col("__map"), p["__name"])
         kind = F.schema_of_variant(value)
         absent = value.isNull() | (kind == "VOID")
-        return F.when(absent & p["__required"], F.struct(F.lit("missing_property").alias("violation"), p["__name"].alias("detail"))).when(
-            ~absent & ~F.regexp_like(kind, kinds[p["__type"]]), F.struct(F.lit("type_mismatch").alias("violation"), p["__name"].alias("detail"))
-        )
+        return F.when(absent & p["__required"], one("missing_property", p["__name"])).when(~absent & ~F.regexp_like(kind, kinds[p["__type"]]), one("type_mismatch", p["__name"]))
 
-    checked = pairs.withColumn("__map", bag).select("app_id", "event_id", "event_name", "__map", "__expected", F.explode(F.filter(F.transform("__expected", judged), lambda x: x.isNotNull())).alias("v"))
-    out = unknown.unionByName(screens).unionByName(checked.select("app_id", "event_id", "event_name", "v.*"))
+    none = F.array().cast("array<struct<violation:string,detail:string>>")
+    nothing = F.array().cast("array<struct<__name:string,__type:string,__required:boolean>>")
+    rows = rows.withColumns({"__map": bag, "__expected": F.coalesce("__expected", nothing)})
+    wrong = F.col("screen_id").isNotNull() & ~F.array_contains("__screens", F.lit("*")) & ~F.array_contains("__screens", F.col("screen_id"))
+    found = [F.when(F.coalesce(wrong, F.lit(False)), F.array(one("wrong_screen", F.col("screen_id")))).otherwise(none), F.filter(F.transform("__expected", of_property), lambda x: x.isNotNull())]
     if strict:
-        declared = F.transform(F.coalesce("__expected", F.array().cast("array<struct<__name:string,__type:string,__required:boolean>>")), lambda x: x["__name"])
-        extra = F.array_except(F.map_keys(bag), declared)
-        out = out.unionByName(pairs.select("app_id", "event_id", "event_name", F.lit("undeclared_property").alias("violation"), F.explode(extra).alias("detail")))
-    return out
+        extra = F.array_except(F.map_keys("__map"), F.transform("__expected", lambda x: x["__name"]))
+        found.append(F.transform(extra, lambda x: one("undeclared_property", x)))
+    all_found = F.when(known, F.concat(*found)).otherwise(F.array(one("unknown_event", F.lit(""))))
+    return rows.withColumn("violations", all_found).drop("__known", "__screens", "__expected", "__map")
+
+
+def violations(events: DataFrame, plan_events: DataFrame, plan_properties: DataFrame, strict: bool = False) -> DataFrame:
+    """(app_id, event_id, event_name, violation, detail) of each event; ``properties`` is JSON."""
+    rows = judged(events.select("app_id", "event_id", "event_name", "screen_id", "properties"), plan_events, plan_properties, strict)
+    return rows.select("app_id", "event_id", "event_name", F.explode("violations").alias("v")).select("app_id", "event_id", "event_name", "v.*")
 
 
 def conformance(events: DataFrame, violation_rows: DataFrame) -> DataFrame:
@@ -107,12 +117,25 @@ def taxonomy_issues(screens: DataFrame, domains: DataFrame) -> DataFrame:
     return out
 
 
+def _parts_of_hash(content: Column) -> list[Column]:
+    """Four numbers of 60 bits of the content's hash, as decimals that add up without loss."""
+    digest = F.sha2(content, 256)
+    return [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
+
+
 def taxonomy_summary(screens: DataFrame) -> DataFrame:
-    """Counts, and a fingerprint that doesn't depend on any order (Q8)."""
-    content = F.struct("screen_id", F.array_sort("analytics_tags").alias("tags"), F.array_sort("page_objects").alias("objects"))
+    """Counts, and a fingerprint that doesn't depend on any order (Q8).
+
+    The fingerprint is the hash of the sums of the screens' hashes, which partitions add up; screens
+    that are declared twice count twice. ``platform`` counts if the screens have one.
+    """
+    lists = [F.array_join(F.array_sort(c), ",") for c in ("analytics_tags", "page_objects")]
+    platform = [F.coalesce("platform", F.lit(""))] if "platform" in screens.columns else []
+    content = F.concat_ws("|", "screen_id", *lists, *platform)
+    sums = [F.sum(x).cast("string") for x in _parts_of_hash(content)]
     return screens.groupBy("app_id").agg(
         F.count("*").alias("n_screens"),
         F.count_if("critical").alias("n_critical"),
         F.count_if(F.size("page_objects") > 0).alias("n_bound"),
-        F.left(F.sha2(F.to_json(F.array_sort(F.collect_list(content))), 256), F.lit(16)).alias("fingerprint"),
+        F.left(F.sha2(F.concat_ws("|", *sums), 256), F.lit(16)).alias("fingerprint"),
     )

@@ -75,18 +75,57 @@ def run_verdicts(runs: DataFrame, min_profiles: int = MIN_PROFILES) -> DataFrame
     """validated, failed, flaky or unvalidated for each test over its executed runs."""
     done = F.col("executed")
     rows = runs.groupBy("app_id", "test_name").agg(
-        F.count_if(done).alias("n_runs"), F.count_if(done & F.col("passed")).alias("n_passed"), F.count_distinct(F.when(done, F.col("profile"))).alias("n_profiles"), F.avg(F.when(done, F.col("duration_s"))).alias("mean_duration_s")
+        F.count_if(done).alias("n_runs"), F.count_if(done & F.col("passed")).alias("n_passed"), F.count_distinct(F.when(done, F.col("profile"))).alias("n_profiles"), F.round(F.avg(F.when(done, F.col("duration_s"))), 2).alias("mean_duration_s")
     )
     verdict = F.when((F.col("n_runs") == 0) | (F.col("n_profiles") < min_profiles), "unvalidated").when(F.col("n_passed") == F.col("n_runs"), "validated").when(F.col("n_passed") == 0, "failed").otherwise("flaky")
     return rows.withColumns({"pass_rate": _ratio(F.col("n_passed"), F.col("n_runs")), "verdict": verdict})
 
 
+def validation_summary(verdict_rows: DataFrame) -> DataFrame:
+    """Tests by verdict, and the share that validated at the first attempt, in per cent."""
+    of = lambda verdict: F.count_if(F.col("verdict") == verdict)
+    figures = [of(v).alias(f"n_{v}") for v in ("validated", "failed", "flaky", "unvalidated")]
+    return verdict_rows.groupBy("app_id").agg(F.count("*").alias("n_generated"), *figures, F.round(of("validated") * 100 / F.count("*"), 1).alias("first_attempt_pass_rate"))
+
+
+def lineage_from_runs(runs: DataFrame, provenance: DataFrame, reviews: DataFrame, as_of: Column) -> DataFrame:
+    """A lineage row for each test that was run.
+
+    ``provenance``: app_id, artifact_id, journey_id, sessions, taxonomy_fingerprint,
+    locator_sources, generator, model, prompt, created_at; of several for a test the last counts, and
+    the prompt is kept as its hash. ``reviews``: app_id, artifact_id, reviewed_at, review_id,
+    review_decision, reviewer, rejection_reason; the last one up to ``as_of`` counts, and without
+    one the test is pending.
+    """
+    key = ["app_id", "artifact_id"]
+    tests = runs.groupBy("app_id", F.col("test_name").alias("artifact_id")).agg(F.count_if("executed").alias("validation_runs"), F.array_sort(F.collect_set("profile")).alias("validation_profiles"))
+    told = [c for c in provenance.columns if c not in (*key, "prompt")]
+    known = provenance.withColumn("prompt_hash", prompt_hash(F.col("prompt"))).groupBy(*key).agg(F.max_by(F.struct(*told, "prompt_hash"), "created_at").alias("p")).select(*key, "p.*")
+    said = ("review_decision", "reviewer", "reviewed_at", "rejection_reason")
+    judged = reviews.where(F.col("reviewed_at") <= as_of).groupBy(*key).agg(F.max_by(F.struct(*said), F.struct("reviewed_at", "review_id")).alias("r")).select(*key, "r.*")
+    rows = tests.join(known, key, "left").join(judged, key, "left")
+    return rows.withColumns({"artifact_type": F.lit("test"), "review_decision": F.coalesce("review_decision", F.lit("pending"))})
+
+
+def append_lineage(rows: DataFrame, path: str) -> None:
+    """Add records to the log; what is there stays."""
+    rows.write.mode("append").parquet(path)
+
+
+def complete() -> Column:
+    """Whether a record tells why its test exists."""
+    named = [F.coalesce(F.col(c), F.lit("")) != "" for c in ("journey_id", "generator", "taxonomy_fingerprint")]
+    return named[0] & named[1] & named[2]
+
+
 def lineage_summary(lineage: DataFrame) -> DataFrame:
-    """Reviews and acceptance of generated artefacts."""
+    """Reviews and acceptance of generated artefacts (O4). An approval needs a reviewer; the
+    acceptance rate is that of all records."""
     decision = F.col("review_decision")
-    complete = F.col("journey_id").isNotNull() & F.col("generator").isNotNull() & (F.col("validation_runs") > 0)
-    approved, rejected = F.count_if(decision == "approved"), F.count_if(decision == "rejected")
-    return lineage.groupBy("app_id").agg(F.count("*").alias("n"), F.count_if(complete).alias("n_complete"), approved.alias("n_approved"), rejected.alias("n_rejected"), F.count_if(decision.isNull()).alias("n_pending"), _ratio(approved, approved + rejected).alias("acceptance_rate"))
+    approved = F.count_if((decision == "approved") & (F.coalesce("reviewer", F.lit("")) != ""))
+    return lineage.groupBy("app_id").agg(
+        F.count("*").alias("n"), F.count_if(complete()).alias("n_complete"), approved.alias("n_approved"), F.count_if(decision == "rejected").alias("n_rejected"), F.count_if(decision == "pending").alias("n_pending"), F.round(approved / F.count("*"), 3).alias("acceptance_rate")
+    )
 
 
 def rejection_themes(lineage: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trailmark.functions.cutting import new_path
+
 # Detectors ((?U): word characters and digits of all scripts), and property names
 # that are flagged whatever they hold.
 PATTERNS = {
@@ -20,7 +22,6 @@ SUSPICIOUS = (
     "email", "email_address", "phone", "phone_number", "mobile", "msisdn", "password", "passwd", "pin", "otp", "cvv", "card", "card_number", "pan", "ssn", "aadhaar", "national_id", "passport",
     "dob", "date_of_birth", "address", "street", "postcode", "zip", "full_name", "first_name", "last_name", "latitude", "longitude", "token", "api_key", "secret",
 )
-DEPTH = 8
 
 
 def luhn(digits: Column) -> Column:
@@ -41,48 +42,69 @@ def redacted(value: Column) -> Column:
 
 def findings(value: Column) -> Column:
     """Array of (kind, redacted) of a text; a card in it hides phones, which look alike."""
-    cards = F.filter(F.regexp_extract_all(value, F.lit(CARD), F.lit(0)), lambda x: luhn(F.regexp_replace(x, "[^0-9]", "")))
+    none = F.array().cast("array<string>")
+
+    def hits_of(kind: str, pattern: str) -> Column:
+        return F.when(_may_hold(value, kind), F.regexp_extract_all(value, F.lit(pattern), F.lit(0))).otherwise(none)
+
+    cards = F.filter(hits_of("card", CARD), lambda x: luhn(F.regexp_replace(x, "[^0-9]", "")))
     parts = [_tagged(cards, "card")]
     for kind, pattern in PATTERNS.items():
-        hits = F.regexp_extract_all(value, F.lit(pattern), F.lit(0))
+        hits = hits_of(kind, pattern)
         if kind == "phone":
             hits = F.when(F.size(cards) > 0, F.slice(hits, 1, 0)).otherwise(hits)
         parts.append(_tagged(hits, kind))
     return F.concat(*parts)
 
 
+def _may_hold(value: Column, kind: str) -> Column:
+    """Whether a text can hold a kind, by a search that is far cheaper than the detector's; null
+    stays out."""
+    tests = {
+        "email": F.contains(value, F.lit("@")),
+        "credential": F.rlike(value, F.lit(r"(?i)bearer|eyJ|[=:]")),
+        "ip_address": F.rlike(value, F.lit(r"(?U)\d\.\d")),
+        "card": F.rlike(value, F.lit(r"(?U)\d[ -]?\d[ -]?\d[ -]?\d")),
+        "phone": F.rlike(value, F.lit(r"(?U)\d[\s-]?\d[\s-]?\d[\s-]?\d")),
+        "national_id": F.rlike(value, F.lit(r"(?U)\d\d-\d|\d{4}")),
+    }
+    return tests[kind]
+
+
 def _tagged(hits: Column, kind: str) -> Column:
     return F.transform(hits, lambda x: F.struct(F.lit(kind).alias("kind"), redacted(x).alias("sample")))
 
 
-def flattened(rows: DataFrame, column: str = "properties", depth: int = DEPTH) -> DataFrame:
+def flattened(rows: DataFrame, column: str = "properties") -> DataFrame:
     """Each property of a JSON bag, nested ones as ``a.b[0].c``, with key, value text and type.
 
-    A level is one lateral explode; objects and arrays go on to the next. A bag that is nested
-    deeper than ``depth`` fails the query, as nothing may be left unscanned.
+    Each round is a lateral explode of one level, written to a folder of its own; what is nested in it
+    is all that the next round reads, until nothing is. So any depth is scanned, and the result is
+    one read of all levels.
     """
-    level = rows.select("*", F.try_parse_json(column).alias("__v"), F.lit("").alias("__at")).where("__v IS NOT NULL")
-    out = None
     spark, keep = rows.sparkSession, ", ".join(f"t.`{c}`" for c in rows.columns)
-    for _ in range(depth):
+    root, depth = new_path(spark, "properties"), 0
+    level = rows.select("*", F.col(column).alias("__rest"), F.lit("").alias("__at"))
+    while True:
         exploded = spark.sql(
-            f"""SELECT {keep}, e.value AS __v, e.key AS key, schema_of_variant(e.value) AS type,
-            CASE WHEN e.key IS NULL THEN concat(__at, '[', e.pos, ']') WHEN __at = '' THEN e.key ELSE concat(__at, '.', e.key) END AS __at
-            FROM {{level}} t, LATERAL variant_explode(t.__v) e""",
-            level=level,
+            f"""SELECT {keep}, e.key AS key, e.value AS __v, schema_of_variant(e.value) AS type,
+            CASE WHEN e.key IS NULL THEN concat(__at, '[', e.pos, ']') WHEN __at = '' THEN e.key ELSE concat(__at, '.', e.key) END AS path
+            FROM {{level}} t, LATERAL variant_explode(try_parse_json(t.__rest)) e""",
+            level=level.where("__rest IS NOT NULL"),
         )
         nested = F.col("type").rlike("^(OBJECT|ARRAY)")
-        here = exploded.select(*rows.columns, F.col("__at").alias("path"), "key", "type", F.when(~nested, F.try_variant_get("__v", "$", "string")).alias("value"))
-        out = here if out is None else out.unionByName(here)
-        level = exploded.where(nested).select(*rows.columns, "__v", "__at")
-    too_deep = F.raise_error(F.concat(F.lit(f"properties nested deeper than {depth}: "), "__at"))
-    return out.unionByName(level.select(*rows.columns, *[too_deep.cast("string").alias(c) for c in ("path", "key", "type", "value")]))
+        leaves = exploded.select(*rows.columns, "path", "key", "type", F.when(~nested, F.try_variant_get("__v", "$", "string")).alias("value"), F.when(nested, F.to_json("__v")).alias("__rest"))
+        leaves.write.parquet(f"{root}/level={depth}")
+        below = spark.read.schema(leaves.schema).parquet(f"{root}/level={depth}").where("__rest IS NOT NULL")
+        if below.isEmpty():
+            return spark.read.schema(leaves.schema).parquet(*[f"{root}/level={i}" for i in range(depth + 1)]).drop("__rest")
+        level, depth = below.select(*rows.columns, "__rest", F.col("path").alias("__at")), depth + 1
 
 
-def scan_properties(events: DataFrame, allowed: tuple[str, ...] = (), depth: int = DEPTH) -> DataFrame:
+def scan_properties(events: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
     """Findings in the properties of events: (app_id, event_id, event_name, path, kind, sample).
     Only texts are scanned; suspicious keys are flagged with any value, null too."""
-    leaves = flattened(events.select("app_id", "event_id", "event_name", "properties"), depth=depth).where(~F.col("path").isin(*allowed) if allowed else F.lit(True))
+    leaves = flattened(events.select("app_id", "event_id", "event_name", "properties")).where(~F.col("path").isin(*allowed) if allowed else F.lit(True))
     by_key = F.when(F.lower("key").isin(*SUSPICIOUS), F.array(F.struct(F.lit("suspicious_key").alias("kind"), F.lit("<key>").alias("sample"))))
     in_text = F.when(F.col("type") == "STRING", findings(F.col("value")))
     nothing = F.array().cast("array<struct<kind:string,sample:string>>")

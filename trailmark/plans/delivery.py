@@ -243,7 +243,7 @@ def l_blocking_screens(spark, sf_dir):
 
 
 RUNS = """r AS (SELECT CAST(l_partkey AS VARCHAR) AS test_name, l_returnflag AS profile, l_discount > 0.02 AS passed, l_quantity > 2 AS executed, l_quantity AS duration_s FROM lineitem),
-v AS (SELECT test_name, count(*) FILTER (executed) AS n_runs, count(*) FILTER (executed AND passed) AS n_passed, count(DISTINCT profile) FILTER (executed) AS n_profiles FROM r GROUP BY test_name),
+v AS (SELECT test_name, count(*) FILTER (executed) AS n_runs, count(*) FILTER (executed AND passed) AS n_passed, count(DISTINCT profile) FILTER (executed) AS n_profiles, round(avg(duration_s) FILTER (executed), 2) AS mean_duration_s FROM r GROUP BY test_name),
 w AS (SELECT *, n_passed / nullif(n_runs, 0) AS pass_rate, CASE WHEN n_runs = 0 OR n_profiles < 3 THEN 'unvalidated' WHEN n_passed = n_runs THEN 'validated' WHEN n_passed = 0 THEN 'failed' ELSE 'flaky' END AS verdict FROM v)"""
 
 
@@ -254,7 +254,12 @@ def runs(spark, sf_dir):
 
 @query(f"WITH {RUNS} SELECT * FROM w")
 def l_verdicts(spark, sf_dir):
-    return outcomes.run_verdicts(runs(spark, sf_dir)).drop("app_id", "mean_duration_s")
+    return outcomes.run_verdicts(runs(spark, sf_dir)).drop("app_id")
+
+
+@query(f"WITH {RUNS} SELECT count(*) AS n_generated, count(*) FILTER (verdict = 'validated') AS n_validated, count(*) FILTER (verdict = 'failed') AS n_failed, count(*) FILTER (verdict = 'flaky') AS n_flaky, count(*) FILTER (verdict = 'unvalidated') AS n_unvalidated, round(100 * count(*) FILTER (verdict = 'validated') / count(*), 1) AS first_attempt_pass_rate FROM w")
+def l_validation_summary(spark, sf_dir):
+    return outcomes.validation_summary(outcomes.run_verdicts(runs(spark, sf_dir))).drop("app_id")
 
 
 def defects(spark, sf_dir):
@@ -338,17 +343,42 @@ def o_weight_proposal(spark, sf_dir):
 
 
 def lineage(spark, sf_dir):
-    rows = driver.table(spark, sf_dir, "orders")
-    decision = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "rejected")
-    return rows.select(F.lit("demo").alias("app_id"), F.col("o_orderkey").cast("string").alias("artifact_id"), F.lit("j").alias("journey_id"), F.lit("template").alias("generator"), (F.col("o_custkey") % 4).alias("validation_runs"), decision.alias("review_decision"), F.concat(F.lit("  "), "o_orderpriority").alias("rejection_reason"))
-
-
-@query("SELECT count(*) AS n, count(*) FILTER (o_custkey % 4 > 0) AS n_complete, count(*) FILTER (o_orderstatus = 'F') AS n_approved, count(*) FILTER (o_orderstatus = 'O') AS n_rejected, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS n_pending, count(*) FILTER (o_orderstatus = 'F') / count(*) FILTER (o_orderstatus IN ('F', 'O')) AS acceptance_rate FROM orders")
+    """Tests of the parts with the provenance that customers tell, reviewed by orders up to a date."""
+    told = driver.table(spark, sf_dir, "customer").where("c_custkey % 3 > 0")
+    provenance = told.select(
+        F.lit("demo").alias("app_id"), F.col("c_custkey").cast("string").alias("artifact_id"), F.when(F.col("c_custkey") % 7 > 0, F.concat(F.lit("j"), "c_nationkey")).alias("journey_id"), F.col("c_custkey").alias("sessions"), F.when(F.col("c_custkey") % 5 > 0, "f").otherwise("").alias("taxonomy_fingerprint"),
+        F.array(F.lit("crawl")).alias("locator_sources"), F.lit("template").alias("generator"), F.lit("m").alias("model"), F.col("c_name").alias("prompt"), F.lit("2024-01-01").cast("timestamp").alias("created_at"),
+    )
+    orders = driver.table(spark, sf_dir, "orders")
+    decision = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "rejected").otherwise("pending")
+    reviews = orders.select(F.lit("demo").alias("app_id"), F.col("o_custkey").cast("string").alias("artifact_id"), F.col("o_orderdate").cast("timestamp").alias("reviewed_at"), F.col("o_orderkey").alias("review_id"), decision.alias("review_decision"), F.when(F.col("o_orderkey") % 10 > 0, "r").alias("reviewer"), F.concat(F.lit("  "), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderpriority")).otherwise("")).alias("rejection_reason"))
+    return outcomes.lineage_from_runs(runs(spark, sf_dir), provenance, reviews, F.lit(REVIEWED).cast("timestamp"))
+
+
+REVIEWED = "1997-01-01"
+LINEAGE = f"""WITH {RUNS}, pf AS (SELECT test_name, string_agg(DISTINCT profile, ',' ORDER BY profile) AS profiles FROM r GROUP BY test_name),
+rv AS (SELECT CAST(o_custkey AS VARCHAR) AS test_name, arg_max({{'d': CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'rejected' ELSE 'pending' END, 'by': CASE WHEN o_orderkey % 10 > 0 THEN 'r' END, 'why': '  ' || CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority ELSE '' END}}, (o_orderdate, o_orderkey)) AS x FROM orders WHERE o_orderdate <= DATE '{REVIEWED}' GROUP BY 1),
+ln AS (SELECT test_name AS artifact_id, CASE WHEN c_custkey % 7 > 0 THEN 'j' || c_nationkey END AS journey_id, CASE WHEN c_custkey % 5 > 0 THEN 'f' ELSE '' END AS fingerprint, CASE WHEN c_custkey IS NOT NULL THEN 'template' END AS generator, left(sha256(c_name), 16) AS prompt_hash,
+  n_runs AS validation_runs, profiles, coalesce(x.d, 'pending') AS decision, x.by AS reviewer, x.why AS why FROM v JOIN pf USING (test_name) LEFT JOIN rv USING (test_name) LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = test_name AND c_custkey % 3 > 0)"""
+
+
+@query(f"{LINEAGE} SELECT artifact_id, journey_id, prompt_hash, validation_runs, profiles, decision AS review_decision, coalesce(journey_id <> '' AND generator <> '' AND fingerprint <> '', false) AS complete FROM ln")
+def o_lineage_rows(spark, sf_dir):
+    """Lineage of tests from their runs, provenance and the last review before a date."""
+    rows = lineage(spark, sf_dir)
+    return rows.select("artifact_id", "journey_id", "prompt_hash", "validation_runs", F.array_join("validation_profiles", ",").alias("profiles"), "review_decision", outcomes.complete().alias("complete"))
+
+
+@query(f"""{LINEAGE} SELECT count(*) AS n, count(*) FILTER (journey_id <> '' AND generator <> '' AND fingerprint <> '') AS n_complete, count(*) FILTER (decision = 'approved' AND reviewer <> '') AS n_approved, count(*) FILTER (decision = 'rejected') AS n_rejected, count(*) FILTER (decision = 'pending') AS n_pending,
+round(count(*) FILTER (decision = 'approved' AND reviewer <> '') / count(*), 3) AS acceptance_rate FROM ln""")
 def o_lineage(spark, sf_dir):
-    return outcomes.lineage_summary(lineage(spark, sf_dir)).drop("app_id")
+    """The log, written and read back."""
+    path = new_path(spark, "lineage")
+    outcomes.append_lineage(lineage(spark, sf_dir), path)
+    return outcomes.lineage_summary(spark.read.parquet(path)).drop("app_id")
 
 
-@query("SELECT lower(o_orderpriority) AS theme, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
+@query(f"{LINEAGE} SELECT coalesce(nullif(lower(trim(why)), ''), 'unspecified') AS theme, count(*) AS n FROM ln WHERE decision = 'rejected' GROUP BY 1")
 def o_rejection_themes(spark, sf_dir):
     return outcomes.rejection_themes(lineage(spark, sf_dir)).drop("app_id")
 
@@ -410,7 +440,7 @@ def stream(spark, sf_dir):
     path = f"{sf_dir}/events.parquet"
     raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
     user = F.col("user_id").cast("string")
-    return raw.select(F.lit("demo").alias("app_id"), "event_id", F.col("event_type").alias("event_name"), F.col("event_type").alias("screen_id"), user.alias("session_id"), F.col("ts").cast("timestamp").alias("timestamp"))
+    return raw.select(F.lit("demo").alias("app_id"), "event_id", F.col("event_type").alias("event_name"), F.col("event_type").alias("screen_id"), user.alias("session_id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("props").alias("properties"))
 
 
 @query(f"""{journeys.ONE} SELECT session_id, epoch_us(started) AS started_us, epoch_us(ended) AS ended_us, n_events, path FROM traces WHERE ended + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
@@ -431,6 +461,17 @@ def t_counters(spark, sf_dir):
     return last.select(F.unix_micros("window_start").alias("window_us"), "c.*")
 
 
+@query(f"""WITH {contracts.VIOLATIONS}, k AS (SELECT event_id, bool_or(violation = 'unknown_event') AS unknown, bool_or(violation = 'wrong_screen') AS wrong, bool_or(violation = 'missing_property') AS missing, bool_or(violation = 'type_mismatch') AS mismatch FROM v GROUP BY event_id)
+SELECT epoch_us(date_trunc('hour', ts)) AS window_us, count(*) AS n_events, count(k.event_id) AS n_offending, count(*) FILTER (unknown) AS n_unknown_event, count(*) FILTER (wrong) AS n_wrong_screen, count(*) FILTER (missing) AS n_missing_property, count(*) FILTER (mismatch) AS n_type_mismatch FROM events LEFT JOIN k USING (event_id) GROUP BY 1""")
+def t_conformance(spark, sf_dir):
+    """Conformance of a stream to the plan, the last state of each window."""
+    out = new_path(spark, "stream-conformance")
+    figures = ("n_events", "n_offending", "n_unknown_event", "n_wrong_screen", "n_missing_property", "n_type_mismatch")
+    streams.run_to_table(streams.conformance(stream(spark, sf_dir), *contracts.plan(spark, sf_dir)), out, f"{out}-state", "update")
+    last = spark.read.parquet(out).groupBy("window_start").agg(F.max_by(F.struct(*figures), "batch").alias("c"))
+    return last.select(F.unix_micros("window_start").alias("window_us"), "c.*")
+
+
 @query("SELECT event_type AS event_name, count(*) AS n FROM events GROUP BY event_type")
 def t_ingest(spark, sf_dir):
     """The store after a stream."""

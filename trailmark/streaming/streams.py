@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from trailmark.operators.contract import judged
 from trailmark.operators.ingest import insert
 from trailmark.operators.sessions import missing
 
@@ -46,6 +47,17 @@ def counters(events: DataFrame, width: str = "1 hour", lateness: str = LATENESS)
     return grouped.select("app_id", F.col("w.start").alias("window_start"), "n_events", "no_session", "no_screen", "n_errors")
 
 
+def conformance(events: DataFrame, plan_events: DataFrame, plan_properties: DataFrame, width: str = "1 hour", lateness: str = LATENESS) -> DataFrame:
+    """Events and offending ones of each tumbling window, and how they offend (T3 with Q5). The
+    plan's tables are static and joined to the stream by event."""
+    rows = judged(events, plan_events, plan_properties)
+    rows = rows.withWatermark("timestamp", lateness) if events.isStreaming else rows
+    of = lambda kind: F.count_if(F.exists("violations", lambda v: v["violation"] == kind)).alias(f"n_{kind}")
+    kinds = ("unknown_event", "wrong_screen", "missing_property", "type_mismatch")
+    grouped = rows.groupBy("app_id", F.window("timestamp", width).alias("w")).agg(F.count("*").alias("n_events"), F.count_if(F.size("violations") > 0).alias("n_offending"), *map(of, kinds))
+    return grouped.select("app_id", F.col("w.start").alias("window_start"), "n_events", "n_offending", *[f"n_{k}" for k in kinds])
+
+
 def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Run a stream over what is there now, into a table."""
     if mode == "append":
