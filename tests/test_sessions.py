@@ -128,3 +128,33 @@ def test_parity(spark):
     assert parity.divergence(counts.where("platform = 'ios'")).count() == 0
     names = spark.createDataFrame([(" iPhone ",), ("IPAD",), (None,), ("Android",)], "p string")
     assert [r[0] for r in names.select(parity.platform_of(F.col("p"))).collect()] == ["ios", "ios", "unknown", "android"]
+
+
+def test_stretches_of_a_session_carry_over(spark):
+    import random
+
+    rng, rows, at = random.Random(8), [], 0
+    for i in range(400):
+        at += rng.choice([0, 1, 40, 90, 2000, 7000])
+        rows.append((rng.choice(["home", "home", "cart", None]), at))
+    df = events(spark, *rows).unionByName(events(spark, ("home", 0), ("cart", 5), session="s2"))
+    want = {kw: sorted(map(str, sessions.trace_steps(df, collapse=kw).collect())) for kw in (True, False)}
+    for kw in (True, False):
+        for options in ({"bucket_s": 60}, {"bucket_s": 3600}, {"bucket_s": 3600, "most": 10}, {"most": 10}):
+            assert sorted(map(str, sessions.trace_steps(df, collapse=kw, **options).collect())) == want[kw]
+    signals = spark.createDataFrame([("a", f"x{i}", rng.choice(["s1", "s1", "s2", "s3", None]), T0 + timedelta(seconds=rng.randint(-5, at + 10))) for i in range(80)], "app_id string, signal_id string, session_id string, timestamp timestamp")
+    assert sorted(map(str, risk.located(signals, df, bucket_s=3600).collect())) == sorted(map(str, risk.located(signals, df).collect()))
+
+
+def test_bucketed_store_needs_no_shuffle(spark, tmp_path):
+    from trailmark.operators import ingest
+
+    df = events(spark, ("home", 0), ("cart", 5), ("home", 9000)).unionByName(events(spark, ("home", 0), session="s2"))
+    store = ingest.save_bucketed(df, "bucketed_events", 4, str(tmp_path / "store"))
+    found = sessions.traces(sessions.trace_steps(store))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SelectedBucketsCount: 4 out of 4" in plan
+    assert sorted(map(str, found.collect())) == sorted(map(str, sessions.traces(sessions.trace_steps(df)).collect()))
+    ingest.save_bucketed(events(spark, ("home", 0), session="s3"), "bucketed_events", 4, str(tmp_path / "store"), mode="append")
+    assert spark.table("bucketed_events").count() == 5
+    spark.sql("DROP TABLE bucketed_events")

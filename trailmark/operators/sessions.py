@@ -1,8 +1,9 @@
 """Sessionisation: events to steps to traces (M1 to M5).
 
 Everything partitions by (app_id, session_id) or finer, so one exchange serves all windows.
-A session with more than ``quarantine`` events (a bot) is set apart, reported and never dropped
-silently: see ``split_bots``.
+A session of very many events (a bot) would be one task; ``bucket_s`` cuts sessions into stretches of
+time, each a window of its own, which take over what the stretches before them end with. With
+``most``, only sessions beyond that many events are cut.
 """
 
 from __future__ import annotations
@@ -51,8 +52,39 @@ def segmented(events: DataFrame, timeout_s: int = TIMEOUT_S) -> DataFrame:
     return numbered.withColumn("trace_id", F.concat("session_id", suffix))
 
 
-def stepped(events: DataFrame, timeout_s: int = TIMEOUT_S, collapse: bool = True) -> DataFrame:
+def _in_stretches(events: DataFrame, timeout_s: int, collapse: bool, bucket_s: int) -> DataFrame:
+    """``stepped``, with windows over stretches of ``bucket_s`` seconds of a session."""
+    order, key = ("timestamp", "event_id"), [*SESSION, "__stretch"]
+    rows = usable_events(events).withColumn("__stretch", F.floor(F.unix_micros("timestamp") / F.lit(1_000_000 * bucket_s)))
+    here, stretches = W.partitionBy(*key).orderBy(*order), W.partitionBy(*SESSION).orderBy("__stretch")
+    last = F.struct("timestamp", "screen_id")
+    ends = rows.groupBy(*key).agg(F.max_by(last, F.struct(*order)).alias("__end")).withColumn("__end", F.lag("__end").over(stretches))
+    rows = rows.withColumn("__before", F.lag(last).over(here)).join(ends, key).withColumn("__before", F.coalesce("__before", "__end")).drop("__end")
+    gap = F.unix_micros("timestamp") - F.unix_micros("__before.timestamp")
+    opens = F.coalesce(gap > timeout_s * 1_000_000, F.lit(False))
+    moved = F.col("__before").isNotNull() & ~F.col("__opens") & ((F.col("screen_id") != F.col("__before.screen_id")) if collapse else F.lit(True))
+    rows = rows.withColumn("__opens", opens).withColumn("__moved", moved.cast("int")).withColumn("__opens", F.col("__opens").cast("int"))
+    # Running sums within a stretch, on top of those of the stretches before it.
+    so_far = stretches.rowsBetween(W.unboundedPreceding, -1)
+    held = rows.groupBy(*key).agg(F.sum("__opens").alias("o"), F.sum("__moved").alias("m"))
+    held = held.select(*key, *[F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(f"__held_{c}") for c in "om"])
+    run = here.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({"__o": F.sum("__opens").over(run), "__m": F.sum("__moved").over(run)}).join(held, key)
+    rows = rows.withColumns({"segment": F.col("__o") + F.col("__held_o"), "__moves": F.col("__m") + F.col("__held_m")})
+    first = rows.where("__opens = 1 OR __before IS NULL").select(*SESSION, "segment", F.col("__moves").alias("__from"))
+    rows = rows.join(first, [*SESSION, "segment"]).withColumn("step_no", (F.col("__moves") - F.col("__from")).cast("long"))
+    suffix = F.when(F.col("segment") > 0, F.concat(F.lit("#"), F.col("segment").cast("string"))).otherwise("")
+    return rows.withColumn("trace_id", F.concat("session_id", suffix)).select(*events.columns, "segment", "trace_id", "step_no")
+
+
+def stepped(events: DataFrame, timeout_s: int = TIMEOUT_S, collapse: bool = True, bucket_s: int | None = None, most: int | None = None) -> DataFrame:
     """Segmented events with ``step_no``; runs of one screen are one step unless ``collapse`` is off."""
+    if most is not None:
+        usual, bots = split_bots(events, most)
+        theirs = events.join(bots.select(*SESSION), list(SESSION), "left_semi")
+        return stepped(usual, timeout_s, collapse).unionByName(_in_stretches(theirs, timeout_s, collapse, bucket_s or timeout_s))
+    if bucket_s is not None:
+        return _in_stretches(events, timeout_s, collapse, bucket_s)
     rows = segmented(events, timeout_s)
     in_trace = W.partitionBy(*SESSION, "segment").orderBy("timestamp", "event_id")
     if collapse:
@@ -62,9 +94,9 @@ def stepped(events: DataFrame, timeout_s: int = TIMEOUT_S, collapse: bool = True
     return rows.withColumn("step_no", (F.row_number().over(in_trace) - 1).cast("long"))
 
 
-def trace_steps(events: DataFrame, timeout_s: int = TIMEOUT_S, collapse: bool = True) -> DataFrame:
+def trace_steps(events: DataFrame, timeout_s: int = TIMEOUT_S, collapse: bool = True, bucket_s: int | None = None, most: int | None = None) -> DataFrame:
     """One row for each screen visit: entered, exited, dwell, events, interactions, monetary sum."""
-    rows = stepped(events, timeout_s, collapse)
+    rows = stepped(events, timeout_s, collapse, bucket_s, most)
     acted = F.when(F.col("event_type") != "screen_view", F.struct("timestamp", "event_id", "event_name"))
     grouped = rows.groupBy(*SESSION, "segment", "trace_id", "step_no").agg(
         F.first("screen_id").alias("screen_id"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.operators import archetypes, drift, graph, parity, quality, risk, sessions, variants
+from trailmark.functions.cutting import new_path
+from trailmark.operators import archetypes, drift, graph, ingest, parity, quality, risk, sessions, variants
 from trailmark.sources import driver
 
 TIMEOUT_S = 6 * 3600
@@ -96,6 +97,25 @@ def m_traces(spark, sf_dir):
     return rows.select("trace_id", path_text(), "length", "terminal", "n_events", "n_interactions", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "user_id", F.col("order_value").cast("double").alias("order_value"))
 
 
+#: Sessions with more events than this, here a few, are cut into stretches of a day.
+MOST = 20
+
+
+@query(f"{ONE} SELECT trace_id, step_no, screen_id, epoch_us(entered) AS entered_us, n_events FROM steps")
+def m_trace_steps_of_bots(spark, sf_dir):
+    """The same steps, where sessions of many events are windows of a day's stretch each."""
+    rows = sessions.trace_steps(driver.events(spark, sf_dir), TIMEOUT_S, bucket_s=86_400, most=MOST)
+    return rows.select("trace_id", "step_no", "screen_id", F.unix_micros("entered").alias("entered_us"), "n_events")
+
+
+@query(f"{ONE} SELECT trace_id, path, n_events FROM traces")
+def k_bucketed_traces(spark, sf_dir):
+    """Traces of a store bucketed by session, which are found without a shuffle."""
+    path = new_path(spark, "bucketed")
+    store = ingest.save_bucketed(driver.events(spark, sf_dir), f"trailmark_{path.rsplit('-', 1)[-1]}", 8, path)
+    return sessions.traces(sessions.trace_steps(store, TIMEOUT_S)).select("trace_id", path_text(), "n_events")
+
+
 @query(f"{ONE} SELECT trace_id AS case_id, screen_id AS activity, epoch_us(entered) AS at_us FROM steps")
 def k_event_log(spark, sf_dir):
     return sessions.event_log(steps(spark, sf_dir)).select("case_id", "activity", F.unix_micros("timestamp").alias("at_us"))
@@ -280,6 +300,13 @@ def j_risk_asof(spark, sf_dir):
     return located(spark, sf_dir).select("signal_id", "screen_id", "position_in_session")
 
 
+@query(f"{ASOF} SELECT * FROM l")
+def j_risk_asof_in_stretches(spark, sf_dir):
+    """The same join in windows of a day."""
+    rows = risk.located(signals(spark, sf_dir), driver.events(spark, sf_dir).where("event_name <> 'error'"), bucket_s=86_400)
+    return rows.select("signal_id", "screen_id", "position_in_session")
+
+
 @query(f"{ASOF} SELECT screen_id, count(*) AS n_signals FROM l WHERE screen_id IS NOT NULL GROUP BY screen_id")
 def q_risk_by_screen(spark, sf_dir):
     return risk.by_screen(located(spark, sf_dir)).drop("app_id")
