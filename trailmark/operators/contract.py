@@ -79,7 +79,8 @@ def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def plan_issues(plan_events: DataFrame, plan_properties: DataFrame) -> DataFrame:
-    """Duplicate events and properties, redefined common properties, restricted navigation (Q6)."""
+    """Duplicate events and properties, redefined common properties, restricted navigation (Q6), and
+    names that aren't in snake case (Q8b)."""
     common = plan_properties.where("event IS NULL").select("app_id", "name")
     own = plan_properties.where("event IS NOT NULL")
     parts = [
@@ -88,6 +89,7 @@ def plan_issues(plan_events: DataFrame, plan_properties: DataFrame) -> DataFrame
         _issues(own.join(common, ["app_id", "name"], "left_semi"), "redefined_common_property", "error", "name"),
         _issues(plan_events.where((F.col("name") == "screen_view") & ~F.array_contains("screens", F.lit("*"))), "restricted_screen_view", "warning", "name"),
         _issues(plan_events.where(~F.col("name").rlike("^[a-z][a-z0-9_]*$")), "name_format", "error", "name"),
+        _issues(plan_properties.where(~F.col("name").rlike("^[a-z][a-z0-9_]*$")), "property_format", "error", "name"),
     ]
     out = parts[0]
     for p in parts[1:]:

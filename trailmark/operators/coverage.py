@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trailmark.functions.parsing import suite_strategy
 from trailmark.operators.graph import transitions
 
 
@@ -73,11 +74,40 @@ def summary(transition_rows: DataFrame, journey_rows: DataFrame, tests: DataFram
     return a.join(b, "app_id", "left").join(c, "app_id", "left").na.fill(0)
 
 
+def screen_tests(facts: DataFrame) -> DataFrame:
+    """The tests that touch each screen (G3); ``facts`` as of ``test_facts``."""
+    touched = facts.select("app_id", "test_id", F.explode("covered").alias("screen_id"))
+    return touched.groupBy("app_id", "screen_id").agg(F.count("*").alias("n_tests"), F.array_sort(F.collect_set("test_id")).alias("tests"))
+
+
 def redundancy(tested: DataFrame) -> DataFrame:
     """How many tests walk each tested transition."""
     return tested.groupBy("app_id", "source", "target").agg(F.count("*").alias("n_tests"))
 
 
+def suite_quality(files: DataFrame, page_objects: DataFrame, locators: DataFrame) -> DataFrame:
+    """Files scanned and the share that parsed, page objects and bound ones, and the locators by
+    strategy, as (app_id, measure, label, value) (G2).
+
+    ``files``: (app_id, file, parsed); ``page_objects``: (app_id, page_object, screen_id, null if it
+    isn't bound); ``locators``: (app_id, value).
+    """
+    one = lambda rows, measure, label, value: rows.agg(value.cast("double").alias("value")).select("app_id", F.lit(measure).alias("measure"), label.alias("label"), "value")
+    by_file, by_object = files.groupBy("app_id"), page_objects.groupBy("app_id")
+    mix = locators.groupBy("app_id", suite_strategy(F.col("value")).alias("strategy"))
+    parts = [
+        one(by_file, "files", F.lit("scanned"), F.count("*")),
+        one(by_file, "files", F.lit("parse_rate_pct"), F.round(F.count_if("parsed") * 100 / F.count("*"), 1)),
+        one(by_object, "page_objects", F.lit("all"), F.count("*")),
+        one(by_object, "page_objects", F.lit("bound"), F.count("screen_id")),
+        one(mix, "locators", F.col("strategy"), F.count("*")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def suite_summary(tests: DataFrame, paths: DataFrame, refs: DataFrame) -> DataFrame:
     """Tests, mapped ones, by language, and references by confidence, as (app_id, measure, label, n)."""
     mapped = tests.join(paths.select("app_id", "test_id"), ["app_id", "test_id"], "left_semi")

@@ -67,8 +67,9 @@ def novel_rate(before: DataFrame, after: DataFrame) -> DataFrame:
     return aligned(before, after).groupBy("app_id").agg(F.coalesce(F.try_divide(F.sum(F.when(is_new, F.col("w1")).otherwise(0)), F.sum("w1")), F.lit(0.0)).alias("novel_rate"))
 
 
-def report(before: DataFrame, after: DataFrame, ends_before: DataFrame, ends_after: DataFrame, thresholds: dict[str, tuple[float, float]] = THRESHOLDS) -> DataFrame:
-    """(app_id, metric, value, status) of the four metrics."""
+def report(before: DataFrame, after: DataFrame, ends_before: DataFrame, ends_after: DataFrame, thresholds: dict[str, tuple[float, float]] = THRESHOLDS, by_app: DataFrame | None = None) -> DataFrame:
+    """(app_id, metric, value, status) of the four metrics. ``by_app``: (app_id, metric, warn, alert)
+    of apps with thresholds of their own; where one is null or absent, the default holds (D6)."""
     parts = [
         js_divergence(before, after).select("app_id", F.lit("js_divergence").alias("metric"), F.col("js_divergence").alias("value")),
         psi(before, after).select("app_id", F.lit("psi").alias("metric"), F.col("psi").alias("value")),
@@ -80,8 +81,12 @@ def report(before: DataFrame, after: DataFrame, ends_before: DataFrame, ends_aft
         rows = rows.unionByName(p)
     warn = F.create_map(*[F.lit(x) for m, (w, _) in thresholds.items() for x in (m, w)])
     alert = F.create_map(*[F.lit(x) for m, (_, a) in thresholds.items() for x in (m, a)])
-    status = F.when(F.col("value") >= alert[F.col("metric")], "alert").when(F.col("value") >= warn[F.col("metric")], "warn").otherwise("ok")
-    return rows.withColumn("status", status)
+    rows = rows.withColumns({"warn": warn[F.col("metric")], "alert": alert[F.col("metric")]})
+    if by_app is not None:
+        own = by_app.select("app_id", "metric", F.col("warn").alias("own_warn"), F.col("alert").alias("own_alert"))
+        rows = rows.join(own, ["app_id", "metric"], "left").withColumns({"warn": F.coalesce("own_warn", "warn"), "alert": F.coalesce("own_alert", "alert")})
+    status = F.when(F.col("value") >= F.col("alert"), "alert").when(F.col("value") >= F.col("warn"), "warn").otherwise("ok")
+    return rows.select("app_id", "metric", "value", status.alias("status"))
 
 
 def overall(report_rows: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ KINDS = ("coverage_gap", "obsolete", "stale", "over_tested", "assertion_gap", "u
 TICKETABLE = ("coverage_gap", "stale", "assertion_gap", "unmapped_test")
 PRIORITY = {"critical": "Highest", "high": "High", "medium": "Medium", "low": "Low", "info": "Lowest"}
 MIN_WEIGHT = 5
+REASON_LENGTH = 25
 OVER_TESTED = 3
 
 
@@ -167,6 +168,12 @@ def stale_entries(registry: DataFrame, today: Column) -> DataFrame:
     return registry.where(F.col("review_by").isNull() | (F.col("review_by") < today))
 
 
+def registry_issues(registry: DataFrame, least: int = REASON_LENGTH) -> DataFrame:
+    """Entries whose reason is too short to explain why low traffic isn't low importance."""
+    short = registry.where(F.length(F.trim(F.coalesce("reason", F.lit("")))) < least)
+    return short.select("app_id", F.lit("thin_reason").alias("rule"), F.lit("error").alias("severity"), F.col("pattern").alias("subject"))
+
+
 def entries_by_category(registry: DataFrame, today: Column) -> DataFrame:
     """(app_id, category, n_entries, n_stale) of a registry (Q16)."""
     return registry.groupBy("app_id", "category").agg(F.count("*").alias("n_entries"), F.count_if(F.col("review_by").isNull() | (F.col("review_by") < today)).alias("n_stale"))

@@ -37,10 +37,11 @@ def attributed(defects: DataFrame, journeys: DataFrame) -> DataFrame:
 
 
 def outcome_report(attributed_rows: DataFrame, gap_outcomes: DataFrame) -> DataFrame:
-    """Precision, recall and blind spot; null where undefined (O1). ``gap_outcomes``: (app_id,
-    journey_id, closed_by_test, caused_defect)."""
+    """Precision, recall and blind spot, null where undefined, and when the first and the last defect
+    were detected (O1). ``gap_outcomes``: (app_id, journey_id, closed_by_test, caused_defect)."""
     of = lambda x: F.count_if(F.col("origin") == x)
-    a = attributed_rows.groupBy("app_id").agg(of("uncovered_gap").alias("n_gap"), of("covered_but_missed").alias("n_missed"), of("unknown_journey").alias("n_unknown"), of("out_of_scope").alias("n_out"), F.count("*").alias("n_defects"))
+    window = [f("detected_at").alias(f"window_{x}") for f, x in ((F.min, "start"), (F.max, "end"))] if "detected_at" in attributed_rows.columns else []
+    a = attributed_rows.groupBy("app_id").agg(of("uncovered_gap").alias("n_gap"), of("covered_but_missed").alias("n_missed"), of("unknown_journey").alias("n_unknown"), of("out_of_scope").alias("n_out"), F.count("*").alias("n_defects"), *window)
     caused = F.coalesce(F.col("caused_defect"), F.lit(False))
     closed = F.col("closed_by_test").isNotNull()
     b = gap_outcomes.groupBy("app_id").agg(F.count_if(caused).alias("true_positives"), F.count_if(~caused & closed).alias("false_positives"), F.count_if(~caused & ~closed).alias("unresolved"))

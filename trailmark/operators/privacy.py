@@ -75,12 +75,12 @@ def _tagged(hits: Column, kind: str) -> Column:
     return F.transform(hits, lambda x: F.struct(F.lit(kind).alias("kind"), redacted(x).alias("sample")))
 
 
-def flattened(rows: DataFrame, column: str = "properties") -> DataFrame:
+def flattened(rows: DataFrame, column: str = "properties", most: int | None = None) -> DataFrame:
     """Each property of a JSON bag, nested ones as ``a.b[0].c``, with key, value text and type.
 
     Each round is a lateral explode of one level, written to a folder of its own; what is nested in it
     is all that the next round reads, until nothing is. So any depth is scanned, and the result is
-    one read of all levels.
+    one read of all levels. ``most`` ends after so many levels.
     """
     spark, keep = rows.sparkSession, ", ".join(f"t.`{c}`" for c in rows.columns)
     root, depth = new_path(spark, "properties"), 0
@@ -96,7 +96,7 @@ def flattened(rows: DataFrame, column: str = "properties") -> DataFrame:
         leaves = exploded.select(*rows.columns, "path", "key", "type", F.when(~nested, F.try_variant_get("__v", "$", "string")).alias("value"), F.when(nested, F.to_json("__v")).alias("__rest"))
         leaves.write.parquet(f"{root}/level={depth}")
         below = spark.read.schema(leaves.schema).parquet(f"{root}/level={depth}").where("__rest IS NOT NULL")
-        if below.isEmpty():
+        if depth + 1 == most or below.isEmpty():
             return spark.read.schema(leaves.schema).parquet(*[f"{root}/level={i}" for i in range(depth + 1)]).drop("__rest")
         level, depth = below.select(*rows.columns, "__rest", F.col("path").alias("__at")), depth + 1
 

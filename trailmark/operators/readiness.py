@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmark.functions.parsing import NAVIGATION, critical_screen, sensitivity, snake_case, title_case
+from trailmark.operators.contract import taxonomy_issues
 from trailmark.operators.privacy import flattened
 from trailmark.operators.sessions import missing
 
@@ -70,7 +71,7 @@ def draft_properties(events: DataFrame) -> DataFrame:
     """(app_id, event_name, key, type, n, required): a type that all values fit, required from
     ``REQUIRED`` of the occurrences on (Q14)."""
     total = events.groupBy("app_id", "event_name").agg(F.count("*").alias("n_events"))
-    leaves = flattened(events.select("app_id", "event_id", "event_name", "properties"), depth=1).where("type <> 'VOID'")
+    leaves = flattened(events.select("app_id", "event_id", "event_name", "properties"), most=1).where("type <> 'VOID'")
     kind = F.when(F.bool_and(F.col("type") == "BOOLEAN"), "boolean").when(F.bool_and(F.col("type").rlike("^(BIGINT|INT|SMALLINT|TINYINT)")), "integer")
     kind = kind.when(F.bool_and(F.col("type").rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)")), "number").otherwise("string")
     grouped = leaves.groupBy("app_id", "event_name", "key").agg(kind.alias("type"), F.count("*").alias("n"))
@@ -83,6 +84,29 @@ def draft_events(events: DataFrame) -> DataFrame:
     return grouped.withColumn("screens", F.when(F.col("event_name").isin(*NAVIGATION), F.array(F.lit("*"))).otherwise(F.col("screens")))
 
 
+def unmapped_tags(events: DataFrame, k: int = 5) -> DataFrame:
+    """The most frequent tags of each app that no screen declares, which its naming score lacks (Q9e)."""
+    lost = events.where(~missing("screen_tag") & F.col("screen_id").isNull()).groupBy("app_id", "screen_tag").agg(F.count("*").alias("n_events"))
+    place = F.row_number().over(W.partitionBy("app_id").orderBy(F.desc("n_events"), "screen_tag"))
+    return lost.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def predicted_errors(draft_screen_rows: DataFrame) -> DataFrame:
+    """(app_id, rule, severity, subject): errors of the contract that the draft will show at once, as it
+    can't know page objects (Q15)."""
+    none = F.array().cast("array<string>")
+    drafted = draft_screen_rows.select("app_id", "screen_id", F.lit("draft").alias("domain"), "sensitivity", "occlusion_required", "critical", F.array("screen_tag").alias("analytics_tags"), none.alias("page_objects"))
+    return taxonomy_issues(drafted, drafted.select("app_id", "domain").distinct()).where("severity = 'error'")
+
+
+def draft_summary(events: DataFrame) -> DataFrame:
+    """What a draft found, and what it leaves open: events without a tag, errors to expect (Q15)."""
+    screens, names = draft_screens(events), draft_events(events)
+    seen = events.groupBy("app_id").agg(F.count("*").alias("n_events"), F.count_if(missing("screen_tag")).alias("n_unmapped"))
+    errors = predicted_errors(screens).groupBy("app_id").agg(F.count("*").alias("n_errors"))
+    return seen.join(review_effort(screens, names), "app_id", "left").join(errors, "app_id", "left").na.fill(0)
+
+
 def review_effort(draft_screen_rows: DataFrame, draft_event_rows: DataFrame) -> DataFrame:
     """Items to review and the hours they take: two, a tenth for each, a fiftieth for each event (Q15)."""
     screens = draft_screen_rows.groupBy("app_id").agg(F.count("*").alias("n_screens"), F.count_if("needs_review").alias("n_review"))

@@ -81,13 +81,14 @@ def order_plan(spark, sf_dir):
     rows = driver.table(spark, sf_dir, "orders")
     name = F.concat(F.lit("e_"), (F.col("o_orderkey") % 9000).cast("string"))
     events = rows.select(F.lit("demo").alias("app_id"), name.alias("name"), F.array(F.lit("*")).alias("screens"))
-    properties = rows.select(F.lit("demo").alias("app_id"), F.when(F.col("o_custkey") % 100 > 0, name).alias("event"), F.concat(F.lit("p_"), F.col("o_custkey").cast("string")).alias("name"), F.lit("string").alias("type"), F.lit(True).alias("required"))
+    properties = rows.select(F.lit("demo").alias("app_id"), F.when(F.col("o_custkey") % 100 > 0, name).alias("event"), F.concat(F.when(F.col("o_custkey") % 97 == 5, "P-").otherwise("p_"), F.col("o_custkey").cast("string")).alias("name"), F.lit("string").alias("type"), F.lit(True).alias("required"))
     return events, properties
 
 
-@query("""WITH p AS (SELECT CASE WHEN o_custkey % 100 > 0 THEN 'e_' || (o_orderkey % 9000) END AS event, 'p_' || o_custkey AS name FROM orders)
+@query("""WITH p AS (SELECT CASE WHEN o_custkey % 100 > 0 THEN 'e_' || (o_orderkey % 9000) END AS event, CASE WHEN o_custkey % 97 = 5 THEN 'P-' ELSE 'p_' END || o_custkey AS name FROM orders)
 SELECT 'duplicate_event' AS rule, 'error' AS severity, 'e_' || (o_orderkey % 9000) AS subject FROM orders GROUP BY 3 HAVING count(*) > 1
 UNION ALL SELECT 'duplicate_property', 'error', name FROM p WHERE event IS NOT NULL GROUP BY event, name HAVING count(*) > 1
+UNION ALL SELECT 'property_format', 'error', name FROM p WHERE name LIKE 'P-%'
 UNION ALL SELECT 'redefined_common_property', 'error', name FROM p WHERE event IS NOT NULL AND name IN (SELECT name FROM p WHERE event IS NULL)""")
 def q_plan_issues(spark, sf_dir):
     return contract.plan_issues(*order_plan(spark, sf_dir)).drop("app_id")
@@ -131,6 +132,29 @@ def q_review_effort(spark, sf_dir):
     return readiness.review_effort(readiness.draft_screens(rows), readiness.draft_events(rows)).select("n_screens", "n_review", "n_event_names", F.round("hours", 6).alias("hours"))
 
 
+def tagged(spark, sf_dir):
+    """Events of which some have no tag, and some a tag that no screen declares."""
+    rows = driver.events(spark, sf_dir)
+    kind = F.col("event_id") % 10
+    return rows.withColumns({"screen_tag": F.when(kind == 3, None).when(kind == 4, F.concat(F.lit("lost_"), F.col("event_id") % 90)).otherwise(F.col("screen_tag")), "screen_id": F.when(kind > 4, F.col("screen_id"))})
+
+
+TAGGED = "t AS (SELECT event_type AS event_name, CASE event_id % 10 WHEN 3 THEN NULL WHEN 4 THEN 'lost_' || (event_id % 90) ELSE event_type END AS tag, event_id % 10 > 4 AS mapped FROM events)"
+
+
+@query(f"WITH {TAGGED} SELECT tag AS screen_tag, count(*) AS n_events, CAST(row_number() OVER (ORDER BY count(*) DESC, tag) AS INTEGER) AS rank FROM t WHERE tag IS NOT NULL AND NOT mapped GROUP BY tag QUALIFY rank <= 5")
+def q_unmapped_tags(spark, sf_dir):
+    return readiness.unmapped_tags(tagged(spark, sf_dir)).drop("app_id")
+
+
+@query(f"""WITH {TAGGED}, s AS (SELECT DISTINCT tag FROM t WHERE tag IS NOT NULL), n AS (SELECT count(*) AS n_screens, count(*) FILTER (tag = 'signup') AS n_review FROM s)
+SELECT (SELECT count(*) FROM t) AS n_events, (SELECT count(*) FROM t WHERE tag IS NULL) AS n_unmapped, n_screens, n_review, (SELECT count(DISTINCT event_name) FROM t) AS n_event_names, n_review AS n_errors,
+round(2 + 0.1 * n_review + 0.02 * (SELECT count(DISTINCT event_name) FROM t), 6) AS hours FROM n""")
+def q_draft_summary(spark, sf_dir):
+    """What a draft finds and leaves open; its critical screen has no page object yet."""
+    return readiness.draft_summary(tagged(spark, sf_dir)).drop("app_id").withColumn("hours", F.round("hours", 6))
+
+
 @query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]{2,}')) AS x, 'email' AS kind FROM documents
 UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:bearer\s+[\p{L}\p{N}_.-]{20,}|eyJ[\p{L}\p{N}_-]{10,}\.[\p{L}\p{N}_-]{10,}|(?:api[_-]?key|token|secret|password)\s*[=:]\s*\S{8,})')), 'credential' FROM documents)
 SELECT doc_id, kind, '<redacted len=' || length(x) || ' sha=' || substr(sha256(x), 1, 8) || '>' AS sample FROM t""")

@@ -265,7 +265,7 @@ def l_validation_summary(spark, sf_dir):
 def defects(spark, sf_dir):
     rows = driver.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
     journey = F.when(F.col("o_custkey") % 10 > 0, F.concat(F.lit("j"), (F.col("o_custkey") % 40).cast("string")))
-    return rows.select(F.lit("demo").alias("app_id"), F.col("o_orderkey").alias("defect_id"), journey.alias("journey_id"))
+    return rows.select(F.lit("demo").alias("app_id"), F.col("o_orderkey").alias("defect_id"), journey.alias("journey_id"), F.col("o_orderdate").cast("timestamp").alias("detected_at"))
 
 
 def golden(spark, sf_dir):
@@ -320,9 +320,10 @@ def report(spark, sf_dir):
 
 @query(f"""WITH {DEFECTS}, {GAPS}, n AS (SELECT count(*) FILTER (origin = 'uncovered_gap') AS n_gap, count(*) FILTER (origin = 'covered_but_missed') AS n_missed, count(*) FILTER (origin = 'unknown_journey') AS n_unknown, count(*) FILTER (origin = 'out_of_scope') AS n_out, count(*) AS n_defects FROM a),
 o AS (SELECT count(*) FILTER (caused) AS true_positives, count(*) FILTER (NOT caused AND closed) AS false_positives, count(*) FILTER (NOT caused AND NOT closed) AS unresolved FROM g)
-SELECT *, n_missed + n_unknown AS false_negatives, true_positives / nullif(true_positives + false_positives, 0) AS precision, true_positives / nullif(true_positives + n_missed + n_unknown, 0) AS recall, n_unknown / nullif(n_defects - n_out, 0) AS blind_spot FROM n, o""")
+SELECT *, n_missed + n_unknown AS false_negatives, true_positives / nullif(true_positives + false_positives, 0) AS precision, true_positives / nullif(true_positives + n_missed + n_unknown, 0) AS recall, n_unknown / nullif(n_defects - n_out, 0) AS blind_spot, (SELECT epoch_us(min(o_orderdate)::TIMESTAMP) FROM orders WHERE o_orderpriority = '1-URGENT') AS window_start, (SELECT epoch_us(max(o_orderdate)::TIMESTAMP) FROM orders WHERE o_orderpriority = '1-URGENT') AS window_end FROM n, o""")
 def o_outcomes(spark, sf_dir):
-    return report(spark, sf_dir).drop("app_id")
+    rows = report(spark, sf_dir).drop("app_id")
+    return rows.withColumns({c: F.unix_micros(c) for c in ("window_start", "window_end")})
 
 
 RATES = """h AS (SELECT component, count(*) AS n, count(*) FILTER ((n * k) % 10 >= 5) AS n_seen, count(*) FILTER ((n * k) % 10 >= 5) / count(*) AS hit_rate FROM a, (VALUES ('frequency', 1), ('business_value', 3), ('risk', 7), ('exposure', 9)) AS c(component, k) WHERE origin NOT IN ('out_of_scope', 'unknown_journey') GROUP BY component)"""
@@ -586,3 +587,17 @@ def p_locator_strategy(spark, sf_dir):
     """Strategies told from the locator strings alone, by the resolver's and by the suite's rules."""
     rows = spark.sql(f"WITH part AS (SELECT * FROM {{part}}), {CLAIMED} SELECT * FROM v", part=driver.table(spark, sf_dir, "part"))
     return rows.select("p_partkey", locator_strategy(F.col("value")).alias("strategy"), suite_strategy(F.col("value")).alias("in_suite"))
+
+
+@query(f"""WITH {CLAIMED}, t AS (SELECT trim(value) AS value FROM v), f AS (SELECT test_name, bool_or(executed) AS parsed FROM (SELECT CAST(l_partkey AS VARCHAR) AS test_name, l_quantity > 45 AS executed FROM lineitem) GROUP BY test_name)
+SELECT 'files' AS measure, 'scanned' AS label, CAST(count(*) AS DOUBLE) AS value FROM f UNION ALL SELECT 'files', 'parse_rate_pct', round(count(*) FILTER (parsed) * 100 / count(*), 1) FROM f
+UNION ALL SELECT 'page_objects', 'all', count(*) FROM part UNION ALL SELECT 'page_objects', 'bound', count(*) FILTER (p_size % 3 > 0) FROM part
+UNION ALL SELECT 'locators', CASE WHEN value LIKE '//%' OR value LIKE '(//%' THEN 'xpath' WHEN value LIKE '~%' THEN 'accessibility_id' WHEN contains(value, ':id/') OR value LIKE 'id=%' THEN 'resource_id'
+  WHEN value LIKE '-android uiautomator%' OR value LIKE '-ios%' THEN 'platform_query' WHEN value LIKE '#%' OR value LIKE '.%' THEN 'css' ELSE 'other' END, count(*) FROM t GROUP BY 2""")
+def g_suite_quality(spark, sf_dir):
+    """Files, page objects and locators of a suite read off line items and parts."""
+    files = runs(spark, sf_dir).groupBy("app_id", F.col("test_name").alias("file")).agg(F.bool_or(F.col("duration_s") > 45).alias("parsed"))
+    parts = driver.table(spark, sf_dir, "part")
+    objects = parts.select(F.lit("demo").alias("app_id"), F.col("p_partkey").alias("page_object"), F.when(F.col("p_size") % 3 > 0, "s").alias("screen_id"))
+    values = spark.sql(f"WITH part AS (SELECT * FROM {{part}}), {CLAIMED} SELECT 'demo' AS app_id, value FROM v", part=parts)
+    return coverage.suite_quality(files, objects, values).drop("app_id")

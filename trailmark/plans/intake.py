@@ -134,3 +134,29 @@ def k_insert(spark, sf_dir):
     return spark.read.parquet(path).groupBy("event_name").agg(F.count("*").alias("n"))
 
 
+@query("SELECT CAST(l_partkey AS VARCHAR) AS subject, count(*) AS n FROM (SELECT DISTINCT l_partkey, l_suppkey, year(l_shipdate) FROM lineitem) GROUP BY 1")
+def k_insert_signals(spark, sf_dir):
+    """The store of signals after inserts that overlap, by their content-addressed ids."""
+    rows = driver.table(spark, sf_dir, "lineitem")
+    at = F.date_trunc("year", F.col("l_shipdate").cast("timestamp"))
+    subject, session = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    signals = rows.select(parsing.signal_id(session, F.lit("crash"), subject, at).alias("signal_id"), session.alias("session_id"), subject.alias("subject"), at.alias("timestamp"), "l_linenumber")
+    path = new_path(spark, "signals")
+    ingest.insert(signals.where("l_linenumber <= 2").drop("l_linenumber"), path, key="signal_id", date="signal_date")
+    ingest.insert(signals.drop("l_linenumber"), path, key="signal_id", date="signal_date")
+    return spark.read.parquet(path).groupBy("subject").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id AS source_id, substr(sha256(concat_ws('|', CAST(user_id AS VARCHAR), event_type, event_type, strftime(ts::TIMESTAMP, '%Y-%m-%dT%H:%M:%S.%fZ'), 'p')), 1, 32) AS event_id FROM events")
+def p_event_ids(spark, sf_dir):
+    """Content-addressed ids of events."""
+    rows = driver.events(spark, sf_dir)
+    return rows.select(F.col("event_id").alias("source_id"), parsing.event_id(F.col("session_id"), F.col("event_name"), F.col("screen_tag"), F.col("timestamp"), F.lit("p")).alias("event_id"))
+
+
+@query("SELECT e.event_id, 'part_' || min(p_partkey) AS screen_id FROM events e JOIN part ON p_size = event_id % 60 GROUP BY e.event_id UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 60 NOT IN (SELECT p_size FROM part)")
+def j_page_objects(spark, sf_dir):
+    """Events whose page object several screens declare: the first one wins, unknown ones stay without."""
+    rows = driver.events(spark, sf_dir).select("event_id", (F.col("event_id") % 60).alias("page_object"))
+    declared = driver.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.concat(F.lit("part_"), "p_partkey").alias("screen_id"), F.col("p_size").alias("page_object"))
+    return ingest.resolved(rows, declared, "page_object").select("event_id", "screen_id")

@@ -121,6 +121,14 @@ def k_event_log(spark, sf_dir):
     return sessions.event_log(steps(spark, sf_dir)).select("case_id", "activity", F.unix_micros("timestamp").alias("at_us"))
 
 
+@query(f"{ONE} SELECT source, target, weight, round(weight / sum(weight) OVER (PARTITION BY source), 4) AS probability FROM edges")
+def k_graph_export(spark, sf_dir):
+    """The exported graph, read back."""
+    folder, walked = new_path(spark, "graph"), traces(spark, sf_dir)
+    graph.export(graph.edges(walked), graph.nodes(walked), folder)
+    return spark.read.json(f"{folder}/edges").select("source", "target", "weight", "probability")
+
+
 @query(f"{ONE} SELECT source, target, weight FROM edges")
 def m_dfg_edges(spark, sf_dir):
     return graph.edges(traces(spark, sf_dir)).drop("app_id")
@@ -253,6 +261,16 @@ def d_report(spark, sf_dir):
     return drift.report(*halves(spark, sf_dir), *ends(spark, sf_dir)).select("metric", F.round("value", 6).alias("value"), "status")
 
 
+@query(f"""{TWO}{SHARES}{TAIL}{ENDS}, m(metric, value, warn, alert) AS (SELECT 'js_divergence', (SELECT {JS} FROM p), 0.001, 0.2 UNION ALL SELECT 'psi', (SELECT sum((q - p) * ln(q / p)) FROM q), 0.0001, 0.0002
+UNION ALL SELECT 'novel_rate', (SELECT sum(w1) FILTER (w0 = 0) / sum(w1) FROM p), 2, 3 UNION ALL SELECT 'drop_off_shift', (SELECT {JS} FROM e), 0.1, 0.2)
+SELECT metric, round(value, 6) AS value, CASE WHEN value >= alert THEN 'alert' WHEN value >= warn THEN 'warn' ELSE 'ok' END AS status FROM m""")
+def d_report_by_app(spark, sf_dir):
+    """The report under the app's own thresholds; one of them leaves the alert to the default."""
+    apps = driver.events(spark, sf_dir).select("app_id").distinct()
+    own = apps.selectExpr("app_id", "stack(3, 'js_divergence', 0.001D, CAST(NULL AS DOUBLE), 'psi', 0.0001D, 0.0002D, 'novel_rate', 2D, 3D) AS (metric, warn, alert)")
+    return drift.report(*halves(spark, sf_dir), *ends(spark, sf_dir), by_app=own).select("metric", F.round("value", 6).alias("value"), "status")
+
+
 PLATFORMS = f"{ONE}, pc AS (SELECT platform, path, count(*) AS n_sessions FROM usable GROUP BY ALL)"
 
 

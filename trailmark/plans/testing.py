@@ -199,6 +199,14 @@ def g_test_facts(spark, sf_dir):
     return rows.select("test_id", F.array_join("covered", ",").alias("covered"), F.array_join("uncertain", ",").alias("uncertain"), "weakest")
 
 
+@query(f"{BASE} SELECT screen_id, count(DISTINCT test_id) AS n_tests, string_agg(DISTINCT test_id, ',' ORDER BY test_id) AS tests FROM refs WHERE screen_id <> 'click' GROUP BY screen_id")
+def g_screen_tests(spark, sf_dir):
+    """The tests that touch each screen."""
+    reference = refs(spark, sf_dir)
+    rows = coverage.screen_tests(coverage.test_facts(reference, reference.where("line = 0").select("app_id", "test_id", "screen_id")))
+    return rows.select("screen_id", "n_tests", F.array_join("tests", ",").alias("tests"))
+
+
 TODAY = "2024-06-01"
 
 
@@ -208,7 +216,7 @@ def registry(spark, sf_dir):
     category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.col("s_nationkey") % len(CATEGORIES) + 1).cast("int"))
     days = (F.col("s_suppkey") % 500).cast("int") - 100
     review = F.when(F.col("s_suppkey") % 31 > 0, F.date_add(F.to_date(F.lit(TODAY)), days))
-    return rows.select(F.lit("demo").alias("app_id"), F.col("s_name").alias("pattern"), category.alias("category"), F.concat(F.lit("kept for the auditors of "), "s_name").alias("reason"), F.lit("qa").alias("owner"), review.alias("review_by"))
+    return rows.select(F.lit("demo").alias("app_id"), F.col("s_name").alias("pattern"), category.alias("category"), F.when(F.col("s_suppkey") % 17 == 0, "   kept   ").otherwise(F.concat(F.lit("kept for the auditors of "), "s_name")).alias("reason"), F.lit("qa").alias("owner"), review.alias("review_by"))
 
 
 ENTRIES = f"""s AS (SELECT s_name AS pattern, {CATEGORIES!r}[CAST(s_nationkey % {len(CATEGORIES)} AS INTEGER) + 1] AS category, CASE WHEN s_suppkey % 31 > 0 THEN DATE '{TODAY}' + CAST(s_suppkey % 500 - 100 AS INTEGER) END AS review_by FROM supplier)"""
@@ -220,6 +228,11 @@ def q_registry_stale(spark, sf_dir):
     return rows.select("pattern", "category", F.col("review_by").cast("string").alias("review_by"))
 
 
+@query("SELECT 'thin_reason' AS rule, 'error' AS severity, s_name AS subject FROM supplier WHERE s_suppkey % 17 = 0")
+def q_registry_issues(spark, sf_dir):
+    return gaps.registry_issues(registry(spark, sf_dir)).drop("app_id")
+
+
 @query(f"WITH {ENTRIES} SELECT category, count(*) AS n_entries, count(*) FILTER (review_by IS NULL OR review_by < DATE '{TODAY}') AS n_stale FROM s GROUP BY category")
 def q_registry_categories(spark, sf_dir):
     return gaps.entries_by_category(registry(spark, sf_dir), F.to_date(F.lit(TODAY))).drop("app_id")
