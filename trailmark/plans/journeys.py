@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.functions.cutting import new_path
+from trailmark.functions.cutting import cut, new_path
 from trailmark.operators import archetypes, drift, graph, ingest, parity, quality, risk, sessions, variants
 from trailmark.sources import driver
 
@@ -223,6 +223,14 @@ def ends(spark, sf_dir) -> list[DataFrame]:
     return [variants.drop_off(traces(spark, sf_dir, v)).select("app_id", F.col("terminal").alias("key"), F.col("n_sessions").alias("weight")) for v in ("1.0", "2.0")]
 
 
+def windows(spark, sf_dir) -> list[DataFrame]:
+    """Both halves' variants, and where these end, as distributions. Each half is sessionised once and
+    its variants are written, as the report's metrics read them several times."""
+    found = [cut(variants.variants(traces(spark, sf_dir, v)).select("app_id", "path", F.col("n_sessions").alias("weight")), "variants") for v in ("1.0", "2.0")]
+    paths = [x.select("app_id", F.array_join("path", " > ").alias("key"), "weight") for x in found]
+    return paths + [x.groupBy("app_id", F.element_at("path", -1).alias("key")).agg(F.sum("weight").alias("weight")) for x in found]
+
+
 @query(f"{TWO}{SHARES} SELECT round({JS}, 6) AS js_divergence FROM p")
 def d_js(spark, sf_dir):
     return drift.js_divergence(*halves(spark, sf_dir)).select(F.round("js_divergence", 6).alias("js_divergence"))
@@ -258,7 +266,7 @@ def d_dropoff_shift(spark, sf_dir):
 UNION ALL SELECT 'novel_rate', (SELECT sum(w1) FILTER (w0 = 0) / sum(w1) FROM p), 0.05, 0.15 UNION ALL SELECT 'drop_off_shift', (SELECT {JS} FROM e), 0.1, 0.2)
 SELECT metric, round(value, 6) AS value, CASE WHEN value >= alert THEN 'alert' WHEN value >= warn THEN 'warn' ELSE 'ok' END AS status FROM m""")
 def d_report(spark, sf_dir):
-    return drift.report(*halves(spark, sf_dir), *ends(spark, sf_dir)).select("metric", F.round("value", 6).alias("value"), "status")
+    return drift.report(*windows(spark, sf_dir)).select("metric", F.round("value", 6).alias("value"), "status")
 
 
 @query(f"""{TWO}{SHARES}{TAIL}{ENDS}, m(metric, value, warn, alert) AS (SELECT 'js_divergence', (SELECT {JS} FROM p), 0.001, 0.2 UNION ALL SELECT 'psi', (SELECT sum((q - p) * ln(q / p)) FROM q), 0.0001, 0.0002
@@ -268,7 +276,7 @@ def d_report_by_app(spark, sf_dir):
     """The report under the app's own thresholds; one of them leaves the alert to the default."""
     apps = driver.events(spark, sf_dir).select("app_id").distinct()
     own = apps.selectExpr("app_id", "stack(3, 'js_divergence', 0.001D, CAST(NULL AS DOUBLE), 'psi', 0.0001D, 0.0002D, 'novel_rate', 2D, 3D) AS (metric, warn, alert)")
-    return drift.report(*halves(spark, sf_dir), *ends(spark, sf_dir), by_app=own).select("metric", F.round("value", 6).alias("value"), "status")
+    return drift.report(*windows(spark, sf_dir), by_app=own).select("metric", F.round("value", 6).alias("value"), "status")
 
 
 PLATFORMS = f"{ONE}, pc AS (SELECT platform, path, count(*) AS n_sessions FROM usable GROUP BY ALL)"
@@ -401,7 +409,7 @@ def j_unseen_critical(spark, sf_dir):
 
 @query(f"{TWO}{SHARES}{TAIL}{ENDS} SELECT CASE WHEN greatest((SELECT {JS} FROM p) / 0.2, (SELECT sum((q - p) * ln(q / p)) FROM q) / 0.25, (SELECT sum(w1) FILTER (w0 = 0) / sum(w1) FROM p) / 0.15, (SELECT {JS} FROM e) / 0.2) >= 1 THEN 'alert' ELSE 'other' END AS overall")
 def d_overall(spark, sf_dir):
-    found = drift.overall(drift.report(*halves(spark, sf_dir), *ends(spark, sf_dir)))
+    found = drift.overall(drift.report(*windows(spark, sf_dir)))
     return found.select(F.when(F.col("overall") == "alert", "alert").otherwise("other").alias("overall"))
 
 
