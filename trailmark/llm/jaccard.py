@@ -15,7 +15,7 @@ slice only and frequent passages are listed only for sets that hold little else.
 light sets just below the boundary too.
 
 Lists are scanned in rounds: a hub of each list is compared with the list's other sets and leaves it; a
-list whose sets lie in one component is done. Each round takes eight times as many hubs, so a
+list whose sets lie in one component is done. Each round takes many times as many hubs, so a
 group of near copies needs one round and no pairs among its members, and none of its links between
 components is lost. Candidates must agree in their slices before whole sets are compared.
 

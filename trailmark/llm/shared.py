@@ -12,7 +12,7 @@ from trailmark.functions.cutting import cut, new_path
 __all__ = ["WHITE", "components", "cut", "let", "linked", "new_path", "open_lists", "words_of"]
 
 #: How many times as many hubs each round of ``linked`` takes as the one before.
-MORE_HUBS = 8
+MORE_HUBS = 32
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
@@ -80,18 +80,31 @@ def linked(lists: DataFrame, carried: list[str], fits: Callable[[], Column], ver
     takes one round and no pairs among its members. Each round takes more hubs of a list.
     """
     links, compared, hubs = known, None, 1
+    if known is not None and not lists.isEmpty():
+        lists = _moved(lists, components(known))
     while not lists.isEmpty():
         slot = F.pmod(F.xxhash64("node"), F.lit(hubs))
         of_hub = ["node", "root", *carried]
         chosen = cut(lists.groupBy("token", slot.alias("slot")).agg(F.min(F.struct(*of_hub)).alias("hub")).select("token", "hub.*"), "hubs")
         hub = chosen.select("token", *[F.col(c).alias(f"hub_{c}") for c in of_hub])
         pairs = lists.join(hub, "token").where((F.col("root") != F.col("hub_root")) & fits())
-        pairs = pairs.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
+        first = F.col("node") < F.col("hub_node")
+        both = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("node", "hub_node", "a"), ("hub_node", "node", "b"), ("root", "hub_root", "root_a"), ("hub_root", "root", "root_b"))]
+        pairs = pairs.select(*both).distinct()
         pairs = cut(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-        compared = pairs if compared is None else compared.union(pairs)
-        found = cut(verified(pairs), "links")
+        compared = pairs.select("a", "b") if compared is None else compared.union(pairs.select("a", "b"))
+        found = cut(verified(pairs.select("a", "b")), "links")
         links = found if links is None else links.union(found)
-        left = lists.drop("root").join(chosen.select("token", "node"), ["token", "node"], "left_anti").join(components(links), "node", "left")
-        lists = cut(open_lists(left.withColumn("root", F.coalesce("root", "node"))), "lists")
+        lists = cut(lists.join(chosen.select("token", "node"), ["token", "node"], "left_anti"), "lists")
+        if not found.isEmpty():
+            # Components of the round's links between the components so far, a much smaller graph.
+            lists = _moved(lists, components(pairs.join(found, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))))
+        lists = cut(open_lists(lists), "lists")
         hubs *= MORE_HUBS
     return links if links is not None else lists.select(F.col("node").alias("a"), F.col("node").alias("b"))
+
+
+def _moved(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists after components ``roots`` (node, root) have taken in others."""
+    moved = lists.join(roots.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    return moved.withColumn("root", F.coalesce("to", "root")).drop("to")
