@@ -88,7 +88,8 @@ def locator_gate(journeys: DataFrame, element_best: DataFrame, resolution: DataF
     ``screens.journey_resolution``, ``claims`` as of ``screens.verified_claims``."""
     steps = journeys.groupBy("app_id").agg((F.sum("n_resolved") / F.sum("n_steps")).alias("rate"), F.count_if("executable").alias("n"), F.count("*").alias("n_all"))
     none = F.col("n_resolved") == 0
-    screens = resolution.groupBy("app_id").agg(F.count_if(none).alias("n"), F.count_if(none & (F.col("n_no_candidate") + F.col("n_ambiguous") + F.col("n_fragile") > 0)).alias("n_told"))
+    told = sum(F.col(c) for c in ("n_no_candidate", "n_ambiguous", "n_fragile") if c in resolution.columns)
+    screens = resolution.groupBy("app_id").agg(F.count_if(none).alias("n"), F.count_if(none & (told > 0)).alias("n_told"))
     level = F.create_map(*[F.lit(x) for item in STABILITY.items() for x in item])[F.col("strategy")]
     weak = element_best.groupBy("app_id").agg(F.count_if(level < USABLE).alias("n"))
     refuted = resolution.select("app_id").distinct().join(claims.groupBy("app_id").agg(F.count_if(F.col("status").isin("missing", "ambiguous")).alias("n")), "app_id", "left")
