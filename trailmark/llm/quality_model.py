@@ -16,7 +16,7 @@ covers all rows.
 Defined results: a null text is empty; null or new languages and sources share hashed columns;
 several labels of one document count as their mean, rounded; null labels are ignored; of rows
 that repeat a doc_id one trains; equal scores count as one document in the exchange; without
-labels of both classes ``fit`` raises ValueError; repeated documents are each scored; an empty
+labels of both classes ``fit`` raises ValueError and ``classify`` gives null scores; repeated documents are each scored; an empty
 table of documents gives an empty result; other columns are ignored.
 """
 
