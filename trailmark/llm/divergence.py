@@ -16,14 +16,21 @@ gives an empty result; other columns are ignored. Ties are ordered by UTF-8 byte
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmark.llm.shared import cut
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Over UTF-8 bytes, of which ``bytes.lower`` changes A to Z only.
+TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+#: Words that a task holds before it gives out its counts.
+MOST_HELD = 300_000
 LEAST_DOCS = 3
 TOP = 200
 SCALE = 1_000_000_000
@@ -44,15 +51,36 @@ def divergence(p: str, q: str) -> Column:
     return F.expr(f"({p} - {q}) * ({p} - {q}) div {q}")
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n, n_docs): a task's words with their occurrences and documents, given
+    out whenever ``MOST_HELD`` of them are held."""
+    names = ["lang", "source", "term", "n", "n_docs"]
+    held: dict[tuple, tuple[Counter, Counter]] = {}
+
+    def given():
+        for (lang, source), (n, n_docs) in held.items():
+            size = len(n)
+            columns = pa.array([lang] * size, pa.string()), pa.array([source] * size, pa.string()), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array([n_docs[t] for t in n], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(columns), names)
+        held.clear()
+
+    for batch in batches:
+        for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n, n_docs = held.setdefault((lang, source), (Counter(), Counter()))
+            found = Counter(TERM.findall(text.lower()))
+            n.update(found)
+            n_docs.update(found.keys())
+        if sum(len(n) for n, _ in held.values()) > MOST_HELD:
+            yield from given()
+    yield from given()
+
+
 def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(lang, term, lang_n, sources): the words of at least ``least_docs`` documents of a language,
     with their occurrences in it and, as a sorted array, in each source that has them."""
-    words = F.regexp_extract_all(F.translate("text", CAPITALS, SMALL), F.lit(TERM), F.lit(0))
-    rows = _plain(docs).select(*GROUP, words.alias("words"))
-    # Occurrences first, then each distinct word once more, which counts the document.
-    marked = rows.select(*GROUP, F.size("words").alias("n_words"), F.posexplode(F.concat("words", F.array_distinct("words"))).alias("at", "term"))
-    occurs = (F.col("at") < F.col("n_words")).cast("long")
-    counted = marked.groupBy(*GROUP, "term").agg(F.sum(occurs).alias("n"), F.sum(1 - occurs).alias("n_docs"))
+    texts = _plain(docs).select(*GROUP, F.col("text").cast("binary").alias("text"))
+    rows = texts.mapInArrow(_counts, "lang string, source string, term binary, n long, n_docs long")
+    counted = rows.groupBy(*GROUP, F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
     by_term = counted.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("n_docs").alias("n_docs"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("sources"))
     return by_term.where(F.col("n_docs") >= least_docs).drop("n_docs")
 
