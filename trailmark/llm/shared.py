@@ -79,9 +79,14 @@ def linked(lists: DataFrame, carried: list[str], fits: Callable[[], Column], ver
     (a, b) that are links. A list whose nodes lie in one component is done, so a group of near copies
     takes one round and no pairs among its members. Each round takes more hubs of a list.
     """
-    links, compared, hubs = known, None, 1
-    if known is not None and not lists.isEmpty():
-        lists = _moved(lists, components(known))
+    hub = lists.groupBy("token").agg(F.min(F.struct("node", *carried)).alias("hub")).select("token", *[F.col("hub")[c].alias(f"hub_{c}") for c in ("node", *carried)])
+    # First each node is compared with one hub only, the smallest of its lists, which most lists of
+    # a group of near copies share: these links close nearly all of the group's lists.
+    nearest = lists.join(hub, "token").where((F.col("node") != F.col("hub_node")) & fits()).groupBy("node").agg(F.min("hub_node").alias("hub"))
+    compared = cut(nearest.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
+    found, hubs = cut(verified(compared), "links"), 1
+    links = found if known is None else known.union(found)
+    lists = cut(open_lists(_moved(lists, components(links))), "lists")
     while not lists.isEmpty():
         slot = F.pmod(F.xxhash64("node"), F.lit(hubs))
         of_hub = ["node", "root", *carried]
@@ -91,17 +96,17 @@ def linked(lists: DataFrame, carried: list[str], fits: Callable[[], Column], ver
         first = F.col("node") < F.col("hub_node")
         both = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("node", "hub_node", "a"), ("hub_node", "node", "b"), ("root", "hub_root", "root_a"), ("hub_root", "root", "root_b"))]
         pairs = pairs.select(*both).distinct()
-        pairs = cut(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-        compared = pairs.select("a", "b") if compared is None else compared.union(pairs.select("a", "b"))
+        pairs = cut(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+        compared = compared.union(pairs.select("a", "b"))
         found = cut(verified(pairs.select("a", "b")), "links")
-        links = found if links is None else links.union(found)
+        links = links.union(found)
         lists = cut(lists.join(chosen.select("token", "node"), ["token", "node"], "left_anti"), "lists")
         if not found.isEmpty():
             # Components of the round's links between the components so far, a much smaller graph.
             lists = _moved(lists, components(pairs.join(found, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))))
         lists = cut(open_lists(lists), "lists")
         hubs *= MORE_HUBS
-    return links if links is not None else lists.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    return links
 
 
 def _moved(lists: DataFrame, roots: DataFrame) -> DataFrame:
