@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from trailmark.llm.shared import components, cut, linked, open_lists
+from trailmark.llm.shared import components, cut, ends, linked, open_lists
 from trailmark.llm.simhash import overlap_links, shingle_hashes, whole_sets
 
 SHINGLE = 3
@@ -139,9 +139,6 @@ def heavy_links(docs: DataFrame, nodes: DataFrame, known: DataFrame, shingle: in
     lists = open_lists(inverted_lists(nodes, percent).withColumn("root", F.col("node")))
     lists = cut(lists.join(nodes.select("node", *_BITS), "node"), "lists")
     spread = 100 - percent, 100 + percent
-    needed = nodes.join(lists.select("node").distinct(), "node", "left_semi")
-    slices = needed.select("node", "n", F.slice("head", F.lit(1), F.col("n_low")).alias("slice"))
-    sets = cut(slices.join(whole_sets(docs, needed, shingle), "node"), "sets")
 
     def fits():
         both = F.col("n") + F.col("hub_n")
@@ -151,10 +148,14 @@ def heavy_links(docs: DataFrame, nodes: DataFrame, known: DataFrame, shingle: in
         return (needed <= F.least("n", "hub_n")) & early & (sum(differ[1:], differ[0]) * spread[1] <= both * spread[0])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("slice").alias(f"slice_{x}")) for x in "ab")
+        slices = nodes.select("node", "n", F.slice("head", F.lit(1), F.col("n_low")).alias("slice"))
+        slices = cut(slices.join(ends(pairs), "node", "left_semi"), "slices")
+        a, b = (slices.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("slice").alias(f"slice_{x}")) for x in "ab")
         differ = F.size("slice_a") + F.size("slice_b") - 2 * F.size(F.array_intersect("slice_a", "slice_b"))
         likely = pairs.join(a, "a").join(b, "b").where(differ * spread[1] <= (F.col("n_a") + F.col("n_b")) * spread[0])
-        return overlap_links(likely.select("a", "b"), sets, percent)
+        likely = cut(likely.select("a", "b"), "likely")
+        # Whole sets are made for these pairs only, from the texts.
+        return overlap_links(likely, cut(whole_sets(docs, nodes.join(ends(likely), "node", "left_semi"), shingle), "sets"), percent)
 
     return linked(lists, ["n", "place", *_BITS], fits, verified, known)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.cutting import cut, new_path
 
-__all__ = ["WHITE", "components", "cut", "let", "linked", "new_path", "open_lists", "words_of"]
+__all__ = ["WHITE", "components", "cut", "ends", "let", "linked", "new_path", "open_lists", "words_of"]
 
 #: How many times as many hubs each round of ``linked`` takes as the one before.
 MORE_HUBS = 32
@@ -109,6 +109,11 @@ def linked(lists: DataFrame, carried: list[str], fits: Callable[[], Column], ver
     return links
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """The nodes of ``pairs`` (a, b), once each."""
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+
 def _moved(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """The lists after components ``roots`` (node, root) have taken in others."""
     moved = lists.join(roots.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")

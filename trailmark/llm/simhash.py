@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.shared import components, cut, linked, open_lists
+from trailmark.llm.shared import components, cut, ends, linked, open_lists
 
 SEED = 42
 SHINGLE = 4
@@ -261,11 +261,14 @@ def _tokens(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """(node, tokens): the shingle hashes of each of ``nodes``, made again from the text of its
-    ``first`` document (doc_id and h, the text's hash)."""
+    ``first`` document (doc_id and h, the text's hash).
+
+    What is wanted is a table, so Spark knows its size and shuffles the texts only if it is large."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
-    wanted = nodes.select("node", F.col("first.doc_id").alias("of"), F.col("first.h").alias("of_h"))
+    wanted = cut(nodes.select("node", F.col("first.doc_id").alias("of"), F.col("first.h").alias("of_h")), "wanted")
     chosen = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h"))).select("node", "text")
-    return chosen.mapInArrow(lambda it: _tokens(it, shingle), "node long, tokens array<long>").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    once = chosen.groupBy("node").agg(F.first("text").alias("text"))
+    return once.mapInArrow(lambda it: _tokens(it, shingle), "node long, tokens array<long>")
 
 
 def overlap_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -294,8 +297,7 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE
         return sum(differ[1:], differ[0]) <= distance
 
     def verified(pairs: DataFrame) -> DataFrame:
-        listed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        return overlap_links(pairs, cut(whole_sets(docs, nodes.join(listed, "node", "left_semi"), shingle), "sets"), percent)
+        return overlap_links(pairs, cut(whole_sets(docs, nodes.join(ends(pairs), "node", "left_semi"), shingle), "sets"), percent)
 
     roots = components(linked(lists, words, fits, verified))
     rows = prints.select("doc_id", "h", "node").join(roots, "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("root"))
