@@ -1,5 +1,6 @@
 """Path similarity, archetypes, scores, coverage, gaps, screens, outcomes, gates, the registry."""
 
+import itertools
 import random
 
 import pytest
@@ -123,6 +124,24 @@ def test_coverage_and_findings(spark):
     assert [(r.subject, r.detail) for r in gaps.assertion_gaps(facts, ["pay", "cart"]).collect()] == [("t1", "pay")]
 
 
+def test_tests_of_journeys_are_counted_without_their_pairs(spark):
+    """Against plain sets; coverage itself holds no list of tests, which each journey would repeat."""
+    rng = random.Random(5)
+    walk = lambda: [rng.choice("abcd") for _ in range(rng.randint(1, 5))]
+    paths = spark.createDataFrame([("x", f"t{i}", walk()) for i in range(60)], "app_id string, test_id string, path array<string>")
+    journeys = spark.createDataFrame([("x", f"j{i}", walk(), i, float(i)) for i in range(40)], "app_id string, journey_id string, path array<string>, n_sessions long, score double")
+    tested = coverage.tested_transitions(paths)
+    steps = lambda path: set(itertools.pairwise(path))
+    tests = {r.test_id: steps(r.path) for r in paths.collect()}
+    wanted = {r.journey_id: {t for t, s in tests.items() if s & steps(r.path)} for r in journeys.collect()}
+    assert {(r.journey_id, r.test_id) for r in coverage.covering_tests(journeys, tested).collect()} == {(j, t) for j, ts in wanted.items() for t in ts}
+    counted = coverage.covering_counts(journeys, tested, met_at_once=3).collect()
+    assert {r.journey_id: r.n_tests for r in counted} == {j: len(ts) for j, ts in wanted.items() if ts} and len(counted) < 40
+    over = {r.subject: r.detail for r in gaps.over_tested(journeys, tested).collect()}
+    assert over == {j: f"{len(ts)} tests" for j, ts in wanted.items() if len(ts) >= 3 and int(j[1:]) < 19} and over
+    assert not [f.name for f in coverage.journey_coverage(journeys, tested).schema if f.name == "tests"]
+
+
 XML = """<hierarchy><android.widget.FrameLayout class="android.widget.FrameLayout">{}</android.widget.FrameLayout></hierarchy>"""
 NODE = '<node class="android.widget.Button" content-desc="{}" resource-id="app:id/{}" text="{}" clickable="true"/>'
 

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from trailmark.functions.parsing import suite_strategy
 from trailmark.operators.graph import transitions
 
+#: Sets of pairs of tests that one task of a pair takes.
+MET_AT_ONCE = 1000
+
 
 def test_paths(refs: DataFrame) -> DataFrame:
     """(app_id, test_id, path): sure references in order, repetitions collapsed (G1)."""
@@ -47,21 +50,51 @@ def transition_coverage(edges: DataFrame, tested: DataFrame) -> DataFrame:
 
 
 def journey_coverage(journeys: DataFrame, tested: DataFrame) -> DataFrame:
-    """(app_id, journey_id, n_pairs, n_covered, coverage, missing, tests) of each representative
-    path; repeated pairs count again (J5). ``journeys``: (app_id, journey_id, path)."""
+    """(app_id, journey_id, n_pairs, n_covered, coverage, missing) of each representative path;
+    repeated pairs count again (J5). ``journeys``: (app_id, journey_id, path)."""
     pairs = transitions(journeys, "app_id", "journey_id")
-    by_edge = tested.groupBy("app_id", "source", "target").agg(F.collect_set("test_id").alias("tests"))
-    seen = pairs.join(by_edge, ["app_id", "source", "target"], "left")
+    walked = tested.select("app_id", "source", "target").distinct().withColumn("seen", F.lit(1))
+    seen = pairs.join(walked, ["app_id", "source", "target"], "left")
     label = F.struct("position", F.concat_ws(" > ", "source", "target").alias("pair"))
     return seen.groupBy("app_id", "journey_id").agg(
         F.count("*").alias("n_pairs"),
-        F.count("tests").alias("n_covered"),
-        (F.count("tests") / F.count("*")).alias("coverage"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("tests").isNull(), label))), lambda x: x["pair"]).alias("missing"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("tests")))).alias("tests"),
+        F.count("seen").alias("n_covered"),
+        (F.count("seen") / F.count("*")).alias("coverage"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("seen").isNull(), label))), lambda x: x["pair"]).alias("missing"),
     )
 
 
+def covering_tests(journeys: DataFrame, tested: DataFrame) -> DataFrame:
+    """(app_id, journey_id, test_id), each once: the tests that walk a pair of a journey."""
+    pairs = transitions(journeys, "app_id", "journey_id").select("app_id", "journey_id", "source", "target").distinct()
+    return pairs.join(tested, ["app_id", "source", "target"]).select("app_id", "journey_id", "test_id").distinct()
+
+
+def _pair_sets(pairs: DataFrame, name: str) -> DataFrame:
+    """(app_id, name, held): the set of pairs of each journey or test, in order."""
+    return pairs.groupBy("app_id", name).agg(F.array_sort(F.collect_set(F.struct("source", "target"))).alias("held"))
+
+
+def covering_counts(journeys: DataFrame, tested: DataFrame, met_at_once: int = MET_AT_ONCE) -> DataFrame:
+    """(app_id, journey_id, n_tests): how many rows of ``covering_tests`` a journey has, if any.
+
+    Journeys and tests that walk the same set of pairs are one, with their number, and sets meet at
+    the first pair they share, so a meeting is summed up where it is found and never a row of an
+    exchange. The tests' sets of a pair are dealt out by salt, to which those of the journeys are copied.
+    """
+    by_journey = _pair_sets(transitions(journeys, "app_id", "journey_id"), "journey_id").withColumnRenamed("held", "mine")
+    wanted = by_journey.select("app_id", "mine").distinct()
+    sets = _pair_sets(tested, "test_id").groupBy("app_id", "held").agg(F.count("*").alias("n"))
+    theirs = sets.select("app_id", "held", "n", F.explode("held").alias("pair"))
+    salts = theirs.groupBy("app_id", "pair").agg(F.ceil(F.count("*") / met_at_once).alias("salts"))
+    theirs = theirs.join(salts, ["app_id", "pair"]).withColumn("salt", F.pmod(F.xxhash64("held"), "salts")).drop("salts")
+    mine = wanted.select("app_id", "mine", F.explode("mine").alias("pair")).join(salts, ["app_id", "pair"])
+    mine = mine.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    met = mine.join(theirs, ["app_id", "pair", "salt"]).where(F.array_min(F.array_intersect("mine", "held")) == F.col("pair"))
+    counts = met.groupBy("app_id", "mine").agg(F.sum("n").alias("n_tests"))
+    return by_journey.join(counts, ["app_id", "mine"]).select("app_id", "journey_id", "n_tests")
+
+
 def summary(transition_rows: DataFrame, journey_rows: DataFrame, tests: DataFrame, paths: DataFrame) -> DataFrame:
     """Transitions covered, plain and by traffic; journeys covered in full or not; unmapped tests."""
     hit = F.col("n_tests") > 0

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmark.functions.ranking import numbered, with_totals
+from trailmark.operators.coverage import covering_counts
 
 SEVERITIES = ("info", "low", "medium", "high", "critical")
 KINDS = ("coverage_gap", "obsolete", "stale", "over_tested", "assertion_gap", "unmapped_test", "protected_retained")
@@ -85,12 +86,14 @@ def dead_tests(reach: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
     return _finding(rows, kind, severity, F.col("test_id"), _none(), F.lit(False), detail)
 
 
-def over_tested(journeys: DataFrame, coverage: DataFrame, least: int = OVER_TESTED) -> DataFrame:
-    """Low-scored journeys with many tests (G8): below the score at place n // 2 of the falling list."""
+def over_tested(journeys: DataFrame, tested: DataFrame, least: int = OVER_TESTED) -> DataFrame:
+    """Low-scored journeys with many tests (G8): below the score at place n // 2 of the falling list.
+    Only their tests are counted."""
     ordered_ = numbered(with_totals(journeys, ["app_id"], half=F.floor(F.count("*") / 2)), ["app_id"], [F.desc("score"), "journey_id"], "nth")
     median = ordered_.where(F.col("nth") - 1 == F.col("half")).select("app_id", F.col("score").alias("median"))
-    rows = journeys.join(median, "app_id").join(coverage, ["app_id", "journey_id"]).where((F.size("tests") >= least) & (F.col("score") < F.col("median")))
-    return _finding(rows, "over_tested", "low", F.col("journey_id"), F.col("n_sessions"), F.lit(False), F.concat(F.size("tests").cast("string"), F.lit(" tests")))
+    low = journeys.join(median, "app_id").where(F.col("score") < F.col("median")).select(journeys.columns)
+    rows = low.join(covering_counts(low, tested), ["app_id", "journey_id"]).where(F.col("n_tests") >= least)
+    return _finding(rows, "over_tested", "low", F.col("journey_id"), F.col("n_sessions"), F.lit(False), F.concat(F.col("n_tests").cast("string"), F.lit(" tests")))
 
 
 def assertion_gaps(facts: DataFrame, critical: list[str]) -> DataFrame:

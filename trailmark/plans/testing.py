@@ -133,7 +133,7 @@ def findings(spark, sf_dir):
         gaps.journey_gaps(goals, covered, CRITICAL),
         gaps.transition_gaps(coverage.transition_coverage(prod, walked), covered, CRITICAL),
         gaps.dead_tests(gaps.reachability(walked, busy), PATTERNS),
-        gaps.over_tested(goals, covered),
+        gaps.over_tested(goals, walked),
         gaps.assertion_gaps(coverage.test_facts(reference, asserted), CRITICAL),
         gaps.unmapped(tests(spark, sf_dir), paths),
     ]
