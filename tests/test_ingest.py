@@ -151,6 +151,20 @@ def test_streams_agree_with_tables(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store")).count() == 500
 
 
+def test_stream_reads_a_plan_written_once(spark, capsys):
+    """No batch of a stream finds the plan again, which was a product of all its partitions."""
+    from trailmark.plans import contracts, delivery
+
+    sf_dir = "/root/testdata/sf0.001"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        streams.conformance(delivery.stream(spark, sf_dir), *contracts.plan(spark, sf_dir)).explain(True)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out
+    assert "plan-events" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_names_of_screens(spark):
     """Snake case, title and sensitivity of names with capitals, blanks and signs."""
     want = {"userID": "userid", "Sign In": "sign_in", "Sign-In": "sign_in", "UserProfileScreen": "user_profile_screen", "": "unknown", "--": "unknown", "HTMLPage": "html_page", "A": "a", "__x__y": "x_y"}

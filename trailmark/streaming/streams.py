@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from trailmark.functions.cutting import cut
 from trailmark.operators.contract import judged
 from trailmark.operators.ingest import insert
 from trailmark.operators.sessions import missing
@@ -49,8 +50,9 @@ def counters(events: DataFrame, width: str = "1 hour", lateness: str = LATENESS)
 
 def conformance(events: DataFrame, plan_events: DataFrame, plan_properties: DataFrame, width: str = "1 hour", lateness: str = LATENESS) -> DataFrame:
     """Events and offending ones of each tumbling window, and how they offend (T3 with Q5). The
-    plan's tables are static and joined to the stream by event."""
-    rows = judged(events, plan_events, plan_properties)
+    plan's tables are static and joined to the stream by event; they are written once, so that no
+    batch of the stream finds them again, or by the size of what they were read off."""
+    rows = judged(events, cut(plan_events, "plan-events"), cut(plan_properties, "plan-properties"))
     rows = rows.withWatermark("timestamp", lateness) if events.isStreaming else rows
     of = lambda kind: F.count_if(F.exists("violations", lambda v: v["violation"] == kind)).alias(f"n_{kind}")
     kinds = ("unknown_event", "wrong_screen", "missing_property", "type_mismatch")
