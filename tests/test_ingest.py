@@ -151,6 +151,21 @@ def test_streams_agree_with_tables(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store")).count() == 500
 
 
+def test_sensitivity_finds_the_name_once(spark):
+    """The first marker in list order, and one snake-case name however many markers there are."""
+    names = ["UserProfileScreen", "Sign In", "Help", "OrderPin", "plain", "", None]
+    wanted = []
+    for name in names:
+        low = (name or "").lower().replace(" ", "_").replace("userprofile", "user_profile").replace("orderpin", "order_pin")
+        hits = [(level, m) for level, ms in parsing.SENSITIVITY.items() for m in ms if m in low]
+        wanted.append(hits[0] if hits else ("low", "no marker"))
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, name string")
+    found = rows.select("i", parsing.sensitivity(F.col("name")).alias("s"))
+    assert [tuple(r.s) for r in found.orderBy("i").collect()] == wanted
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 3
+
+
 def test_stream_reads_a_plan_written_once(spark, capsys):
     """No batch of a stream finds the plan again, which was a product of all its partitions."""
     from trailmark.plans import contracts, delivery

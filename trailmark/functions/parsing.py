@@ -87,12 +87,11 @@ def title_case(text: Column) -> Column:
 def sensitivity(name: Column) -> Column:
     """Struct (level, reason): the first marker of the snake-case name in list order, critical
     before high before low."""
-    low = snake_case(name)
-    found = F.struct(F.lit("low").alias("level"), F.lit("no marker").alias("reason"))
-    for level, markers in reversed(SENSITIVITY.items()):
-        hit = F.get(F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(low, m)), F.lit(0))
-        found = F.when(hit.isNotNull(), F.struct(F.lit(level).alias("level"), hit.alias("reason"))).otherwise(found)
-    return found
+    markers = F.array(*[F.struct(F.lit(level).alias("level"), F.lit(m).alias("reason")) for level, ms in SENSITIVITY.items() for m in ms])
+    none = F.struct(F.lit("low").alias("level"), F.lit("no marker").alias("reason"))
+    # As a lambda's variable the snake-case name is found once, not again for each marker.
+    first = F.transform(F.array(snake_case(name)), lambda low: F.get(F.filter(markers, lambda m: F.contains(low, m["reason"])), F.lit(0)))
+    return F.coalesce(F.get(first, F.lit(0)), none)
 
 
 def critical_screen(name: Column) -> Column:
