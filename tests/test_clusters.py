@@ -71,6 +71,21 @@ def test_clusters_equal_the_sequential_definition(spark, seed, most):
     assert {tuple(r.path): path_of[r.seed] for r in got} == sequential(rows, ["d"], most)
 
 
+def test_candidates_of_pairs_are_no_rows_of_an_exchange(spark, monkeypatch):
+    """Against all pairs, of paths that share several tokens; the plan groups no pairs."""
+    monkeypatch.setattr(archetypes, "MET_AT_ONCE", 3)
+    rng = random.Random(7)
+    paths = sorted({tuple(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(80)})
+    rows = archetypes.ranked(spark.createDataFrame([("x", list(p), 1, 1, 10) for p in paths], VARIANTS), ["c"])
+    found = archetypes.pairs(rows)
+    expected = {(i + 1, j + 1): sim(p, q) for (i, p), (j, q) in itertools.combinations(enumerate(paths), 2) if (p[-1] == "c") == (q[-1] == "c") and sim(p, q) >= archetypes.THRESHOLD}
+    got = found.collect()
+    assert len(got) == len(expected) > 100 and {(r.i, r.j): r.sim for r in got} == expected
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [app_id" in plan and ", i#" not in "".join(line for line in plan.splitlines() if "Aggregate" in line)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_golden_archetypes(spark):
     rows = [("x", ["home", "cart", "payment_method"], 100, 5, 10), ("x", ["home", "search", "cart", "payment_method"], 50, 5, 10), ("x", ["account_home", "help_center"], 30, 5, 10)]
     found = archetypes.archetypes(archetypes.members(spark.createDataFrame(rows, VARIANTS))).orderBy("archetype_id").collect()
