@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import parsing
 from trailmark.operators import contract, ingest, privacy, readiness, risk, screens
+from trailmark.plans import intake
 from trailmark.sources import vendors
 from trailmark.streaming import streams
 
@@ -258,3 +259,13 @@ def test_gates_fail_without_what_they_need(spark):
     claims = one("SELECT 'app' AS app_id, 'fine' AS status").where("false")
     rows = {r.check: (r.passed, r.detail) for r in gates.locator_gate(steps, best, resolution, one("SELECT 'app' AS app_id, 80.0D AS stability_pct"), claims).collect()}
     assert rows == {"resolved": (True, "0.9"), "executable": (False, "0 of 1"), "diagnosed": (True, "1"), "identity": (True, "80.0"), "none_fragile": (False, "1"), "claims_hold": (True, "unverified")}
+
+
+def test_both_inserts_read_one_table_of_normalised_events(spark, monkeypatch, tmp_path):
+    at = "TIMESTAMP_NTZ '2024-01-01 00:00:01'"
+    rows = spark.sql(f"SELECT id AS event_id, {at} AS ts, id % 3 AS user_id, IF(id % 2 = 0, 'view', 'error') AS event_type, 1.5D AS value, '{{\"k\": 1}}' AS props FROM range(12)")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    read, plain = [], ingest.insert
+    monkeypatch.setattr(ingest, "insert", lambda batch, path: read.append(batch.inputFiles()) or plain(batch, path))
+    assert {tuple(r) for r in intake.k_insert(spark, str(tmp_path)).collect()} == {("view", 3), ("error", 3)}
+    assert len(read) == 2 and read[0] and set(read[0]) == set(read[1]) and not any("events.parquet" in f for f in read[0])

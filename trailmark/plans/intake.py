@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailmark.functions import parsing
-from trailmark.functions.cutting import new_path
+from trailmark.functions.cutting import cut, new_path
 from trailmark.operators import ingest
 from trailmark.sources import driver, vendors
 
@@ -126,9 +126,11 @@ def k_screen_counts(spark, sf_dir):
 
 @query("SELECT event_type AS event_name, count(*) AS n FROM (SELECT DISTINCT event_type, user_id, ts, value, props FROM events) GROUP BY event_type")
 def k_insert(spark, sf_dir):
-    """The store after the same events were inserted twice, the second time among more."""
+    """The store after the same events were inserted twice, the second time among more.
+
+    The canonical events are a table, so payloads are normalised once for both inserts."""
     path = new_path(spark, "store")
-    rows = ingest.accepted(ingest.normalise(payloads(spark, sf_dir, "raw"), "raw")).drop("source_id", "screen_id")
+    rows = cut(ingest.accepted(ingest.normalise(payloads(spark, sf_dir, "raw"), "raw")).drop("source_id", "screen_id"), "batch")
     ingest.insert(rows.where("event_name <> 'error'"), path)
     ingest.insert(rows, path)
     return spark.read.parquet(path).groupBy("event_name").agg(F.count("*").alias("n"))
