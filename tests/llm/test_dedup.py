@@ -235,3 +235,17 @@ def test_many_rows_without_doc_id(spark):
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep=True).collect()
     assert sorted(bytes(r.kept).decode() for r in got if r.doc_id is None) == sorted(f"{i}  {i * 7}" for i in range(3000))
     assert [(r.n_removed, r.n_spans) for r in got if r.doc_id == 2] == [(70, 1)]
+
+
+def listed(spark, monkeypatch, module, find, n_words):
+    """How many rows unrelated texts put into the lists that ``module`` scans."""
+    rng, seen, linked = random.Random(21), [], module.linked
+    monkeypatch.setattr(module, "linked", lambda lists, *rest: seen.append(lists.count()) or linked(lists, *rest))
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n_words)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=60))) for i in range(1500)], "doc_id long, text string")
+    assert all(r.component_id == r.doc_id for r in find(docs).collect())
+    return seen
+
+
+def test_unrelated_texts_share_no_table(spark, monkeypatch):
+    assert listed(spark, monkeypatch, simhash, simhash.similar, 3000) == [0]

@@ -13,13 +13,14 @@ within half the distance of each (two fingerprints at most 4 bits apart share a
 bits from both, and two that share one are at most 4 apart), which is a plain grouped minimum.
 
 ``similar`` and ``keep_one`` are for word shingles of a given Jaccard similarity (five words, 0.8
-by default). At 0.8 a tenth to a sixth of the bits differ, too many for 64 bits, so these take
-fingerprints of 256 bits over the distinct shingles; a table is a fixed choice of ``TABLE_BITS`` of
-them, and pairs that agree on all bits of one of ``TABLES`` tables meet. Pairs whose Hamming
-distance is one of that similarity are then verified on their whole sets of shingles, so no pair
-below the similarity is linked; of pairs at 0.8 itself some 93 in 100 meet (the tests measure it), of
-closer ones more. A key of a table is a list for ``shared.linked``, at any size. Take 24 bits and
-250 tables beyond 10**9 documents, where keys of 22 bits hold many unrelated fingerprints.
+by default). At 0.8 a tenth to a sixth of a fingerprint's bits differ, so tables keyed by its bits must be
+many and short, and unrelated texts meet in them in numbers that grow with the square of the corpus. These
+take fingerprints of 256 bits over the distinct shingles, and tables keyed by sampled shingles instead: each
+takes ``TABLE_BITS`` of a text's ``MINIMA`` min-wise hashes, which unrelated texts hardly ever share. Pairs
+that meet in one of ``TABLES`` tables are candidates if the Hamming distance of their fingerprints is one of that
+similarity; whole sets of shingles then decide, so no pair below the similarity is linked. Of pairs at 0.8 itself
+some 97 in 100 meet by the binomial estimate (the tests measure it), of closer ones more. A key of a table is a list for ``shared.linked``, at
+any size, and the tables are as many at any size.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; rows
 with a repeated doc_id are all returned; a null doc_id never becomes a component_id while the
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.shared import components, cut, ends, linked, open_lists
+from trailmark.llm.shared import components, cut, ends, linked, shared_lists
 
 SEED = 42
 SHINGLE = 4
@@ -48,11 +49,15 @@ HOT_BUCKET = 20_000
 SIMILARITY = 0.8
 WIDE_SHINGLE = 5
 WIDE_BITS = 256
-TABLES = 160
-TABLE_BITS = 22
+#: Min-wise hashes of a text; tables; and how many of the hashes each table takes.
+MINIMA = 40
+TABLES = 50
+TABLE_BITS = 8
 _CHUNK = 255 * 128
 _LANES = np.uint64(0x0101010101010101)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+#: Odd numbers: one for each min-wise hash.
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
@@ -91,7 +96,10 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 def wide_fingerprint(text: bytes | None, shingle: int = WIDE_SHINGLE, bits: int = WIDE_BITS) -> bytes:
     """Fingerprint of ``bits`` bits over the distinct shingles of one UTF-8 text."""
-    hashes = np.unique(shingle_hashes(text, shingle))
+    return _wide(np.unique(shingle_hashes(text, shingle)), bits)
+
+
+def _wide(hashes: np.ndarray, bits: int) -> bytes:
     if not len(hashes):
         return bytes(bits // 8)
     out = []
@@ -218,57 +226,66 @@ def distance_of(similarity: float, bits: int = WIDE_BITS) -> int:
     return round(bits * share + 2.5 * math.sqrt(bits * share * (1 - share)))
 
 
-def _wide_fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, bits: int) -> Iterator[pa.RecordBatch]:
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The min-wise hashes of a set of hashes; of none, zeros."""
+    out = np.zeros(MINIMA, np.uint64)
+    for i in range(0, len(hashes), _CHUNK):
+        low = (_FACTORS[:, None] * hashes[None, i : i + _CHUNK]).min(axis=1)
+        out = low if i == 0 else np.minimum(out, low)
+    return out
+
+
+def _keys(low: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """For each table one number of the minima that it takes."""
+    x = (low[chosen] * _FACTORS[: chosen.shape[1]]).sum(axis=1) + np.arange(1, len(chosen) + 1, dtype=np.uint64) * _MIX[0]
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    return (x ^ (x >> np.uint64(27))) * _MIX[2]
+
+
+def _wide_fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, bits: int, tables: int, of: int) -> Iterator[pa.RecordBatch]:
+    chosen = table_bits(tables, of)
     for batch in batches:
-        found = b"".join(wide_fingerprint(t.as_py(), shingle, bits) for t in batch.column(1))
-        words = np.frombuffer(found, np.int64).reshape(batch.num_rows, -1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, words.T)], ["doc_id", "h", *_words(bits)])
+        sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
+        words = np.frombuffer(b"".join(_wide(x, bits) for x in sets), np.int64).reshape(batch.num_rows, -1)
+        keys = pa.array([_keys(minima(x), chosen).view(np.int64) for x in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, words.T), keys], ["doc_id", "h", *_words(bits), "keys"])
 
 
 def _words(bits: int) -> list[str]:
     return [f"w{i}" for i in range(bits // 64)]
 
 
-def table_bits(tables: int = TABLES, of: int = TABLE_BITS, bits: int = WIDE_BITS) -> np.ndarray:
-    """The bits of each table: a fixed choice that takes all bits about equally often."""
+def table_bits(tables: int = TABLES, of: int = TABLE_BITS, minima: int = MINIMA) -> np.ndarray:
+    """The minima of each table: a fixed choice that takes all about equally often."""
     rng, deck, out = np.random.default_rng(SEED), [], []
     for _ in range(tables):
         if len(deck) < of:
-            deck = deck + [x for x in rng.permutation(bits).tolist() if x not in deck]
+            deck = deck + [x for x in rng.permutation(minima).tolist() if x not in deck]
         out.append(sorted(deck[:of]))
         deck = deck[of:]
     return np.array(out)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], tables: int, of: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """(token, node) for each table of each fingerprint: the table's number and its bits."""
-    chosen = table_bits(tables, of, bits)
-    weights = 1 << np.arange(of, dtype=np.int64)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            rows = np.column_stack([part.column(i).to_numpy() for i in range(1, part.num_columns)])
-            set_bits = np.unpackbits(np.ascontiguousarray(rows).view(np.uint8), axis=1, bitorder="little")
-            keys = np.stack([set_bits[:, c] @ weights for c in chosen], axis=1) + (np.arange(tables, dtype=np.int64) << of)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), tables))], ["token", "node"])
-
-
 def _tokens(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "tokens"])
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, tokens): the shingle hashes of each of ``nodes``, made again from the text of its
-    ``first`` document (doc_id and h, the text's hash).
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of each of ``nodes``, from its ``first`` document (doc_id and h, the text's hash).
 
     What is wanted is a table, so Spark knows its size and shuffles the texts only if it is large."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
     wanted = cut(nodes.select("node", F.col("first.doc_id").alias("of"), F.col("first.h").alias("of_h")), "wanted")
     chosen = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h"))).select("node", "text")
-    once = chosen.groupBy("node").agg(F.first("text").alias("text"))
-    return once.mapInArrow(lambda it: _tokens(it, shingle), "node long, tokens array<long>")
+    return chosen.groupBy("node").agg(F.first("text").alias("text"))
+
+
+def whole_sets(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(node, tokens): the shingle hashes of each node of ``pairs``, made again from its text."""
+    wanted = texts.join(cut(ends(pairs), "ends"), "node", "left_semi").select("node", "text")
+    return wanted.mapInArrow(lambda it: _tokens(it, shingle), "node long, tokens array<long>")
 
 
 def overlap_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -285,19 +302,22 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE
     the row of its component that stays."""
     distance, percent, words = distance_of(similarity), round(100 * similarity), _words(WIDE_BITS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("h"))
-    schema = "doc_id long, h long, " + ", ".join(f"{w} long" for w in words)
-    prints = cut(texts.mapInArrow(lambda it: _wide_fingerprints(it, shingle, WIDE_BITS), schema).withColumn("node", F.xxhash64(*words)), "wide-fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")
-    nodes = cut(prints.groupBy("node").agg(first, *[F.first(w).alias(w) for w in words]), "nodes")
-    keyed = nodes.select("node", *words).mapInArrow(lambda it: _keys(it, tables, of, WIDE_BITS), "token long, node long")
-    lists = cut(open_lists(keyed.withColumn("root", F.col("node"))).join(nodes.select("node", *words), "node"), "lists")
+    schema = "doc_id long, h long, " + ", ".join(f"{w} long" for w in words) + ", keys array<long>"
+    prints = cut(texts.mapInArrow(lambda it: _wide_fingerprints(it, shingle, WIDE_BITS, tables, of), schema).withColumn("node", F.xxhash64(*words)), "wide-fingerprints")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
+    first = F.min(order).alias("first")
+    nodes = cut(prints.groupBy("node").agg(first, *[F.first(w).alias(w) for w in words], F.min_by("keys", order).alias("keys")), "nodes")
+    listed = shared_lists(nodes.select("node", F.explode("keys").alias("token")))
+    lists = cut(listed.join(nodes.select("node", *words), "node"), "lists")
+    # The texts of all candidates are sought once, for every round.
+    held = cut(texts_of(docs, nodes.join(lists.select("node").distinct(), "node", "left_semi")), "texts")
 
     def fits():
         differ = [F.bit_count(F.col(w).bitwiseXOR(F.col(f"hub_{w}"))) for w in words]
         return sum(differ[1:], differ[0]) <= distance
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return overlap_links(pairs, cut(whole_sets(docs, nodes.join(ends(pairs), "node", "left_semi"), shingle), "sets"), percent)
+        return overlap_links(pairs, cut(whole_sets(held, pairs, shingle), "sets"), percent)
 
     roots = components(linked(lists, words, fits, verified))
     rows = prints.select("doc_id", "h", "node").join(roots, "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("root"))
@@ -313,9 +333,10 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     Rows without a doc_id go if their component has a numbered document, else one of them stays.
     """
     decided = similar(docs, **parameters).where("lead").groupBy(F.col("doc_id").alias("of"), F.col("h").alias("of_h")).agg(F.count("*").alias("n"))
-    decided = cut(decided, "stays")
+    # Two tables, so Spark knows that of the repeated rows to be small and needn't shuffle the texts again.
+    single, several = cut(decided.where("n = 1"), "stays"), cut(decided.where("n > 1"), "stays-once")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h"))
-    once = rows.join(decided.where("n = 1"), same, "left_semi")
-    repeated = rows.join(decided.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "h"])
+    once = rows.join(single, same, "left_semi")
+    repeated = rows.join(several, same, "left_semi").dropDuplicates(["doc_id", "h"])
     return once.unionByName(repeated).select("row.*")
