@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from trailmark.llm import shared, simhash, suffix_dedup
+from trailmark.llm import jaccard, shared, simhash, suffix_dedup
 
 DOCS = "doc_id long, text string, fp string"
 
@@ -249,3 +249,7 @@ def listed(spark, monkeypatch, module, find, n_words):
 
 def test_unrelated_texts_share_no_table(spark, monkeypatch):
     assert listed(spark, monkeypatch, simhash, simhash.similar, 3000) == [0]
+
+
+def test_unrelated_sets_share_no_list(spark, monkeypatch):
+    assert listed(spark, monkeypatch, jaccard, jaccard.near_copies, 60) == [0]  # most of their shingles are in several

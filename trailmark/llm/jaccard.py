@@ -8,16 +8,16 @@ for; two sets share such a subset just if they share c shingles, so nothing is v
 that share one, the smallest is linked with all that it may be linked with, and these are all that
 are linked at all: a larger set asks for more.
 
-*Heavy* sets scan inverted lists. Only a set's first n - ceil(percent n) + 1 shingles are listed, as two similar
-sets share one of these under any fixed order. The order takes shingles of the lowest ``SLICE`` of
-the hash range first, those of fewest sets foremost, so frequencies are counted for that
-slice only and frequent passages are listed only for sets that hold little else. Lists hold the
-light sets just below the boundary too.
+*Heavy* sets scan inverted lists, not of single shingles, which unrelated texts share in numbers that grow with
+the corpus, but of parts. The hashes of a set are dealt out to one part more than the shingles in which it can differ from a
+similar set, so two similar sets agree in a whole part, each of some eight shingles. Sizes fall into classes; a set
+is dealt out by the number of parts of its own class, and by that of the class below if it may be similar to a set there.
+An empty part is listed as any other, so no link is lost.
 
 Lists are scanned in rounds: a hub of each list is compared with the list's other sets and leaves it; a
 list whose sets lie in one component is done. Each round takes many times as many hubs, so a
 group of near copies needs one round and no pairs among its members, and none of its links between
-components is lost. Candidates must agree in their slices before whole sets are compared.
+components is lost. Parity bits are conditions of that join, whole sets decide.
 
 The boundary is the one of ``BOUNDARIES`` that costs least: subsets that light sets would emit,
 against rows that heavy ones put through the lists' shuffles, over the histogram of sizes.
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -39,39 +40,72 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from trailmark.llm.shared import components, cut, ends, linked, open_lists
-from trailmark.llm.simhash import overlap_links, shingle_hashes, whole_sets
+from trailmark.llm.shared import components, cut, linked, shared_lists
+from trailmark.llm.simhash import overlap_links, shingle_hashes, texts_of, whole_sets
 
 SHINGLE = 3
 PERCENT = 90
 BOUNDARIES = (0, 9, 19, 29, 39)
-SLICE = 0.25
+#: How much larger the sizes of a class are than those of the class below.
+GROWTH = 1.25
 #: Parity bits of a set, in words of 64.
 WORDS = 4
 _BITS = [f"b{i}" for i in range(WORDS)]
-#: Hashes are compared as signed numbers; the slice is their lowest part.
-_LOW = int(-(2**63) + SLICE * 2**64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+
+
+@cache
+def classes(most: int, percent: int) -> list[tuple[int, int]]:
+    """(first size, parts) of each class of sizes up to that of ``most``. Sets similar to one of a class
+    are in it or next to it, and differ from it in fewer shingles than it has parts."""
+    out, first, after = [], 1, 2
+    while first <= most:
+        partner = 100 * (after - 1) // percent  # the largest that is similar to one of the class
+        out.append((first, (after - 1 + partner) * (100 - percent) // (100 + percent) + 1))
+        first, after = after, max(after + 1, int(after * GROWTH), partner + 1)
+    return out
+
+
+def dealt(n: int, percent: int) -> list[tuple[int, int]]:
+    """(class, parts) of all classes that a set of n shingles is dealt out for."""
+    known = classes(1 << n.bit_length(), percent)
+    own = bisect([first for first, _ in known], n) - 1
+    below = own > 0 and -(-percent * n // 100) < known[own][0]
+    return [(k, known[k][1]) for k in ((own, own - 1) if below else (own,))]
+
+
+def part_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """One number for each part of a set of hashes."""
+    x = shingles.view(np.uint64)
+    halves = (x & np.uint64(0xFFFFFFFF)).astype(float), (x >> np.uint64(32)).astype(float)
+    out = []
+    for k, parts in dealt(len(x), percent):
+        at = (x % np.uint64(parts)).astype(np.int64)
+        low, high = (np.bincount(at, h, parts).astype(np.uint64) for h in halves)  # sums of halves are exact
+        key = (low + (high << np.uint64(32))) * _ODD + np.arange(k << 40, (k << 40) + parts, dtype=np.uint64) * _MIX
+        key = (key ^ (key >> np.uint64(31))) * _MIX
+        out.append(key ^ (key >> np.uint64(29)))
+    return np.concatenate(out).view(np.int64)
 
 
 def listed(n, percent: int):
-    """How many shingles of a set of n are listed."""
+    """The number of sizes of the subsets that a light set of n emits."""
     return n - -(-percent * n // 100) + 1
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, h, and of each text's set: node (its hash), n, the first shingles in the order of their hashes
-    (all of a set that may be light), how many of these are in the slice, and its parity bits."""
+    """doc_id, h, and of each text's set: node (its hash), n, its shingles if it may be light, its parity bits and
+    the keys of its parts."""
     for batch in batches:
         sets = [np.sort(np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64)) for t in batch.column(2)]
         nodes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets]
-        lows = [int(np.searchsorted(s, _LOW)) for s in sets]
-        heads = [s if len(s) <= BOUNDARIES[-1] else s[: max(low, listed(len(s), percent))] for s, low in zip(sets, lows, strict=True)]
+        heads = [s if len(s) <= BOUNDARIES[-1] else s[:0] for s in sets]
         parity = np.array([np.packbits(np.bincount(s & (64 * WORDS - 1), minlength=64 * WORDS) & 1, bitorder="little") for s in sets], np.uint8).reshape(len(sets), -1).view(np.int64)
-        own = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(lows, pa.int32()), pa.array(heads, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*own, *map(pa.array, parity.T)], ["doc_id", "h", "node", "n", "n_low", "head", *_BITS])
+        keys = [part_keys(s, percent) if len(s) else s for s in sets]
+        own = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*own, *map(pa.array, parity.T), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "node", "n", "head", *_BITS, "keys"])
 
 
 @cache
@@ -106,7 +140,7 @@ def boundary(nodes: DataFrame, percent: int = PERCENT) -> int:
 
     def cost(most: int) -> float:
         light = sum(m * n_subsets(n, percent) for n, m in counts.items() if n <= most)
-        return light + sum(m * 3 * (SLICE * n + listed(n, percent)) for n, m in counts.items() if n >= -(-percent * (most + 1) // 100))
+        return light + sum(m * 2 * sum(parts for _, parts in dealt(n, percent)) for n, m in counts.items() if n >= -(-percent * (most + 1) // 100))
 
     return min(BOUNDARIES, key=cost)
 
@@ -119,55 +153,38 @@ def light_links(nodes: DataFrame, most: int, percent: int = PERCENT) -> DataFram
     return keyed.join(hubs.select("key", "hub"), "key").where(near).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
 
 
-def inverted_lists(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(token, node, n, place): the listed shingles that more than one of the sets has."""
-    k = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    # Two numbers a row go through the shuffle by shingle, by far the largest; sizes join later.
-    low = nodes.select("node", F.explode(F.slice("head", F.lit(1), F.col("n_low"))).alias("token"))
-    often = low.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    sizes = nodes.select("node", "n", "n_low")
-    by_node = W.partitionBy("node")
-    place = F.row_number().over(by_node.orderBy("df", "token")) + F.col("n_low") - F.count("*").over(by_node)  # after those of this set alone
-    rare = low.join(often, "token").join(sizes, "node").withColumn("place", place).where(F.col("place") <= k)
-    # Beyond the slice the order is that of the hashes, and so is the place.
-    rest = nodes.select("node", "n", "n_low", F.posexplode("head").alias("at", "token")).where((F.col("at") >= F.col("n_low")) & (F.col("at") < k)).withColumn("place", F.col("at") + 1)
-    return rare.select("token", "node", "n", "place").unionByName(rest.select("token", "node", "n", "place"))
+def inverted_lists(nodes: DataFrame) -> DataFrame:
+    """(token, node, root): the parts that more than one of the sets has."""
+    return shared_lists(nodes.select("node", F.explode("keys").alias("token")))
 
 
 def heavy_links(docs: DataFrame, nodes: DataFrame, known: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b), with those in ``known``, that connect all similar sets of ``nodes``."""
-    lists = open_lists(inverted_lists(nodes, percent).withColumn("root", F.col("node")))
-    lists = cut(lists.join(nodes.select("node", *_BITS), "node"), "lists")
+    lists = cut(inverted_lists(nodes).join(nodes.select("node", "n", *_BITS), "node"), "lists")
+    # The texts of all candidates are sought once, for every round.
+    held = cut(texts_of(docs, nodes.join(lists.select("node").distinct(), "node", "left_semi")), "texts")
     spread = 100 - percent, 100 + percent
 
     def fits():
         both = F.col("n") + F.col("hub_n")
         needed = F.ceil(percent * both / spread[1])  # shingles that both must have
-        early = (F.col("place") <= F.col("n") - needed + 1) & (F.col("hub_place") <= F.col("hub_n") - needed + 1)
         differ = [F.bit_count(F.col(b).bitwiseXOR(F.col(f"hub_{b}"))) for b in _BITS]
-        return (needed <= F.least("n", "hub_n")) & early & (sum(differ[1:], differ[0]) * spread[1] <= both * spread[0])
+        return (needed <= F.least("n", "hub_n")) & (sum(differ[1:], differ[0]) * spread[1] <= both * spread[0])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        slices = nodes.select("node", "n", F.slice("head", F.lit(1), F.col("n_low")).alias("slice"))
-        slices = cut(slices.join(ends(pairs), "node", "left_semi"), "slices")
-        a, b = (slices.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("slice").alias(f"slice_{x}")) for x in "ab")
-        differ = F.size("slice_a") + F.size("slice_b") - 2 * F.size(F.array_intersect("slice_a", "slice_b"))
-        likely = pairs.join(a, "a").join(b, "b").where(differ * spread[1] <= (F.col("n_a") + F.col("n_b")) * spread[0])
-        likely = cut(likely.select("a", "b"), "likely")
-        # Whole sets are made for these pairs only, from the texts.
-        return overlap_links(likely, cut(whole_sets(docs, nodes.join(ends(likely), "node", "left_semi"), shingle), "sets"), percent)
+        return overlap_links(pairs, cut(whole_sets(held, pairs, shingle), "sets"), percent)
 
-    return linked(lists, ["n", "place", *_BITS], fits, verified, known)
+    return linked(lists, ["n", *_BITS], fits, verified, known)
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, the smallest doc_id that links
     of a Jaccard similarity of ``percent`` or more reach, itself included."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
-    sets = cut(rows.mapInArrow(lambda it: _sets(it, shingle, percent), "doc_id long, h long, node long, n long, n_low int, head array<long>, " + ", ".join(f"{b} long" for b in _BITS)), "shingles")
+    sets = cut(rows.mapInArrow(lambda it: _sets(it, shingle, percent), "doc_id long, h long, node long, n long, head array<long>, " + ", ".join(f"{b} long" for b in _BITS) + ", keys array<long>"), "shingles")
     # Of the rows of a set the one with the smallest doc_id, of those with none the smallest hash.
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")
-    nodes = cut(sets.where("n > 0").groupBy("node", "n").agg(first, F.first("n_low").alias("n_low"), F.first("head").alias("head"), *[F.first(b).alias(b) for b in _BITS]), "nodes")
+    nodes = cut(sets.where("n > 0").groupBy("node", "n").agg(first, F.first("head").alias("head"), F.first("keys").alias("keys"), *[F.first(b).alias(b) for b in _BITS]), "nodes")
     most = boundary(nodes, percent)
     light = cut(light_links(nodes, most, percent), "light-links")
     heavy = nodes.where(F.col("n") >= -(-percent * (most + 1) // 100))
