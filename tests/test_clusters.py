@@ -241,3 +241,12 @@ def test_entry_points(spark):
     assert set(sql) <= set(queries) and len(queries) > 100
     rows = entry.entry(spark)
     assert {"path", "n_sessions", "share"} <= set(rows.columns) and rows.count() > 0
+
+
+def test_findings_cut_sessions_once_for_each_table(spark, monkeypatch):
+    from trailmark.plans import journeys, testing
+
+    made, steps = [], journeys.steps
+    monkeypatch.setattr(journeys, "steps", lambda *args: made.append(args) or steps(*args))
+    assert testing.findings(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(made) == 3

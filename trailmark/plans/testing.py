@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trailmark.functions.cutting import cut
 from trailmark.operators import coverage, gaps, graph, variants
 from trailmark.plans import journeys
 from trailmark.plans.journeys import EV, ctes
@@ -34,9 +35,13 @@ def refs(spark, sf_dir):
     return steps.select("app_id", F.col("trace_id").alias("test_id"), "screen_id", confidence.alias("confidence"), F.col("step_no").alias("line"), F.lit(0).alias("ord"))
 
 
-def tests(spark, sf_dir):
+def tests_of(reference):
     language = F.when(F.hash("test_id") % 2 == 0, "java").otherwise("python")
-    return refs(spark, sf_dir).select("app_id", "test_id").distinct().withColumn("language", language)
+    return reference.select("app_id", "test_id").distinct().withColumn("language", language)
+
+
+def tests(spark, sf_dir):
+    return tests_of(refs(spark, sf_dir))
 
 
 def tested(spark, sf_dir):
@@ -47,12 +52,15 @@ def edges(spark, sf_dir):
     return graph.edges(journeys.traces(spark, sf_dir, "2.0"))
 
 
-def busy_edges(spark, sf_dir):
+def busy(prod):
     """Edges of at least average weight."""
-    prod = edges(spark, sf_dir)
     return prod.join(prod.groupBy("app_id").agg(F.avg("weight").alias("mean")), "app_id").where("weight >= mean")
 
 
+def busy_edges(spark, sf_dir):
+    return busy(edges(spark, sf_dir))
+
+
 def golden(spark, sf_dir):
     """Variants of the second half as journeys, scored by their sessions."""
     rows = variants.variants(journeys.traces(spark, sf_dir, "2.0"))
@@ -123,19 +131,26 @@ UNION ALL SELECT 'assertion_gap', 'medium', test_id, 0 FROM refs GROUP BY test_i
 UNION ALL SELECT 'unmapped_test', 'medium', n || ' tests', 0 FROM (SELECT count(DISTINCT test_id) AS n FROM refs WHERE test_id NOT IN (SELECT test_id FROM tp)) WHERE n > 0)"""
 
 
-def findings(spark, sf_dir):
-    reference, walked, prod = refs(spark, sf_dir), tested(spark, sf_dir), edges(spark, sf_dir)
-    paths, goals = coverage.test_paths(reference), golden(spark, sf_dir)
+def suite_tables(spark, sf_dir):
+    """(refs, tested, edges, golden) as tables, so that the events aren't shuffled anew by each that reads them."""
+    reference = cut(refs(spark, sf_dir), "refs")
+    walked = cut(coverage.tested_transitions(coverage.test_paths(reference)), "tested")
+    return reference, walked, cut(edges(spark, sf_dir), "edges"), cut(golden(spark, sf_dir), "golden")
+
+
+def findings(spark, sf_dir, suite=None):
+    """All findings; ``suite`` as of ``suite_tables``."""
+    reference, walked, prod, goals = suite or suite_tables(spark, sf_dir)
+    paths = coverage.test_paths(reference)
     covered = coverage.journey_coverage(goals, walked)
     asserted = reference.where("line = 0").select("app_id", "test_id", "screen_id")
-    busy = busy_edges(spark, sf_dir)
     parts = [
         gaps.journey_gaps(goals, covered, CRITICAL),
         gaps.transition_gaps(coverage.transition_coverage(prod, walked), covered, CRITICAL),
-        gaps.dead_tests(gaps.reachability(walked, busy), PATTERNS),
+        gaps.dead_tests(gaps.reachability(walked, busy(prod)), PATTERNS),
         gaps.over_tested(goals, walked),
         gaps.assertion_gaps(coverage.test_facts(reference, asserted), CRITICAL),
-        gaps.unmapped(tests(spark, sf_dir), paths),
+        gaps.unmapped(tests_of(reference), paths),
     ]
     out = parts[0]
     for p in parts[1:]:
