@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from trailmark.llm import jaccard, shared, simhash, suffix_dedup
 
@@ -253,3 +254,19 @@ def test_unrelated_texts_share_no_table(spark, monkeypatch):
 
 def test_unrelated_sets_share_no_list(spark, monkeypatch):
     assert listed(spark, monkeypatch, jaccard, jaccard.near_copies, 60) == [0]  # most of their shingles are in several
+
+
+def test_two_nodes_of_many_lists_meet_once(spark, monkeypatch):
+    rows, seen, meetings = [], [], shared.meetings
+    monkeypatch.setattr(shared, "meetings", lambda *of: seen.append(meetings(*of).count()) or meetings(*of))
+    monkeypatch.setattr(shared, "KNOWN_LISTS", 8)
+    sets = {node: {t for t in range(90) if (node * 7 + t * t) % 3} for node in range(40)}
+    lists = spark.createDataFrame([(t, node) for node, ts in sets.items() for t in ts], "token long, node long").withColumn("root", F.col("node"))
+
+    def none_similar(pairs):
+        rows.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.where("FALSE")
+
+    assert shared.linked(lists, [], lambda: F.lit(True), none_similar).collect() == []
+    assert sorted(rows) == [(a, b) for a in range(40) for b in range(a + 1, 40) if sets[a] & sets[b]]
+    assert sum(seen) == len(rows)

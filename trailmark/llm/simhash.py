@@ -18,7 +18,8 @@ many and short, and unrelated texts meet in them in numbers that grow with the s
 take fingerprints of 256 bits over the distinct shingles, and tables keyed by sampled shingles instead: each
 takes ``TABLE_BITS`` of a text's ``MINIMA`` min-wise hashes, which unrelated texts hardly ever share. Pairs
 that meet in one of ``TABLES`` tables are candidates if the Hamming distance of their fingerprints is one of that
-similarity; whole sets of shingles then decide, so no pair below the similarity is linked. Of pairs at 0.8 itself
+similarity; texts that a first comparison leaves open take 2048 bits, as do those near to many texts that are not quite
+similar. Whole sets of shingles then decide, so no pair below the similarity is linked. Of pairs at 0.8 itself
 some 97 in 100 meet by the binomial estimate (the tests measure it), of closer ones more. A key of a table is a list for ``shared.linked``, at
 any size, and the tables are as many at any size.
 
@@ -49,6 +50,8 @@ HOT_BUCKET = 20_000
 SIMILARITY = 0.8
 WIDE_SHINGLE = 5
 WIDE_BITS = 256
+#: Bits of the fingerprints of texts that stay open after their first comparison.
+FINE_BITS = 2048
 #: Min-wise hashes of a text; tables; and how many of the hashes each table takes.
 MINIMA = 40
 TABLES = 50
@@ -219,11 +222,11 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def distance_of(similarity: float, bits: int = WIDE_BITS) -> int:
+def distance_of(similarity: float, bits: int = WIDE_BITS, deviations: float = 2.5) -> int:
     """Bits that fingerprints of shingle sets with this Jaccard similarity differ in, on the average
-    and two and a half standard deviations more."""
+    and two and a half (or so many) standard deviations more."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + 2.5 * math.sqrt(bits * share * (1 - share)))
+    return round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -272,6 +275,12 @@ def _tokens(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "tokens"])
 
 
+def _fine(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = np.frombuffer(b"".join(wide_fingerprint(t.as_py(), shingle, FINE_BITS) for t in batch.column(1)), np.int64).reshape(batch.num_rows, -1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, words.T)], ["node", *_words(FINE_BITS)])
+
+
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of each of ``nodes``, from its ``first`` document (doc_id and h, the text's hash).
 
@@ -312,14 +321,20 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE
     # The texts of all candidates are sought once, for every round.
     held = cut(texts_of(docs, nodes.join(lists.select("node").distinct(), "node", "left_semi")), "texts")
 
-    def fits():
+    def fits(words=words, distance=distance):
         differ = [F.bit_count(F.col(w).bitwiseXOR(F.col(f"hub_{w}"))) for w in words]
         return sum(differ[1:], differ[0]) <= distance
 
+    def finer(nodes: DataFrame):
+        """Longer fingerprints, so pairs that are not quite similar are few."""
+        fine = _words(FINE_BITS)
+        found = held.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(lambda it: _fine(it, shingle), "node long, " + ", ".join(f"{w} long" for w in fine))
+        return found, fine, lambda: fits(fine, distance_of(similarity, FINE_BITS, 3))
+
     def verified(pairs: DataFrame) -> DataFrame:
         return overlap_links(pairs, cut(whole_sets(held, pairs, shingle), "sets"), percent)
 
-    roots = components(linked(lists, words, fits, verified))
+    roots = components(linked(lists, words, fits, verified, None, finer))
     rows = prints.select("doc_id", "h", "node").join(roots, "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("root"))
     # The smallest doc_id of a component; without any, the smallest hash of a text.
     best = cut(rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), first), "wide-lowest")
