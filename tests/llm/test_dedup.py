@@ -270,3 +270,14 @@ def test_two_nodes_of_many_lists_meet_once(spark, monkeypatch):
     assert shared.linked(lists, [], lambda: F.lit(True), none_similar).collect() == []
     assert sorted(rows) == [(a, b) for a in range(40) for b in range(a + 1, 40) if sets[a] & sets[b]]
     assert sum(seen) == len(rows)
+
+
+def test_tags_only_where_doc_ids_repeat(spark, monkeypatch):
+    seen, cut_of = [], suffix_dedup.cut
+    monkeypatch.setattr(suffix_dedup, "cut", lambda df, name: seen.append(df.agg(F.max(F.shiftright("place", 32))).first()[0]) or cut_of(df, name))
+    rows = [(1, "abcdefghij" * 9), (2, "x" + "abcdefghij" * 9), (3, "other " * 20)]
+    for more in ([], [(2, "y" + "abcdefghij" * 9)]):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+        got = suffix_dedup.remove_repeats(docs).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got) == brute_removal(rows + more)
+    assert seen[0] == 0 < seen[1]

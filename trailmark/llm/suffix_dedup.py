@@ -24,7 +24,7 @@ they are first dealt out by content, such that equal strings always meet:
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; strings never
 cross documents and are judged on the input; repeated rows with the same doc_id don't remove
-each other (their texts are told apart by 31 bits of a hash), nor do rows without a doc_id, which
+each other (their texts are told apart by 31 bits of a hash, a tag that is zero in tables without such rows), nor do rows without a doc_id, which
 counts as larger than every number (93 bits); a doc_id of 2**62 or more raises; empty tables give
 empty results; other columns are ignored.
 """
@@ -52,6 +52,8 @@ HOT_ANCHOR = 512
 _NO_ID = 1 << 62
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 _COLD, _HOT = 2, 3
+#: Anchors are 40 bits, low bytes zero, which take less room in the shuffle; two that collide are one group.
+_ANCHOR_BITS = ~0xFFFFFF
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -214,7 +216,7 @@ def _anchor(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             continue
         doc, tag = np.array(docs, np.int64)[owner], np.array(tags, np.int64)[owner]
         what = ((digest >> np.uint64(7)) << np.uint64(6) | n.astype(np.uint64)).view(np.int64)
-        anchor, place = anchor.view(np.int64), tag << 32 | start
+        anchor, place = (anchor * _M1).view(np.int64) & _ANCHOR_BITS, tag << 32 | start
         order = np.lexsort((doc, what, anchor))
         decided = np.zeros(len(order), bool)
         decided[order] = _named_factors(anchor[order], what[order], np.minimum(doc, _NO_ID)[order], length) >= length
@@ -224,7 +226,7 @@ def _anchor(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             first = np.append(True, (own[1:] != own[:-1]) | (s[1:] != e[:-1]))
             last = np.append(first[1:], True)
             doc, place = doc[decided][first], place[decided][first]
-            yield _batch(_SEGMENT, _salt(doc, place), (e[last] - s[first]) << 6, doc, place)
+            yield _batch(_SEGMENT, _salt(doc, place) & _ANCHOR_BITS, (e[last] - s[first]) << 6, doc, place)
 
 
 def _meet(batches: Iterator[pa.RecordBatch], hot_anchor: int, length: int) -> Iterator[pa.RecordBatch]:
@@ -471,10 +473,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_anchor: int = HOT_
     if length < GRAM + 16:
         raise ValueError(f"length must be at least {GRAM + 16}")
     text, doc_id = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
+    # Without repeated doc_ids no text needs a tag, and zeros take no room in the shuffles of segments. A literal
+    # zero would be folded out of the keys of one join, and the joins would no longer share an exchange.
+    repeated = not docs.groupBy(doc_id).count().where("count > 1").isEmpty()
+    tag = F.xxhash64(text).bitwiseAND(0x7FFFFFFF if repeated else 0)
     no_id = F.xxhash64(F.lit("no id"), text).bitwiseAND(_NO_ID - 1).bitwiseOR(F.lit(_NO_ID))
     texts = docs.select(
         F.coalesce(F.when(doc_id >= _NO_ID, F.raise_error(F.lit("a doc_id of 2**62 or more")).cast("long")), doc_id, no_id).alias("doc"),  # never null, so both joins share an exchange
-        F.xxhash64(text).bitwiseAND(0x7FFFFFFF).alias("tag"),
+        tag.alias("tag"),
         text.cast("binary").alias("text"),
     )
     dealt = texts.mapInArrow(lambda it: _anchor(it, length), _ddl(_SEGMENT)).repartition("anchor").sortWithinPartitions("anchor", "what", "doc")
