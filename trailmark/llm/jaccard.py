@@ -174,7 +174,7 @@ def heavy_links(docs: DataFrame, nodes: DataFrame, known: DataFrame, shingle: in
     def verified(pairs: DataFrame) -> DataFrame:
         return overlap_links(pairs, cut(whole_sets(held, pairs, shingle), "sets"), percent)
 
-    return linked(lists, ["n", *_BITS], fits, verified, known)
+    return linked(lists, ["n", *_BITS], fits, verified, known, None, False)
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -284,10 +284,10 @@ def _fine(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of each of ``nodes``, from its ``first`` document (doc_id and h, the text's hash).
 
-    What is wanted is a table, so Spark knows its size and shuffles the texts only if it is large."""
+    What is wanted is the smaller side at any size, so it is hashed and the texts aren't sorted."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
     wanted = cut(nodes.select("node", F.col("first.doc_id").alias("of"), F.col("first.h").alias("of_h")), "wanted")
-    chosen = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h"))).select("node", "text")
+    chosen = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h"))).select("node", "text")
     return chosen.groupBy("node").agg(F.first("text").alias("text"))
 
 
