@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -194,6 +195,42 @@ def test_removal_equals_brute_force(spark, hot_anchor, batch):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got) == brute_removal(rows)
 
 
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_anchors_of_more_segments_than_are_held(spark, batch):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    base, rows = [text(n) for n in (30, 45, 60, 90)], []
+    for i in range(120):
+        rows.append((i, text(rng.randint(0, 20)) + rng.choice(base) + rng.choice("xyz") * rng.randint(1, 20) + rng.choice(base) + text(rng.randint(0, 20))))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for hot, held in ((2, 5), (2, 1000), (10, 40)):
+            got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot_anchor=hot, most_held=held).collect()
+            assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got) == brute_removal(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_worker_holds_few_strings_at_once():
+    """Hot segments of many texts in one Arrow batch come out in batches of bounded size."""
+    n, text = 3000, bytes(random.Random(9).choices(b"abcdefgh ", k=180))
+    marks = [[{"kind": 3, "anchor": 0, "place": p, "n": 60} for p in (0, 60)]] * n
+    columns = [pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()), pa.array([text] * n, pa.binary()), pa.array(marks, pa.list_(pa.struct([("kind", pa.int8()), ("anchor", pa.int64()), ("place", pa.int64()), ("n", pa.int32())])))]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc", "tag", "text", "marks"])
+    rows = [b.num_rows for b in suffix_dedup._cut_strings(iter([batch]), 50)]
+    assert sum(rows) == 120 * n and max(rows) < 70_000
+
+
+def test_segments_that_share_only_their_anchor_are_not_cut(spark, monkeypatch):
+    rng, seen, cut_of = random.Random(10), [], suffix_dedup.cut
+    monkeypatch.setattr(suffix_dedup, "cut", lambda df, name: seen.append(df.where("kind > 1").count()) or cut_of(df, name))
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common = [text(20) for _ in range(20)]
+    rows = [(i, "".join(text(40) + c for c in common)) for i in range(20)]
+    assert {r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+    assert seen[0] < 60  # by chance
+
+
 def test_other_lengths(spark):
     rows = [(1, "abcdefghij" * 9), (2, "x" + "abcdefghij" * 9), (3, "abcdefghij" * 4)]
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=40, keep=False).collect()

@@ -9,19 +9,25 @@ they are first dealt out by content, such that equal strings always meet:
 
 1. *Anchors.* The smallest hash among the short grams of a string is its anchor; equal strings
    have equal anchors. Neighbouring strings mostly share one, so a text becomes a list of
-   segments (anchor, name, place), one for about 18 bytes. The name is a digest of the segment's
+   segments (anchor, sides, name, place), one for about 20 bytes. The name is a digest of the segment's
    bytes: equal names are neighbours in the order of the group, with the whole segment as common
    prefix. Each batch of texts has such an order of its own, and segments that it decides travel
    on under a key of their own, so a passage that a third of all documents share leaves a task
    under its anchor only once a batch.
 2. *Named segments* meet under their anchor, are ordered by name, and their LPFs decide.
-3. *Different segments of one anchor* (the rims of passages and of edits) are cut from their
+3. *Different segments of one anchor* (the rims of passages and of edits) can only share a string
+   if some 20 bytes before the anchor's gram, or after it, are equal; 12 bits of each are the
+   segment's sides. Those that are equal on a side are cut from their
    texts, and the suffixes that start in them are put in suffix order byte by byte, but for those
    whose first ``length`` bytes have a digest that no other document of the group has. The common
-   prefixes of neighbours give the LPFs. Segments of hot anchors are cut into single strings,
+   prefixes of neighbours give the LPFs. Segments of hot sides are cut into single strings,
    which are dealt out by their own digests.
 4. Covered places are merged for each document and cut from its bytes.
 
+Whatever a task reads, its Python worker holds a few megabytes of texts, segments or strings (and a
+whole text, if that is longer) beside the current Arrow batch. The shuffle of segments is dropped as
+soon as their marks are a table.
+
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; strings never
 cross documents and are judged on the input; repeated rows with the same doc_id don't remove
 each other (their texts are told apart by 31 bits of a hash, a tag that is zero in tables without such rows), nor do rows without a doc_id, which
@@ -33,27 +39,38 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm.shared import cut
 
 LENGTH = 50
-GRAM = 16
+GRAM = 12
 LONGEST_RUN = 63
 BATCH_BYTES = 4 << 20
 PIECE_BYTES = 1 << 18
-HOT_ANCHOR = 512
+HOT_ANCHOR = 2048
+#: So many different segments of an anchor are gathered to find its hot sides; of more, all strings are hot.
+MOST_HELD = 1 << 14
+#: Rows that are Python objects at once, and single strings.
+_ROWS, _STRINGS = 256, 1 << 16
+#: Rows whose suffixes are put in order at once, with what is held of the last route.
+_ORDERED = 2048
 #: Document numbers from here on are rows without a doc_id; none is smaller than another.
 _NO_ID = 1 << 62
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 _COLD, _HOT = 2, 3
-#: Anchors are 40 bits, low bytes zero, which take less room in the shuffle; two that collide are one group.
+#: Anchors are 40 bits, which take less room in the shuffle; two that collide are one group. Below them are the
+#: sides of a segment: 12 bits of what precedes its anchor's gram and 12 of what follows it, zero where no string of
+#: the segment reaches that far. Segments in which the gram is repeated have no sides, all 24 bits are one.
 _ANCHOR_BITS = ~0xFFFFFF
+_SIDE_BITS = 12
+_NO_SIDES = 0xFFFFFF
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -61,7 +78,7 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     wide = data.astype(np.uint64)
     for size in (1, 2, 4):
         wide = wide[:-size] | (wide[size:] << np.uint64(8 * size))
-    x = (wide[:-8] * _M1) ^ (wide[8:] * _M2)
+    x = (wide[: 8 - GRAM] * _M1) ^ (wide[GRAM - 8 :] * _M2)
     x ^= x >> np.uint64(32)
     x *= _M3
     return x ^ (x >> np.uint64(29))
@@ -78,13 +95,14 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def segments(data: bytes, bounds: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Segments of the documents that ``bounds`` (n + 1 offsets) cut ``data`` into.
 
-    Returns anchor, digest, document index, start in the data, number of strings; a segment with
-    n strings covers n + length - 1 bytes.
+    Returns anchor, digest, document index, start in the data, number of strings, sides; a segment
+    with n strings covers n + length - 1 bytes.
     """
     empty = np.zeros(0, np.int64)
     if len(data) < length:
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
-    anchors = _sliding_min(_gram_hashes(np.frombuffer(data, np.uint8)), length - GRAM + 1)
+        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty, empty
+    hashes = _gram_hashes(np.frombuffer(data, np.uint8))
+    anchors = _sliding_min(hashes, length - GRAM + 1)
     inside = np.zeros(len(anchors) + 1, bool)
     rise = np.zeros(len(anchors) + 1, np.int32)
     has = np.diff(bounds) >= length
@@ -106,7 +124,28 @@ def segments(data: bytes, bounds: np.ndarray, length: int = LENGTH) -> tuple[np.
     digest = xxhash.xxh64_intdigest
     digests = np.fromiter((digest(data[s:e]) for s, e in zip(starts.tolist(), (ends + (length - 1)).tolist(), strict=True)), np.uint64, len(starts))
     owner = np.searchsorted(bounds, starts, side="right") - 1
-    return anchors[starts], digests, owner, starts, ends - starts
+    return anchors[starts], digests, owner, starts, ends - starts, _sides(hashes, anchors[starts], starts, ends, length)
+
+
+def _sides(hashes: np.ndarray, anchor: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """What segments have beside the first gram that is their anchor.
+
+    Each string holds that gram and, by its place in the string, ``reach`` bytes before it or as
+    many after it (or more). So two segments of an anchor that have a string in common are equal
+    there before, or after.
+    """
+    span = length - GRAM
+    reach, out = span // 2, np.empty(len(starts), np.int64)
+    for i in range(0, len(starts), 1 << 13):
+        s, e, a = (x[i : i + (1 << 13)] for x in (starts, ends, anchor))
+        gram = s + (hashes[s[:, None] + np.arange(span + 1)] == a[:, None]).argmax(axis=1)
+        sides = []
+        for there, way in ((gram - s >= reach, -1), (gram - (e - 1) < reach, 1)):
+            far, near = (hashes[np.clip(gram + way * by, 0, len(hashes) - 1)] for by in (reach, min(reach, GRAM)))
+            x = ((far * _M2) ^ near) * _M3 >> np.uint64(64 - _SIDE_BITS)
+            sides.append(np.where(there, np.clip(x.astype(np.int64), 1, (1 << _SIDE_BITS) - 2), 0))
+        out[i : i + (1 << 13)] = np.where(gram < e - 1, _NO_SIDES, sides[0] << _SIDE_BITS | sides[1])
+    return out
 
 
 _SEGMENT = pa.schema([("anchor", pa.int64()), ("what", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
@@ -177,10 +216,17 @@ def _salt(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """(doc, tag, text) lists of about ``most`` bytes."""
     docs, tags, texts, size = [], [], [], 0
-    for batch in batches:
+    for batch in _slices(batches, _ROWS):
         for doc, tag, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             docs.append(doc)
             tags.append(tag)
@@ -208,10 +254,10 @@ def _anchor(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                 size += len(texts[upto])
                 upto += 1
             bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts[at:upto]])))
-            anchor, digest, owner, start, n = segments(b"".join(texts[at:upto]), bounds, length)
-            found.append((anchor, digest, owner + at, start - bounds[owner], n))
+            anchor, digest, owner, start, n, sides = segments(b"".join(texts[at:upto]), bounds, length)
+            found.append((anchor, digest, owner + at, start - bounds[owner], n, sides))
             at = upto
-        anchor, digest, owner, start, n = (np.concatenate(c) for c in zip(*found, strict=True))
+        anchor, digest, owner, start, n, sides = (np.concatenate(c) for c in zip(*found, strict=True))
         if not len(anchor):
             continue
         doc, tag = np.array(docs, np.int64)[owner], np.array(tags, np.int64)[owner]
@@ -220,7 +266,7 @@ def _anchor(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         order = np.lexsort((doc, what, anchor))
         decided = np.zeros(len(order), bool)
         decided[order] = _named_factors(anchor[order], what[order], np.minimum(doc, _NO_ID)[order], length) >= length
-        yield _batch(_SEGMENT, anchor[~decided], what[~decided], doc[~decided], place[~decided])
+        yield _batch(_SEGMENT, (anchor | sides)[~decided], what[~decided], doc[~decided], place[~decided])
         if decided.any():
             own, s, e = owner[decided], start[decided], (start + n)[decided]
             first = np.append(True, (own[1:] != own[:-1]) | (s[1:] != e[:-1]))
@@ -229,29 +275,45 @@ def _anchor(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             yield _batch(_SEGMENT, _salt(doc, place) & _ANCHOR_BITS, (e[last] - s[first]) << 6, doc, place)
 
 
-def _meet(batches: Iterator[pa.RecordBatch], hot_anchor: int, length: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor, what, doc. Marks: covered segments (kind 1), and of anchors with
-    different segments those of the smallest documents (2, or 3 for hot anchors)."""
+def _meet(batches: Iterator[pa.RecordBatch], hot_anchor: int, most_held: int, length: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor, what, doc. Marks: covered segments (kind 1), and those of the smallest documents that
+    are different from another of the anchor but equal on a side (2 under that side's key, or 3 if it is hot)."""
 
-    def split(anchor, what, doc, place):
+    def split(anchor, what, doc, place, sides):
         """Covered rows, then rows that represent a segment."""
         rep = _named_factors(anchor, what, np.minimum(doc, _NO_ID), length) < length
         covered = _batch(_MARK, np.full((~rep).sum(), 1), anchor[~rep], doc[~rep], place[~rep], what[~rep] & 63)
-        return covered, tuple(c[rep] for c in (anchor, what, doc, place))
-
-    def mixed(anchor, what, doc, place, hot_at):
-        new = _starts(anchor)
-        group = np.cumsum(new) - 1
-        kinds = np.bincount(group, _starts(anchor, what))
-        at = np.flatnonzero(new)
-        rank = np.minimum(doc, _NO_ID)
-        several = (kinds > 1) & (np.minimum.reduceat(rank, at) < np.maximum.reduceat(rank, at))
-        hot = kinds > hot_anchor
-        if hot_at is not None:
-            several |= anchor[at] == hot_at
-            hot |= anchor[at] == hot_at
-        use = several[group]
-        return _batch(_MARK, np.where(hot[group], _HOT, _COLD)[use], anchor[use], doc[use], place[use], what[use] & 63)
+        return covered, tuple(c[rep] for c in (anchor, what, doc, place, sides))
+
+    def several(key, what, doc):
+        """Of rows sorted by key and what: those of keys with different segments of different documents, and those
+        of hot keys."""
+        new = _starts(key)
+        group, at = np.cumsum(new) - 1, np.flatnonzero(new)
+        kinds, rank = np.bincount(group, _starts(key, what)), np.minimum(doc, _NO_ID)
+        use = (kinds > 1) & (np.minimum.reduceat(rank, at) < np.maximum.reduceat(rank, at))
+        return use[group], (kinds > hot_anchor)[group]
+
+    def mixed(anchor, what, doc, place, sides, hot_at):
+        out, new = [], _starts(anchor)
+        use, hot = several(anchor, what, doc)
+        here = anchor == hot_at if hot_at is not None else np.zeros(len(anchor), bool)
+        alike = np.logical_or.reduceat(sides == _NO_SIDES, np.flatnonzero(new))[np.cumsum(new) - 1] | here
+        use, hot = use | here, hot | here
+        out.append((np.where(hot, _HOT, _COLD), anchor, np.arange(len(anchor)), use & alike))
+        apart, any_hot = np.flatnonzero(use & ~alike), np.zeros(len(anchor), bool)
+        for side, low in enumerate((_SIDE_BITS, 0)):
+            rows = apart[(sides[apart] >> low) & ((1 << _SIDE_BITS) - 1) > 0]
+            if len(rows):
+                key = _salt(anchor[rows], ((sides[rows] >> low) & ((1 << _SIDE_BITS) - 1)) << 1 | side) & _ANCHOR_BITS
+                order = np.lexsort((what[rows], key))
+                key, rows = key[order], rows[order]
+                use, hot = several(key, what[rows], doc[rows])
+                any_hot[rows[use & hot]] = True
+                out.append((np.full(len(rows), _COLD), key, rows, use & ~hot))
+        out.append((np.full(len(anchor), _HOT), anchor, np.arange(len(anchor)), any_hot))
+        kind, key, rows = (np.concatenate([o[i][o[3]] for o in out]) for i in range(3))
+        return _batch(_MARK, kind, key, doc[rows], place[rows], what[rows] & 63)
 
     held, hot_at, sent = None, None, 0
     for batch in batches:
@@ -263,6 +325,7 @@ def _meet(batches: Iterator[pa.RecordBatch], hot_anchor: int, length: int) -> It
             rows = [c[~decided] for c in rows]
         if not len(rows[0]):
             continue
+        rows = [rows[0] & _ANCHOR_BITS, *rows[1:], rows[0] & ~_ANCHOR_BITS]
         if held is not None:
             rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
         cut_at = np.searchsorted(rows[0], rows[0][-1])
@@ -276,7 +339,7 @@ def _meet(batches: Iterator[pa.RecordBatch], hot_anchor: int, length: int) -> It
             hot_at = None
             skip = 0
         tail = tuple(c[last] for c in reps)
-        if hot_at is not None or _starts(tail[1]).sum() > hot_anchor:
+        if hot_at is not None or _starts(tail[1]).sum() > most_held:
             hot_at = rows[0][-1]
             fresh = tuple(c[skip:] for c in tail)
             if len(fresh[0]):
@@ -289,21 +352,14 @@ def _meet(batches: Iterator[pa.RecordBatch], hot_anchor: int, length: int) -> It
 
 
 def _cut_strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of marked segments; strings of hot anchors one by one, and of equal ones in a
-    batch only those of the smallest document, the others as covered (bytes null)."""
-    for batch in batches:
-        out, hot = [], []
-        for doc, tag, text, marks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            for mark in marks:
-                start, n = mark["place"] & 0xFFFFFFFF, mark["n"]
-                if mark["kind"] == _COLD:
-                    out.append((mark["anchor"], doc, mark["place"], n, text[start : start + n + length - 1]))
-                else:
-                    hot += [(text[i : i + length], doc, tag << 32 | i) for i in range(start, start + n)]
+    """The bytes of marked segments; strings of hot anchors one by one, and of equal ones among
+    ``_STRINGS`` only those of the smallest document, the others as covered (bytes null)."""
+
+    def single(hot):
         lead: dict[bytes, int] = {}
         for string, doc, _ in hot:
             lead[string] = min(doc, _NO_ID, lead.get(string, doc))
-        done = []
+        out, done = [], []
         for string, doc, place in hot:
             if lead[string] == min(doc, _NO_ID):
                 out.append((xxhash.xxh64_intdigest(string) - (1 << 63), doc, place, 1, string))
@@ -315,6 +371,27 @@ def _cut_strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
             doc, place = np.array(done, np.int64).T
             yield _batch(_STRING, _salt(doc, place), doc, place, np.ones(len(doc), np.int32), [None] * len(doc))
 
+    out, hot = [], []
+    for batch in _slices(batches, _ROWS):
+        for doc, tag, text, marks in zip(*(batch.column(i) for i in range(4)), strict=True):
+            doc, tag, text, marks = doc.as_py(), tag.as_py(), text.as_py(), marks.values
+            kind, anchor, place, n = (marks.field(i).to_numpy() for i in range(4))
+            for k, a, p, m in zip(kind.tolist(), anchor.tolist(), place.tolist(), n.tolist(), strict=True):
+                start = p & 0xFFFFFFFF
+                if k == _COLD:
+                    out.append((a, doc, p, m, text[start : start + m + length - 1]))
+                else:
+                    hot += [(text[i : i + length], doc, tag << 32 | i) for i in range(start, start + m)]
+                if len(hot) >= _STRINGS:
+                    yield from single(hot)
+                    hot = []
+                if len(out) >= _STRINGS:
+                    yield _batch(_STRING, *zip(*out, strict=True))
+                    out = []
+    if out:
+        yield _batch(_STRING, *zip(*out, strict=True))
+    yield from single(hot)
+
 
 def _windows_digest(data: np.ndarray, length: int) -> np.ndarray:
     """A polynomial digest of the ``length`` bytes from each position on."""
@@ -379,7 +456,7 @@ def _suffix_order(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
         return _batch(_COVERED, doc[row[use]][first], (place[row[use]] + offset[use])[first], runs)
 
     held = None
-    for batch in batches:
+    for batch in _slices(batches, _ORDERED):
         rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
         ready = np.array([x is None for x in rows[4]], bool)
         if ready.any():
@@ -452,7 +529,7 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
 
 
 def _removed(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches, _ROWS):
         out = []
         for doc, text, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             kept, gone, spans = text, 0, []
@@ -467,7 +544,20 @@ def _removed(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.string(), pa.binary()], strict=True)], names)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_anchor: int = HOT_ANCHOR, keep: bool = True) -> DataFrame:
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written meanwhile go when it is written; else they stay until the driver happens to
+    collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_anchor: int = HOT_ANCHOR, keep: bool = True, most_held: int = MOST_HELD) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept
     bytes (null unless ``keep``)."""
     if length < GRAM + 16:
@@ -483,8 +573,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_anchor: int = HOT_
         tag.alias("tag"),
         text.cast("binary").alias("text"),
     )
-    dealt = texts.mapInArrow(lambda it: _anchor(it, length), _ddl(_SEGMENT)).repartition("anchor").sortWithinPartitions("anchor", "what", "doc")
-    marks = cut(dealt.mapInArrow(lambda it: _meet(it, hot_anchor, length), _ddl(_MARK)), "marks").withColumn("tag", F.shiftright("place", 32))
+    anchor = F.shiftright("anchor", 2 * _SIDE_BITS)
+    dealt = texts.mapInArrow(lambda it: _anchor(it, length), _ddl(_SEGMENT)).repartition(anchor).sortWithinPartitions(anchor, "what", "doc")
+    with _shuffles_dropped(docs.sparkSession):
+        marks = cut(dealt.mapInArrow(lambda it: _meet(it, hot_anchor, most_held, length), _ddl(_MARK)), "marks")
+    marks = marks.withColumn("tag", F.shiftright("place", 32))
     wanted = marks.where("kind > 1").groupBy("doc", "tag").agg(F.collect_list(F.struct("kind", "anchor", "place", "n")).alias("marks"))
     strings = texts.join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "marks").mapInArrow(lambda it: _cut_strings(it, length), _ddl(_STRING))
     found = strings.repartition("route").sortWithinPartitions("route", "doc").mapInArrow(lambda it: _suffix_order(it, length), _ddl(_COVERED))
