@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. *Statistics.* Document frequencies of the benchmark's words are counted over all documents.
-2. *Index.* A randomised SVD of the TF-IDF passages (all items of a block, and windows of at most
-   ``FIT_DOCS`` documents picked by a hash, a bounded sample) gives the latent space of ``RANK``
+2. *Index.* A randomised SVD of the TF-IDF passages (all items of a block, and ``FIT_WINDOWS``
+   windows at most of each of at most ``FIT_DOCS`` documents picked by a hash, a bounded sample) gives the latent space of ``RANK``
    dimensions: each pass over the passages adds up A'(A W) by partition. Items weigh as much as
    the sample together.
 3. *Candidates.* Every document is cut into windows of about the items' lengths, a quarter of a
